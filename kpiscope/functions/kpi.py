@@ -73,6 +73,7 @@ def measure_aggs() -> list[Column]:
     paid = ~F.col("is_cancelled") & ~F.col("is_pending")
     flag = lambda c: F.col(c).cast("int")
     return [
+        F.count(F.lit(1)).alias("n_rows"),
         F.count("order_total").alias("n_total"),
         F.sum(to_cents("order_total")).alias("amt_c"),
         F.count("is_refunded").alias("n_ref"),
@@ -87,7 +88,7 @@ def measure_aggs() -> list[Column]:
     ]
 
 
-MEASURE_COLUMNS = ["n_total", "amt_c", "n_ref", "s_ref", "n_can", "s_can", "n_ct",
+MEASURE_COLUMNS = ["n_rows", "n_total", "amt_c", "n_ref", "s_ref", "n_can", "s_can", "n_ct",
                    "n_paid", "paid_c", "n_new", "s_new"]
 
 
@@ -107,8 +108,8 @@ def kpi_spec(kpi_name: str, mode: str = "raw") -> tuple[str, str]:
 
 def pick_by_kpi(kpi_col: Column, mode: str, what: str) -> Column:
     """Per-row choice, by the incident's KPI name, of the base measure's
-    window sum ('sum'), its count ('cnt') the divisor that turns the sum into units ('scale') or the aggregation
-    name ('agg')."""
+    window sum ('sum'), its count ('cnt'), the divisor that turns the sum into
+    units ('scale') or the aggregation name ('agg')."""
     expr = None
     for kpi, (metric, agg) in KPIS[mode].items():
         val = _measure_part(MEASURES[metric], agg, what)

@@ -170,3 +170,194 @@ for _agg in ("sum", "mean", "count"):
                      .withColumn("anomaly_days", F.col("anomaly_days").cast("bigint")))
         return q
     register(f"window_compare_{_agg}", _wc_sql(_agg))(_mkw(_agg))
+
+
+# ----------------------------------------------------------------- views J1, A1-A6
+from kpiscope.operators import rollups as RU  # noqa: E402
+from kpiscope.operators import views as V  # noqa: E402
+from kpiscope.sources import binding as SB  # noqa: E402
+
+
+def _tables(spark, sf):
+    return {"orders": B.fact(spark, sf), "refunds": SB.refunds(spark, sf),
+            "payments": SB.payments(spark, sf)}
+
+
+_VIEW_SQL = {
+    "daily_kpi_summary": ("order_date", ["total_orders", "paid_orders", "gmv", "aov", "refund_rate",
+                                         "cancellation_rate", "new_customer_ratio", "revenue"]),
+    "channel_performance": ("order_date, channel", ["total_orders", "paid_orders", "gmv", "aov",
+                                                    "refund_rate", "new_customer_ratio"]),
+    "category_performance": ("order_date, category", ["total_orders", "paid_orders", "gmv", "aov",
+                                                      "refund_rate", "cancellation_rate"]),
+    "region_performance": ("order_date, region", ["total_orders", "paid_orders", "gmv", "aov",
+                                                  "refund_rate"]),
+    "customer_segment_performance": ("order_date, customer_type, channel",
+                                     ["total_orders", "paid_orders", "gmv", "aov"]),
+}
+
+for _name, (_keys, _cols) in _VIEW_SQL.items():
+    def _mkv(name):
+        def q(spark, sf):
+            return V.VIEW_BUILDERS[name](_tables(spark, sf))
+        return q
+    register(_name, O.with_(O.STAR) + f"SELECT {_keys}, {O.kpi_sql(_cols)} FROM canon GROUP BY {_keys}")(
+        _mkv(_name))
+
+
+@register("fact_orders_enriched", O.with_(O.FULL_STAR, O.ENRICHED) + "SELECT * FROM enriched")
+def fact_orders_enriched(spark, sf):
+    return V.VIEW_BUILDERS["fact_orders_enriched"](_tables(spark, sf))
+
+
+@register("refund_summary", O.with_(O.FULL_STAR) + f"""SELECT r.refund_date, o.category, o.region, o.channel,
+  r.reason AS refund_reason, count(*) AS refund_count,
+  {O.money(f"sum({O.cents('r.refund_amount')})")} AS total_refund_amount,
+  {O.money(f"sum({O.cents('r.refund_amount')})")} / CAST(count(*) AS DOUBLE) AS avg_refund_amount
+FROM refunds r JOIN canon o ON r.order_id = o.order_id
+GROUP BY r.refund_date, o.category, o.region, o.channel, r.reason""")
+def refund_summary(spark, sf):
+    return V.VIEW_BUILDERS["refund_summary"](_tables(spark, sf))
+
+
+@register("paid_orders", O.with_(O.STAR) +
+          f"SELECT order_id, order_date, order_total, order_status FROM canon WHERE {O.PAID_SQL}")
+def paid_orders(spark, sf):
+    """paid = not cancelled and not pending."""
+    return (B.fact(spark, sf).where(V.paid_predicate())
+             .select("order_id", "order_date", "order_total", "order_status"))
+
+
+@register("order_status_derive", O.with_(O.STAR) +
+          "SELECT order_status, is_cancelled, is_pending, is_refunded, count(*) AS n_orders "
+          "FROM canon GROUP BY ALL")
+def order_status_derive(spark, sf):
+    """P5: status precedence cancelled > pending > refunded > completed."""
+    return (B.fact(spark, sf).groupBy("order_status", "is_cancelled", "is_pending", "is_refunded")
+             .agg(F.count(F.lit(1)).alias("n_orders")))
+
+
+@register("customer_type_derive", O.with_(O.STAR) +
+          "SELECT customer_type, count(*) AS n_orders, count(DISTINCT customer_id) AS n_customers "
+          "FROM canon GROUP BY customer_type")
+def customer_type_derive(spark, sf):
+    """A customer's first order (by date, then id) is 'new'."""
+    return (B.fact(spark, sf).groupBy("customer_type")
+             .agg(F.count(F.lit(1)).alias("n_orders"),
+                  F.countDistinct("customer_id").alias("n_customers")))
+
+
+@register("campaign_attribution", O.with_(O.STAR) +
+          "SELECT campaign, min(order_date) AS first_day, max(order_date) AS last_day, "
+          "count(*) AS n_orders FROM canon GROUP BY campaign")
+def campaign_attribution(spark, sf):
+    """Campaign by purchase date."""
+    return (B.fact(spark, sf).groupBy("campaign")
+             .agg(F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"),
+                  F.count(F.lit(1)).alias("n_orders")))
+
+
+# ----------------------------------------------------------------- A8 / A9
+_CAL_BASE = O.with_(O.STAR, O.cases_cte(), O.cube_cte(), O.LABEL_CAL)
+
+
+@register("agg_by_time_window", _CAL_BASE + f"""SELECT l.case_id, l.time_window, {O.WINDOW_AGGS}
+FROM cube c JOIN lcal l ON c.order_date = l.order_date WHERE c.dimension = '__total__'
+GROUP BY l.case_id, l.time_window""")
+def agg_by_time_window(spark, sf):
+    return RU.agg_by_time_window(B.cube(spark, sf), B.incidents(spark))
+
+
+@register("agg_by_dim_window", _CAL_BASE + f"""SELECT *, row_number() OVER (PARTITION BY case_id, dimension
+  ORDER BY gmv DESC NULLS LAST, slice, time_window) AS gmv_rank FROM (
+  SELECT l.case_id, c.dimension, c.slice, l.time_window, {O.WINDOW_AGGS}
+  FROM cube c JOIN lcal l ON c.order_date = l.order_date WHERE c.dimension IN ('channel', 'region')
+  GROUP BY l.case_id, c.dimension, c.slice, l.time_window)""")
+def agg_by_dim_window(spark, sf):
+    return RU.agg_by_dim_window(B.cube(spark, sf), B.incidents(spark))
+
+
+# ----------------------------------------------------------------- A13-A17
+@register("daily_series", O.with_(O.STAR) +
+          f"SELECT order_date, {O.money('sum(' + O.cents('order_total') + ')')} AS value FROM canon GROUP BY order_date")
+def daily_series(spark, sf):
+    return RU.daily_series(B.fact(spark, sf))
+
+
+@register("daily_series_by_group", O.with_(O.STAR) +
+          "SELECT channel AS series, order_date, order_total AS value FROM canon")
+def daily_series_by_group(spark, sf):
+    return RU.daily_series_by_group(B.fact(spark, sf))
+
+
+@register("order_rollup", O.with_(O.FULL_STAR) + f"""SELECT order_id,
+  {O.money('sum(CAST(round(quantity * unit_price * CAST(100.0 AS DOUBLE)) AS BIGINT))')} AS order_total,
+  count(*) AS n_items FROM order_items GROUP BY order_id""")
+def order_rollup(spark, sf):
+    return RU.order_rollup(SB.order_items(spark, sf))
+
+
+def _period_sql(unit):
+    return O.with_(O.STAR) + f"""SELECT CAST(date_trunc('{unit}', order_date) AS DATE) AS period,
+  {O.money('sum(' + O.cents('order_total') + ')')} AS gmv, count(*) AS paid_orders,
+  {O.money('sum(' + O.cents('order_total') + ')')} / CAST(count(*) AS DOUBLE) AS aov
+FROM canon WHERE {O.PAID_SQL} GROUP BY 1"""
+
+
+@register("gmv_weekly", _period_sql("week"))
+def gmv_weekly(spark, sf):
+    return RU.gmv_by_period(B.fact(spark, sf), "week")
+
+
+@register("gmv_monthly", _period_sql("month"))
+def gmv_monthly(spark, sf):
+    return RU.gmv_by_period(B.fact(spark, sf), "month")
+
+
+@register("net_revenue_monthly", O.with_(O.FULL_STAR) + f"""SELECT coalesce(g.period, r.period) AS period,
+  {O.money('coalesce(g.gmv_c, 0)')} AS gmv, {O.money('coalesce(r.ref_c, 0)')} AS refunds,
+  {O.money('coalesce(g.gmv_c, 0) - coalesce(r.ref_c, 0)')} AS net_revenue
+FROM (SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, sum({O.cents('order_total')}) AS gmv_c
+      FROM canon WHERE {O.PAID_SQL} GROUP BY 1) g
+FULL OUTER JOIN (SELECT CAST(date_trunc('month', refund_date) AS DATE) AS period,
+      sum({O.cents('refund_amount')}) AS ref_c FROM refunds GROUP BY 1) r ON g.period = r.period""")
+def net_revenue_monthly(spark, sf):
+    return RU.net_revenue_monthly(B.fact(spark, sf), SB.refunds(spark, sf))
+
+
+@register("aov_median", O.with_(O.STAR) + f"""SELECT period, paid_orders,
+  v_lo + (v_hi - v_lo) * frac AS median_aov FROM (
+  SELECT period, max(n) AS paid_orders,
+    max(CASE WHEN pos_lo >= 0 AND rn = pos_lo THEN order_total END) AS v_lo,
+    max(CASE WHEN rn = pos_hi THEN order_total END) AS v_hi,
+    max(frac) AS frac
+  FROM (SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, order_total,
+           row_number() OVER (PARTITION BY date_trunc('month', order_date) ORDER BY order_total) - 1 AS rn,
+           count(*) OVER (PARTITION BY date_trunc('month', order_date)) AS n,
+           floor(CAST(count(*) OVER (PARTITION BY date_trunc('month', order_date)) - 1 AS DOUBLE) * 0.5) AS pos_lo,
+           ceil(CAST(count(*) OVER (PARTITION BY date_trunc('month', order_date)) - 1 AS DOUBLE) * 0.5) AS pos_hi,
+           CAST(count(*) OVER (PARTITION BY date_trunc('month', order_date)) - 1 AS DOUBLE) * 0.5
+             - floor(CAST(count(*) OVER (PARTITION BY date_trunc('month', order_date)) - 1 AS DOUBLE) * 0.5) AS frac
+        FROM canon WHERE {O.PAID_SQL} AND order_total IS NOT NULL)
+  GROUP BY period)""")
+def aov_median(spark, sf):
+    return RU.aov_median(B.fact(spark, sf))
+
+
+@register("chart_contribution_rows", O.slice_base() + f"""SELECT case_id, dimension, dimension_value,
+  contribution_pct, driver_rank,
+  CASE WHEN contribution_pct < 0 THEN 'negative' ELSE 'positive' END AS bar_sign,
+  {O.fmt_fixed('contribution_pct', 1, True)} || '%' AS bar_label
+FROM slices WHERE driver_rank <= 10""")
+def chart_contribution_rows(spark, sf):
+    return RU.chart_contribution_rows(B.slices(spark, sf))
+
+
+@register("report_driver_rows", O.slice_base() + f"""SELECT case_id, dimension, driver_rank,
+  dimension_value AS slice, printf('%.2f', baseline_daily) AS baseline, printf('%.2f', anomaly_daily) AS anomaly,
+  printf('%+.2f', absolute_change) AS change,
+  {O.fmt_fixed('percent_change', 1, True)} || '%' AS pct_change,
+  {O.fmt_fixed('contribution_pct', 1)} || '%' AS contribution
+FROM slices WHERE driver_rank <= 8""")
+def report_driver_rows(spark, sf):
+    return RU.report_driver_rows(B.slices(spark, sf))

@@ -329,3 +329,73 @@ LABEL_CAL = f"""lcal AS (
 
 WINDOW_AGGS = f"""CAST(sum(n_rows) AS BIGINT) AS order_count, {money('sum(amt_c)')} AS gmv,
   (CASE WHEN sum(n_total) <> 0 THEN {money('sum(amt_c)')} / CAST(sum(n_total) AS DOUBLE) END) AS aov"""
+
+
+# ---------------------------------------------------------------- SQL audit
+from kpiscope.functions.fixed import ALLOWED_TABLES, FORBIDDEN_KEYWORDS, KPI_SCAN_ORDER, DEFAULT_DIMENSIONS  # noqa: E402
+
+_WS = r"[ \t\n\x0B\f\r]"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + _WS + '+|' + _WS + '+$')}, '', 'g')"
+
+
+def word_runs_sql(x: str) -> str:
+    return f"regexp_extract_all({x}, {q(r'[\p{L}\p{N}_]+')})"
+
+
+def audit_cte(source: str) -> str:
+    """source: a CTE body producing (query_id, sql)."""
+    allowed_text = "[" + ", ".join(f"'{t}'" for t in sorted(ALLOWED_TABLES)) + "]"
+    table_re = "(?i)(?:FROM|JOIN)" + _WS + "+([a-zA-Z_][a-zA-Z0-9_]*)"
+    cte_re = r"(?i)([\p{L}\p{N}_]+)" + _WS + "+AS" + _WS + r"*\("
+    return f"""aq AS ({source}),
+a1 AS (SELECT query_id, {strip_sql(f"regexp_replace({strip_sql('sql')}, ';+$', '')")} AS s FROM aq),
+a2 AS (SELECT *, replace(upper(regexp_extract(s, {q('^([^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0B' + chr(92) + 'f' + chr(92) + 'r]+)')}, 1)), 'ẞ', 'SS') AS first_word,
+              regexp_replace(s, '''[^'']*''', '''''', 'g') AS masked FROM a1),
+a3 AS (SELECT *,
+         list_sort(list_distinct(list_filter(list_transform({word_runs_sql('masked')}, lambda x: upper(x)),
+                                              lambda x: list_contains({sql_list(FORBIDDEN_KEYWORDS)}, x)))) AS kw,
+         CASE WHEN first_word = 'WITH'
+              THEN list_transform(regexp_extract_all(masked, {q(cte_re)}, 1), lambda x: lower(x))
+              ELSE CAST([] AS VARCHAR[]) END AS cte_names,
+         regexp_extract_all(masked, {q(table_re)}, 1) AS table_refs
+       FROM a2),
+a4 AS (SELECT *,
+         CASE WHEN s = '' THEN ['Empty SQL query'] ELSE list_concat(
+           list_filter([CASE WHEN instr(s, ';') > 0 THEN {q("Multiple SQL statements are not allowed (semicolons found in query body)")} END,
+                        CASE WHEN first_word NOT IN ('SELECT', 'WITH') THEN 'Only SELECT queries are allowed. Found: ' || first_word END,
+                        CASE WHEN len(kw) > 0 THEN 'Forbidden SQL keywords found: ' || array_to_string(kw, ', ') END],
+                       lambda e: e IS NOT NULL),
+           list_transform(list_filter(table_refs, lambda t: NOT list_contains({sql_list(ALLOWED_TABLES)}, lower(t))
+                                                      AND NOT list_contains(cte_names, lower(t))),
+                          lambda t: 'Table ''' || t || {q("' is not in the approved list. Allowed: " + allowed_text)}))
+         END AS errors,
+         CASE WHEN s = '' THEN ''
+              WHEN list_contains(list_transform({word_runs_sql('s')}, lambda x: upper(x)), 'LIMIT') THEN s
+              ELSE s || chr(10) || 'LIMIT 10000' END AS sanitized_sql
+       FROM a3)"""
+
+
+DOC_SQL_SOURCE = "SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS query_id, text AS sql FROM documents"
+
+
+def request_sql(text: str) -> str:
+    low = f"lower({text})"
+    kpi = "'gmv'"
+    for k in reversed(KPI_SCAN_ORDER):
+        kpi = f"CASE WHEN instr({low}, '{k}') > 0 THEN '{k}' ELSE {kpi} END"
+    found = ("list_filter([" + ", ".join(f"CASE WHEN instr({low}, '{d}') > 0 THEN '{d}' END" for d in DIMENSIONS)
+             + "], lambda x: x IS NOT NULL)")
+    dims = f"CASE WHEN len({found}) > 0 THEN {found} ELSE {sql_list(DEFAULT_DIMENSIONS)} END"
+    dates = f"regexp_extract_all({text}, '\\d{{4}}-\\d{{2}}-\\d{{2}}', 0)"
+    return kpi, dims, dates

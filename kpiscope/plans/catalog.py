@@ -361,3 +361,62 @@ def chart_contribution_rows(spark, sf):
 FROM slices WHERE driver_rank <= 8""")
 def report_driver_rows(spark, sf):
     return RU.report_driver_rows(B.slices(spark, sf))
+
+
+# ----------------------------------------------------------------- G1-G6 SQL-text audit
+from kpiscope.operators import audit as AU  # noqa: E402
+from kpiscope.sources.tables import read_table  # noqa: E402
+
+
+def _doc_texts(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("query_id"),
+                    F.col("text").alias("sql"))
+
+
+@register("sql_audit", O.with_(O.audit_cte(O.DOC_SQL_SOURCE)) + """SELECT query_id,
+  len(errors) = 0 AS is_valid, CAST(len(errors) AS BIGINT) AS n_errors,
+  array_to_string(errors, ' | ') AS error_text FROM a4""")
+def sql_audit(spark, sf):
+    """G1 over every document text, read as a submitted query (whole texts)."""
+    v = AU.validate(_doc_texts(spark, sf))
+    return v.select("query_id", "is_valid", F.size("errors").cast("bigint").alias("n_errors"),
+                    F.array_join("errors", " | ").alias("error_text"))
+
+
+@register("sql_sanitize", O.with_(O.audit_cte(O.DOC_SQL_SOURCE)) +
+          "SELECT query_id, sanitized_sql FROM a4")
+def sql_sanitize(spark, sf):
+    """Stripped text with the row cap appended when no LIMIT is present."""
+    return AU.validate(_doc_texts(spark, sf)).select("query_id", "sanitized_sql")
+
+
+@register("sql_table_refs", O.with_(O.audit_cte(O.DOC_SQL_SOURCE)) + f"""SELECT query_id,
+  CAST(i AS BIGINT) AS ref_pos, table_refs[i + 1] AS table_name,
+  list_contains(cte_names, lower(table_refs[i + 1])) AS is_cte,
+  list_contains({O.sql_list(O.ALLOWED_TABLES)}, lower(table_refs[i + 1])) AS is_allowed
+FROM (SELECT query_id, table_refs, cte_names, unnest(range(len(table_refs))) AS i FROM a3)""")
+def sql_table_refs(spark, sf):
+    """Referenced names per text."""
+    return AU.table_refs(_doc_texts(spark, sf))
+
+
+_K, _D, _DT = O.request_sql("text")
+
+
+@register("request_extract", f"""SELECT doc_id, {_K} AS kpi, array_to_string({_D}, ',') AS dimensions,
+  array_to_string({_DT}, ',') AS dates FROM documents""")
+def request_extract(spark, sf):
+    """G5 over every document text."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    r = AU.request_extract(d, "text")
+    return r.select("doc_id", "kpi", F.array_join("dimensions", ",").alias("dimensions"),
+                    F.array_join("dates", ",").alias("dates"))
+
+
+@register("reply_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def reply_json(spark, sf):
+    """G6 over the JSON payloads of the events table."""
+    e = read_table(spark, sf, "events").select("event_id", "props")
+    p = AU.reply_json(e, "props", "k BIGINT")
+    return p.select("event_id", F.col("parsed.k").alias("k"))

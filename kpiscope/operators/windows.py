@@ -66,10 +66,19 @@ def label_calendar(cases: DataFrame) -> DataFrame:
 
 
 def calendar_rows(cases: DataFrame) -> int:
-    """Size check for the calendar: one tiny aggregate over the incident table."""
+    """Size check for the calendar: one tiny aggregate over the incident table
+    (remembered on the incident DataFrame, so a plan pays for it once)."""
+    cached = getattr(cases, "_calendar_rows", None)
+    if cached is not None:
+        return cached
     c = with_baseline(cases)
     row = c.agg(F.sum(F.col("baseline_days") + F.col("anomaly_days")).alias("n")).first()
-    return int(row["n"] or 0)
+    n = int(row["n"] or 0)
+    try:
+        cases._calendar_rows = n
+    except AttributeError:
+        pass
+    return n
 
 
 def join_calendar(facts: DataFrame, calendar: DataFrame, cases: DataFrame,

@@ -399,3 +399,186 @@ def request_sql(text: str) -> str:
     dims = f"CASE WHEN len({found}) > 0 THEN {found} ELSE {sql_list(DEFAULT_DIMENSIONS)} END"
     dates = f"regexp_extract_all({text}, '\\d{{4}}-\\d{{2}}-\\d{{2}}', 0)"
     return kpi, dims, dates
+
+
+# ---------------------------------------------------------------- decision layer
+def _analysis_texts_cte() -> str:
+    kpi, _, _ = request_sql("concat_ws(' ', kpi_name, description)")
+    s, e, bs = ("CAST(affected_start_date AS VARCHAR)", "CAST(affected_end_date AS VARCHAR)",
+                "CAST(baseline_start AS VARCHAR)")
+    label = (f"'CASE WHEN order_date BETWEEN ''' || {s} || ''' AND ''' || {e} || "
+             f"''' THEN ''anomaly'' ELSE ''baseline'' END AS time_window, '")
+    measures = ("'COUNT(*) as order_count, SUM(order_total) as gmv, AVG(order_total) as aov "
+                "FROM fact_orders_enriched '")
+    where = f"'WHERE order_date BETWEEN ''' || {bs} || ''' AND ''' || {e} || ''' '"
+    parts = [f"""SELECT case_id, 1 AS seq, 'q_aggregate' AS query_id,
+      'Aggregate ' || kpi_mention || ' for anomaly vs baseline window' AS purpose,
+      'daily_kpi_summary' AS target_view,
+      'SELECT ' || {label} || {measures} || {where} || 'GROUP BY time_window' AS sql FROM cm"""]
+    for i, d in enumerate(("channel", "region")):
+        parts.append(f"""SELECT case_id, {i + 2} AS seq, 'q_by_{d}' AS query_id,
+      'Break down ' || kpi_mention || ' by {d}' AS purpose, 'fact_orders_enriched' AS target_view,
+      'SELECT {d}, ' || {label} || {measures} || {where} ||
+      'GROUP BY {d}, time_window ORDER BY gmv DESC NULLS LAST' AS sql FROM cm""")
+    union = "\n  UNION ALL ".join(parts)
+    return f"""cm AS (SELECT *, {kpi} AS kpi_mention FROM casesd),
+texts AS (
+  {union})"""
+
+
+def decision_ctes() -> str:
+    conc1 = f"""conc1 AS (
+  SELECT case_id, dimension, sum(CASE WHEN crank <= 1 THEN abs(contribution_pct) END) > 50.0 AS concentrated
+  FROM (SELECT *, row_number() OVER (PARTITION BY case_id, dimension
+                                     ORDER BY abs(contribution_pct) DESC, dimension_value ASC) AS crank
+        FROM slices) GROUP BY case_id, dimension)"""
+    stats = f"""stats AS (
+  SELECT case_id, dimension, count(*) AS n_slices,
+         {round2('max(CASE WHEN driver_rank = 1 THEN abs(contribution_pct) END)')} > 50.0 AS concentrated
+  FROM slices GROUP BY case_id, dimension)"""
+    wc = f"""wc AS (
+  SELECT case_id, {round2('bl_val')} AS baseline_daily, {round2('an_val')} AS anomaly_daily,
+         {round2(pct_change('an_val', 'bl_val'))} AS percent_change
+  FROM (SELECT case_id, bl_s, an_s, bl_n, an_n,
+          (CAST(coalesce(bl_s, 0) AS DOUBLE) / CAST(100.0 AS DOUBLE)) / baseline_days AS bl_val,
+          (CAST(coalesce(an_s, 0) AS DOUBLE) / CAST(100.0 AS DOUBLE)) / anomaly_days AS an_val
+        FROM (SELECT c.case_id, c.baseline_days, c.anomaly_days,
+                     sum(CASE WHEN c.win = 'baseline' THEN cb.amt_c END) AS bl_s,
+                     sum(CASE WHEN c.win = 'baseline' THEN cb.n_total END) AS bl_n,
+                     sum(CASE WHEN c.win = 'anomaly' THEN cb.amt_c END) AS an_s,
+                     sum(CASE WHEN c.win = 'anomaly' THEN cb.n_total END) AS an_n
+              FROM cube cb JOIN cal c ON cb.order_date = c.order_date
+              WHERE cb.dimension = '__total__' GROUP BY c.case_id, c.baseline_days, c.anomaly_days)))"""
+    rows = """qrows AS (
+  SELECT l.case_id, 'q_aggregate' AS query_id, count(DISTINCT l.time_window) AS rows
+  FROM cube c JOIN lcal l ON c.order_date = l.order_date WHERE c.dimension = '__total__' GROUP BY l.case_id
+  UNION ALL
+  SELECT case_id, 'q_by_' || dimension AS query_id, count(*) AS rows FROM (
+    SELECT DISTINCT l.case_id, c.dimension, c.slice, l.time_window
+    FROM cube c JOIN lcal l ON c.order_date = l.order_date WHERE c.dimension IN ('channel', 'region'))
+  GROUP BY case_id, dimension)"""
+    runlog = """runlog AS (
+  SELECT t.case_id, t.seq, t.query_id, t.purpose, t.target_view, t.sql, len(a.errors) = 0 AS success,
+         CAST(CASE WHEN len(a.errors) = 0 THEN least(coalesce(r.rows, 0), 10000) ELSE 0 END AS BIGINT) AS row_count,
+         array_to_string(a.errors, '; ') AS error
+  FROM texts t JOIN a4 a ON a.query_id = t.case_id || '|' || t.query_id
+  LEFT JOIN qrows r ON r.case_id = t.case_id AND r.query_id = t.query_id)"""
+    dims = "[" + ", ".join(f"'{d}'" for d in DIMENSIONS) + "]"
+    ev = f"""ev1 AS (
+  SELECT case_id, CAST(seq AS BIGINT) AS seq, 'sql_' || query_id AS evidence_id, 'sql_result' AS source_type,
+         query_id AS source_ref, printf('%s — %d rows returned', purpose, row_count) AS description,
+         TRUE AS supports_conclusion, 'medium' AS strength FROM runlog WHERE success
+  UNION ALL
+  SELECT s.case_id, CAST(10 + 2 * list_position({dims}, s.dimension) AS BIGINT), 'analysis_' || s.dimension,
+         'analysis', 'contribution_' || s.dimension,
+         printf('%s analysis: top driver is ''%s'' with %s%% contribution (%s%% change). Concentrated: %s',
+                s.dimension, s.dimension_value, {fmt_fixed('s.contribution_pct', 1)},
+                {fmt_fixed('s.percent_change', 1, True)},
+                CASE WHEN k.concentrated THEN 'True' ELSE 'False' END),
+         TRUE, CASE WHEN k.concentrated THEN 'high' ELSE 'medium' END
+  FROM slices s JOIN conc1 k ON s.case_id = k.case_id AND s.dimension = k.dimension WHERE s.driver_rank = 1
+  UNION ALL
+  SELECT case_id, CAST(11 + 2 * list_position({dims}, dimension) AS BIGINT),
+         'caveat_' || dimension || '_sample_size', 'analysis', 'sample_check_' || dimension,
+         'Sample size warning: ' || string_agg(
+            printf('Small sample: %s (baseline=%d, anomaly=%d)', dimension_value, sample_size_baseline,
+                   sample_size_anomaly), '; ' ORDER BY driver_rank),
+         FALSE, 'low'
+  FROM slices WHERE sample_size_anomaly < 30 OR sample_size_baseline < 30 GROUP BY case_id, dimension
+  UNION ALL
+  SELECT c.case_id, CAST(100 AS BIGINT), 'baseline_comparison_order_total', 'analysis', 'baseline_comparison',
+         'Aggregate order_total: baseline_daily=' || {fmt_short('coalesce(w.baseline_daily, 0.0)')} ||
+         ', anomaly_daily=' || {fmt_short('coalesce(w.anomaly_daily, 0.0)')} ||
+         ', change=' || {fmt_fixed('coalesce(w.percent_change, 0.0)', 1, True)} || '%',
+         TRUE, 'high'
+  FROM casesd c LEFT JOIN wc w ON c.case_id = w.case_id)"""
+    counts = """counts0 AS (
+  SELECT c.case_id, c.kpi_name,
+    coalesce(rl.n_sql, 0) AS n_sql, coalesce(rl.n_sql_ok, 0) AS n_sql_ok,
+    coalesce(st.n_analyses, 0) AS n_analyses, coalesce(st.any_conc, 0) = 1 AS any_concentrated,
+    coalesce(e.n_support1, 0) AS n_support1, coalesce(e.n_warn1, 0) AS n_warn1,
+    CAST(0.0 AS DOUBLE) AS elapsed_seconds
+  FROM casesd c
+  LEFT JOIN (SELECT case_id, count(*) AS n_sql, count_if(success) AS n_sql_ok FROM runlog GROUP BY case_id) rl
+    ON c.case_id = rl.case_id
+  LEFT JOIN (SELECT case_id, count(*) AS n_analyses, max(CAST(concentrated AS INTEGER)) AS any_conc
+             FROM stats GROUP BY case_id) st ON c.case_id = st.case_id
+  LEFT JOIN (SELECT case_id, count_if(supports_conclusion) AS n_support1,
+                    count_if(contains(lower(description), 'sample size')) AS n_warn1
+             FROM ev1 GROUP BY case_id) e ON c.case_id = e.case_id),
+counts AS (
+  SELECT *, CAST(CASE
+      WHEN n_sql_ok > 0 AND n_analyses > 0 AND any_concentrated AND n_warn1 = 0 AND n_support1 * 1 >= 2 THEN 1
+      WHEN n_sql_ok > 0 AND n_analyses > 0 AND any_concentrated AND n_warn1 = 0 AND n_support1 * 2 >= 2 THEN 2
+      ELSE 3 END AS BIGINT) AS passes
+  FROM counts0)"""
+    evidence = """evidence AS (
+  SELECT e.*, CAST(p AS BIGINT) AS pass_no
+  FROM ev1 e JOIN counts c ON e.case_id = c.case_id, unnest(range(1, c.passes + 1)) AS u(p))"""
+    checks = """checks AS (
+  SELECT case_id, CAST(1 AS BIGINT) AS check_no, 'sql_evidence_exists' AS check_name, n_sql_ok > 0 AS passed,
+         printf('%d successful SQL queries out of %d', n_sql_ok, n_sql) AS detail FROM counts
+  UNION ALL SELECT case_id, 2, 'analysis_results_exist', n_analyses > 0,
+         printf('%d analysis results produced', n_analyses) FROM counts
+  UNION ALL SELECT case_id, 3, 'supporting_evidence', n_support1 * passes >= 2,
+         printf('%d supporting evidence items', n_support1 * passes) FROM counts
+  UNION ALL SELECT case_id, 4, 'concentrated_driver_found', any_concentrated,
+         CASE WHEN any_concentrated THEN 'Concentrated driver found'
+              ELSE 'No single dominant driver — movement may be diffuse' END FROM counts
+  UNION ALL SELECT case_id, 5, 'sample_size_adequate', n_warn1 * passes = 0,
+         CASE WHEN n_warn1 * passes > 0 THEN printf('%d sample size warnings', n_warn1 * passes)
+              ELSE 'All slices have adequate sample sizes' END FROM counts)"""
+    verdict = """verdict0 AS (
+  SELECT c.*, p.checks_passed, p.checks_total,
+    CASE WHEN p.checks_passed >= 4 THEN 'high' WHEN p.checks_passed >= 3 THEN 'medium'
+         WHEN p.checks_passed >= 2 THEN 'low' ELSE 'inconclusive' END AS confidence,
+    CAST((c.n_sql - c.n_sql_ok) * c.passes AS BIGINT) AS sql_failure_count
+  FROM counts c JOIN (SELECT case_id, count_if(passed) AS checks_passed, count(*) AS checks_total
+                      FROM checks GROUP BY case_id) p ON c.case_id = p.case_id),
+verdict AS (
+  SELECT *, checks_passed = checks_total AS overall_supported,
+    list_filter([CASE WHEN confidence IN ('low', 'inconclusive') THEN 'low_confidence' END,
+                 CASE WHEN sql_failure_count >= 2 THEN 'sql_validation_failure' END,
+                 CASE WHEN elapsed_seconds > 120.0 THEN 'cost_exceeded' END,
+                 CASE WHEN checks_passed < checks_total THEN 'weak_evidence' END],
+                lambda r: r IS NOT NULL) AS review_reasons
+  FROM verdict0),
+verdict2 AS (
+  SELECT *, len(review_reasons) > 0 AS needs_review,
+         CASE WHEN len(review_reasons) > 0 THEN 'approved' ELSE 'not_required' END AS review_status
+  FROM verdict)"""
+    best = f"""best AS (
+  SELECT * FROM (
+    SELECT case_id, dimension, dimension_value, percent_change, contribution_pct,
+           row_number() OVER (PARTITION BY case_id ORDER BY abs(contribution_pct) DESC,
+                              list_position({dims}, dimension) ASC) AS r
+    FROM slices WHERE driver_rank = 1 AND contribution_pct <> 0) WHERE r = 1)"""
+    found = f"""found AS (
+  SELECT v.*, b.dimension, b.dimension_value, b.percent_change, b.contribution_pct,
+    CASE WHEN b.dimension IS NOT NULL THEN printf(
+      'The %s movement is primarily driven by ''%s'' in the %s dimension (%s%% change, %s%% contribution).',
+      v.kpi_name, b.dimension_value, b.dimension, {fmt_fixed('b.percent_change', 1, True)},
+      {fmt_fixed('b.contribution_pct', 1)}) END AS primary_finding,
+    CASE WHEN b.dimension IS NOT NULL THEN printf(
+      'Evidence suggests the %s anomaly is primarily driven by changes in ''%s'' (%s). This slice accounts for %s%% of the total movement. Confidence: %s.',
+      v.kpi_name, b.dimension_value, b.dimension, {fmt_fixed('b.contribution_pct', 1)}, v.confidence)
+    ELSE printf('The %s movement could not be attributed to a single dominant driver. The change appears diffuse across multiple dimensions. Confidence: inconclusive.', v.kpi_name)
+    END AS conclusion,
+    CASE WHEN b.dimension IS NOT NULL THEN coalesce(e.ids, []) END AS finding_evidence_ids,
+    CASE WHEN b.dimension IS NOT NULL THEN
+      CASE WHEN v.n_warn1 > 0 THEN [{q(CAVEAT_CORRELATION_)}, {q(CAVEAT_SMALL_SAMPLE_)}]
+           ELSE [{q(CAVEAT_CORRELATION_)}] END END AS finding_caveats
+  FROM verdict2 v LEFT JOIN best b ON v.case_id = b.case_id
+  LEFT JOIN (SELECT case_id, list(evidence_id ORDER BY pass_no, seq)[1:5] AS ids
+             FROM evidence WHERE supports_conclusion GROUP BY case_id) e ON v.case_id = e.case_id)"""
+    audit_src = "SELECT case_id || '|' || query_id AS query_id, sql FROM texts"
+    return ",\n".join([_analysis_texts_cte(), audit_cte(audit_src), rows, runlog, conc1, stats, wc,
+                       ev, counts, evidence, checks, verdict, best, found])
+
+
+from kpiscope.functions.fixed import CAVEAT_CORRELATION as CAVEAT_CORRELATION_  # noqa: E402
+from kpiscope.functions.fixed import CAVEAT_SMALL_SAMPLE as CAVEAT_SMALL_SAMPLE_  # noqa: E402
+
+
+def decision_base() -> str:
+    return with_(STAR, cases_cte(), CALENDAR, cube_cte(), LABEL_CAL, slices_cte(), decision_ctes())

@@ -420,3 +420,90 @@ def reply_json(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", "props")
     p = AU.reply_json(e, "props", "k BIGINT")
     return p.select("event_id", F.col("parsed.k").alias("k"))
+
+
+# ----------------------------------------------------------------- V1-V10 decisions
+from kpiscope.plans import investigate as INV  # noqa: E402
+
+
+def _inv(spark, sf):
+    cases = B.incidents(spark)
+    return INV.investigate(B.cube(spark, sf), cases), cases
+
+
+@register("query_run_stats", O.decision_base() + """SELECT case_id, n_sql AS n_queries,
+  n_sql_ok AS n_success, CAST((n_sql - n_sql_ok) * passes AS BIGINT) AS failures_total FROM counts""")
+def query_run_stats(spark, sf):
+    """Successes and failures per incident; failures accumulate over passes."""
+    inv, _ = _inv(spark, sf)
+    c = inv.verdicts
+    return c.select("case_id", F.col("n_sql").alias("n_queries"), F.col("n_sql_ok").alias("n_success"),
+                    ((F.col("n_sql") - F.col("n_sql_ok")) * F.col("passes")).cast("bigint")
+                    .alias("failures_total"))
+
+
+@register("evidence_registry", O.decision_base() + """SELECT case_id, pass_no, seq, evidence_id, source_type,
+  source_ref, description, supports_conclusion, strength FROM evidence""")
+def evidence_registry(spark, sf):
+    """V1 (+ V9 passes): every evidence item of every incident."""
+    inv, _ = _inv(spark, sf)
+    return inv.evidence.select("case_id", "pass_no", "seq", "evidence_id", "source_type", "source_ref",
+                               "description", "supports_conclusion", "strength")
+
+
+@register("verification_checks", O.decision_base() + "SELECT * FROM checks")
+def verification_checks(spark, sf):
+    inv, _ = _inv(spark, sf)
+    return inv.checks
+
+
+@register("confidence_ladder", O.decision_base() +
+          "SELECT case_id, checks_passed, confidence, overall_supported FROM verdict2")
+def confidence_ladder(spark, sf):
+    inv, _ = _inv(spark, sf)
+    return inv.verdicts.select("case_id", "checks_passed", "confidence", "overall_supported")
+
+
+@register("review_triggers", O.decision_base() + """SELECT case_id, needs_review,
+  array_to_string(review_reasons, ',') AS review_reasons, sql_failure_count FROM verdict2""")
+def review_triggers(spark, sf):
+    inv, _ = _inv(spark, sf)
+    return inv.verdicts.select("case_id", "needs_review",
+                               F.array_join("review_reasons", ",").alias("review_reasons"),
+                               "sql_failure_count")
+
+
+@register("review_routing", O.decision_base() + "SELECT case_id, needs_review, review_status FROM verdict2")
+def review_routing(spark, sf):
+    inv, _ = _inv(spark, sf)
+    return inv.verdicts.select("case_id", "needs_review", "review_status")
+
+
+@register("primary_finding", O.decision_base() + """SELECT case_id, primary_finding, confidence,
+  array_to_string(finding_evidence_ids, ',') AS evidence_ids,
+  array_to_string(finding_caveats, ' | ') AS caveats FROM found WHERE dimension IS NOT NULL""")
+def primary_finding(spark, sf):
+    inv, _ = _inv(spark, sf)
+    f = inv.findings.where(F.col("dimension").isNotNull())
+    return f.select("case_id", "primary_finding", "confidence",
+                    F.array_join("finding_evidence_ids", ",").alias("evidence_ids"),
+                    F.array_join("finding_caveats", " | ").alias("caveats"))
+
+
+@register("conclusion_text", O.decision_base() + "SELECT case_id, conclusion FROM found")
+def conclusion_text(spark, sf):
+    inv, _ = _inv(spark, sf)
+    return inv.findings.select("case_id", "conclusion")
+
+
+@register("investigate_all", O.decision_base() + """SELECT c.case_id, f.kpi_name, c.affected_start_date,
+  c.affected_end_date, c.baseline_start, c.baseline_end, f.dimension AS driver_dimension,
+  f.dimension_value AS driver_slice, f.contribution_pct AS driver_contribution_pct,
+  f.percent_change AS driver_percent_change, f.checks_passed, f.confidence, f.needs_review,
+  array_to_string(f.review_reasons, ',') AS review_reasons, f.review_status, f.passes,
+  f.n_support1 * f.passes AS n_supporting, f.primary_finding, f.conclusion
+FROM casesd c JOIN found f ON c.case_id = f.case_id""")
+def investigate_all(spark, sf):
+    """V10 flagship: every incident investigated in one plan."""
+    inv, cases = _inv(spark, sf)
+    return INV.summary(inv, cases)

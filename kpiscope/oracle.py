@@ -582,3 +582,70 @@ from kpiscope.functions.fixed import CAVEAT_SMALL_SAMPLE as CAVEAT_SMALL_SAMPLE_
 
 def decision_base() -> str:
     return with_(STAR, cases_cte(), CALENDAR, cube_cte(), LABEL_CAL, slices_cte(), decision_ctes())
+
+
+# ---------------------------------------------------------------- BM25
+_HWS = r"[ \t\x0B\f\r]"
+
+
+def chunks_cte(source_sql: str) -> str:
+    """source_sql yields (source, value); sections split line by line."""
+    strip = lambda x: regexp_strip(x)
+    return f"""src AS ({source_sql}),
+lines AS (
+  SELECT source, i AS line_no, parts[i] AS line,
+         regexp_matches(parts[i], {q('^#{1,3}' + _HWS + '+[^' + chr(10) + ']')}) AS is_head
+  FROM (SELECT source, string_split(value, chr(10)) AS parts FROM src) t,
+       unnest(range(1, len(parts) + 1)) AS u(i)),
+lines2 AS (
+  SELECT *, sum(CAST(is_head AS INTEGER)) OVER (PARTITION BY source ORDER BY line_no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            - max(CASE WHEN line_no = 1 AND is_head THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS section_no
+  FROM lines),
+chunks AS (
+  SELECT source, CAST(section_no AS BIGINT) AS section_no,
+         coalesce(max(CASE WHEN is_head THEN {strip(f"regexp_extract(line, {q('^#{1,3}' + _HWS + '+(.+)')}, 1)")} END), 'overview') AS section,
+         {strip("string_agg(line, chr(10) ORDER BY line_no)")} AS content
+  FROM lines2 GROUP BY source, section_no
+  HAVING {strip("string_agg(line, chr(10) ORDER BY line_no)")} <> '')"""
+
+
+def regexp_strip(x: str) -> str:
+    return f"regexp_replace({x}, {q('^[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0B' + chr(92) + 'f' + chr(92) + 'r]+|[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0B' + chr(92) + 'f' + chr(92) + 'r]+$')}, '', 'g')"
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9_]+'), lambda t: length(t) > 1)"
+
+
+BM25_CORE = """toks AS (SELECT source, section_no, {tok} AS tk FROM chunks),
+lens AS (SELECT source, section_no, CAST(len(tk) AS BIGINT) AS dl FROM toks),
+tf AS (SELECT source, section_no, term, count(*) AS tf
+       FROM (SELECT source, section_no, unnest(tk) AS term FROM toks) GROUP BY source, section_no, term),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM lens),
+rawidf AS (SELECT term, count(*) AS df,
+                  ln((SELECT CAST(n_docs AS DOUBLE) FROM corpus) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw_idf
+           FROM tf GROUP BY term),
+eps AS (SELECT {eps} * avg(raw_idf) AS eps FROM rawidf),
+idf AS (SELECT term, df, CASE WHEN raw_idf < 0 THEN (SELECT eps FROM eps) ELSE raw_idf END AS idf FROM rawidf),
+qterms AS (SELECT query_id, i AS qpos, qt[i] AS term
+           FROM (SELECT query_id, {qtok} AS qt FROM queries) t, unnest(range(1, len(qt) + 1)) AS u(i)),
+scores AS (
+  SELECT qt.query_id, tf.source, tf.section_no,
+         list_reduce(list(i.idf * (CAST(tf.tf AS DOUBLE) * ({k1} + 1.0) /
+             (CAST(tf.tf AS DOUBLE) + {k1} * (1.0 - {b} + {b} * l.dl / (SELECT avgdl FROM corpus))))
+             ORDER BY qt.qpos), lambda acc, x: acc + x) AS score
+  FROM tf JOIN qterms qt ON tf.term = qt.term JOIN idf i ON tf.term = i.term
+  JOIN lens l ON tf.source = l.source AND tf.section_no = l.section_no
+  GROUP BY qt.query_id, tf.source, tf.section_no),
+topk AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, section_no) AS rk
+                 FROM scores) WHERE rk <= {k} AND score > 0)"""
+
+
+def bm25_sql(queries_sql: str, k: int = 5) -> str:
+    from kpiscope.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1
+    core = BM25_CORE.format(tok=tokens_sql("content"), qtok=tokens_sql("text"), eps=f"CAST({BM25_EPSILON} AS DOUBLE)",
+                            k1=f"CAST({BM25_K1} AS DOUBLE)", b=f"CAST({BM25_B} AS DOUBLE)", k=k)
+    return (with_(chunks_cte("SELECT doc_id AS source, text AS value FROM documents"),
+                  f"queries AS ({queries_sql})", core))

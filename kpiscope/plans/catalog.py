@@ -507,3 +507,72 @@ def investigate_all(spark, sf):
     """V10 flagship: every incident investigated in one plan."""
     inv, cases = _inv(spark, sf)
     return INV.summary(inv, cases)
+
+
+# ----------------------------------------------------------------- T1-T6 retrieval
+from kpiscope.operators import retrieval as RT  # noqa: E402
+
+_BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
+_CASE_Q = ("WITH " + O.cases_cte() +
+           " SELECT case_id AS query_id, concat_ws(' ', kpi_name, description) AS text FROM cases0")
+
+
+def _corpus(spark, sf):
+    return RT.documents_as_chunks(read_table(spark, sf, "documents"))
+
+
+def _bench_queries(spark, sf):
+    return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@register("section_chunks", O.with_(O.chunks_cte("SELECT doc_id AS source, text AS value FROM documents")) +
+          "SELECT source, section_no, section, content FROM chunks")
+def section_chunks(spark, sf):
+    """T1 over every document."""
+    return _corpus(spark, sf)
+
+
+@register("tokenize_docs", O.with_(O.chunks_cte("SELECT doc_id AS source, text AS value FROM documents")) +
+          f"""SELECT source, section_no, CAST(len({O.tokens_sql('content')}) AS BIGINT) AS n_tokens,
+  array_to_string({O.tokens_sql('content')}, ' ') AS tokens FROM chunks""")
+def tokenize_docs(spark, sf):
+    """The whole token sequence of every chunk."""
+    c = _corpus(spark, sf).select("source", "section_no", RT.tokens(F.col("content")).alias("t"))
+    return c.select("source", "section_no", F.size("t").cast("bigint").alias("n_tokens"),
+                    F.array_join("t", " ").alias("tokens"))
+
+
+@register("bm25_idf", O.bm25_sql("SELECT 0 AS query_id, '' AS text") +
+          f"SELECT term, df, {O.round_to('idf', 9)} AS idf FROM idf")
+def bm25_idf(spark, sf):
+    """Document frequency and floored idf of every term."""
+    ix = RT.BM25Index(_corpus(spark, sf))
+    return ix.idf.select("term", "df", RT.round_to("idf", 9).alias("idf"))
+
+
+@register("bm25_scores", O.bm25_sql(_BENCH_Q) +
+          f"SELECT query_id, source, section_no, {O.round_to('score', 6)} AS score FROM scores")
+def bm25_scores(spark, sf):
+    """T4: every benchmark item scored against every chunk sharing a term."""
+    ix = RT.BM25Index(_corpus(spark, sf))
+    s = ix.scores(_bench_queries(spark, sf))
+    return s.select("query_id", "source", "section_no", RT.round_to("score", 6).alias("score"))
+
+
+_TOPK_SELECT = f"""SELECT t.query_id, CAST(t.rk AS BIGINT) AS rank, t.source, t.section_no, c.section,
+  {O.round_to('t.score', 4)} AS relevance_score
+FROM topk t JOIN chunks c ON t.source = c.source AND t.section_no = c.section_no"""
+
+
+@register("bm25_topk", O.bm25_sql(_BENCH_Q) + _TOPK_SELECT)
+def bm25_topk(spark, sf):
+    """T5: top 5 chunks per benchmark item."""
+    return RT.BM25Index(_corpus(spark, sf)).top_k(_bench_queries(spark, sf))
+
+
+@register("case_context", O.bm25_sql(_CASE_Q) + _TOPK_SELECT)
+def case_context(spark, sf):
+    """Context retrieval for every incident (KPI name + description)."""
+    q = B.incidents(spark).select(F.col("case_id").alias("query_id"),
+                                  F.concat_ws(" ", "kpi_name", "description").alias("text"))
+    return RT.BM25Index(_corpus(spark, sf)).top_k(q)

@@ -26,6 +26,7 @@ from kpiscope.operators import decide as D
 from kpiscope.operators import rollups as RU
 from kpiscope.operators.compare import TOTAL
 from kpiscope.operators.windows import with_baseline
+from kpiscope.session import materialize
 
 
 @dataclass
@@ -58,8 +59,15 @@ def run_log(cube: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def investigate(cube: DataFrame, cases: DataFrame, mode: str = "raw",
-                auto_approve: bool = True, elapsed: DataFrame | None = None) -> Investigation:
+                auto_approve: bool = True, elapsed: DataFrame | None = None,
+                materialized: bool = True) -> Investigation:
+    """``materialized`` writes the daily cube and the slice table once to the
+    shared checkpoint folder; every later branch reads those small tables."""
+    if materialized:
+        cube = materialize(cube, "daily_cube")
     slices = C.slice_compare(cube, cases, mode=mode)
+    if materialized:
+        slices = materialize(slices, "slices")
     stats = C.contribution_stats(slices)
     conc1 = C.concentration(slices, 1)
     flags = C.small_sample_flags(slices)

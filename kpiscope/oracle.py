@@ -649,3 +649,77 @@ def bm25_sql(queries_sql: str, k: int = 5) -> str:
                             k1=f"CAST({BM25_K1} AS DOUBLE)", b=f"CAST({BM25_B} AS DOUBLE)", k=k)
     return (with_(chunks_cte("SELECT doc_id AS source, text AS value FROM documents"),
                   f"queries AS ({queries_sql})", core))
+
+
+# ---------------------------------------------------------------- evaluation
+from kpiscope.functions.fixed import STOP_WORDS, SUFFIXES  # noqa: E402
+
+SUFFIX_RE = "^(.{3,}?)(" + "|".join(SUFFIXES) + ")$"
+
+
+def cause_tokens_sql(x: str) -> str:
+    words = f"list_distinct(regexp_extract_all(regexp_replace(lower({x}), '[_-]', ' ', 'g'), '[a-z]+'))"
+    kept = f"list_filter({words}, lambda w: length(w) > 2 AND NOT list_contains({sql_list(STOP_WORDS)}, w))"
+    stemmed = f"list_transform({kept}, lambda w: regexp_replace(w, {q(SUFFIX_RE)}, '\\1'))"
+    return f"list_sort(list_distinct({stemmed}))"
+
+
+def cause_hit_sql(pred: str, exp: str) -> str:
+    e, p = cause_tokens_sql(exp), cause_tokens_sql(pred)
+    return (f"coalesce(CASE WHEN len({e}) > 0 THEN CAST(len(list_intersect({p}, {e})) AS DOUBLE) "
+            f"/ CAST(len({e}) AS DOUBLE) END >= 0.25, FALSE)")
+
+
+GRADES = f"""grades AS (
+  SELECT f.case_id,
+    (f.primary_finding IS NOT NULL AND {cause_hit_sql('f.primary_finding', 'c.expected_primary_cause')})
+      OR {cause_hit_sql("coalesce(f.conclusion, '')", 'c.expected_primary_cause')} AS primary_cause_hit,
+    CASE WHEN f.n_sql > 0 THEN CAST(f.n_sql_ok AS DOUBLE) / CAST(f.n_sql AS DOUBLE) ELSE 0.0 END AS sql_success_rate,
+    f.n_support1 * f.passes >= 2 AS evidence_sufficient,
+    CAST(0 AS BIGINT) AS unsupported_claim_count,
+    f.review_status <> 'not_required' AS human_review_triggered,
+    f.elapsed_seconds AS runtime_seconds,
+    substring(CASE WHEN f.primary_finding IS NOT NULL THEN f.primary_finding
+                   WHEN {cause_hit_sql("coalesce(f.conclusion, '')", 'c.expected_primary_cause')} THEN substring(f.conclusion, 1, 200)
+                   ELSE '' END, 1, 500) AS predicted_primary_cause,
+    f.confidence
+  FROM found f JOIN casesd c ON f.case_id = c.case_id)"""
+
+
+# ---------------------------------------------------------------- calendar / scenario
+def scenario_sql() -> str:
+    from kpiscope.operators.calendar import ADJUSTMENTS, HOLIDAY_VOLUME, NEUTRAL
+    rules = ", ".join(f"('{t}', '{qq}', '{op}', '{src}')" for t, adj in ADJUSTMENTS.items()
+                      for qq, op, src in adj)
+    dims = ["channel", "region", "category", "payment_type", "campaign"]
+    cond = " AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in dims)
+    aggs = []
+    for qq, neutral in NEUTRAL.items():
+        base = f"max(CASE WHEN qty = '{qq}' AND op = 'set' AND case_id = {qq}_set_case THEN value END)"
+        start = f"coalesce({base}, CAST({neutral} AS DOUBLE))"
+        after = f"({qq}_set_case IS NULL OR case_id > {qq}_set_case)"
+        if qq == "drop":
+            mx = f"max(CASE WHEN qty = '{qq}' AND op = 'max' AND {after} THEN value END)"
+            aggs.append(f"greatest({start}, coalesce({mx}, {start})) AS {qq}")
+        else:
+            mul = f"product(CASE WHEN qty = '{qq}' AND op = 'mul' AND {after} THEN value END)"
+            aggs.append(f"{start} * coalesce({mul}, CAST(1.0 AS DOUBLE)) AS {qq}")
+    set_cols = ", ".join(f"max(CASE WHEN qty = '{qq}' AND op = 'set' THEN case_id END) OVER (PARTITION BY order_id) "
+                         f"AS {qq}_set_case" for qq in NEUTRAL)
+    return f"""rules(typ, qty, op, src) AS (VALUES {rules}),
+tagged AS (
+  SELECT c.case_id, c.i_type AS injection_type, o.order_id, o.order_date, o.order_total,
+         c.i_factor AS factor, c.i_volume_factor AS volume_factor, c.i_price_factor AS price_factor
+  FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.affected_end_date
+  WHERE {cond}),
+adjrows AS (
+  SELECT t.order_id, t.order_date, t.order_total, t.case_id, r.qty, r.op,
+         CASE r.src WHEN 'factor' THEN t.factor WHEN 'one_minus_factor' THEN 1.0 - t.factor
+              WHEN 'volume_factor' THEN t.volume_factor WHEN 'price_factor' THEN t.price_factor
+              ELSE CAST({HOLIDAY_VOLUME} AS DOUBLE) END AS value
+  FROM tagged t JOIN rules r ON r.typ = t.injection_type),
+adjrows2 AS (SELECT *, {set_cols} FROM adjrows),
+adj AS (
+  SELECT order_id, any_value(order_date) AS order_date, any_value(order_total) AS order_total,
+         {", ".join(aggs)}
+  FROM adjrows2 GROUP BY order_id)"""

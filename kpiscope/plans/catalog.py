@@ -576,3 +576,105 @@ def case_context(spark, sf):
     q = B.incidents(spark).select(F.col("case_id").alias("query_id"),
                                   F.concat_ws(" ", "kpi_name", "description").alias("text"))
     return RT.BM25Index(_corpus(spark, sf)).top_k(q)
+
+
+# ----------------------------------------------------------------- E0-E3 evaluation
+from kpiscope.operators import evaluate as EV  # noqa: E402
+
+
+@register("cause_tokens", f"""SELECT doc_id, array_to_string({O.cause_tokens_sql('text')}, ' ') AS tokens,
+  CAST(len({O.cause_tokens_sql('text')}) AS BIGINT) AS n_tokens FROM documents""")
+def cause_tokens(spark, sf):
+    """E0 over every document text."""
+    d = read_table(spark, sf, "documents").select("doc_id", EV.cause_tokens(F.col("text")).alias("t"))
+    return d.select("doc_id", F.array_join("t", " ").alias("tokens"),
+                    F.size("t").cast("bigint").alias("n_tokens"))
+
+
+def _grades(spark, sf):
+    inv, cases = _inv(spark, sf)
+    return EV.grade_cases(inv.findings, cases), cases, inv
+
+
+@register("cause_hit", O.decision_base() + f""", hits AS (
+  SELECT f.case_id, f.primary_finding, c.expected_primary_cause,
+    CASE WHEN len({O.cause_tokens_sql('c.expected_primary_cause')}) > 0 THEN
+      CAST(len(list_intersect({O.cause_tokens_sql('f.primary_finding')}, {O.cause_tokens_sql('c.expected_primary_cause')})) AS DOUBLE)
+      / CAST(len({O.cause_tokens_sql('c.expected_primary_cause')}) AS DOUBLE) END AS overlap_ratio
+  FROM found f JOIN casesd c ON f.case_id = c.case_id WHERE f.primary_finding IS NOT NULL)
+SELECT *, coalesce(overlap_ratio >= 0.25, FALSE) AS hit FROM hits""".replace("WITH ", "WITH ", 1))
+def cause_hit(spark, sf):
+    """Overlap of the predicted cause's words with the expected cause's."""
+    inv, cases = _inv(spark, sf)
+    f = inv.findings.where(F.col("primary_finding").isNotNull()).join(
+        cases.select("case_id", "expected_primary_cause"), "case_id")
+    ratio = EV.hit_ratio(EV.cause_tokens(F.col("primary_finding")), EV.cause_tokens(F.col("expected_primary_cause")))
+    return f.select("case_id", "primary_finding", "expected_primary_cause", ratio.alias("overlap_ratio"),
+                    F.coalesce(ratio >= 0.25, F.lit(False)).alias("hit"))
+
+
+@register("grade_cases", O.decision_base() + ", " + O.GRADES + """
+SELECT case_id, primary_cause_hit, primary_cause_hit AS top_k_hit, sql_success_rate, evidence_sufficient,
+  unsupported_claim_count, human_review_triggered, runtime_seconds, predicted_primary_cause, confidence
+FROM grades""")
+def grade_cases(spark, sf):
+    g, _, _ = _grades(spark, sf)
+    return g
+
+
+@register("eval_summary", O.decision_base() + ", " + O.GRADES + """
+SELECT count(*) AS total_cases,
+  coalesce(avg(CAST(primary_cause_hit AS DOUBLE)), 0.0) AS primary_hit_rate,
+  coalesce(avg(CAST(primary_cause_hit AS DOUBLE)), 0.0) AS top_k_hit_rate,
+  coalesce(avg(sql_success_rate), 0.0) AS avg_sql_success_rate,
+  coalesce(avg(CAST(evidence_sufficient AS DOUBLE)), 0.0) AS evidence_sufficiency_rate,
+  coalesce(avg(CAST(unsupported_claim_count AS DOUBLE)), 0.0) AS avg_unsupported_claims,
+  coalesce(avg(CAST(human_review_triggered AS DOUBLE)), 0.0) AS human_review_trigger_rate,
+  coalesce(avg(runtime_seconds), 0.0) AS avg_runtime_seconds
+FROM grades""")
+def eval_summary(spark, sf):
+    g, _, _ = _grades(spark, sf)
+    return EV.eval_summary(g)
+
+
+@register("eval_per_case", O.decision_base() + ", " + O.GRADES + """
+SELECT g.case_id, coalesce(c.kpi_name, '?') AS kpi, CASE WHEN g.primary_cause_hit THEN 'Y' ELSE 'N' END AS primary_hit,
+  g.sql_success_rate, CASE WHEN g.evidence_sufficient THEN 'Y' ELSE 'N' END AS evidence, g.confidence,
+  g.runtime_seconds
+FROM grades g LEFT JOIN casesd c ON g.case_id = c.case_id""")
+def eval_per_case(spark, sf):
+    """E3 detail rows with the J4 lookup of the KPI."""
+    g, cases, _ = _grades(spark, sf)
+    return EV.per_case_rows(g, cases)
+
+
+# ----------------------------------------------------------------- C2, C3, J5
+from kpiscope.operators import calendar as CAL  # noqa: E402
+from kpiscope.operators.windows import incident_tagging as _tagging  # noqa: E402
+
+
+@register("seasonal_adjusted_volume", O.with_(O.STAR) + f"""SELECT order_date, count(*) AS n_orders,
+  {O.seasonal_sql('order_date')} AS seasonal_index,
+  {O.round2('CAST(count(*) AS DOUBLE) / ' + O.seasonal_sql('order_date'))} AS adjusted_orders
+FROM canon GROUP BY order_date""")
+def seasonal_adjusted_volume(spark, sf):
+    return CAL.seasonal_adjusted_volume(B.fact(spark, sf))
+
+
+@register("incident_tagging", O.with_(O.STAR, O.cases_cte()) + f"""SELECT c.case_id, c.i_type AS injection_type,
+  o.order_id, o.order_date, o.channel, o.region, o.category, o.payment_type, o.campaign, o.order_total
+FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.affected_end_date
+WHERE {" AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in ["channel", "region", "category", "payment_type", "campaign"])}""")
+def incident_tagging(spark, sf):
+    """Orders inside each incident window matching its slice predicate."""
+    return _tagging(B.fact(spark, sf), B.incidents(spark))
+
+
+@register("scenario_whatif", O.with_(O.STAR, O.cases_cte(), O.scenario_sql()) + f"""SELECT order_date,
+  count(*) AS tagged_orders, {O.money('sum(' + O.cents('order_total') + ')')} AS base_gmv,
+  CAST(sum(CAST(round(volume * (1.0 - "drop") * 1e6) AS BIGINT)) AS DOUBLE) / 1e6 AS expected_orders,
+  {O.money('sum(' + O.cents('order_total * price * (volume * (1.0 - "drop"))') + ')')} AS expected_gmv
+FROM adj GROUP BY order_date""")
+def scenario_whatif(spark, sf):
+    """Expected GMV and volume under the incidents' adjustments."""
+    return CAL.scenario_whatif(B.fact(spark, sf), B.incidents(spark))

@@ -678,3 +678,194 @@ FROM adj GROUP BY order_date""")
 def scenario_whatif(spark, sf):
     """Expected GMV and volume under the incidents' adjustments."""
     return CAL.scenario_whatif(B.fact(spark, sf), B.incidents(spark))
+
+
+# ----------------------------------------------------------------- DQ1-DQ3
+from kpiscope.operators import quality as QA  # noqa: E402
+
+_STATUSES = ["completed", "cancelled", "pending", "refunded"]
+
+
+def _star(spark, sf):
+    o = B.fact(spark, sf)
+    return {"orders": o, "refunds": SB.refunds(spark, sf), "payments": SB.payments(spark, sf),
+            "order_items": SB.order_items(spark, sf), "products": SB.products(spark, sf),
+            "customers": SB.customers(spark, sf)}
+
+
+_PK = [("orders", "canon", "order_id"), ("order_items", "order_items", "item_id"),
+       ("products", "products", "product_id"), ("customers", "cust", "customer_id"),
+       ("payments", "payments", "payment_id"), ("refunds", "refunds", "refund_id"),
+       ("channels", "(SELECT DISTINCT channel FROM canon)", "channel"),
+       ("regions", "(SELECT DISTINCT region FROM canon)", "region"),
+       ("campaigns", "(SELECT DISTINCT campaign FROM canon)", "campaign")]
+
+
+@register("dq_pk", O.with_(O.FULL_STAR) + "\nUNION ALL\n".join(
+    f"""SELECT '{n}' AS table_name, '{k}' AS key_column, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_rows,
+  count(*) AS n_keys, count_if(c > 1) AS n_duplicate_keys, count_if(k IS NULL) AS n_null_keys
+FROM (SELECT {k} AS k, count(*) AS c FROM {src} GROUP BY {k})""" for n, src, k in _PK))
+def dq_pk(spark, sf):
+    """DQ1: primary-key uniqueness of the star tables (dimension tables keyed by name)."""
+    t = _star(spark, sf)
+    o = t["orders"]
+    tables = {"orders": (o, "order_id"), "order_items": (t["order_items"], "item_id"),
+              "products": (t["products"], "product_id"),
+              "customers": (SB.customer_dims(spark, sf), "customer_id"),
+              "payments": (t["payments"], "payment_id"), "refunds": (t["refunds"], "refund_id"),
+              "channels": (o.select("channel").distinct(), "channel"),
+              "regions": (o.select("region").distinct(), "region"),
+              "campaigns": (o.select("campaign").distinct(), "campaign")}
+    return QA.pk_uniqueness(tables)
+
+
+@register("dq_rules", O.with_(O.FULL_STAR) + """SELECT rule, n_violations FROM (
+  SELECT 'refund_exceeds_order_total' AS rule, CAST(count_if(r.refund_amount > o.order_total) AS BIGINT) AS n_violations
+  FROM refunds r LEFT JOIN canon o ON r.order_id = o.order_id
+  UNION ALL SELECT 'refund_outside_1_14_days', CAST(count_if(NOT ((r.refund_date - o.order_date) BETWEEN 1 AND 14)) AS BIGINT)
+  FROM refunds r LEFT JOIN canon o ON r.order_id = o.order_id
+  UNION ALL SELECT 'refund_reason_out_of_domain', CAST(count_if(NOT (r.reason IN ('O', 'F'))) AS BIGINT)
+  FROM refunds r LEFT JOIN canon o ON r.order_id = o.order_id
+  UNION ALL SELECT 'order_status_out_of_domain',
+    CAST(count_if(NOT (order_status IN ('completed', 'cancelled', 'pending', 'refunded'))) AS BIGINT) FROM canon
+  UNION ALL SELECT 'orders_with_multiple_payments', CAST(count_if(n > 1) AS BIGINT)
+  FROM (SELECT order_id, count(*) AS n FROM payments GROUP BY order_id)
+  UNION ALL SELECT 'payment_status_out_of_domain',
+    CAST(count_if(NOT (payment_status IN ('completed', 'failed', 'pending'))) AS BIGINT) FROM payments)""")
+def dq_rules(spark, sf):
+    """DQ2: business-rule violations."""
+    t = _star(spark, sf)
+    return QA.rule_violations(t["orders"], t["refunds"], t["payments"], ["O", "F"], _STATUSES)
+
+
+_ORPHANS = [("orders_customer", "canon", "customer_id", "cust", "customer_id"),
+            ("order_items_order", "order_items", "order_id", "canon", "order_id"),
+            ("order_items_product", "order_items", "product_id", "products", "product_id"),
+            ("payments_order", "payments", "order_id", "canon", "order_id"),
+            ("refunds_order", "refunds", "order_id", "canon", "order_id")]
+
+
+@register("dq_orphans", O.with_(O.FULL_STAR) + "\nUNION ALL\n".join(
+    f"""SELECT '{r}' AS rule, count(*) AS n_orphans FROM {c} ch
+WHERE ch.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} pa WHERE pa.{pk} = ch.{fk})"""
+    for r, c, fk, p, pk in _ORPHANS))
+def dq_orphans(spark, sf):
+    """DQ3: foreign keys without a parent row."""
+    t = _star(spark, sf)
+    frames = {"canon": t["orders"], "order_items": t["order_items"], "products": t["products"],
+              "cust": SB.customer_dims(spark, sf), "payments": t["payments"], "refunds": t["refunds"]}
+    return QA.orphans({r: (frames[c], fk, frames[p], pk) for r, c, fk, p, pk in _ORPHANS})
+
+
+# ----------------------------------------------------------------- sinks, SQL entry
+from kpiscope.sources import sinks as SK  # noqa: E402
+
+
+@register("sink_full_refresh", O.with_(O.STAR) + "SELECT * FROM canon")
+def sink_full_refresh(spark, sf):
+    """Full-refresh Parquet write of the canonical orders, read back."""
+    return SK.full_refresh_parquet(B.fact(spark, sf), SK.scratch_path(spark, "orders"), "order_date")
+
+
+@register("sink_results_json", O.decision_base() + ", " + O.GRADES + """
+SELECT case_id, primary_cause_hit, primary_cause_hit AS top_k_hit, sql_success_rate, evidence_sufficient,
+  unsupported_claim_count, human_review_triggered, runtime_seconds, predicted_primary_cause, confidence
+FROM grades""")
+def sink_results_json(spark, sf):
+    """Per-case grades written as JSON and read back."""
+    g, _, _ = _grades(spark, sf)
+    return SK.json_round_trip(g, SK.scratch_path(spark, "grades"))
+
+
+_CAPPED_SQL = ("SELECT order_id, order_date, channel, order_total FROM fact_orders_enriched "
+               "WHERE NOT is_cancelled ORDER BY order_total DESC, order_id")
+
+
+@register("capped_query", O.with_(O.FULL_STAR, O.ENRICHED) +
+          "SELECT order_id, order_date, channel, order_total FROM enriched WHERE NOT is_cancelled "
+          "ORDER BY order_total DESC, order_id LIMIT 10000")
+def capped_query(spark, sf):
+    """S10 + S11 + O3: register the views, validate an analyst query, run it
+    with the row cap appended."""
+    V.register_views(spark, sf)
+    df, errors, _ = SK.run_sql(spark, _CAPPED_SQL)
+    if df is None:
+        raise ValueError("; ".join(errors))
+    return df
+
+
+# ----------------------------------------------------------------- P3, P7, J3, V11
+from kpiscope.operators.windows import join_calendar as _join_cal  # noqa: E402
+
+_SUBSET = ["INC-001", "INC-004", "INC-008"]
+
+
+@register("window_filter", O.with_(O.STAR, O.cases_cte()) + f"""SELECT c.case_id, count(*) AS n_orders,
+  {O.money('sum(' + O.cents('o.order_total') + ')')} AS gmv, min(o.order_date) AS first_day, max(o.order_date) AS last_day
+FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.affected_end_date
+GROUP BY c.case_id""")
+def window_filter(spark, sf):
+    """Orders inside each anomaly window (inclusive), via the day calendar."""
+    cases = B.incidents(spark)
+    cal = (cases.select("case_id", F.explode(F.sequence("affected_start_date", "affected_end_date"))
+                        .alias("order_date")))
+    j = _join_cal(B.fact(spark, sf), cal, cases)
+    return j.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_orders"),
+        RU.cents_to_money(F.sum(RU.to_cents("order_total"))).alias("gmv"),
+        F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"))
+
+
+@register("case_subset", _BEST_SQL.replace("WHERE r = 1", "WHERE r = 1 AND case_id IN (" +
+                                           ", ".join(f"'{c}'" for c in _SUBSET) + ")"))
+def case_subset(spark, sf):
+    """Investigate only the requested incidents (semi join on ids)."""
+    from kpiscope.sources.cases import DEFAULT_CASES
+    chosen = [c for c in DEFAULT_CASES if c["case_id"] in _SUBSET]
+    ids = spark.createDataFrame([(c,) for c in _SUBSET], "case_id string")
+    cases = B.incidents(spark, chosen).join(F.broadcast(ids), "case_id", "left_semi")
+    return C.best_driver(C.slice_compare(B.cube(spark, sf, chosen), cases))
+
+
+@register("slice_full_outer", O.slice_base() + """SELECT case_id, dimension, slice,
+  CAST(coalesce(bl_n, 0) AS BIGINT) AS baseline_orders, CAST(coalesce(an_n, 0) AS BIGINT) AS anomaly_orders
+FROM (SELECT case_id, dimension, slice,
+             sum(CASE WHEN win = 'baseline' THEN n_rows END) AS bl_n,
+             sum(CASE WHEN win = 'anomaly' THEN n_rows END) AS an_n
+      FROM (SELECT c.case_id, c.win, cb.dimension, cb.slice, cb.n_rows
+            FROM cube cb JOIN cal c ON cb.order_date = c.order_date WHERE cb.dimension <> '__total__')
+      GROUP BY case_id, dimension, slice)""")
+def slice_full_outer(spark, sf):
+    """Baseline and anomaly slice counts aligned with a full outer join
+    (a slice missing on one side counts 0)."""
+    from kpiscope.operators.windows import window_calendar
+    cases = B.incidents(spark)
+    cube = B.cube(spark, sf).where(F.col("dimension") != C.TOTAL)
+    j = _join_cal(cube, window_calendar(cases), cases)
+    keys = ["case_id", "dimension", "slice"]
+    bl = j.where(F.col("window") == "baseline").groupBy(*keys).agg(F.sum("n_rows").alias("bl_n"))
+    an = j.where(F.col("window") == "anomaly").groupBy(*keys).agg(F.sum("n_rows").alias("an_n"))
+    return bl.join(an, keys, "full_outer").select(
+        *keys, F.coalesce("bl_n", F.lit(0)).cast("bigint").alias("baseline_orders"),
+        F.coalesce("an_n", F.lit(0)).cast("bigint").alias("anomaly_orders"))
+
+
+@register("investigation_record")
+def investigation_record(spark, sf):
+    """One nested record per incident (windows, finding, checks, review)."""
+    inv, cases = _inv(spark, sf)
+    checks = (inv.checks.groupBy("case_id")
+                 .agg(F.sort_array(F.collect_list(F.struct("check_no", "check_name", "passed", "detail")))
+                      .alias("checks")))
+    from kpiscope.operators.windows import with_baseline as _wb
+    c = _wb(cases).select("case_id", "affected_start_date", "affected_end_date", "baseline_start", "baseline_end")
+    f = inv.findings.join(checks, "case_id").join(c, "case_id")
+    return f.select(
+        "case_id", "kpi_name",
+        F.struct("affected_start_date", "affected_end_date", "baseline_start", "baseline_end").alias("windows"),
+        F.struct(F.col("primary_finding").alias("description"), "confidence",
+                 F.col("finding_evidence_ids").alias("evidence_ids"),
+                 F.col("finding_caveats").alias("caveats")).alias("finding"),
+        "conclusion",
+        F.struct("overall_supported", "checks").alias("verification"),
+        F.struct("needs_review", "review_reasons", "review_status").alias("review"))

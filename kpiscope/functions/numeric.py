@@ -7,6 +7,7 @@ zero decimals is the same in Spark and in C-style engines, while Spark's
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +49,29 @@ def _no_negative_zero(c: Column) -> Column:
     return F.when(c == 0, F.lit(0.0)).otherwise(c)
 
 
+_FORMATTERS: dict = {}
+
+
+def _formatter(spec: str):
+    """Arrow-batched Python formatting with one format spec.
+
+    Python (like C printf) rounds the exact binary value with ties to even:
+    f"{112.35:.1f}" is '112.3' because the double lies below 112.35. The JVM
+    formats from the shortest decimal text and gives '112.4'. No built-in
+    reproduces the former, so this small helper formats the few display
+    values (a handful per incident and dimension)."""
+    if spec not in _FORMATTERS:
+        @F.pandas_udf("string")
+        def fmt(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: None if x is None or x != x else format(float(x), spec))
+
+        _FORMATTERS[spec] = fmt
+    return _FORMATTERS[spec]
+
+
 def fmt_fixed(c, digits: int = 1, sign: bool = False) -> Column:
-    """printf-style '%.{d}f' (or '%+.{d}f') of a value first rounded to d digits."""
-    pattern = ("%+" if sign else "%") + f".{digits}f"
-    return F.format_string(pattern, _no_negative_zero(round_to(c, digits)))
+    """Text of a number as Python's '{:.{d}f}' (or '{:+.{d}f}') prints it."""
+    return _formatter(("+" if sign else "") + f".{digits}f")(col_(c).cast("double"))
 
 
 def fmt_short(c) -> Column:

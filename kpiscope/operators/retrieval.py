@@ -6,11 +6,13 @@ Plan::
     chunks --tokenize--> explode --> HashAggregate (chunk, term) = tf      T2
     tf --> HashAggregate (term) = df --> idf; corpus scalars N, avgdl,     T3
           mean idf: one small aggregate
-    queries --tokenize--> (query, position, term), broadcast after a size check
-    postings JOIN query terms ON term: only postings of query terms are    T4
+    postings JOIN idf JOIN lengths --> per-posting impact (query-free),
+          an integer of 1e-9, materialized once
+    queries --tokenize--> (query, term, qtf), broadcast after a size check
+    impacts JOIN query terms ON term: only postings of query terms are     T4
           scored; a term present in every chunk meets a broadcast side, so
           it never becomes a hot shuffle key
-    --> aggregate (query, chunk): contributions summed in query-token order
+    --> HashAggregate (query, chunk) = exact integer sum of qtf x impact
     --> row_number per query with a group limit (partial top-k before the  T5
           shuffle), score > 0, rounded to 4 decimals
 
@@ -46,26 +48,27 @@ def section_chunks(docs: DataFrame, id_col: str = "source", text_col: str = "val
     """Markdown sections. A line '#', '##' or '###' + blank + text opens a
     section (its heading line belongs to it); text before the first heading is
     'overview'; content is stripped; empty sections are dropped."""
+    text = F.col(text_col)
+    # a text without '#' cannot hold a heading: skip the regex split for it
+    pieces = F.when(F.instr(text, "#") > 0, F.split(text, HEADING_SPLIT_RE)).otherwise(F.array(text))
     parts = docs.select(F.col(id_col).alias("source"),
-                        F.posexplode(F.split(F.col(text_col), HEADING_SPLIT_RE)).alias("section_no", "part"))
+                        F.posexplode(pieces).alias("section_no", "part"))
+    is_head = F.col("part").startswith("#") & F.col("part").rlike(HEADING_RE)
     head = F.regexp_extract(F.col("part"), HEADING_RE, 1)
-    is_head = F.col("part").rlike(HEADING_RE)
-    content = F.regexp_replace(F.col("part"), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    name = F.when(is_head, F.regexp_replace(head, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")) \
-            .otherwise(F.lit("overview"))
+    ws = F.lit(" \t\n\x0b\f\r")
+    content = F.btrim(F.col("part"), ws)
+    name = F.when(is_head, F.btrim(head, ws)).otherwise(F.lit("overview"))
     return (parts.select("source", F.col("section_no").cast("bigint").alias("section_no"),
                          name.alias("section"), content.alias("content"))
                  .where(F.col("content") != ""))
 
 
-def postings(chunks: DataFrame, key_cols=("source", "section_no")) -> tuple[DataFrame, DataFrame]:
-    """Term frequencies per chunk and the chunk lengths."""
+def postings(chunks: DataFrame, key_cols=("source", "section_no")) -> DataFrame:
+    """(chunk, term, tf) from one tokenization pass; a chunk without tokens
+    keeps one row with a NULL term so it still counts in N and avgdl."""
     keys = list(key_cols)
-    tok = chunks.select(*keys, tokens(F.col("content")).alias("toks"))
-    lengths = tok.select(*keys, F.size("toks").cast("bigint").alias("dl"))
-    tf = (tok.select(*keys, F.explode("toks").alias("term"))
-             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
-    return tf, lengths
+    tok = chunks.select(*keys, F.explode_outer(tokens(F.col("content"))).alias("term"))
+    return tok.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
 
 
 def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
@@ -75,61 +78,69 @@ def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
     return df_.withColumn("raw_idf", idf)
 
 
-def corpus_stats(lengths: DataFrame, idf: DataFrame) -> dict:
-    """Corpus scalars (N, avgdl, mean idf): one small aggregate each."""
-    row = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
-    n, total = int(row["n"]), int(row["total"] or 0)
-    irow = idf.agg(F.avg("raw_idf").alias("mean_idf")).first()
-    mean_idf = float(irow["mean_idf"]) if irow["mean_idf"] is not None else 0.0
-    return {"n_docs": n, "avgdl": (total / n) if n else 0.0, "eps": BM25_EPSILON * mean_idf}
-
-
 def final_idf(idf: DataFrame, eps: float) -> DataFrame:
     return idf.withColumn("idf", F.when(F.col("raw_idf") < 0, F.lit(eps)).otherwise(F.col("raw_idf")))
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, qpos, term): every query token with its position; a term
-    repeated in the query contributes once per occurrence."""
-    return queries.select(F.col(id_col).alias("query_id"),
-                          F.posexplode(tokens(F.col(text_col))).alias("qpos", "term"))
+    """(query_id, term, qtf): a term repeated in the query counts repeatedly."""
+    return (queries.select(F.col(id_col).alias("query_id"),
+                           F.explode(tokens(F.col(text_col))).alias("term"))
+                   .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
+SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
 
 
 class BM25Index:
-    """Postings, lengths and idf of a chunked corpus (built lazily, scalars eager)."""
+    """Impact index of a chunked corpus.
+
+    Built once: postings with tf, chunk lengths, idf, and per posting the
+    query-independent impact idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))
+    stored as an integer multiple of 1e-9. A query's score is the sum of its
+    terms' impacts (times their repeat count): an exact integer sum, so equal
+    chunks tie exactly whatever the summation order. Postings, lengths and
+    idf are materialized in the shared checkpoint folder.
+    """
 
     def __init__(self, chunks: DataFrame, key_cols=("source", "section_no"),
-                 k1: float = BM25_K1, b: float = BM25_B):
+                 k1: float = BM25_K1, b: float = BM25_B, materialized: bool = True):
+        from kpiscope.session import materialize
+
         self.keys = list(key_cols)
         self.chunks = chunks
-        self.tf, self.lengths = postings(chunks, self.keys)
-        n = self.lengths.count()
-        raw = idf_table(self.tf, n)
-        stats = corpus_stats(self.lengths, raw)
-        self.n_docs, self.avgdl, self.eps = stats["n_docs"], stats["avgdl"], stats["eps"]
+        keep = materialize if materialized else (lambda df, _name: df)
+        tf_all = keep(postings(chunks, self.keys), "bm25_postings")
+        self.lengths = keep(tf_all.groupBy(*self.keys).agg(F.sum("tf").cast("bigint").alias("dl")),
+                            "bm25_lengths")
+        self.tf = tf_all.where(F.col("term").isNotNull())
+        row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
+        self.n_docs, total = int(row["n"]), int(row["total"] or 0)
+        self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
+        raw = keep(idf_table(self.tf, self.n_docs), "bm25_idf")
+        mean_idf = raw.agg(F.avg("raw_idf").alias("m")).first()["m"]
+        self.eps = BM25_EPSILON * float(mean_idf) if mean_idf is not None else 0.0
         self.idf = final_idf(raw, self.eps)
         self.k1, self.b = k1, b
+        kk1, bb = F.lit(k1), F.lit(b)
+        avgdl = F.lit(self.avgdl if self.avgdl else 1.0)
+        t = F.col("tf").cast("double")
+        norm = t * (kk1 + F.lit(1.0)) / (t + kk1 * (F.lit(1.0) - bb + bb * F.col("dl") / avgdl))
+        imp = (self.tf.join(self.idf.select("term", "idf"), "term").join(self.lengths, self.keys)
+                      .select(*self.keys, "term",
+                              F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint").alias("impact")))
+        self.impacts = keep(imp, "bm25_impacts")
 
     def scores(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-        """T4: score of every chunk that shares a term with the query (others
-        score 0 and can never rank above a positive score)."""
+        """T4: score of every chunk sharing a term with the query (others score
+        0 and never rank above a positive score). The query-term side is
+        broadcast after a size check; a term in every chunk is then no hot key."""
         qt = query_terms(queries, id_col, text_col)
-        n_qt = qt.count()
-        side = F.broadcast(qt) if n_qt <= BROADCAST_QUERY_TERMS else qt
-        hits = self.tf.join(side, "term").join(self.idf.select("term", "idf"), "term")
-        hits = hits.join(self.lengths, self.keys)
-        k1, b = F.lit(self.k1), F.lit(self.b)
-        avgdl = F.lit(self.avgdl if self.avgdl else 1.0)
-        tf = F.col("tf").cast("double")
-        norm = tf * (k1 + F.lit(1.0)) / (tf + k1 * (F.lit(1.0) - b + b * F.col("dl") / avgdl))
-        hits = hits.select("query_id", *self.keys, "qpos", (F.col("idf") * norm).alias("contrib"))
-        # Contributions are added in query-token order, as a per-token vector
-        # sum does: identical chunks then get bit-identical scores and tie.
-        # The array per (query, chunk) is bounded by the query's length.
-        g = hits.groupBy("query_id", *self.keys).agg(
-            F.sort_array(F.collect_list(F.struct("qpos", "contrib"))).alias("parts"))
-        return g.select("query_id", *self.keys,
-                        F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["contrib"]).alias("score"))
+        side = F.broadcast(qt) if qt.count() <= BROADCAST_QUERY_TERMS else qt
+        hits = self.impacts.join(side, "term")
+        return (hits.groupBy("query_id", *self.keys)
+                    .agg((F.sum(F.col("qtf") * F.col("impact")).cast("double") / F.lit(SCORE_SCALE))
+                         .alias("score")))
 
     def top_k(self, queries: DataFrame, k: int = RETRIEVAL_TOP_K, id_col: str = "query_id",
               text_col: str = "text") -> DataFrame:
@@ -144,8 +155,11 @@ class BM25Index:
 
 
 def documents_as_chunks(docs: DataFrame) -> DataFrame:
-    """The documents table as a corpus: one source per document."""
-    return section_chunks(docs.select(F.col("doc_id").alias("source"), F.col("text").alias("value")))
+    """The documents table as a corpus: one source per document. Text work is
+    per row, so the scan is spread over all cores when it is a single file."""
+    from kpiscope.session import spread
+
+    return section_chunks(spread(docs.select(F.col("doc_id").alias("source"), F.col("text").alias("value"))))
 
 
 def idf_value(n_docs: int, df: int) -> float:

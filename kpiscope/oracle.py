@@ -38,8 +38,9 @@ def no_neg_zero(x: str) -> str:
 
 
 def fmt_fixed(x: str, d: int = 1, sign: bool = False) -> str:
+    """printf rounds the exact binary value, ties to even (as Python does)."""
     pat = ("%+" if sign else "%") + f".{d}f"
-    return f"printf('{pat}', {no_neg_zero(round_to(x, d))})"
+    return f"printf('{pat}', CAST({x} AS DOUBLE))"
 
 
 def fmt_short(x: str) -> str:
@@ -628,16 +629,19 @@ rawidf AS (SELECT term, count(*) AS df,
            FROM tf GROUP BY term),
 eps AS (SELECT {eps} * avg(raw_idf) AS eps FROM rawidf),
 idf AS (SELECT term, df, CASE WHEN raw_idf < 0 THEN (SELECT eps FROM eps) ELSE raw_idf END AS idf FROM rawidf),
-qterms AS (SELECT query_id, i AS qpos, qt[i] AS term
-           FROM (SELECT query_id, {qtok} AS qt FROM queries) t, unnest(range(1, len(qt) + 1)) AS u(i)),
-scores AS (
-  SELECT qt.query_id, tf.source, tf.section_no,
-         list_reduce(list(i.idf * (CAST(tf.tf AS DOUBLE) * ({k1} + 1.0) /
+qterms AS (SELECT query_id, term, count(*) AS qtf
+           FROM (SELECT query_id, unnest({qtok}) AS term FROM queries) GROUP BY query_id, term),
+impacts AS (
+  SELECT tf.source, tf.section_no, tf.term,
+         CAST(round(i.idf * (CAST(tf.tf AS DOUBLE) * ({k1} + 1.0) /
              (CAST(tf.tf AS DOUBLE) + {k1} * (1.0 - {b} + {b} * l.dl / (SELECT avgdl FROM corpus))))
-             ORDER BY qt.qpos), lambda acc, x: acc + x) AS score
-  FROM tf JOIN qterms qt ON tf.term = qt.term JOIN idf i ON tf.term = i.term
-  JOIN lens l ON tf.source = l.source AND tf.section_no = l.section_no
-  GROUP BY qt.query_id, tf.source, tf.section_no),
+             * CAST(1e9 AS DOUBLE)) AS BIGINT) AS impact
+  FROM tf JOIN idf i ON tf.term = i.term JOIN lens l ON tf.source = l.source AND tf.section_no = l.section_no),
+scores AS (
+  SELECT qt.query_id, im.source, im.section_no,
+         CAST(sum(qt.qtf * im.impact) AS DOUBLE) / CAST(1e9 AS DOUBLE) AS score
+  FROM impacts im JOIN qterms qt ON im.term = qt.term
+  GROUP BY qt.query_id, im.source, im.section_no),
 topk AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, section_no) AS rk
                  FROM scores) WHERE rk <= {k} AND score > 0)"""

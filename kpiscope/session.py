@@ -65,3 +65,11 @@ def materialize(df, name: str):
     path = f"{base}/kpiscope-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df):
+    """Round-robin ``df`` over the default parallelism when its scan yields
+    fewer partitions than that (one small file is one task). A large input
+    already has more partitions and is returned unchanged."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

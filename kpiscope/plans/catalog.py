@@ -368,8 +368,15 @@ from kpiscope.operators import audit as AU  # noqa: E402
 from kpiscope.sources.tables import read_table  # noqa: E402
 
 
+def _documents(spark, sf):
+    """The documents table, spread over all cores when it is one small file
+    (all work on it is per-row text processing)."""
+    from kpiscope.session import spread
+    return spread(read_table(spark, sf, "documents"))
+
+
 def _doc_texts(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = _documents(spark, sf)
     return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("query_id"),
                     F.col("text").alias("sql"))
 
@@ -408,7 +415,7 @@ _K, _D, _DT = O.request_sql("text")
   array_to_string({_DT}, ',') AS dates FROM documents""")
 def request_extract(spark, sf):
     """G5 over every document text."""
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = _documents(spark, sf).select("doc_id", "text")
     r = AU.request_extract(d, "text")
     return r.select("doc_id", "kpi", F.array_join("dimensions", ",").alias("dimensions"),
                     F.array_join("dates", ",").alias("dates"))
@@ -586,7 +593,7 @@ from kpiscope.operators import evaluate as EV  # noqa: E402
   CAST(len({O.cause_tokens_sql('text')}) AS BIGINT) AS n_tokens FROM documents""")
 def cause_tokens(spark, sf):
     """E0 over every document text."""
-    d = read_table(spark, sf, "documents").select("doc_id", EV.cause_tokens(F.col("text")).alias("t"))
+    d = _documents(spark, sf).select("doc_id", EV.cause_tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.array_join("t", " ").alias("tokens"),
                     F.size("t").cast("bigint").alias("n_tokens"))
 

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiscope.functions.fixed import (CAVEAT_CORRELATION, CAVEAT_SMALL_SAMPLE, CHECK_NAMES,
-                                      DIMENSIONS, MAX_INVESTIGATION_SECONDS, MAX_RETRIES,
-                                      MIN_SUPPORTING_EVIDENCE)
-from kpiscope.functions.numeric import fmt_fixed, fmt_short
+                                      CONCENTRATION_PCT, DIMENSIONS, MAX_INVESTIGATION_SECONDS,
+                                      MAX_RETRIES, MIN_SLICE_SAMPLE, MIN_SUPPORTING_EVIDENCE)
+from kpiscope.functions.numeric import fmt_fixed, fmt_short, round2
 
 
 def _dim_pos() -> Column:
@@ -44,34 +44,51 @@ def sql_evidence(run_log: DataFrame) -> DataFrame:
         F.lit(True).alias("supports_conclusion"), F.lit("medium").alias("strength"))
 
 
-def analysis_evidence(slices: DataFrame, conc1: DataFrame) -> DataFrame:
+def per_dimension(slices: DataFrame) -> DataFrame:
+    """One row per (incident, dimension) with everything the evidence needs:
+    slice count, the rank-1 driver, the A12 share of that driver, the largest
+    |contribution| (the top-1 concentration test) and the small-slice flags in
+    driver order. One aggregation instead of one per use."""
+    top = F.col("driver_rank") == 1
+    small = (F.col("sample_size_anomaly") < MIN_SLICE_SAMPLE) | (F.col("sample_size_baseline") < MIN_SLICE_SAMPLE)
+    flag = F.format_string("Small sample: %s (baseline=%d, anomaly=%d)", F.col("dimension_value"),
+                           F.col("sample_size_baseline"), F.col("sample_size_anomaly"))
+    g = slices.groupBy("case_id", "dimension").agg(
+        F.count(F.lit(1)).alias("n_slices"),
+        F.max(F.when(top, F.col("dimension_value"))).alias("top_slice"),
+        F.max(F.when(top, F.col("contribution_pct"))).alias("top_contribution_pct"),
+        F.max(F.when(top, F.col("percent_change"))).alias("top_percent_change"),
+        F.max(F.abs(F.col("contribution_pct"))).alias("max_abs_contribution"),
+        F.sort_array(F.collect_list(F.when(small, F.struct("driver_rank", flag.alias("flag"))))).alias("flags"))
+    return (g.withColumn("concentrated",          # A12 summary: rank-1 share > 50
+                         round2(F.abs(F.col("top_contribution_pct"))) > F.lit(CONCENTRATION_PCT))
+             .withColumn("conc_top1", F.col("max_abs_contribution") > F.lit(CONCENTRATION_PCT)))
+
+
+def analysis_evidence(dims: DataFrame) -> DataFrame:
     """Per dimension: the top driver's text, HIGH when its top slice is concentrated."""
-    top = slices.where(F.col("driver_rank") == 1).join(
-        conc1.select("case_id", "dimension", "concentrated"), ["case_id", "dimension"])
     desc = F.format_string(
         "%s analysis: top driver is '%s' with %s%% contribution (%s%% change). Concentrated: %s",
-        F.col("dimension"), F.col("dimension_value"), fmt_fixed("contribution_pct", 1),
-        fmt_fixed("percent_change", 1, sign=True), _yes_no(F.col("concentrated")))
-    return top.select(
+        F.col("dimension"), F.col("top_slice"), fmt_fixed("top_contribution_pct", 1),
+        fmt_fixed("top_percent_change", 1, sign=True), _yes_no(F.col("conc_top1")))
+    return dims.select(
         "case_id", (F.lit(10) + F.lit(2) * _dim_pos()).cast("bigint").alias("seq"),
         F.concat(F.lit("analysis_"), F.col("dimension")).alias("evidence_id"),
         F.lit("analysis").alias("source_type"),
         F.concat(F.lit("contribution_"), F.col("dimension")).alias("source_ref"),
         desc.alias("description"), F.lit(True).alias("supports_conclusion"),
-        F.when(F.col("concentrated"), "high").otherwise("medium").alias("strength"))
+        F.when(F.col("conc_top1"), "high").otherwise("medium").alias("strength"))
 
 
-def caveat_evidence(flags: DataFrame) -> DataFrame:
+def caveat_evidence(dims: DataFrame) -> DataFrame:
     """Per dimension with small slices: one non-supporting LOW row listing them."""
-    g = (flags.groupBy("case_id", "dimension")
-              .agg(F.sort_array(F.collect_list(F.struct("driver_rank", "flag"))).alias("fl")))
-    return g.select(
+    return dims.where(F.size("flags") > 0).select(
         "case_id", (F.lit(11) + F.lit(2) * _dim_pos()).cast("bigint").alias("seq"),
         F.concat(F.lit("caveat_"), F.col("dimension"), F.lit("_sample_size")).alias("evidence_id"),
         F.lit("analysis").alias("source_type"),
         F.concat(F.lit("sample_check_"), F.col("dimension")).alias("source_ref"),
         F.concat(F.lit("Sample size warning: "),
-                 F.array_join(F.transform("fl", lambda x: x["flag"]), "; ")).alias("description"),
+                 F.array_join(F.transform("flags", lambda x: x["flag"]), "; ")).alias("description"),
         F.lit(False).alias("supports_conclusion"), F.lit("low").alias("strength"))
 
 
@@ -89,18 +106,18 @@ def baseline_evidence(cases: DataFrame, wc_sum: DataFrame) -> DataFrame:
                     F.lit(True).alias("supports_conclusion"), F.lit("high").alias("strength"))
 
 
-def evidence_pass(run_log, slices, conc1, flags, cases, wc_sum) -> DataFrame:
+def evidence_pass(run_log, dims, cases, wc_sum) -> DataFrame:
     """All evidence of one pass (bag union, duplicates kept)."""
-    return (sql_evidence(run_log).unionByName(analysis_evidence(slices, conc1))
-            .unionByName(caveat_evidence(flags)).unionByName(baseline_evidence(cases, wc_sum)))
+    return (sql_evidence(run_log).unionByName(analysis_evidence(dims))
+            .unionByName(caveat_evidence(dims)).unionByName(baseline_evidence(cases, wc_sum)))
 
 
-def pass_counts(cases: DataFrame, run_log: DataFrame, stats: DataFrame, ev1: DataFrame,
+def pass_counts(cases: DataFrame, run_log: DataFrame, dims: DataFrame, ev1: DataFrame,
                 elapsed: DataFrame | None = None) -> DataFrame:
     """Per incident: counts of one pass and the number of passes (V9)."""
     rl = run_log.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_sql"), F.count_if("success").alias("n_sql_ok"))
-    st = stats.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_analyses"),
+    st = dims.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_analyses"),
                                       F.max(F.col("concentrated").cast("int")).alias("any_conc"))
     ev = ev1.groupBy("case_id").agg(
         F.count_if("supports_conclusion").alias("n_support1"),

@@ -23,9 +23,8 @@ from kpiscope.functions.fixed import MAX_SQL_ROWS
 from kpiscope.operators import audit as AU
 from kpiscope.operators import compare as C
 from kpiscope.operators import decide as D
-from kpiscope.operators import rollups as RU
 from kpiscope.operators.compare import TOTAL
-from kpiscope.operators.windows import with_baseline
+from kpiscope.operators.windows import join_calendar, label_calendar, with_baseline
 from kpiscope.session import materialize
 
 
@@ -44,12 +43,16 @@ def run_log(cube: DataFrame, cases: DataFrame) -> DataFrame:
     """The three analysis queries per incident, audited, with the row
     count their result has (computed by the batched A8 / A9 jobs)."""
     texts = AU.validate(AU.analysis_sql_texts(with_baseline(cases)))
-    a8 = (RU.agg_by_time_window(cube, cases).groupBy("case_id")
-            .agg(F.count(F.lit(1)).alias("rows")).withColumn("query_id", F.lit("q_aggregate")))
-    a9 = (RU.agg_by_dim_window(cube, cases).groupBy("case_id", "dimension")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .select("case_id", "rows", F.concat(F.lit("q_by_"), F.col("dimension")).alias("query_id")))
-    rows = a8.unionByName(a9)
+    # result rows of each query = its (slice, label) groups with data: one
+    # labelled-calendar aggregate serves the aggregate and both breakdowns
+    dims = ["channel", "region"]
+    cal = label_calendar(cases)
+    j = join_calendar(cube.where(F.col("dimension").isin(TOTAL, *dims)), cal, cases)
+    groups = j.select("case_id", "dimension", "slice", "time_window").distinct()
+    rows = (groups.groupBy("case_id", "dimension").agg(F.count(F.lit(1)).alias("rows"))
+                  .select("case_id", "rows",
+                          F.when(F.col("dimension") == TOTAL, F.lit("q_aggregate"))
+                           .otherwise(F.concat(F.lit("q_by_"), F.col("dimension"))).alias("query_id")))
     j = texts.join(rows, ["case_id", "query_id"], "left")
     return j.select("case_id", "seq", "query_id", "purpose", "target_view", "sql",
                     F.col("is_valid").alias("success"),
@@ -68,20 +71,18 @@ def investigate(cube: DataFrame, cases: DataFrame, mode: str = "raw",
     slices = C.slice_compare(cube, cases, mode=mode)
     if materialized:
         slices = materialize(slices, "slices")
-    stats = C.contribution_stats(slices)
-    conc1 = C.concentration(slices, 1)
-    flags = C.small_sample_flags(slices)
+    dims = D.per_dimension(slices)
     wc = C.window_compare(cube, cases, "order_total", "sum")
     log = run_log(cube, cases)
-    ev1 = D.evidence_pass(log, slices, conc1, flags, cases, wc)
-    counts = D.pass_counts(cases, log, stats, ev1, elapsed)
+    ev1 = D.evidence_pass(log, dims, cases, wc)
+    counts = D.pass_counts(cases, log, dims, ev1, elapsed)
     evidence = (ev1.join(counts.select("case_id", "passes"), "case_id")
                    .withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes"))))
                    .drop("passes"))
     checks = D.verification_checks(counts)
     verdict = D.verdicts(counts, checks, auto_approve)
     found = D.findings(verdict, C.best_driver(slices), evidence)
-    return Investigation(slices, stats, log, evidence, checks, verdict, found)
+    return Investigation(slices, dims, log, evidence, checks, verdict, found)
 
 
 def summary(inv: Investigation, cases: DataFrame) -> DataFrame:

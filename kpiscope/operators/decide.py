@@ -223,3 +223,21 @@ def findings(verdict: DataFrame, best: DataFrame, evidence: DataFrame) -> DataFr
     return j.select(
         "*", finding.alias("primary_finding"), conclusion.alias("conclusion"),
         F.when(has, ids).alias("finding_evidence_ids"), F.when(has, caveats).alias("finding_caveats"))
+
+
+def apply_review_decisions(verdict: DataFrame, decisions: DataFrame | None) -> DataFrame:
+    """V8 with a reviewer's input: ``decisions`` (case_id, decision) with
+    decision 'approved' or 'rejected' settles cases that need review; cases
+    without a decision keep their status (pending or auto-approved)."""
+    if decisions is None:
+        return verdict
+    d = decisions.select("case_id", F.lower("decision").alias("_decision"))
+    j = verdict.join(d, "case_id", "left")
+    settled = F.col("needs_review") & F.col("_decision").isin("approved", "rejected")
+    return j.withColumn("review_status", F.when(settled, F.col("_decision"))
+                        .otherwise(F.col("review_status"))).drop("_decision")
+
+
+def reportable(verdict: DataFrame) -> DataFrame:
+    """A rejected case leaves the flow without a report."""
+    return verdict.where(F.col("review_status") != "rejected")

@@ -149,3 +149,8 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("recommended_dimensions", empty).alias("recommended_dimensions"),
         F.coalesce("should_trigger_human_review", F.lit(False)).alias("should_trigger_human_review"),
         "baseline_start", "baseline_end", "injection")
+
+
+def published_cases(cases: DataFrame) -> DataFrame:
+    """The labelled incidents without the private injection spec."""
+    return cases.drop("injection")

@@ -119,4 +119,19 @@ def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
     b.customers(spark, sf_dir).createOrReplaceTempView("customers")
     for name, build in VIEW_BUILDERS.items():
         build(tables).createOrReplaceTempView(name)
+    # for this binding the enriched fact and the refund summary come from one
+    # line roll-up (refunds and payments are one per order)
+    enriched = b.enriched_orders(spark, sf_dir)
+    enriched.createOrReplaceTempView("fact_orders_enriched")
+    refund_summary_from_enriched(enriched).createOrReplaceTempView("refund_summary")
     return list(VIEW_BUILDERS)
+
+
+def refund_summary_from_enriched(enriched: DataFrame) -> DataFrame:
+    """A6 from the enriched fact (one refund per refunded order)."""
+    r = enriched.where(F.col("refund_reason").isNotNull())
+    amt_c = F.sum(to_cents("refund_amount"))
+    return (r.groupBy("refund_date", "category", "region", "channel", "refund_reason")
+             .agg(F.count(F.lit(1)).alias("refund_count"),
+                  cents_to_money(amt_c).alias("total_refund_amount"),
+                  (cents_to_money(amt_c) / F.count(F.lit(1)).cast("double")).alias("avg_refund_amount")))

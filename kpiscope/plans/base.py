@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kpiscope.operators.compare import daily_cube, slice_compare
 from kpiscope.sources.binding import canonical_orders
-from kpiscope.sources.cases import cases_frame, window_bounds
+from kpiscope.sources.cases import anomaly_bounds, cases_frame, window_bounds
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_orders(spark, sf_dir)
 
 
+def fact_between(spark: SparkSession, sf_dir: str, lo, hi) -> DataFrame:
+    """The fact restricted to literal date bounds (pushed into the scan)."""
+    return fact(spark, sf_dir).where(F.col("order_date").between(F.lit(lo), F.lit(hi)))
+
+
+def fact_in_anomaly_windows(spark: SparkSession, sf_dir: str, cases=None) -> DataFrame:
+    lo, hi = anomaly_bounds(cases)
+    return fact_between(spark, sf_dir, lo, hi)
+
+
 def incidents(spark: SparkSession, cases=None) -> DataFrame:
     return cases_frame(spark, cases)
 

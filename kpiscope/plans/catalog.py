@@ -207,7 +207,8 @@ for _name, (_keys, _cols) in _VIEW_SQL.items():
 
 @register("fact_orders_enriched", O.with_(O.FULL_STAR, O.ENRICHED) + "SELECT * FROM enriched")
 def fact_orders_enriched(spark, sf):
-    return V.VIEW_BUILDERS["fact_orders_enriched"](_tables(spark, sf))
+    """One line roll-up joined once (refunds / payments are 1:1 per order here)."""
+    return SB.enriched_orders(spark, sf)
 
 
 @register("refund_summary", O.with_(O.FULL_STAR) + f"""SELECT r.refund_date, o.category, o.region, o.channel,
@@ -217,7 +218,8 @@ def fact_orders_enriched(spark, sf):
 FROM refunds r JOIN canon o ON r.order_id = o.order_id
 GROUP BY r.refund_date, o.category, o.region, o.channel, r.reason""")
 def refund_summary(spark, sf):
-    return V.VIEW_BUILDERS["refund_summary"](_tables(spark, sf))
+    """A6 (with J2) from the single-pass enriched fact."""
+    return V.refund_summary_from_enriched(SB.enriched_orders(spark, sf))
 
 
 @register("paid_orders", O.with_(O.STAR) +
@@ -674,7 +676,7 @@ FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.a
 WHERE {" AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in ["channel", "region", "category", "payment_type", "campaign"])}""")
 def incident_tagging(spark, sf):
     """Orders inside each incident window matching its slice predicate."""
-    return _tagging(B.fact(spark, sf), B.incidents(spark))
+    return _tagging(B.fact_in_anomaly_windows(spark, sf), B.incidents(spark))
 
 
 @register("scenario_whatif", O.with_(O.STAR, O.cases_cte(), O.scenario_sql()) + f"""SELECT order_date,
@@ -684,7 +686,7 @@ def incident_tagging(spark, sf):
 FROM adj GROUP BY order_date""")
 def scenario_whatif(spark, sf):
     """Expected GMV and volume under the incidents' adjustments."""
-    return CAL.scenario_whatif(B.fact(spark, sf), B.incidents(spark))
+    return CAL.scenario_whatif(B.fact_in_anomaly_windows(spark, sf), B.incidents(spark))
 
 
 # ----------------------------------------------------------------- DQ1-DQ3
@@ -816,7 +818,7 @@ def window_filter(spark, sf):
     cases = B.incidents(spark)
     cal = (cases.select("case_id", F.explode(F.sequence("affected_start_date", "affected_end_date"))
                         .alias("order_date")))
-    j = _join_cal(B.fact(spark, sf), cal, cases)
+    j = _join_cal(B.fact_in_anomaly_windows(spark, sf), cal, cases)
     return j.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_orders"),
         RU.cents_to_money(F.sum(RU.to_cents("order_total"))).alias("gmv"),

@@ -154,3 +154,9 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 def published_cases(cases: DataFrame) -> DataFrame:
     """The labelled incidents without the private injection spec."""
     return cases.drop("injection")
+
+
+def anomaly_bounds(cases=None) -> tuple[dt.date, dt.date]:
+    """Literal min start / max end over the anomaly windows of a driver-side list."""
+    rows = case_rows(cases)
+    return min(r["affected_start_date"] for r in rows), max(r["affected_end_date"] for r in rows)

@@ -80,32 +80,43 @@ def net_revenue_monthly(orders: DataFrame, refunds: DataFrame) -> DataFrame:
                     cents_to_money(gmv_c - ref_c).alias("net_revenue"))
 
 
-def aov_median(orders: DataFrame) -> DataFrame:
+def aov_median(orders: DataFrame, bucket_width: float = 10_000.0) -> DataFrame:
     """Exact median order value of paid orders per month.
 
-    Computed from a (month, value) -> count histogram: partial aggregation
-    before the shuffle, and each month then holds its distinct values, not its
-    rows, so a month with a third of all orders does not land in one task.
-    Linear interpolation between the two middle ranks.
+    Two-level selection, so no task ever holds a whole month:
+    1. counts per (month, value bucket) -> the bucket(s) holding the two
+       middle ranks (tiny: months x buckets);
+    2. only those buckets' values -> (month, value) counts -> running rank
+       inside the bucket. A window partition holds the distinct values of one
+       bucket, bounded by the bucket width, whatever the order volume.
+    Linear interpolation between the two middle ranks (as percentile 0.5).
     """
-    p = orders.where(paid_predicate()).where(F.col("order_total").isNotNull())
-    h = (p.groupBy(F.to_date(F.date_trunc("month", "order_date")).alias("period"),
-                   F.col("order_total").alias("v"))
-          .agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("period").orderBy("v")
-    h = (h.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("n", F.sum("c").over(Window.partitionBy("period"))))
+    p = (orders.where(paid_predicate()).where(F.col("order_total").isNotNull())
+               .select(F.to_date(F.date_trunc("month", "order_date")).alias("period"),
+                       F.col("order_total").alias("v"))
+               .withColumn("b", F.floor(F.col("v") / F.lit(bucket_width))))
+    bc = p.groupBy("period", "b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("period").orderBy("b")
+    bc = (bc.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("n", F.sum("c").over(Window.partitionBy("period"))))
     pos = (F.col("n") - 1).cast("double") * F.lit(0.5)
-    lo_i, hi_i = F.floor(pos), F.ceil(pos)
-    # value at 0-based rank r: first histogram row with cum > r
-    h = h.withColumn("lo_i", lo_i).withColumn("hi_i", hi_i).withColumn("frac", pos - lo_i)
+    bc = bc.withColumn("lo_i", F.floor(pos)).withColumn("hi_i", F.ceil(pos)).withColumn("frac", pos - F.floor(pos))
     start = F.col("cum") - F.col("c")
-    at_lo = (start <= F.col("lo_i")) & (F.col("cum") > F.col("lo_i"))
-    at_hi = (start <= F.col("hi_i")) & (F.col("cum") > F.col("hi_i"))
-    g = (h.groupBy("period")
-          .agg(F.max(F.when(at_lo, F.col("v"))).alias("v_lo"),
-               F.max(F.when(at_hi, F.col("v"))).alias("v_hi"),
-               F.max("frac").alias("frac"), F.max("n").alias("paid_orders")))
+    holds = lambda r: (start <= F.col(r)) & (F.col("cum") > F.col(r))
+    targets = (bc.where(holds("lo_i") | holds("hi_i"))
+                 .select("period", "b", start.alias("offset"), "lo_i", "hi_i", "frac", "n"))
+    # at most two buckets per month: a broadcast side of bounded size
+    vals = (p.join(F.broadcast(targets), ["period", "b"])
+              .groupBy("period", "b", "offset", "lo_i", "hi_i", "frac", "n", "v")
+              .agg(F.count(F.lit(1)).alias("c")))
+    wv = Window.partitionBy("period", "b").orderBy("v")
+    vals = vals.withColumn("cum", F.col("offset") + F.sum("c").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
+    vstart = F.col("cum") - F.col("c")
+    at = lambda r: (vstart <= F.col(r)) & (F.col("cum") > F.col(r))
+    g = (vals.groupBy("period")
+             .agg(F.max(F.when(at("lo_i"), F.col("v"))).alias("v_lo"),
+                  F.max(F.when(at("hi_i"), F.col("v"))).alias("v_hi"),
+                  F.max("frac").alias("frac"), F.max("n").alias("paid_orders")))
     return g.select("period", "paid_orders",
                     (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("median_aov"))
 

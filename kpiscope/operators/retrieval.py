@@ -31,7 +31,7 @@ from kpiscope.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, RETRIEVAL_TO
 from kpiscope.functions.numeric import round_to
 
 # Largest query-term table (rows) that is broadcast to the postings.
-BROADCAST_QUERY_TERMS = 5_000_000
+BROADCAST_QUERY_TERMS = 1_000_000   # (query, term, count) rows, about 40 MB
 
 HEADING_SPLIT_RE = r"(?md)(?=^#{1,3}[ \t\x0B\f\r]+[^\n])"
 HEADING_RE = r"^#{1,3}[ \t\x0B\f\r]+([^\n]+)"

@@ -15,7 +15,7 @@ from kpiscope.functions.dates import inclusive_days
 from kpiscope.functions.fixed import DEFAULT_BASELINE_DAYS
 
 # Largest calendar (rows) that is broadcast; above it the join shuffles.
-BROADCAST_CALENDAR_ROWS = 2_000_000
+BROADCAST_CALENDAR_ROWS = 1_000_000   # about 60 MB
 
 
 def with_baseline(cases: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ Plan::
     chunks --tokenize--> explode --> HashAggregate (chunk, term) = tf      T2
     tf --> HashAggregate (term) = df --> idf; corpus scalars N, avgdl,     T3
           mean idf: one small aggregate
-    postings JOIN idf JOIN lengths --> per-posting impact (query-free),
-          an integer of 1e-9, materialized once
+    postings JOIN idf (broadcast when the vocabulary is measured small)
+          --> per-posting impact (query-free), an integer of 1e-9, materialized
     queries --tokenize--> (query, term, qtf), broadcast after a size check
     impacts JOIN query terms ON term: only postings of query terms are     T4
           scored; a term present in every chunk meets a broadcast side, so
@@ -64,11 +64,15 @@ def section_chunks(docs: DataFrame, id_col: str = "source", text_col: str = "val
 
 
 def postings(chunks: DataFrame, key_cols=("source", "section_no")) -> DataFrame:
-    """(chunk, term, tf) from one tokenization pass; a chunk without tokens
+    """(chunk, section, dl, term, tf) from one tokenization pass. The chunk
+    length and section name ride along (they are per chunk), so no lengths
+    table or join back to the corpus is needed later. A chunk without tokens
     keeps one row with a NULL term so it still counts in N and avgdl."""
     keys = list(key_cols)
-    tok = chunks.select(*keys, F.explode_outer(tokens(F.col("content"))).alias("term"))
-    return tok.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
+    tok = chunks.select(*keys, "section", tokens(F.col("content")).alias("toks"))
+    tok = tok.select(*keys, "section", F.size("toks").cast("bigint").alias("dl"),
+                     F.explode_outer("toks").alias("term"))
+    return tok.groupBy(*keys, "section", "dl", "term").agg(F.count("term").alias("tf"))
 
 
 def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
@@ -92,15 +96,19 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
 
 
+# Largest vocabulary (terms) whose idf table is broadcast to the postings.
+BROADCAST_IDF_TERMS = 2_000_000
+
+
 class BM25Index:
     """Impact index of a chunked corpus.
 
-    Built once: postings with tf, chunk lengths, idf, and per posting the
-    query-independent impact idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))
+    Built once: postings (with chunk length and section), idf, and per posting
+    the query-independent impact idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))
     stored as an integer multiple of 1e-9. A query's score is the sum of its
-    terms' impacts (times their repeat count): an exact integer sum, so equal
-    chunks tie exactly whatever the summation order. Postings, lengths and
-    idf are materialized in the shared checkpoint folder.
+    terms' impacts times their repeat count: an exact integer sum, so equal
+    chunks tie exactly whatever the summation order. Postings and impacts are
+    materialized in the shared checkpoint folder.
     """
 
     def __init__(self, chunks: DataFrame, key_cols=("source", "section_no"),
@@ -108,26 +116,28 @@ class BM25Index:
         from kpiscope.session import materialize
 
         self.keys = list(key_cols)
-        self.chunks = chunks
         keep = materialize if materialized else (lambda df, _name: df)
-        tf_all = keep(postings(chunks, self.keys), "bm25_postings")
-        self.lengths = keep(tf_all.groupBy(*self.keys).agg(F.sum("tf").cast("bigint").alias("dl")),
-                            "bm25_lengths")
-        self.tf = tf_all.where(F.col("term").isNotNull())
+        post = keep(postings(chunks, self.keys), "bm25_postings")
+        self.lengths = post.groupBy(*self.keys).agg(F.max("dl").alias("dl"))
         row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
         self.n_docs, total = int(row["n"]), int(row["total"] or 0)
         self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
-        raw = keep(idf_table(self.tf, self.n_docs), "bm25_idf")
-        mean_idf = raw.agg(F.avg("raw_idf").alias("m")).first()["m"]
-        self.eps = BM25_EPSILON * float(mean_idf) if mean_idf is not None else 0.0
+        self.tf = post.where(F.col("term").isNotNull())
+        raw = idf_table(self.tf, self.n_docs)
+        st = raw.agg(F.avg("raw_idf").alias("m"), F.count(F.lit(1)).alias("v")).first()
+        self.eps = BM25_EPSILON * float(st["m"]) if st["m"] is not None else 0.0
         self.idf = final_idf(raw, self.eps)
         self.k1, self.b = k1, b
         kk1, bb = F.lit(k1), F.lit(b)
         avgdl = F.lit(self.avgdl if self.avgdl else 1.0)
         t = F.col("tf").cast("double")
         norm = t * (kk1 + F.lit(1.0)) / (t + kk1 * (F.lit(1.0) - bb + bb * F.col("dl") / avgdl))
-        imp = (self.tf.join(self.idf.select("term", "idf"), "term").join(self.lengths, self.keys)
-                      .select(*self.keys, "term",
+        idf = self.idf.select("term", "idf")
+        # a hot term is one idf row: broadcast it when the vocabulary is
+        # measured small, else AQE splits the hot postings partition
+        idf = F.broadcast(idf) if int(st["v"]) <= BROADCAST_IDF_TERMS else idf
+        imp = (self.tf.join(idf, "term")
+                      .select(*self.keys, "section", "term",
                               F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint").alias("impact")))
         self.impacts = keep(imp, "bm25_impacts")
 
@@ -138,7 +148,7 @@ class BM25Index:
         qt = query_terms(queries, id_col, text_col)
         side = F.broadcast(qt) if qt.count() <= BROADCAST_QUERY_TERMS else qt
         hits = self.impacts.join(side, "term")
-        return (hits.groupBy("query_id", *self.keys)
+        return (hits.groupBy("query_id", *self.keys, "section")
                     .agg((F.sum(F.col("qtf") * F.col("impact")).cast("double") / F.lit(SCORE_SCALE))
                          .alias("score")))
 
@@ -149,7 +159,6 @@ class BM25Index:
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *[F.col(c) for c in self.keys])
         r = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         return (r.where(F.col("score") > 0)
-                 .join(self.chunks, self.keys)
                  .select("query_id", F.col("rank").cast("bigint").alias("rank"), *self.keys, "section",
                          round_to("score", 4).alias("relevance_score")))
 

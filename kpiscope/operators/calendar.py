@@ -38,6 +38,7 @@ ADJUSTMENTS = {
     "category_mix_shift": [("volume", "mul", "volume_factor"), ("price", "mul", "price_factor")],
 }
 HOLIDAY_VOLUME = 1.2
+MAX_BROADCAST_INCIDENTS = 1_000_000
 NEUTRAL = {"price": 1.0, "volume": 1.0, "refund": 1.0, "cancel": 1.0, "drop": 0.0, "pending": 0.0}
 
 
@@ -54,7 +55,8 @@ def _adjustment_rows(tagged: DataFrame, cases: DataFrame) -> DataFrame:
     inj = cases.select("case_id", F.col("injection.factor").alias("factor"),
                        F.col("injection.volume_factor").alias("volume_factor"),
                        F.col("injection.price_factor").alias("price_factor"))
-    t = tagged.join(F.broadcast(inj), "case_id")
+    # one row per incident: broadcast after counting them, else shuffle
+    t = tagged.join(F.broadcast(inj) if inj.count() <= MAX_BROADCAST_INCIDENTS else inj, "case_id")
     rules = F.array(*[F.struct(F.lit(typ).alias("typ"), F.lit(q).alias("qty"), F.lit(op).alias("op"),
                                F.lit(src).alias("src"))
                       for typ, adj in ADJUSTMENTS.items() for q, op, src in adj])

@@ -19,6 +19,9 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # local mode: the driver is the executor (applies only when this process
+    # launches the JVM)
+    "spark.driver.memory": "8g",
 }
 
 

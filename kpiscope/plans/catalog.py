@@ -611,7 +611,7 @@ def _grades(spark, sf):
       CAST(len(list_intersect({O.cause_tokens_sql('f.primary_finding')}, {O.cause_tokens_sql('c.expected_primary_cause')})) AS DOUBLE)
       / CAST(len({O.cause_tokens_sql('c.expected_primary_cause')}) AS DOUBLE) END AS overlap_ratio
   FROM found f JOIN casesd c ON f.case_id = c.case_id WHERE f.primary_finding IS NOT NULL)
-SELECT *, coalesce(overlap_ratio >= 0.25, FALSE) AS hit FROM hits""".replace("WITH ", "WITH ", 1))
+SELECT *, coalesce(overlap_ratio >= 0.25, FALSE) AS hit FROM hits""")
 def cause_hit(spark, sf):
     """Overlap of the predicted cause's words with the expected cause's."""
     inv, cases = _inv(spark, sf)
@@ -804,6 +804,7 @@ def capped_query(spark, sf):
 
 
 # ----------------------------------------------------------------- P3, P7, J3, V11
+from kpiscope.functions.numeric import cents_to_money, to_cents  # noqa: E402
 from kpiscope.operators.windows import join_calendar as _join_cal  # noqa: E402
 
 _SUBSET = ["INC-001", "INC-004", "INC-008"]
@@ -821,7 +822,7 @@ def window_filter(spark, sf):
     j = _join_cal(B.fact_in_anomaly_windows(spark, sf), cal, cases)
     return j.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_orders"),
-        RU.cents_to_money(F.sum(RU.to_cents("order_total"))).alias("gmv"),
+        cents_to_money(F.sum(to_cents("order_total"))).alias("gmv"),
         F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"))
 
 

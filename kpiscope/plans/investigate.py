@@ -31,7 +31,7 @@ from kpiscope.session import materialize
 @dataclass
 class Investigation:
     slices: DataFrame
-    stats: DataFrame
+    dims: DataFrame          # per (incident, dimension) evidence inputs
     run_log: DataFrame
     evidence: DataFrame
     checks: DataFrame

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kpiscope.session import ensure_checkpoint_dir
 
@@ -61,6 +60,3 @@ def list_tables(spark: SparkSession) -> list[str]:
     """Names of the registered tables and views."""
     return sorted(t.name for t in spark.catalog.listTables())
 
-
-__all__ = ["catalog_columns", "full_refresh_parquet", "json_round_trip", "list_tables", "run_sql",
-           "scratch_path", "F"]

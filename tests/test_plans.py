@@ -1,7 +1,6 @@
 """Physical-plan properties that matter at scale."""
 
 from kpiscope.plans import base as B
-from kpiscope.operators import compare as C
 from kpiscope.operators import retrieval as RT
 from kpiscope.sources.tables import read_table
 from pyspark.sql import functions as F

@@ -45,9 +45,8 @@ def daily_cube(fact: DataFrame, dims=None, lo=None, hi=None) -> DataFrame:
                  F.lit(TOTAL).alias(TOTAL))
     long = f.unpivot(["order_date"] + [f"m_{c}" for c in _MEASURE_INPUTS],
                      dims + [TOTAL], "dimension", "slice")
-    long = long.where(F.col("slice").isNotNull())
-    for c in _MEASURE_INPUTS:
-        long = long.withColumnRenamed(f"m_{c}", c)
+    long = (long.where(F.col("slice").isNotNull())
+                .withColumnsRenamed({f"m_{c}": c for c in _MEASURE_INPUTS}))
     return long.groupBy("order_date", "dimension", "slice").agg(*measure_aggs())
 
 
@@ -91,10 +90,11 @@ def _with_values(ws: DataFrame) -> DataFrame:
     an_s = F.coalesce(F.col("an_s"), F.lit(0)).cast("double") / scale
     bl_n = F.coalesce(F.col("bl_n"), F.lit(0))
     an_n = F.coalesce(F.col("an_n"), F.lit(0))
-    return (ws.withColumn("bl_val", _window_value(agg, bl_s, bl_n, F.col("baseline_days")))
-              .withColumn("an_val", _window_value(agg, an_s, an_n, F.col("anomaly_days")))
-              .withColumn("sample_size_baseline", bl_n.cast("bigint"))
-              .withColumn("sample_size_anomaly", an_n.cast("bigint")))
+    return ws.withColumns({
+        "bl_val": _window_value(agg, bl_s, bl_n, F.col("baseline_days")),
+        "an_val": _window_value(agg, an_s, an_n, F.col("anomaly_days")),
+        "sample_size_baseline": bl_n.cast("bigint"),
+        "sample_size_anomaly": an_n.cast("bigint")})
 
 
 def window_compare(cube: DataFrame, cases: DataFrame, metric: str = "order_total",

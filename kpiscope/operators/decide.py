@@ -60,9 +60,9 @@ def per_dimension(slices: DataFrame) -> DataFrame:
         F.max(F.when(top, F.col("percent_change"))).alias("top_percent_change"),
         F.max(F.abs(F.col("contribution_pct"))).alias("max_abs_contribution"),
         F.sort_array(F.collect_list(F.when(small, F.struct("driver_rank", flag.alias("flag"))))).alias("flags"))
-    return (g.withColumn("concentrated",          # A12 summary: rank-1 share > 50
-                         round2(F.abs(F.col("top_contribution_pct"))) > F.lit(CONCENTRATION_PCT))
-             .withColumn("conc_top1", F.col("max_abs_contribution") > F.lit(CONCENTRATION_PCT)))
+    return g.withColumns({
+        "concentrated": round2(F.abs(F.col("top_contribution_pct"))) > F.lit(CONCENTRATION_PCT),  # A12
+        "conc_top1": F.col("max_abs_contribution") > F.lit(CONCENTRATION_PCT)})
 
 
 def analysis_evidence(dims: DataFrame) -> DataFrame:
@@ -187,14 +187,12 @@ def verdicts(counts: DataFrame, checks: DataFrame, auto_approve: bool = True) ->
         F.when(F.col("elapsed_seconds") > MAX_INVESTIGATION_SECONDS, F.lit("cost_exceeded")),
         F.when(F.col("checks_passed") < F.col("checks_total"), F.lit("weak_evidence"))),
         lambda r: r.isNotNull())
-    v = (v.withColumn("confidence", conf)
-          .withColumn("overall_supported", F.col("checks_passed") == F.col("checks_total"))
-          .withColumn("sql_failure_count", fails.cast("bigint"))
-          .withColumn("review_reasons", reasons)
-          .withColumn("needs_review", F.size(reasons) > 0))
-    status = F.when(~F.col("needs_review"), "not_required")
-    status = status.otherwise("approved" if auto_approve else "pending")
-    return v.withColumn("review_status", status)
+    needs = F.size(reasons) > 0
+    status = F.when(~needs, "not_required").otherwise("approved" if auto_approve else "pending")
+    return v.withColumns({"confidence": conf,
+                          "overall_supported": F.col("checks_passed") == F.col("checks_total"),
+                          "sql_failure_count": fails.cast("bigint"),
+                          "review_reasons": reasons, "needs_review": needs, "review_status": status})
 
 
 def findings(verdict: DataFrame, best: DataFrame, evidence: DataFrame) -> DataFrame:

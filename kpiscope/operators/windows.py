@@ -28,11 +28,11 @@ def with_baseline(cases: DataFrame) -> DataFrame:
     default_end = F.date_sub(start, 1)
     default_start = F.date_sub(default_end, F.greatest(n, F.lit(DEFAULT_BASELINE_DAYS)) - 1)
     missing = F.col("baseline_start").isNull() | F.col("baseline_end").isNull()
-    return (cases
-            .withColumn("baseline_start", F.when(missing, default_start).otherwise(F.col("baseline_start")))
-            .withColumn("baseline_end", F.when(missing, default_end).otherwise(F.col("baseline_end")))
-            .withColumn("baseline_days", inclusive_days("baseline_start", "baseline_end"))
-            .withColumn("anomaly_days", inclusive_days(start, end)))
+    bs = F.when(missing, default_start).otherwise(F.col("baseline_start"))
+    be = F.when(missing, default_end).otherwise(F.col("baseline_end"))
+    return cases.withColumns({"baseline_start": bs, "baseline_end": be,
+                              "baseline_days": inclusive_days(bs, be),
+                              "anomaly_days": inclusive_days(start, end)})
 
 
 def window_calendar(cases: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no per-call call-site capture (4 JVM round trips per Column function)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # local mode: the driver is the executor (applies only when this process
     # launches the JVM)
     "spark.driver.memory": "8g",

@@ -6,8 +6,8 @@ Plan::
     chunks --tokenize--> explode --> HashAggregate (chunk, term) = tf      T2
     tf --> HashAggregate (term) = df --> idf; corpus scalars N, avgdl,     T3
           mean idf: one small aggregate
-    postings JOIN idf (broadcast when the vocabulary is measured small)
-          --> per-posting impact (query-free), an integer of 1e-9, materialized
+    postings (materialized) JOIN idf (broadcast when the vocabulary is
+          measured small) --> per-posting impact (query-free), an integer of 1e-9
     queries --tokenize--> (query, term, qtf), broadcast after a size check
     impacts JOIN query terms ON term: only postings of query terms are     T4
           scored; a term present in every chunk meets a broadcast side, so
@@ -105,10 +105,10 @@ class BM25Index:
 
     Built once: postings (with chunk length and section), idf, and per posting
     the query-independent impact idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))
-    stored as an integer multiple of 1e-9. A query's score is the sum of its
-    terms' impacts times their repeat count: an exact integer sum, so equal
-    chunks tie exactly whatever the summation order. Postings and impacts are
-    materialized in the shared checkpoint folder.
+    as an integer multiple of 1e-9. A query's score is the sum of its terms'
+    impacts times their repeat count: an exact integer sum, so equal chunks tie
+    exactly whatever the summation order. The postings (one tokenization pass
+    over the corpus) are materialized in the shared checkpoint folder.
     """
 
     def __init__(self, chunks: DataFrame, key_cols=("source", "section_no"),
@@ -139,7 +139,9 @@ class BM25Index:
         imp = (self.tf.join(idf, "term")
                       .select(*self.keys, "section", "term",
                               F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint").alias("impact")))
-        self.impacts = keep(imp, "bm25_impacts")
+        # impacts are read once per query batch: kept lazy (the postings they
+        # come from are already materialized)
+        self.impacts = imp
 
     def scores(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
         """T4: score of every chunk sharing a term with the query (others score

@@ -85,4 +85,32 @@ CHECK_NAMES = ["sql_evidence_exists", "analysis_results_exist", "supporting_evid
 
 CAVEAT_CORRELATION = "Analysis is based on observed correlations, not causal inference."
 CAVEAT_SMALL_SAMPLE = "Some dimension slices have small sample sizes."
+
+# Message and text formats (printf style, as passed to format_string).
+MSG_EMPTY_SQL = "Empty SQL query"
+MSG_MULTIPLE_STATEMENTS = "Multiple SQL statements are not allowed (semicolons found in query body)"
+MSG_ONLY_SELECT = "Only SELECT queries are allowed. Found: %s"
+MSG_FORBIDDEN_KEYWORDS = "Forbidden SQL keywords found: %s"
+MSG_TABLE_NOT_APPROVED = "Table '%s' is not in the approved list. Allowed: %s"
+TXT_SQL_EVIDENCE = "%s — %d rows returned"
+TXT_ANALYSIS_EVIDENCE = "%s analysis: top driver is '%s' with %s%% contribution (%s%% change). Concentrated: %s"
+TXT_SAMPLE_WARNING = "Sample size warning: %s"
+TXT_SMALL_SAMPLE = "Small sample: %s (baseline=%d, anomaly=%d)"
+TXT_BASELINE_EVIDENCE = "Aggregate order_total: baseline_daily=%s, anomaly_daily=%s, change=%s%%"
+TXT_CHECK_SQL = "%d successful SQL queries out of %d"
+TXT_CHECK_ANALYSES = "%d analysis results produced"
+TXT_CHECK_SUPPORT = "%d supporting evidence items"
+TXT_CHECK_CONCENTRATED = "Concentrated driver found"
+TXT_CHECK_DIFFUSE = "No single dominant driver — movement may be diffuse"
+TXT_CHECK_WARNINGS = "%d sample size warnings"
+TXT_CHECK_SAMPLES_OK = "All slices have adequate sample sizes"
+TXT_FINDING = "The %s movement is primarily driven by '%s' in the %s dimension (%s%% change, %s%% contribution)."
+TXT_CONCLUSION = ("Evidence suggests the %s anomaly is primarily driven by changes in '%s' (%s). "
+                  "This slice accounts for %s%% of the total movement. Confidence: %s.")
+TXT_CONCLUSION_DIFFUSE = ("The %s movement could not be attributed to a single dominant driver. "
+                          "The change appears diffuse across multiple dimensions. Confidence: inconclusive.")
+TXT_CONCENTRATION = "Top %d slice(s) explain %s%% of total change"
+TXT_NO_CHANGE = "No significant change detected"
+TXT_PURPOSE_AGGREGATE = "Aggregate %s for anomaly vs baseline window"
+TXT_PURPOSE_BREAKDOWN = "Break down %s by %s"
 # ------------------------------------------------------------ end fixed values

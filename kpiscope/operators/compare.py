@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiscope.functions.fixed import CONCENTRATION_PCT, DIMENSIONS, MIN_SLICE_SAMPLE
+from kpiscope.functions.fixed import (CONCENTRATION_PCT, DIMENSIONS, MIN_SLICE_SAMPLE,
+                                      TXT_CONCENTRATION, TXT_NO_CHANGE, TXT_SMALL_SAMPLE)
 from kpiscope.functions.kpi import fixed_measure, measure_aggs, pick_by_kpi
 from kpiscope.functions.numeric import fmt_fixed, pct_change, round2
 from kpiscope.operators.windows import join_calendar, window_calendar
@@ -186,9 +187,8 @@ def concentration(slices: DataFrame, top_n: int = 1) -> DataFrame:
         (F.col("top_sum") > F.lit(CONCENTRATION_PCT)).alias("concentrated"),
         F.concat_ws("; ", F.transform("tops", lambda t: t["dimension_value"])).alias("top_slices"),
         F.when(F.col("top_sum") > 0,
-               F.format_string("Top %d slice(s) explain %s%% of total change",
-                               F.lit(top_n), fmt_fixed("top_sum", 1)))
-         .otherwise(F.lit("No significant change detected")).alias("detail"))
+               F.format_string(TXT_CONCENTRATION, F.lit(top_n), fmt_fixed("top_sum", 1)))
+         .otherwise(F.lit(TXT_NO_CHANGE)).alias("detail"))
 
 
 def small_sample_flags(slices: DataFrame, min_count: int = MIN_SLICE_SAMPLE) -> DataFrame:
@@ -197,6 +197,6 @@ def small_sample_flags(slices: DataFrame, min_count: int = MIN_SLICE_SAMPLE) ->
     return (slices.where(small)
                   .select("case_id", "dimension", "dimension_value", "driver_rank",
                           "sample_size_baseline", "sample_size_anomaly",
-                          F.format_string("Small sample: %s (baseline=%d, anomaly=%d)",
+                          F.format_string(TXT_SMALL_SAMPLE,
                                           F.col("dimension_value"), F.col("sample_size_baseline"),
                                           F.col("sample_size_anomaly")).alias("flag")))

@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 
 from kpiscope.functions.fixed import (CAVEAT_CORRELATION, CAVEAT_SMALL_SAMPLE, CHECK_NAMES,
                                       CONCENTRATION_PCT, DIMENSIONS, MAX_INVESTIGATION_SECONDS,
-                                      MAX_RETRIES, MIN_SLICE_SAMPLE, MIN_SUPPORTING_EVIDENCE)
+                                      MAX_RETRIES, MIN_SLICE_SAMPLE, MIN_SUPPORTING_EVIDENCE,
+                                      TXT_ANALYSIS_EVIDENCE, TXT_BASELINE_EVIDENCE,
+                                      TXT_CHECK_ANALYSES, TXT_CHECK_CONCENTRATED, TXT_CHECK_DIFFUSE,
+                                      TXT_CHECK_SAMPLES_OK, TXT_CHECK_SQL, TXT_CHECK_SUPPORT,
+                                      TXT_CHECK_WARNINGS, TXT_CONCLUSION, TXT_CONCLUSION_DIFFUSE,
+                                      TXT_FINDING, TXT_SAMPLE_WARNING, TXT_SMALL_SAMPLE,
+                                      TXT_SQL_EVIDENCE)
 from kpiscope.functions.numeric import fmt_fixed, fmt_short, round2
 
 
@@ -39,7 +45,7 @@ def sql_evidence(run_log: DataFrame) -> DataFrame:
         "case_id", F.col("seq").cast("bigint").alias("seq"),
         F.concat(F.lit("sql_"), F.col("query_id")).alias("evidence_id"),
         F.lit("sql_result").alias("source_type"), F.col("query_id").alias("source_ref"),
-        F.format_string("%s — %d rows returned", F.col("purpose"), F.col("row_count"))
+        F.format_string(TXT_SQL_EVIDENCE, F.col("purpose"), F.col("row_count"))
          .alias("description"),
         F.lit(True).alias("supports_conclusion"), F.lit("medium").alias("strength"))
 
@@ -51,7 +57,7 @@ def per_dimension(slices: DataFrame) -> DataFrame:
     driver order. One aggregation instead of one per use."""
     top = F.col("driver_rank") == 1
     small = (F.col("sample_size_anomaly") < MIN_SLICE_SAMPLE) | (F.col("sample_size_baseline") < MIN_SLICE_SAMPLE)
-    flag = F.format_string("Small sample: %s (baseline=%d, anomaly=%d)", F.col("dimension_value"),
+    flag = F.format_string(TXT_SMALL_SAMPLE, F.col("dimension_value"),
                            F.col("sample_size_baseline"), F.col("sample_size_anomaly"))
     g = slices.groupBy("case_id", "dimension").agg(
         F.count(F.lit(1)).alias("n_slices"),
@@ -68,8 +74,7 @@ def per_dimension(slices: DataFrame) -> DataFrame:
 def analysis_evidence(dims: DataFrame) -> DataFrame:
     """Per dimension: the top driver's text, HIGH when its top slice is concentrated."""
     desc = F.format_string(
-        "%s analysis: top driver is '%s' with %s%% contribution (%s%% change). Concentrated: %s",
-        F.col("dimension"), F.col("top_slice"), fmt_fixed("top_contribution_pct", 1),
+        TXT_ANALYSIS_EVIDENCE, F.col("dimension"), F.col("top_slice"), fmt_fixed("top_contribution_pct", 1),
         fmt_fixed("top_percent_change", 1, sign=True), _yes_no(F.col("conc_top1")))
     return dims.select(
         "case_id", (F.lit(10) + F.lit(2) * _dim_pos()).cast("bigint").alias("seq"),
@@ -87,8 +92,8 @@ def caveat_evidence(dims: DataFrame) -> DataFrame:
         F.concat(F.lit("caveat_"), F.col("dimension"), F.lit("_sample_size")).alias("evidence_id"),
         F.lit("analysis").alias("source_type"),
         F.concat(F.lit("sample_check_"), F.col("dimension")).alias("source_ref"),
-        F.concat(F.lit("Sample size warning: "),
-                 F.array_join(F.transform("flags", lambda x: x["flag"]), "; ")).alias("description"),
+        F.format_string(TXT_SAMPLE_WARNING,
+                        F.array_join(F.transform("flags", lambda x: x["flag"]), "; ")).alias("description"),
         F.lit(False).alias("supports_conclusion"), F.lit("low").alias("strength"))
 
 
@@ -96,9 +101,8 @@ def baseline_evidence(cases: DataFrame, wc_sum: DataFrame) -> DataFrame:
     """The whole-population order_total comparison, always present (zeros when empty)."""
     j = cases.select("case_id").join(wc_sum, "case_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    desc = F.concat(F.lit("Aggregate order_total: baseline_daily="), fmt_short(z("baseline_daily")),
-                    F.lit(", anomaly_daily="), fmt_short(z("anomaly_daily")),
-                    F.lit(", change="), fmt_fixed(z("percent_change"), 1, sign=True), F.lit("%"))
+    desc = F.format_string(TXT_BASELINE_EVIDENCE, fmt_short(z("baseline_daily")),
+                           fmt_short(z("anomaly_daily")), fmt_fixed(z("percent_change"), 1, sign=True))
     return j.select("case_id", F.lit(100).cast("bigint").alias("seq"),
                     F.lit("baseline_comparison_order_total").alias("evidence_id"),
                     F.lit("analysis").alias("source_type"),
@@ -152,17 +156,17 @@ def verification_checks(counts: DataFrame) -> DataFrame:
                         passed.alias("passed"), detail.alias("detail"))
     checks = F.array(
         chk(1, F.col("n_sql_ok") > 0,
-            F.format_string("%d successful SQL queries out of %d", F.col("n_sql_ok"), F.col("n_sql"))),
+            F.format_string(TXT_CHECK_SQL, F.col("n_sql_ok"), F.col("n_sql"))),
         chk(2, F.col("n_analyses") > 0,
-            F.format_string("%d analysis results produced", F.col("n_analyses"))),
+            F.format_string(TXT_CHECK_ANALYSES, F.col("n_analyses"))),
         chk(3, n_sup >= MIN_SUPPORTING_EVIDENCE,
-            F.format_string("%d supporting evidence items", n_sup)),
+            F.format_string(TXT_CHECK_SUPPORT, n_sup)),
         chk(4, F.col("any_concentrated"),
-            F.when(F.col("any_concentrated"), F.lit("Concentrated driver found"))
-             .otherwise(F.lit("No single dominant driver — movement may be diffuse"))),
+            F.when(F.col("any_concentrated"), F.lit(TXT_CHECK_CONCENTRATED))
+             .otherwise(F.lit(TXT_CHECK_DIFFUSE))),
         chk(5, n_warn == 0,
-            F.when(n_warn > 0, F.format_string("%d sample size warnings", n_warn))
-             .otherwise(F.lit("All slices have adequate sample sizes"))))
+            F.when(n_warn > 0, F.format_string(TXT_CHECK_WARNINGS, n_warn))
+             .otherwise(F.lit(TXT_CHECK_SAMPLES_OK))))
     return (counts.select("case_id", F.explode(checks).alias("c"))
                   .select("case_id", F.col("c.check_no").cast("bigint").alias("check_no"),
                           "c.check_name", "c.passed", "c.detail"))
@@ -205,16 +209,10 @@ def findings(verdict: DataFrame, best: DataFrame, evidence: DataFrame) -> DataFr
     has = F.col("dimension").isNotNull()
     pct, contrib = fmt_fixed("percent_change", 1, sign=True), fmt_fixed("contribution_pct", 1)
     finding = F.when(has, F.format_string(
-        "The %s movement is primarily driven by '%s' in the %s dimension (%s%% change, %s%% contribution).",
-        F.col("kpi_name"), F.col("dimension_value"), F.col("dimension"), pct, contrib))
+        TXT_FINDING, F.col("kpi_name"), F.col("dimension_value"), F.col("dimension"), pct, contrib))
     conclusion = F.when(has, F.format_string(
-        "Evidence suggests the %s anomaly is primarily driven by changes in '%s' (%s). "
-        "This slice accounts for %s%% of the total movement. Confidence: %s.",
-        F.col("kpi_name"), F.col("dimension_value"), F.col("dimension"), contrib,
-        F.col("confidence"))).otherwise(F.format_string(
-            "The %s movement could not be attributed to a single dominant driver. "
-            "The change appears diffuse across multiple dimensions. Confidence: inconclusive.",
-            F.col("kpi_name")))
+        TXT_CONCLUSION, F.col("kpi_name"), F.col("dimension_value"), F.col("dimension"), contrib,
+        F.col("confidence"))).otherwise(F.format_string(TXT_CONCLUSION_DIFFUSE, F.col("kpi_name")))
     caveats = F.when(F.col("n_warn1") > 0, F.array(F.lit(CAVEAT_CORRELATION), F.lit(CAVEAT_SMALL_SAMPLE))) \
                .otherwise(F.array(F.lit(CAVEAT_CORRELATION)))
     ids = F.coalesce(F.transform("_top", lambda x: x["evidence_id"]), F.array().cast("array<string>"))

@@ -8,6 +8,7 @@ DataFrame code they check.
 
 from __future__ import annotations
 
+from kpiscope.functions import fixed as F_
 from kpiscope.functions.fixed import DIMENSIONS, MONTH_FACTORS, WEEKEND_FACTOR
 from kpiscope.functions.kpi import KPIS, MEASURES, DEFAULT_KPI
 from kpiscope.sources.cases import case_rows, window_bounds
@@ -372,14 +373,14 @@ a3 AS (SELECT *,
          regexp_extract_all(masked, {q(table_re)}, 1) AS table_refs
        FROM a2),
 a4 AS (SELECT *,
-         CASE WHEN s = '' THEN ['Empty SQL query'] ELSE list_concat(
-           list_filter([CASE WHEN instr(s, ';') > 0 THEN {q("Multiple SQL statements are not allowed (semicolons found in query body)")} END,
-                        CASE WHEN first_word NOT IN ('SELECT', 'WITH') THEN 'Only SELECT queries are allowed. Found: ' || first_word END,
-                        CASE WHEN len(kw) > 0 THEN 'Forbidden SQL keywords found: ' || array_to_string(kw, ', ') END],
+         CASE WHEN s = '' THEN [{q(F_.MSG_EMPTY_SQL)}] ELSE list_concat(
+           list_filter([CASE WHEN instr(s, ';') > 0 THEN {q(F_.MSG_MULTIPLE_STATEMENTS)} END,
+                        CASE WHEN first_word NOT IN ('SELECT', 'WITH') THEN printf({q(F_.MSG_ONLY_SELECT)}, first_word) END,
+                        CASE WHEN len(kw) > 0 THEN printf({q(F_.MSG_FORBIDDEN_KEYWORDS)}, array_to_string(kw, ', ')) END],
                        lambda e: e IS NOT NULL),
            list_transform(list_filter(table_refs, lambda t: NOT list_contains({sql_list(ALLOWED_TABLES)}, lower(t))
                                                       AND NOT list_contains(cte_names, lower(t))),
-                          lambda t: 'Table ''' || t || {q("' is not in the approved list. Allowed: " + allowed_text)}))
+                          lambda t: printf({q(F_.MSG_TABLE_NOT_APPROVED)}, t, {q(allowed_text)})))
          END AS errors,
          CASE WHEN s = '' THEN ''
               WHEN list_contains(list_transform({word_runs_sql('s')}, lambda x: upper(x)), 'LIMIT') THEN s
@@ -413,12 +414,12 @@ def _analysis_texts_cte() -> str:
                 "FROM fact_orders_enriched '")
     where = f"'WHERE order_date BETWEEN ''' || {bs} || ''' AND ''' || {e} || ''' '"
     parts = [f"""SELECT case_id, 1 AS seq, 'q_aggregate' AS query_id,
-      'Aggregate ' || kpi_mention || ' for anomaly vs baseline window' AS purpose,
+      printf({q(F_.TXT_PURPOSE_AGGREGATE)}, kpi_mention) AS purpose,
       'daily_kpi_summary' AS target_view,
       'SELECT ' || {label} || {measures} || {where} || 'GROUP BY time_window' AS sql FROM cm"""]
     for i, d in enumerate(("channel", "region")):
         parts.append(f"""SELECT case_id, {i + 2} AS seq, 'q_by_{d}' AS query_id,
-      'Break down ' || kpi_mention || ' by {d}' AS purpose, 'fact_orders_enriched' AS target_view,
+      printf({q(F_.TXT_PURPOSE_BREAKDOWN)}, kpi_mention, '{d}') AS purpose, 'fact_orders_enriched' AS target_view,
       'SELECT {d}, ' || {label} || {measures} || {where} ||
       'GROUP BY {d}, time_window ORDER BY gmv DESC NULLS LAST' AS sql FROM cm""")
     union = "\n  UNION ALL ".join(parts)
@@ -467,12 +468,12 @@ def decision_ctes() -> str:
     dims = "[" + ", ".join(f"'{d}'" for d in DIMENSIONS) + "]"
     ev = f"""ev1 AS (
   SELECT case_id, CAST(seq AS BIGINT) AS seq, 'sql_' || query_id AS evidence_id, 'sql_result' AS source_type,
-         query_id AS source_ref, printf('%s — %d rows returned', purpose, row_count) AS description,
+         query_id AS source_ref, printf({q(F_.TXT_SQL_EVIDENCE)}, purpose, row_count) AS description,
          TRUE AS supports_conclusion, 'medium' AS strength FROM runlog WHERE success
   UNION ALL
   SELECT s.case_id, CAST(10 + 2 * list_position({dims}, s.dimension) AS BIGINT), 'analysis_' || s.dimension,
          'analysis', 'contribution_' || s.dimension,
-         printf('%s analysis: top driver is ''%s'' with %s%% contribution (%s%% change). Concentrated: %s',
+         printf({q(F_.TXT_ANALYSIS_EVIDENCE)},
                 s.dimension, s.dimension_value, {fmt_fixed('s.contribution_pct', 1)},
                 {fmt_fixed('s.percent_change', 1, True)},
                 CASE WHEN k.concentrated THEN 'True' ELSE 'False' END),
@@ -481,9 +482,9 @@ def decision_ctes() -> str:
   UNION ALL
   SELECT case_id, CAST(11 + 2 * list_position({dims}, dimension) AS BIGINT),
          'caveat_' || dimension || '_sample_size', 'analysis', 'sample_check_' || dimension,
-         'Sample size warning: ' || string_agg(
-            printf('Small sample: %s (baseline=%d, anomaly=%d)', dimension_value, sample_size_baseline,
-                   sample_size_anomaly), '; ' ORDER BY driver_rank),
+         printf({q(F_.TXT_SAMPLE_WARNING)}, string_agg(
+            printf({q(F_.TXT_SMALL_SAMPLE)}, dimension_value, sample_size_baseline,
+                   sample_size_anomaly), '; ' ORDER BY driver_rank)),
          FALSE, 'low'
   FROM slices WHERE sample_size_anomaly < 30 OR sample_size_baseline < 30 GROUP BY case_id, dimension
   UNION ALL
@@ -516,19 +517,19 @@ counts AS (
     evidence = """evidence AS (
   SELECT e.*, CAST(p AS BIGINT) AS pass_no
   FROM ev1 e JOIN counts c ON e.case_id = c.case_id, unnest(range(1, c.passes + 1)) AS u(p))"""
-    checks = """checks AS (
+    checks = f"""checks AS (
   SELECT case_id, CAST(1 AS BIGINT) AS check_no, 'sql_evidence_exists' AS check_name, n_sql_ok > 0 AS passed,
-         printf('%d successful SQL queries out of %d', n_sql_ok, n_sql) AS detail FROM counts
+         printf({q(F_.TXT_CHECK_SQL)}, n_sql_ok, n_sql) AS detail FROM counts
   UNION ALL SELECT case_id, 2, 'analysis_results_exist', n_analyses > 0,
-         printf('%d analysis results produced', n_analyses) FROM counts
+         printf({q(F_.TXT_CHECK_ANALYSES)}, n_analyses) FROM counts
   UNION ALL SELECT case_id, 3, 'supporting_evidence', n_support1 * passes >= 2,
-         printf('%d supporting evidence items', n_support1 * passes) FROM counts
+         printf({q(F_.TXT_CHECK_SUPPORT)}, n_support1 * passes) FROM counts
   UNION ALL SELECT case_id, 4, 'concentrated_driver_found', any_concentrated,
-         CASE WHEN any_concentrated THEN 'Concentrated driver found'
-              ELSE 'No single dominant driver — movement may be diffuse' END FROM counts
+         CASE WHEN any_concentrated THEN {q(F_.TXT_CHECK_CONCENTRATED)}
+              ELSE {q(F_.TXT_CHECK_DIFFUSE)} END FROM counts
   UNION ALL SELECT case_id, 5, 'sample_size_adequate', n_warn1 * passes = 0,
-         CASE WHEN n_warn1 * passes > 0 THEN printf('%d sample size warnings', n_warn1 * passes)
-              ELSE 'All slices have adequate sample sizes' END FROM counts)"""
+         CASE WHEN n_warn1 * passes > 0 THEN printf({q(F_.TXT_CHECK_WARNINGS)}, n_warn1 * passes)
+              ELSE {q(F_.TXT_CHECK_SAMPLES_OK)} END FROM counts)"""
     verdict = """verdict0 AS (
   SELECT c.*, p.checks_passed, p.checks_total,
     CASE WHEN p.checks_passed >= 4 THEN 'high' WHEN p.checks_passed >= 3 THEN 'medium'
@@ -557,13 +558,13 @@ verdict2 AS (
     found = f"""found AS (
   SELECT v.*, b.dimension, b.dimension_value, b.percent_change, b.contribution_pct,
     CASE WHEN b.dimension IS NOT NULL THEN printf(
-      'The %s movement is primarily driven by ''%s'' in the %s dimension (%s%% change, %s%% contribution).',
+      {q(F_.TXT_FINDING)},
       v.kpi_name, b.dimension_value, b.dimension, {fmt_fixed('b.percent_change', 1, True)},
       {fmt_fixed('b.contribution_pct', 1)}) END AS primary_finding,
     CASE WHEN b.dimension IS NOT NULL THEN printf(
-      'Evidence suggests the %s anomaly is primarily driven by changes in ''%s'' (%s). This slice accounts for %s%% of the total movement. Confidence: %s.',
+      {q(F_.TXT_CONCLUSION)},
       v.kpi_name, b.dimension_value, b.dimension, {fmt_fixed('b.contribution_pct', 1)}, v.confidence)
-    ELSE printf('The %s movement could not be attributed to a single dominant driver. The change appears diffuse across multiple dimensions. Confidence: inconclusive.', v.kpi_name)
+    ELSE printf({q(F_.TXT_CONCLUSION_DIFFUSE)}, v.kpi_name)
     END AS conclusion,
     CASE WHEN b.dimension IS NOT NULL THEN coalesce(e.ids, []) END AS finding_evidence_ids,
     CASE WHEN b.dimension IS NOT NULL THEN

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kpiscope import oracle as O
+from kpiscope.functions.fixed import TXT_CONCENTRATION, TXT_NO_CHANGE, TXT_SMALL_SAMPLE
 from kpiscope.operators import compare as C
 from kpiscope.operators.windows import with_baseline
 from kpiscope.plans import base as B
@@ -113,8 +114,8 @@ def _conc_sql(n: int) -> str:
     return O.slice_base() + f"""SELECT case_id, dimension, CAST({n} AS BIGINT) AS top_n,
   {O.round2('top_sum')} AS top_n_contribution_pct, total_slices, top_sum > 50.0 AS concentrated,
   top_slices,
-  CASE WHEN top_sum > 0 THEN printf('Top %d slice(s) explain %s%% of total change', {n}, {O.fmt_fixed('top_sum', 1)})
-       ELSE 'No significant change detected' END AS detail
+  CASE WHEN top_sum > 0 THEN printf({O.q(TXT_CONCENTRATION)}, {n}, {O.fmt_fixed('top_sum', 1)})
+       ELSE {O.q(TXT_NO_CHANGE)} END AS detail
 FROM (
   SELECT case_id, dimension,
          sum(CASE WHEN crank <= {n} THEN abs(contribution_pct) END) AS top_sum,
@@ -141,9 +142,9 @@ def _conc(spark, sf, n):
     return c.withColumn("top_n", F.col("top_n").cast("bigint"))
 
 
-@register("small_sample_flags", O.slice_base() + """SELECT case_id, dimension, dimension_value,
+@register("small_sample_flags", O.slice_base() + f"""SELECT case_id, dimension, dimension_value,
   driver_rank, sample_size_baseline, sample_size_anomaly,
-  printf('Small sample: %s (baseline=%d, anomaly=%d)', dimension_value, sample_size_baseline, sample_size_anomaly) AS flag
+  printf({O.q(TXT_SMALL_SAMPLE)}, dimension_value, sample_size_baseline, sample_size_anomaly) AS flag
 FROM slices WHERE sample_size_anomaly < 30 OR sample_size_baseline < 30""")
 def small_sample_flags(spark, sf):
     f = C.small_sample_flags(B.slices(spark, sf))

@@ -39,16 +39,31 @@ def scan_orders_canonical(spark, sf):
 
 
 # ----------------------------------------------------------------- V0
-@register("default_baseline", O.with_(O.cases_cte()) +
-          "SELECT case_id, kpi_name, affected_start_date, affected_end_date, baseline_start, "
-          "baseline_end, CAST(baseline_days AS BIGINT) AS baseline_days, "
-          "CAST(anomaly_days AS BIGINT) AS anomaly_days FROM casesd")
+@register("default_baseline", O.with_(O.STAR, O.cases_cte(), O.CALENDAR, O.cube_cte()) + """SELECT c.case_id,
+  c.kpi_name, c.affected_start_date, c.affected_end_date, c.baseline_start, c.baseline_end,
+  CAST(c.baseline_days AS BIGINT) AS baseline_days, CAST(c.anomaly_days AS BIGINT) AS anomaly_days,
+  CAST(coalesce(w.bl, 0) AS BIGINT) AS baseline_orders, CAST(coalesce(w.an, 0) AS BIGINT) AS anomaly_orders
+FROM casesd c LEFT JOIN (
+  SELECT k.case_id, sum(CASE WHEN k.win = 'baseline' THEN cb.n_rows END) AS bl,
+         sum(CASE WHEN k.win = 'anomaly' THEN cb.n_rows END) AS an
+  FROM cube cb JOIN cal k ON cb.order_date = k.order_date WHERE cb.dimension = '__total__'
+  GROUP BY k.case_id) w ON c.case_id = w.case_id""")
 def default_baseline(spark, sf):
-    c = with_baseline(B.incidents(spark))
-    return c.select("case_id", "kpi_name", "affected_start_date", "affected_end_date",
-                    "baseline_start", "baseline_end",
-                    F.col("baseline_days").cast("bigint").alias("baseline_days"),
-                    F.col("anomaly_days").cast("bigint").alias("anomaly_days"))
+    """V0: filled-in baseline windows, with the orders each window holds."""
+    from kpiscope.operators.windows import join_calendar, window_calendar
+    cases = B.incidents(spark)
+    c = with_baseline(cases)
+    cube = B.cube(spark, sf).where(F.col("dimension") == C.TOTAL)
+    j = join_calendar(cube, window_calendar(cases), cases)
+    w = j.groupBy("case_id").agg(
+        F.sum(F.when(F.col("window") == "baseline", F.col("n_rows"))).alias("bl"),
+        F.sum(F.when(F.col("window") == "anomaly", F.col("n_rows"))).alias("an"))
+    return c.join(w, "case_id", "left").select(
+        "case_id", "kpi_name", "affected_start_date", "affected_end_date", "baseline_start", "baseline_end",
+        F.col("baseline_days").cast("bigint").alias("baseline_days"),
+        F.col("anomaly_days").cast("bigint").alias("anomaly_days"),
+        F.coalesce("bl", F.lit(0)).cast("bigint").alias("baseline_orders"),
+        F.coalesce("an", F.lit(0)).cast("bigint").alias("anomaly_orders"))
 
 
 # ----------------------------------------------------------------- A11 / W1 / W2

@@ -100,3 +100,18 @@ def summary(inv: Investigation, cases: DataFrame) -> DataFrame:
         F.array_join("review_reasons", ",").alias("review_reasons"), "review_status", "passes",
         (F.col("n_support1") * F.col("passes")).alias("n_supporting"),
         "primary_finding", "conclusion")
+
+
+def investigate_cases(spark, sf_dir: str, cases: DataFrame, mode: str = "raw",
+                      auto_approve: bool = True) -> tuple[Investigation, DataFrame]:
+    """Investigate an incident DataFrame (e.g. from ``load_cases``) end to end:
+    the fact scan is limited to the incidents' date range, then ``investigate``.
+    Returns the investigation and its one-row-per-incident summary."""
+    from kpiscope.operators.compare import daily_cube
+    from kpiscope.operators.windows import window_bounds_of
+    from kpiscope.sources.binding import canonical_orders
+
+    lo, hi = window_bounds_of(cases)
+    cube = daily_cube(canonical_orders(spark, sf_dir), lo=lo, hi=hi)
+    inv = investigate(cube, cases, mode=mode, auto_approve=auto_approve)
+    return inv, summary(inv, cases)

@@ -40,11 +40,10 @@ class Investigation:
 
 
 def run_log(cube: DataFrame, cases: DataFrame) -> DataFrame:
-    """The three analysis queries per incident, audited, with the row
-    count their result has (computed by the batched A8 / A9 jobs)."""
+    """The three analysis queries per incident, audited, with the number
+    of rows their result has (its (slice, label) groups with data, from one
+    labelled-calendar aggregate over the daily cube for all incidents)."""
     texts = AU.validate(AU.analysis_sql_texts(with_baseline(cases)))
-    # result rows of each query = its (slice, label) groups with data: one
-    # labelled-calendar aggregate serves the aggregate and both breakdowns
     dims = ["channel", "region"]
     cal = label_calendar(cases)
     j = join_calendar(cube.where(F.col("dimension").isin(TOTAL, *dims)), cal, cases)

@@ -16,6 +16,8 @@ dimension ``__total__`` of the same cube.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,10 @@ _MEASURE_INPUTS = ["order_total", "is_refunded", "is_cancelled", "is_pending", "
 
 
 def existing_dimensions(fact: DataFrame, dims) -> list[str]:
-    """Keep requested dimensions that exist in the fact."""
+    """Keep requested dimensions that exist in the fact; warn on the rest."""
+    missing = [d for d in dims if d not in fact.columns]
+    if missing:
+        logging.getLogger("kpiscope").warning("dimensions not found, skipped: %s", ", ".join(missing))
     return [d for d in dims if d in fact.columns]
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+log = logging.getLogger("kpiscope")
+
 L, I, D, S, TS = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
 
 
@@ -48,6 +51,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = SCHEMAS[name]
     path = table_path(sf_dir, name)
     if not os.path.exists(path) and "://" not in path:
+        log.warning("table %s not found at %s: using an empty table", name, path)
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

@@ -467,6 +467,21 @@ def query_run_stats(spark, sf):
                     .alias("failures_total"))
 
 
+@register("query_run_log", O.decision_base() + """SELECT case_id, CAST(seq AS BIGINT) AS seq, query_id, purpose,
+  target_view, success, row_count, CAST(least(row_count, 10) AS BIGINT) AS rows_shown,
+  CAST(greatest(row_count - 10, 0) AS BIGINT) AS rows_more, error FROM runlog""")
+def query_run_log(spark, sf):
+    """G4 + O5: every analysis query of every incident with its verdict, row
+    count, the rows a report shows (first 10) and the count of the rest."""
+    inv, _ = _inv(spark, sf)
+    r = inv.run_log
+    return r.select("case_id", F.col("seq").cast("bigint").alias("seq"), "query_id", "purpose",
+                    "target_view", "success", "row_count",
+                    F.least("row_count", F.lit(10)).cast("bigint").alias("rows_shown"),
+                    F.greatest(F.col("row_count") - 10, F.lit(0)).cast("bigint").alias("rows_more"),
+                    "error")
+
+
 @register("evidence_registry", O.decision_base() + """SELECT case_id, pass_no, seq, evidence_id, source_type,
   source_ref, description, supports_conclusion, strength FROM evidence""")
 def evidence_registry(spark, sf):

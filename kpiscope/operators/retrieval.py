@@ -118,7 +118,8 @@ class BM25Index:
         self.keys = list(key_cols)
         keep = materialize if materialized else (lambda df, _name: df)
         post = keep(postings(chunks, self.keys), "bm25_postings")
-        self.lengths = post.groupBy(*self.keys).agg(F.max("dl").alias("dl"))
+        # one row per chunk: its length and section name
+        self.lengths = post.groupBy(*self.keys, "section").agg(F.max("dl").alias("dl"))
         row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
         self.n_docs, total = int(row["n"]), int(row["total"] or 0)
         self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
@@ -137,7 +138,7 @@ class BM25Index:
         # measured small, else AQE splits the hot postings partition
         idf = F.broadcast(idf) if int(st["v"]) <= BROADCAST_IDF_TERMS else idf
         imp = (self.tf.join(idf, "term")
-                      .select(*self.keys, "section", "term",
+                      .select(*self.keys, "term",
                               F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint").alias("impact")))
         # impacts are read once per query batch: kept lazy (the postings they
         # come from are already materialized)
@@ -150,7 +151,7 @@ class BM25Index:
         qt = query_terms(queries, id_col, text_col)
         side = F.broadcast(qt) if qt.count() <= BROADCAST_QUERY_TERMS else qt
         hits = self.impacts.join(side, "term")
-        return (hits.groupBy("query_id", *self.keys, "section")
+        return (hits.groupBy("query_id", *self.keys)
                     .agg((F.sum(F.col("qtf") * F.col("impact")).cast("double") / F.lit(SCORE_SCALE))
                          .alias("score")))
 
@@ -159,8 +160,11 @@ class BM25Index:
         """T5: k best chunks per query, positive scores only, rounded to 4."""
         s = self.scores(queries, id_col, text_col)
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *[F.col(c) for c in self.keys])
-        r = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        return (r.where(F.col("score") > 0)
+        r = s.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > 0))
+        # section names are attached to the few ranked rows only (not carried
+        # through the scoring aggregate); the ranked side is the small one
+        names = self.lengths.select(*self.keys, "section")
+        return (r.join(names, self.keys)
                  .select("query_id", F.col("rank").cast("bigint").alias("rank"), *self.keys, "section",
                          round_to("score", 4).alias("relevance_score")))
 

@@ -54,19 +54,20 @@ def per_dimension(slices: DataFrame) -> DataFrame:
     """One row per (incident, dimension) with everything the evidence needs:
     slice count, the rank-1 driver, the A12 share of that driver, the largest
     |contribution| (the top-1 concentration test) and the small-slice flags in
-    driver order. One aggregation instead of one per use."""
-    top = F.col("driver_rank") == 1
+    driver order. Numeric aggregates are hash-aggregated; the rank-1 driver's
+    text comes from its own row (one per group), not from a string max."""
     small = (F.col("sample_size_anomaly") < MIN_SLICE_SAMPLE) | (F.col("sample_size_baseline") < MIN_SLICE_SAMPLE)
     flag = F.format_string(TXT_SMALL_SAMPLE, F.col("dimension_value"),
                            F.col("sample_size_baseline"), F.col("sample_size_anomaly"))
     g = slices.groupBy("case_id", "dimension").agg(
         F.count(F.lit(1)).alias("n_slices"),
-        F.max(F.when(top, F.col("dimension_value"))).alias("top_slice"),
-        F.max(F.when(top, F.col("contribution_pct"))).alias("top_contribution_pct"),
-        F.max(F.when(top, F.col("percent_change"))).alias("top_percent_change"),
         F.max(F.abs(F.col("contribution_pct"))).alias("max_abs_contribution"),
         F.sort_array(F.collect_list(F.when(small, F.struct("driver_rank", flag.alias("flag"))))).alias("flags"))
-    return g.withColumns({
+    top = slices.where(F.col("driver_rank") == 1).select(
+        "case_id", "dimension", F.col("dimension_value").alias("top_slice"),
+        F.col("contribution_pct").alias("top_contribution_pct"),
+        F.col("percent_change").alias("top_percent_change"))
+    return g.join(top, ["case_id", "dimension"]).withColumns({
         "concentrated": round2(F.abs(F.col("top_contribution_pct"))) > F.lit(CONCENTRATION_PCT),  # A12
         "conc_top1": F.col("max_abs_contribution") > F.lit(CONCENTRATION_PCT)})
 
@@ -124,26 +125,23 @@ def pass_counts(cases: DataFrame, run_log: DataFrame, dims: DataFrame, ev1: Data
     (one shuffle instead of three aggregations and three joins)."""
     z, one = F.lit(0), F.lit(1)
     flag = lambda c: F.when(c, one).otherwise(z)
-    cols = ["kpi_name", "q", "q_ok", "an", "conc", "sup", "warn"]
+    cols = ["q", "q_ok", "an", "conc", "sup", "warn"]
 
-    def rows(df, kpi, q, q_ok, an, conc, sup, warn):
-        vals = [kpi, q, q_ok, an, conc, sup, warn]
+    def rows(df, *vals):
         return df.select("case_id", *[v.alias(n) for v, n in zip(vals, cols)])
 
-    none = F.lit(None).cast("string")
-    stacked = (rows(cases, F.col("kpi_name"), z, z, z, z, z, z)
-               .unionByName(rows(run_log, none, one, flag(F.col("success")), z, z, z, z))
-               .unionByName(rows(dims, none, z, z, one, flag(F.col("concentrated")), z, z))
-               .unionByName(rows(ev1, none, z, z, z, z, flag(F.col("supports_conclusion")),
+    stacked = (rows(run_log, one, flag(F.col("success")), z, z, z, z)
+               .unionByName(rows(dims, z, z, one, flag(F.col("concentrated")), z, z))
+               .unionByName(rows(ev1, z, z, z, z, flag(F.col("supports_conclusion")),
                                  flag(F.lower("description").contains("sample size")))))
-    c = (stacked.groupBy("case_id")
-                .agg(F.max("kpi_name").alias("kpi_name"),
-                     F.sum("q").cast("bigint").alias("n_sql"), F.sum("q_ok").cast("bigint").alias("n_sql_ok"),
-                     F.sum("an").cast("bigint").alias("n_analyses"),
-                     (F.max("conc") == 1).alias("any_concentrated"),
-                     F.sum("sup").cast("bigint").alias("n_support1"),
-                     F.sum("warn").cast("bigint").alias("n_warn1"))
-                .join(cases.select("case_id"), "case_id", "left_semi"))
+    sums = stacked.groupBy("case_id").agg(
+        F.sum("q").alias("n_sql"), F.sum("q_ok").alias("n_sql_ok"), F.sum("an").alias("n_analyses"),
+        F.max("conc").alias("conc"), F.sum("sup").alias("n_support1"), F.sum("warn").alias("n_warn1"))
+    c = cases.select("case_id", "kpi_name").join(sums, "case_id", "left")
+    c = c.select("case_id", "kpi_name",
+                 *[F.coalesce(F.col(n), z).cast("bigint").alias(n)
+                   for n in ["n_sql", "n_sql_ok", "n_analyses", "n_support1", "n_warn1"]],
+                 (F.coalesce(F.col("conc"), z) == 1).alias("any_concentrated"))
     if elapsed is not None:
         c = c.join(elapsed, "case_id", "left").withColumn(
             "elapsed_seconds", F.coalesce(F.col("elapsed_seconds"), F.lit(0.0)))

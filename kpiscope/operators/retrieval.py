@@ -119,12 +119,16 @@ class BM25Index:
         keep = materialize if materialized else (lambda df, _name: df)
         post = keep(postings(chunks, self.keys), "bm25_postings")
         # one row per chunk: its length and section name
-        self.lengths = post.groupBy(*self.keys, "section").agg(F.max("dl").alias("dl"))
+        # small per-chunk and per-term tables used by the statistics below and
+        # again by every query: kept in the cache (lineage from the
+        # materialized postings stays, so a lost executor recomputes cheaply)
+        self.lengths = post.groupBy(*self.keys, "section").agg(F.max("dl").alias("dl")).persist()
         row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
         self.n_docs, total = int(row["n"]), int(row["total"] or 0)
         self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
         self.tf = post.where(F.col("term").isNotNull())
-        raw = idf_table(self.tf, self.n_docs)
+        raw = idf_table(self.tf, self.n_docs).persist()
+        self._raw_idf = raw
         st = raw.agg(F.avg("raw_idf").alias("m"), F.count(F.lit(1)).alias("v")).first()
         self.eps = BM25_EPSILON * float(st["m"]) if st["m"] is not None else 0.0
         self.idf = final_idf(raw, self.eps)
@@ -144,6 +148,11 @@ class BM25Index:
         # come from are already materialized)
         self.impacts = imp
 
+    def release(self) -> None:
+        """Drop the cached per-chunk and per-term tables."""
+        self.lengths.unpersist()
+        self._raw_idf.unpersist()
+
     def scores(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
         """T4: score of every chunk sharing a term with the query (others score
         0 and never rank above a positive score). The query-term side is

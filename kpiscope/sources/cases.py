@@ -118,8 +118,25 @@ def case_rows(cases=None) -> list[dict]:
     return rows
 
 
+def calendar_size(cases=None) -> int:
+    """Rows of the day calendar (baseline + anomaly days) of a driver-side list."""
+    n = 0
+    for r in case_rows(cases):
+        start, end = r["affected_start_date"], r["affected_end_date"]
+        days = (end - start).days + 1
+        if r["baseline_start"] is None or r["baseline_end"] is None:
+            n += max(days, 14) + days
+        else:
+            n += (r["baseline_end"] - r["baseline_start"]).days + 1 + days
+    return n
+
+
 def cases_frame(spark: SparkSession, cases=None) -> DataFrame:
-    return spark.createDataFrame(case_rows(cases), CASE_SCHEMA)
+    """Incident table from a driver-side list; its calendar size is known
+    exactly here, so the broadcast size check needs no job."""
+    df = spark.createDataFrame(case_rows(cases), CASE_SCHEMA)
+    df._calendar_rows = calendar_size(cases)
+    return df
 
 
 def window_bounds(cases=None) -> tuple[dt.date, dt.date]:

@@ -11,7 +11,8 @@ from helpers import digest
 KEYS = ["scan_orders_canonical", "contribution_multi_dim", "kpi_by_dim_governed", "window_compare_mean",
         "daily_kpi_summary", "fact_orders_enriched", "refund_summary", "agg_by_dim_window",
         "aov_median", "bm25_topk", "sql_audit", "cause_tokens", "scenario_whatif", "dq_rules",
-        "investigate_all", "evidence_registry", "grade_cases", "report_driver_rows"]
+        "investigate_all", "evidence_registry", "grade_cases", "report_driver_rows",
+        "default_baseline", "query_run_log", "case_subset"]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "benchmark"]
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiscope.llm.common import table
+from kpiscope.llm.decontam import decontamination
 from kpiscope.llm.license_scan import license_scan
+from kpiscope.llm.packing import pack
 from kpiscope.llm.pii import find_pii
 from kpiscope.llm.simhash import near_duplicates
 from kpiscope.llm.toxicity import toxicity
@@ -21,6 +23,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SHINGLE_WORDS, MAX_BITS = 3, 3     # contract of the SimHash operator and of its pipeline stage
 
 
@@ -41,5 +56,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op6_simhash, op7_toxicity, op8_pii, op9_license_scan)}
+    f.__name__: f for f in (op1_url_filter, op4_packing, op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan)}
 ORACLE: dict[str, str] = {}

@@ -221,7 +221,7 @@ def near_links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     pieces = F.create_map(*[F.lit(v) for leaf, n in sorted(parts.items()) for v in (leaf, n)])
     chunks = placed.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), pieces[F.col("leaf")]))
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         """One row for the chunk itself, and one for each later chunk with the rows that reach it."""
         leaf, part = int(key[0]), int(key[1])
         own = np.sort(frame["fp"].to_numpy(np.int64).view(np.uint64))

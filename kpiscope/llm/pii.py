@@ -376,7 +376,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def masked_texts(model: Field):
     """A column function: texts with every base and added span masked; null stays null."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(column: pd.Series) -> pd.Series:
         def one(text):
             if text is None:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kpiscope.llm.common import table
 from kpiscope.llm.decontam import decontamination
+from kpiscope.llm.html_extract import extract
 from kpiscope.llm.license_scan import license_scan
 from kpiscope.llm.packing import pack
 from kpiscope.llm.pii import find_pii
+from kpiscope.llm.quality import quality
 from kpiscope.llm.simhash import near_duplicates
 from kpiscope.llm.toxicity import toxicity
 from kpiscope.llm.url_filter import judge_urls
@@ -23,6 +25,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -56,5 +66,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op4_packing, op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan)}
+    f.__name__: f for f in (op1_url_filter, op2_quality, op3_html_extraction, op4_packing, op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan)}
 ORACLE: dict[str, str] = {}

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,24 +50,12 @@ def training_docs(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return texts(docs).join(chosen, "doc_id")
 
 
-def sized_batches(batches: Iterator[pd.DataFrame], column: str, size: int) -> Iterator[pd.DataFrame]:
-    """Regroup frames so that each holds about ``size`` characters of a text column."""
-    held: list[pd.DataFrame] = []
-    total = 0
-    for frame in batches:
-        if not len(frame):
-            continue
-        ends = np.cumsum(frame[column].str.len().to_numpy()) + total
-        first = 0
-        for cut in np.flatnonzero(np.diff(ends // size, prepend=total // size)):
-            held.append(frame.iloc[first:cut + 1])
-            yield pd.concat(held, ignore_index=True)
-            held, first = [], int(cut) + 1
-        if first < len(frame):
-            held.append(frame.iloc[first:])
-        total = int(ends[-1]) % size if held else 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def with_text(rows: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
+    """The documents held in column ``row`` with a new text, and its length in n_chars."""
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def sigmoid(z):

@@ -31,8 +31,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kpiscope.llm.common import WORD_BYTES, ascii_words, sized_batches, texts
+from kpiscope.llm.common import WORD_BYTES, ascii_words, texts, with_text
 
 WINDOW = 10
 SHARD_CHARS = 8_000_000      # characters of a training shard, about (a longer text is a shard alone)
@@ -231,7 +232,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 # -------------------------------------------------------------------- operator
-HITS = "n_words long, spans array<struct<first: long, after: long>>, items array<string>"
+LEAKS = T.StructType([
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("clean", T.StringType())])
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
@@ -246,59 +251,70 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
         yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] or "", r[1]))
 
 
-def _search_block(frame: DataFrame, block: Phrases, shard_chars: int, text: str, more: list[str]) -> DataFrame:
-    """Adds this block's spans and items to the columns of the blocks before."""
-    shared = frame.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases = shared.value
-        for b in sized_batches(batches, text, shard_chars):
-            words = [ascii_words(t) for t in b[text]]
-            doc, first, phrase = shard_hits(words, phrases)
-            by = np.argsort(doc, kind="stable")
-            doc, first, phrase = doc[by], first[by], phrase[by]
-            at = np.searchsorted(doc, np.arange(len(words) + 1))
-            spans, items = [], []
-            for i, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
-                old, held = b["spans"].iloc[i], set(b["items"].iloc[i])
-                if lo == hi:
-                    spans.append(old)
-                    items.append(sorted(held))
-                    continue
-                seen = np.unique(phrase[lo:hi])
-                held.update(*(phrases.items[p] for p in seen))
-                s = np.concatenate([first[lo:hi], [o["first"] for o in old]]).astype(np.int64)
-                e = np.concatenate([first[lo:hi] + phrases.sizes[phrase[lo:hi]], [o["after"] for o in old]]).astype(np.int64)
-                spans.append([{"first": x, "after": y} for x, y in merged(s, e)])
-                items.append(sorted(held))
-            out = b[more].copy()
-            out["n_words"] = [len(w) for w in words]
-            out["spans"], out["items"] = spans, items
-            yield out
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in more)
-    return frame.mapInPandas(run, f"{kept}, {HITS}")
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS,
-               block_chars: int = BLOCK_CHARS, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, spans, items`` (and ``text``) of every row; spans are merged word intervals."""
-    nothing = [F.array().cast("array<struct<first: bigint, after: bigint>>").alias("spans"),
-               F.array().cast("array<string>").alias("items")]
-    frame = texts(docs).select("doc_id", "text", *nothing)
-    blocks = [phrases_of(b, window) for b in _blocks(benchmark, block_chars)]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        frame = _search_block(frame, block, shard_chars, "text", ["doc_id", "text"] if keep_text or not last else ["doc_id"])
-    return frame
+def shard_leaks(docs: list[str], blocks: list) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+    """(words, merged spans, items) of each text of a shard, over all blocks of test phrases."""
+    words = [ascii_words(t) for t in docs]
+    found: dict[int, tuple[list, list, set]] = {}
+    for shared in blocks:
+        block = shared.value
+        doc, first, phrase = shard_hits(words, block)
+        by = np.argsort(doc, kind="stable")
+        doc, first, phrase = doc[by], first[by], phrase[by]
+        for part in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
+            if len(part):
+                starts, ends, items = found.setdefault(int(doc[part[0]]), ([], [], set()))
+                starts.append(first[part])
+                ends.append(first[part] + block.sizes[phrase[part]])
+                items.update(*(block.items[p] for p in np.unique(phrase[part])))
+    for i, w in enumerate(words):
+        if i in found:
+            starts, ends, items = found[i]
+            yield len(w), merged(np.concatenate(starts), np.concatenate(ends)), sorted(items)
+        else:
+            yield len(w), [], []
+
+
+def leak_column(benchmark: DataFrame, window: int = WINDOW, shard_chars: int = SHARD_CHARS,
+                block_chars: int = BLOCK_CHARS, cleaned: bool = False):
+    """A column function of texts: their words, merged word intervals and items, and, if asked for,
+    the text without those intervals (null where there are none)."""
+    context = benchmark.sparkSession.sparkContext
+    blocks = [context.broadcast(phrases_of(b, window)) for b in _blocks(benchmark, block_chars)]
+
+    @F.pandas_udf(LEAKS)
+    def run(column: pd.Series) -> pd.DataFrame:
+        texts_ = [t or "" for t in column]
+        shard_of = np.cumsum([len(t) for t in texts_]) // shard_chars
+        rows = []
+        for part in np.split(np.arange(len(texts_)), np.flatnonzero(np.diff(shard_of)) + 1):
+            own = [texts_[i] for i in part]
+            for text, (n, spans, items) in zip(own, shard_leaks(own, blocks)):
+                rows.append((n, [{"first": a, "after": b} for a, b in spans], items,
+                             without_spans(text, spans) if cleaned and spans else None))
+        return pd.DataFrame(rows, columns=LEAKS.names)
+
+    return run
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Words, hits, items and their digest for every row."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
-    return find_leaks(docs, benchmark, window).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    own = texts(docs)
+    found = own.select("doc_id", leak_column(benchmark, window)("text").alias("leak"))
+    n_hit = F.aggregate("leak.spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    return found.select(
+        "doc_id", F.col("leak.n_words").alias("n_words"), n_hit.alias("n_hit"),
+        F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("leak.items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, all columns, with test passages cut out of their texts; a document that
+    holds nothing else goes."""
+    found = docs.select(F.struct("*").alias("row"), leak_column(benchmark, window, cleaned=True)(
+        F.col("text").cast("string")).alias("leak"))
+    clean = F.col("leak.clean")
+    left = F.length(F.regexp_replace(clean, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "")) > 0
+    return with_text(found.where(clean.isNull() | left), F.coalesce(clean, F.col("row.text")), docs)
 
 
 def word_places(text: str) -> list[tuple[int, int]]:

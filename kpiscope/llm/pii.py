@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiscope.llm.common import texts
+from kpiscope.llm.common import texts, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -386,3 +386,10 @@ def masked_texts(model: Field):
             return mask(text, base + added) if base or added else text
         return column.map(one, na_action="ignore")
     return run
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with every found span masked."""
+    own = docs.select(F.struct("*").alias("row"), masked_texts(train_field(texts(docs)))(
+        F.col("text").cast("string")).alias("masked"))
+    return with_text(own, F.col("masked"), docs)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kpiscope.llm.ann import nearest
 from kpiscope.llm.common import table
 from kpiscope.llm.decontam import decontamination
 from kpiscope.llm.html_extract import extract
@@ -65,6 +66,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_quality, op3_html_extraction, op4_packing, op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan)}
+    f.__name__: f for f in (op1_url_filter, op2_quality, op3_html_extraction, op4_packing,
+                            op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan,
+                            op10_nearest_neighbours)}
 ORACLE: dict[str, str] = {}

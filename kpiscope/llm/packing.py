@@ -43,7 +43,7 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 POOR_FILL = 0.97        # bins below are packed again together with those of other shards
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 
 
 # --------------------------------------------------------------------- tokens
@@ -52,7 +52,7 @@ class WordTokens:
 
     A word of letters is one pre-token, and so is a run of signs after it. Unknown letter words
     are encoded together, as one line: the last id of each carries the word-end mark. Other
-    unknown words are encoded one by one. The cache keeps two generations of bounded size.
+    unknown words are encoded one by one. A full cache is emptied.
     """
 
     SIGNS = ".,;:!?%&$*#|()[]{}<>=+-/\"~^@"
@@ -64,59 +64,49 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        letters = [w for w in words if w.isalpha()]
-        others = [w for w in words if not w.isalpha()]
-        out = {}
-        for at in range(0, len(letters), 20_000):
-            part = letters[at:at + 20_000]
+
+    def _encode_letters(self, words: list[str]) -> None:
+        """Cache words of letters, encoded as lines of many words."""
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):                     # not one pre-token each: take them singly
-                others += part
+                self._encode_others(part)
                 continue
             raw, stops = ids.tobytes(), (stops * 4).tolist()
-            out.update((w, raw[lo:hi]) for w, lo, hi in zip(part, [0, *stops], stops))
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return out
+            self.cache.update(zip(part, [raw[lo:hi] for lo, hi in zip([0, *stops], stops)]))
+
+    def _encode_others(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {"": b""}
-        cache, old = self.cache, self.old
-        split: dict[str, tuple[str, str]] = {}
-        wanted: set[str] = set()
-        for w in missing:
-            if (known := old.get(w)) is not None:
-                cache[w] = known
-                continue
+        cache = self.cache
+        letters = {w for w in missing if w.isalpha()}
+        signed, others = [], []
+        for w in missing - letters:
             stem = w.rstrip(self.SIGNS)
-            if not stem.isalpha():
-                stem, sign = w, ""
+            if stem and stem.isalpha():
+                signed.append((w, stem, w[len(stem):]))
             else:
-                sign = w[len(stem):]
-                if stem.isascii():
-                    stem = stem.lower()
-            split[w] = stem, sign
-            wanted.update((stem, sign))
-        ids = self._encode([w for w in wanted if w not in cache])
-        cache.update(ids)
-        cache.update((w, cache[stem] + cache[sign]) for w, (stem, sign) in split.items())
+                others.append(w)
+        letters.update([stem for _, stem, _ in signed])
+        self._encode_letters([w for w in letters if w not in cache])
+        self._encode_others(others + [s for s in {sign for _, _, sign in signed} if s not in cache])
+        for w, stem, sign in signed:
+            cache[w] = cache[stem] + cache[sign]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[bytes] = []
         for at in range(0, len(texts), 200):
             split = [t.replace("\n", " ").split(" ") for t in texts[at:at + 200]]
-            missing = set().union(*split) - self.cache.keys()
+            if len(self.cache) > CACHE_WORDS:
+                self.cache = {"": b""}
+            missing = set().union(*split).difference(self.cache)
             if missing:
                 self._learn(missing)
-                missing = set().union(*split) - self.cache.keys()   # words that a new generation left behind
-                if missing:
-                    self._learn(missing)
             get = self.cache.__getitem__
             out += [b"".join(map(get, words)) for words in split]
         return out
@@ -269,15 +259,21 @@ def best_packings(sizes: DataFrame, capacity: int, shards: int) -> DataFrame:
     state = (sizes.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
              .withColumns({"population": F.lit(None).cast("binary"), "migrant": F.lit(None).cast("binary"),
                            "settled": F.lit(False)}))
-    width = max(1, min(shards * ISLANDS, 100_000))
+    width = max(1, min(-(-shards * ISLANDS // 8), 100_000))
+    ended = []
     for epoch in range(EPOCHS):
         state = materialize(state.repartition(width, "shard", "island").mapInPandas(_epoch(capacity, epoch), STATE),
                             "packing-islands")
-        if epoch == EPOCHS - 1:
+        ended.append(state if epoch == EPOCHS - 1 else state.where("settled"))
+        open_ = state.where(~F.col("settled"))
+        if epoch == EPOCHS - 1 or open_.isEmpty():
             break
-        elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("migrant"))
-        state = state.drop("best", "score").join(elite, ["shard", "island"])
-    return state.groupBy("shard").agg(F.max_by("best", F.struct("score", (-F.col("island")).alias("i"))).alias("best"))
+        elite = open_.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("migrant"))
+        state = open_.drop("best", "score").join(elite, ["shard", "island"], "left")
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("shard").agg(F.max_by("best", F.struct("score", (-F.col("island")).alias("i"))).alias("best"))
 
 
 def _ordered(frame: pd.DataFrame) -> pd.DataFrame:

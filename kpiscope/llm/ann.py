@@ -67,7 +67,7 @@ def learn_codes(x: np.ndarray, bits: int = CODE_BITS, rounds: int = 25) -> Codes
     d = x.shape[1]
     centre = x.mean(axis=0)
     y = x - centre
-    _, axes = np.linalg.eigh(np.cov(y, rowvar=False).reshape(d, d) + 1e-12 * np.eye(d))
+    _, axes = np.linalg.eigh(y.T @ y / len(y) + 1e-12 * np.eye(d))
     axes = axes[:, ::-1][:, :min(d, bits)]
     v = y @ axes
     rng = np.random.default_rng(3)

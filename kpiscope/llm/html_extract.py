@@ -69,6 +69,8 @@ LAYOUTS = tuple(tuple(page.strip().splitlines()) for page in (
     1 article p | {_P1}
     1 article p | {_P2}
     0 article div.ad | Buy one pair of boots, get one free. Only this week!
+    1 article table tr th | Pier
+    1 article table tr td | 3
     1 article p | {_P4}
     1 article p | {_P3}
     0 article div.share | Share this story
@@ -142,6 +144,26 @@ LAYOUTS = tuple(tuple(page.strip().splitlines()) for page in (
     0 div.comments p | They should have started years ago, when it was cheap. Now everybody pays.
     0 div.modal p | Do not miss a story. Subscribe now.
     0 div.legal p | The publisher is not liable for the content of other sites.""",
+    f"""0 div.skip a | Skip to content
+    0 nav a | Home
+    0 div.breadcrumb a | Sport
+    1 main article h1 | Ten walks for the weekend
+    0 main article div.social a | Share
+    1 main article p | {_P4}
+    0 main article div.popup p | Get our stories by mail every morning, free for the first month.
+    1 main article p | {_P1}
+    0 main form.search label | Find a walk
+    0 main form p | Your name
+    0 main form p | Send
+    1 main article p | {_P3}
+    1 main article ol li | Down to the mill, then left along the water.
+    1 main article table tr td | Length
+    1 main article table tr td | 7 km
+    0 main article div#disqus p | Lovely walk, but the second stile is broken and there is a bull in the field.
+    0 main article ul.tags li a | walks
+    0 main div.promo div | Maps, half price until Sunday
+    0 aside div.recommended p | Why the market moved
+    0 footer.footer p | Terms and privacy""",
 ))
 # ---- end of fixed values ----
 
@@ -227,6 +249,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
         elif tag in BLOCK_TAGS:
+            if closing and tag != "p" and not any(t == tag for t, _ in stack):
+                continue                                # a stray end tag
             flush()
             inline.clear()
             if closing:
@@ -339,12 +363,12 @@ class ChainField:
                 flat = np.concatenate(ids)
                 g = np.zeros(len(names))
                 np.add.at(g, flat, np.repeat(y - node_p[:, 1], [len(i) for i in ids]))
-                g -= 1e-3 * w
+                g -= 1e-5 * w
                 size += g * g
-                w += 0.3 * g / np.sqrt(size)
+                w += 0.5 * g / np.sqrt(size)
                 seen = np.zeros((2, 2))
                 np.add.at(seen, (y[:-1], y[1:]), 1)
-                gt = seen - pair_p - 1e-2 * turn
+                gt = seen - pair_p - 1e-3 * turn
                 turn_size += gt * gt
                 turn += 0.3 * gt / np.sqrt(turn_size)
         self.weights = {f: float(w[i]) for f, i in index.items()}
@@ -403,15 +427,34 @@ def plain(blocks: list[Block]) -> list[Block]:
     return [Block(b.text, tuple("div" if t in SEMANTIC else t for t in b.tags), _NO_HINTS, b.linked) for b in blocks]
 
 
+def with_insertions(blocks: list[Block], labels: list[int], extra: list[Block], rng: np.random.Generator):
+    """The page with a few boilerplate blocks of the layouts inside its content."""
+    out, ys = [], []
+    for b, y in zip(blocks, labels):
+        out.append(b)
+        ys.append(y)
+        if y and rng.random() < 0.25:
+            around = b.tags[:-1]
+            for e in extra[int(rng.integers(len(extra))):][:int(rng.integers(1, 4))]:
+                out.append(Block(e.text, (*around, *(t for t in e.tags if t not in ("html", "body", "article", "main"))),
+                                 b.hints | e.hints, e.linked))
+                ys.append(0)
+    return out, ys
+
+
 def train_field(sample: list[str]) -> ChainField:
-    pages = [layout_page(p) for p in LAYOUTS]
-    pages += [(plain(b), y) for b, y in pages[3:5]]
-    pages = pages * max(3, len(sample) // (4 * len(pages)))
+    rng = np.random.default_rng(9)
+    layouts = [layout_page(p) for p in LAYOUTS]
+    extra = [b for blocks, labels in layouts for b, y in zip(blocks, labels) if not y and (
+        b.hints & _BAD_HINTS or set(b.tags) & (_OUTSIDE | {"aside"}))]
+    pages = layouts + [(plain(b), y) for b, y in layouts[3:5]]
+    pages = pages * max(10, len(sample) // len(pages))
     for k, page in enumerate(sample):
         blocks = leaf_blocks(page)
         labels = own_labels(blocks)
         if labels:
-            pages.append((plain(blocks) if k % 4 == 0 else blocks, labels))
+            pages.append((plain(blocks), labels) if k % 4 == 0 else with_insertions(blocks, labels, extra, rng) if k % 4 == 1
+                         else (blocks, labels))
     return ChainField().fit(pages)
 
 

@@ -151,6 +151,17 @@ def _tag_expressions(text: str) -> Iterator[list[str]]:
             yield rpn
 
 
+def _notices(line: str) -> tuple[list[tuple[int, int, str]], bool]:
+    """(start, end, label) of the notices in a line of words, longest first at a place; whether it holds a tag."""
+    found, tagged = [], False
+    for end, (size, label) in _automaton().iter(line):
+        if label == TAG:
+            tagged = True
+        else:
+            found.append((end - size + 1, end, label))
+    return sorted(found, key=lambda m: (m[0], -m[1])), tagged
+
+
 def scan(text: str) -> tuple:
     """One text: n_words, n_base, first_word, last_word, base labels, labels, score."""
     words = ascii_words(text)
@@ -166,13 +177,10 @@ def scan(text: str) -> tuple:
             first = word if first is None else min(first, word)
             last = word if last is None else max(last, word)
             at = line.find(f" {phrase} ", at + 1)
-    found, tagged = [], False
-    for end, (size, label) in _automaton().iter(line):
-        if label == TAG:
-            tagged = True
-        else:
-            found.append((end - size + 1, end, label))
-    found.sort(key=lambda m: (m[0], -m[1]))
+    found, tagged = _notices(line)
+    if tagged:                              # what a tag names is read as its expression, not as notices
+        line = f" {b' '.join(ascii_words(TAG_LINE.sub(chr(10), text))).decode('utf-8')} "
+        found, _ = _notices(line)
     labels, score = set(base), max((BASE_RESTRICTION[b] for b in base), default=0.0)
     chain: list[str] = []
     reach, values = -1, []

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +21,31 @@ WORD_BYTES = bytes(
     for b in range(256))
 
 
+_running = ""
+_caches: list[Callable[[], None]] = []
+
+
+def on_change(clear: Callable[[], None]) -> None:
+    """Register what drops an operator's cache when its worker turns to another operator."""
+    _caches.append(clear)
+
+
+def enter(operator: str) -> None:
+    """Called by an operator's tasks. Workers outlive stages; what the operator before has cached
+    or left to the allocators is given back, so memory does not add up along a pipeline."""
+    global _running
+    if _running == operator:
+        return
+    if _running:
+        for clear in _caches:
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _running = operator
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

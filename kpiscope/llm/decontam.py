@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiscope.llm.common import WORD_BYTES, ascii_words, texts, with_text
+from kpiscope.llm.common import WORD_BYTES, ascii_words, enter, texts, with_text
 
 WINDOW = 10
-SHARD_CHARS = 8_000_000      # characters of a training shard, about (a longer text is a shard alone)
+SHARD_CHARS = 4_000_000      # characters of a training shard, about (a longer text is a shard alone)
 BLOCK_CHARS = 4_000_000      # characters of test items in one block
 SAMPLE_EVERY = 8             # one suffix position in so many is kept
 SEPARATOR = 0
@@ -283,6 +283,7 @@ def leak_column(benchmark: DataFrame, window: int = WINDOW, shard_chars: int = S
 
     @F.pandas_udf(LEAKS)
     def run(column: pd.Series) -> pd.DataFrame:
+        enter("decontamination")
         texts_ = [t or "" for t in column]
         shard_of = np.cumsum([len(t) for t in texts_]) // shard_chars
         rows = []

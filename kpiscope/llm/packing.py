@@ -29,10 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.common import texts
+from kpiscope.llm.common import enter, on_change, texts
 from kpiscope.session import materialize
 
 CAPACITY = 4096
@@ -43,7 +44,8 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 POOR_FILL = 0.97        # bins below are packed again together with those of other shards
-CACHE_WORDS = 900_000
+CACHE_WORDS = 500_000   # a cached word takes about 200 bytes
+DOCS_AT_ONCE = 800
 
 
 # --------------------------------------------------------------------- tokens
@@ -52,7 +54,7 @@ class WordTokens:
 
     A word of letters is one pre-token, and so is a run of signs after it. Unknown letter words
     are encoded together, as one line: the last id of each carries the word-end mark. Other
-    unknown words are encoded one by one. A full cache is emptied.
+    unknown words are encoded one by one. A full cache keeps its short words.
     """
 
     SIGNS = ".,;:!?%&$*#|()[]{}<>=+-/\"~^@"
@@ -99,17 +101,15 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 200):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:at + 200]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = {"": b""}
-            missing = set().union(*split).difference(self.cache)
-            if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
-        return out
+        if len(self.cache) > CACHE_WORDS:                   # short words come back soonest
+            short = {w: ids for w, ids in self.cache.items() if len(w) <= 8}
+            self.cache = short if len(short) < CACHE_WORDS // 2 else {"": b""}
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*split).difference(self.cache)
+        if missing:
+            self._learn(missing)
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -117,25 +117,34 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+on_change(word_tokens.cache_clear)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+ARROW = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each whole text."""
     end = np.array([END_ID], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         encode = word_tokens(tokenizer)
         for b in batches:
-            rows = []
-            for doc_id, ids in zip(b["doc_id"], encode(b["text"].tolist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return texts(docs).mapInPandas(run, PIECES)
+            for at in range(0, len(b), DOCS_AT_ONCE):       # texts and ids of few documents are held at a time
+                part = b.slice(at, DOCS_AT_ONCE)
+                rows = []
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
+                    ids += end
+                    for k, cut in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[cut:cut + 4 * capacity]
+                        rows.append((doc_id, k, cut // 4, len(piece) // 4, zlib.crc32(piece)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind) for column, kind in zip(zip(*rows), ARROW)], names=NAMES)
+
+    return texts(docs).mapInArrow(run, PIECES)
 
 
 # ---------------------------------------------------------- genetic algorithm

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiscope.llm.common import texts, with_text
+from kpiscope.llm.common import enter, texts, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -247,6 +247,7 @@ TRAIN_SCHEMA = T.StructType([
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of (features, label) and of labels along chain and skip edges, merged over the task."""
     from collections import Counter
+    enter("pii")
     seen: Counter = Counter()
     for b in batches:
         for text in b["text"]:
@@ -349,6 +350,7 @@ def find_pii(docs: DataFrame, model: Field | None = None) -> DataFrame:
     model = model or train_field(own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("pii")
         for b in batches:
             rows = []
             for text in b["text"]:
@@ -378,6 +380,8 @@ def masked_texts(model: Field):
     """A column function: texts with every base and added span masked; null stays null."""
     @F.pandas_udf(T.StringType())
     def run(column: pd.Series) -> pd.Series:
+        enter("pii")
+
         def one(text):
             if text is None:
                 return None

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiscope.llm.common import held_out, sigmoid, texts, training_docs
+from kpiscope.llm.common import enter, held_out, sigmoid, texts, training_docs
 
 PER_CLASS = 4000        # labelled documents of each class that the rules are fitted on, at most about
 TREES = 40
@@ -84,6 +84,7 @@ _RETURN = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
 
 @F.pandas_udf(_RETURN)
 def statistics_column(text: pd.Series) -> pd.DataFrame:
+    enter("quality")
     return pd.DataFrame([statistics(t) for t in text], columns=list(STATISTICS), dtype=float)
 
 

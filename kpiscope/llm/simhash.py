@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.common import texts
+from kpiscope.llm.common import enter, texts
 from kpiscope.session import materialize
 
 SEED = 42               # fixed by the contract
@@ -67,11 +68,14 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) of every whole text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
-    return texts(docs).mapInPandas(run, "doc_id long, fp long")
+            for at in range(0, len(b), 1000):               # texts of few documents are held at a time
+                part = b.slice(at, 1000)
+                fps = np.array([fingerprint(t, shingle) for t in part["text"].to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------ top tree
@@ -212,6 +216,7 @@ def near_links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
         if total > chunk and len(sample) >= 16 else None
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("simhash")
         for b in batches:
             yield pd.DataFrame({"fp": b["fp"], "leaf": leaf_of(tree, b["fp"].to_numpy(np.int64).view(np.uint64))})
 
@@ -238,6 +243,7 @@ def near_links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     own = sent.where("leaf = from_leaf and part = from_part").select("leaf", "part", F.col("fps").alias("members"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("simhash")
         for b in batches:
             for members, queries, itself in zip(b["members"], b["fps"], b["itself"]):
                 m = np.frombuffer(members, np.uint64)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.common import fit_logistic, held_out, sigmoid, texts, training_docs
+from kpiscope.llm.common import enter, fit_logistic, held_out, sigmoid, texts, training_docs
 
 # ---- fixed values: look-alikes, substitutions, exception phrases ----
 LOOKALIKES = {
@@ -170,6 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     lexicon = learn_lexicon(training_docs(docs, labels, "toxic", per_class))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enter("toxicity")
         automaton = lexicon.automaton()
         *weights, bias = lexicon.curve
         for b in batches:

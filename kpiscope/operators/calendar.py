@@ -1,46 +1,12 @@
-"""Calendar and scenario operators.
-
-C3 replays the incident adjustments on the orders they tag (J5) and reports
-expected values instead of random draws. Per order, the adjustments of all
-tagging incidents are combined in incident order: some overwrite a
-multiplier, some multiply it, drop probabilities take the maximum. Overwrite
--then-multiply chains are solved with grouped aggregates: the last overwrite
-(by incident order) times the product of the multipliers that follow it.
-"""
+"""Calendar operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiscope.functions.dates import seasonal_index
-from kpiscope.functions.numeric import cents_to_money, round2, to_cents
-from kpiscope.operators.windows import incident_tagging
-
-# How each incident type adjusts an order: (quantity, operation, factor column).
-# operations: set = overwrite, mul = multiply, max = keep the larger value.
-ADJUSTMENTS = {
-    "channel_conversion_drop": [("drop", "set", "one_minus_factor")],
-    "category_refund_spike": [("refund", "set", "factor")],
-    "region_aov_drop": [("price", "set", "factor")],
-    "campaign_gmv_spike": [("price", "mul", "factor")],
-    "payment_failure": [("drop", "set", "one_minus_factor")],
-    "definition_edge_case": [("pending", "set", "one_minus_factor")],
-    "new_customer_surge": [("volume", "set", "factor")],
-    "region_revenue_drop": [("price", "mul", "factor")],
-    "cancellation_spike": [("cancel", "set", "factor")],
-    "aov_spike_campaign": [("price", "mul", "factor")],
-    "channel_order_drop": [("drop", "max", "one_minus_factor")],
-    "category_region_refund": [("refund", "set", "factor")],
-    "holiday_gmv_surge": [("price", "mul", "factor"), ("volume", "mul", "holiday_volume")],
-    "sitewide_conversion_drop": [("drop", "max", "one_minus_factor")],
-    "channel_order_surge": [("volume", "mul", "factor")],
-    "category_mix_shift": [("volume", "mul", "volume_factor"), ("price", "mul", "price_factor")],
-}
-HOLIDAY_VOLUME = 1.2
-MAX_BROADCAST_INCIDENTS = 1_000_000
-NEUTRAL = {"price": 1.0, "volume": 1.0, "refund": 1.0, "cancel": 1.0, "drop": 0.0, "pending": 0.0}
-
+from kpiscope.functions.numeric import round2
 
 def seasonal_adjusted_volume(orders: DataFrame) -> DataFrame:
     """Daily order count divided by the seasonal index of the day."""
@@ -48,71 +14,3 @@ def seasonal_adjusted_volume(orders: DataFrame) -> DataFrame:
     idx = seasonal_index("order_date")
     return d.select("order_date", "n_orders", idx.alias("seasonal_index"),
                     round2(F.col("n_orders").cast("double") / idx).alias("adjusted_orders"))
-
-
-def _adjustment_rows(tagged: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row per (order, incident, adjusted quantity) with its operation."""
-    inj = cases.select("case_id", F.col("injection.factor").alias("factor"),
-                       F.col("injection.volume_factor").alias("volume_factor"),
-                       F.col("injection.price_factor").alias("price_factor"))
-    # one row per incident: broadcast after counting them, else shuffle
-    t = tagged.join(F.broadcast(inj) if inj.count() <= MAX_BROADCAST_INCIDENTS else inj, "case_id")
-    rules = F.array(*[F.struct(F.lit(typ).alias("typ"), F.lit(q).alias("qty"), F.lit(op).alias("op"),
-                               F.lit(src).alias("src"))
-                      for typ, adj in ADJUSTMENTS.items() for q, op, src in adj])
-    t = t.withColumn("rule", F.explode(F.filter(rules, lambda r: r["typ"] == F.col("injection_type"))))
-    src = F.col("rule.src")
-    value = (F.when(src == "factor", F.col("factor"))
-              .when(src == "one_minus_factor", F.lit(1.0) - F.col("factor"))
-              .when(src == "volume_factor", F.col("volume_factor"))
-              .when(src == "price_factor", F.col("price_factor"))
-              .otherwise(F.lit(HOLIDAY_VOLUME)))
-    return t.select("order_id", "order_date", "order_total", "case_id",
-                    F.col("rule.qty").alias("qty"), F.col("rule.op").alias("op"), value.alias("value"))
-
-
-def order_adjustments(tagged: DataFrame, cases: DataFrame) -> DataFrame:
-    """Per tagged order: combined price / volume / drop / refund / cancel / pending.
-
-    Incidents apply in case_id order. The last overwrite of each quantity is
-    found with a window over the order (same partitioning as the grouping that
-    follows, so one shuffle), then later multipliers / maxima are folded in.
-    """
-    rows = _adjustment_rows(tagged, cases)
-    per_order = Window.partitionBy("order_id")
-    for q in NEUTRAL:
-        is_set = (F.col("qty") == q) & (F.col("op") == "set")
-        rows = rows.withColumn(f"{q}_set_case", F.max(F.when(is_set, F.col("case_id"))).over(per_order))
-    aggs = [F.first("order_date").alias("order_date"), F.first("order_total").alias("order_total")]
-    for q, neutral in NEUTRAL.items():
-        is_q = F.col("qty") == q
-        set_case = F.col(f"{q}_set_case")
-        after = set_case.isNull() | (F.col("case_id") > set_case)
-        base = F.max(F.when(is_q & (F.col("op") == "set") & (F.col("case_id") == set_case), F.col("value")))
-        start = F.coalesce(base, F.lit(neutral))
-        if q == "drop":
-            mx = F.max(F.when(is_q & (F.col("op") == "max") & after, F.col("value")))
-            val = F.greatest(start, F.coalesce(mx, start))
-        else:
-            mul = F.product(F.when(is_q & (F.col("op") == "mul") & after, F.col("value")))
-            val = start * F.coalesce(mul, F.lit(1.0))
-        aggs.append(val.alias(q))
-    return rows.groupBy("order_id").agg(*aggs)
-
-
-def scenario_whatif(orders: DataFrame, cases: DataFrame) -> DataFrame:
-    """Per day of any incident window, the tagged orders' base and expected
-    GMV and order volume (expected value of the drop, not a random draw)."""
-    tagged = incident_tagging(orders, cases)
-    adj = order_adjustments(tagged, cases)
-    keep = F.lit(1.0) - F.col("drop")
-    exp_orders = F.col("volume") * keep
-    exp_total = F.col("order_total") * F.col("price") * exp_orders
-    per = adj.select("order_date", "order_total",
-                     F.round(exp_orders * F.lit(1e6)).cast("bigint").alias("exp_orders_e6"),
-                     to_cents(exp_total).alias("exp_c"))
-    return (per.groupBy("order_date")
-               .agg(F.count(F.lit(1)).alias("tagged_orders"),
-                    cents_to_money(F.sum(to_cents("order_total"))).alias("base_gmv"),
-                    (F.sum("exp_orders_e6").cast("double") / F.lit(1e6)).alias("expected_orders"),
-                    cents_to_money(F.sum("exp_c")).alias("expected_gmv")))

@@ -25,7 +25,7 @@ from kpiscope.functions.fixed import (CONCENTRATION_PCT, DIMENSIONS, MIN_SLICE_S
                                       TXT_CONCENTRATION, TXT_NO_CHANGE, TXT_SMALL_SAMPLE)
 from kpiscope.functions.kpi import fixed_measure, measure_aggs, pick_by_kpi
 from kpiscope.functions.numeric import fmt_fixed, pct_change, round2
-from kpiscope.operators.windows import join_calendar, window_calendar
+from kpiscope.operators.windows import join_calendar, window_calendar, with_baseline
 
 TOTAL = "__total__"
 
@@ -41,7 +41,8 @@ def existing_dimensions(fact: DataFrame, dims) -> list[str]:
 
 
 def daily_cube(fact: DataFrame, dims=None, lo=None, hi=None) -> DataFrame:
-    """(order_date, dimension, slice) -> base measures, plus dimension '__total__'."""
+    """(order_date, dimension, slice) -> base measures, plus dimension '__total__'. A NULL slice is
+    a group of its own; slice analysis leaves it out, breakdowns keep it."""
     dims = existing_dimensions(fact, dims or DIMENSIONS)
     f = fact
     if lo is not None:
@@ -51,8 +52,7 @@ def daily_cube(fact: DataFrame, dims=None, lo=None, hi=None) -> DataFrame:
                  F.lit(TOTAL).alias(TOTAL))
     long = f.unpivot(["order_date"] + [f"m_{c}" for c in _MEASURE_INPUTS],
                      dims + [TOTAL], "dimension", "slice")
-    long = (long.where(F.col("slice").isNotNull())
-                .withColumnsRenamed({f"m_{c}": c for c in _MEASURE_INPUTS}))
+    long = long.withColumnsRenamed({f"m_{c}": c for c in _MEASURE_INPUTS})
     return long.groupBy("order_date", "dimension", "slice").agg(*measure_aggs())
 
 
@@ -105,10 +105,13 @@ def _with_values(ws: DataFrame) -> DataFrame:
 
 def window_compare(cube: DataFrame, cases: DataFrame, metric: str = "order_total",
                    agg: str = "sum", mode: str = "raw") -> DataFrame:
-    """Whole-population comparison per incident."""
+    """Whole-population comparison of every incident; windows without orders count as zero."""
     ws = window_sums(cube.where(F.col("dimension") == TOTAL), cases,
                      None if metric is None else metric, agg, mode)
-    v = _with_values(ws)
+    sums = ws.select("case_id", "agg", "scale", "bl_s", "bl_n", "an_s", "an_n")
+    every = with_baseline(cases).select("case_id", "baseline_days", "anomaly_days").join(sums, "case_id", "left")
+    v = _with_values(every.withColumns({"agg": F.coalesce("agg", F.lit(agg or "sum")),
+                                        "scale": F.coalesce("scale", F.lit(1.0))}))
     return v.select(
         "case_id", F.lit(metric or "kpi").alias("metric"),
         F.col("baseline_days").cast("int").alias("baseline_days"),
@@ -126,7 +129,7 @@ def slice_compare(cube: DataFrame, cases: DataFrame, metric: str | None = None,
     rounded from unrounded daily values, the contribution uses rounded changes
     (kept as whole hundredths so their total is exact).
     """
-    ws = window_sums(cube.where(F.col("dimension") != TOTAL), cases, metric, agg, mode)
+    ws = window_sums(cube.where((F.col("dimension") != TOTAL) & F.col("slice").isNotNull()), cases, metric, agg, mode)
     v = _with_values(ws)
     chg_c = F.round((F.col("an_val") - F.col("bl_val")) * F.lit(100.0)).cast("bigint")
     v = v.withColumn("chg_c", chg_c)

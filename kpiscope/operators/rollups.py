@@ -33,7 +33,7 @@ def agg_by_dim_window(cube: DataFrame, cases: DataFrame, dims=("channel", "regio
     j = join_calendar(cube.where(F.col("dimension").isin(*dims)), cal, cases)
     g = j.groupBy("case_id", "dimension", "slice", "time_window").agg(*_window_aggs())
     w = Window.partitionBy("case_id", "dimension").orderBy(
-        F.col("gmv").desc_nulls_last(), F.col("slice"), F.col("time_window"))
+        F.col("gmv").desc_nulls_last(), F.col("slice").asc_nulls_last(), F.col("time_window"))
     return g.withColumn("gmv_rank", F.row_number().over(w).cast("bigint"))
 
 

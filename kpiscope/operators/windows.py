@@ -35,6 +35,11 @@ def with_baseline(cases: DataFrame) -> DataFrame:
                               "anomaly_days": inclusive_days(start, end)})
 
 
+def _days(lo: Column, hi: Column) -> Column:
+    """The days of a range; none when it ends before it starts (a plain sequence would count down)."""
+    return F.when(lo <= hi, F.sequence(lo, hi))
+
+
 def window_calendar(cases: DataFrame) -> DataFrame:
     """(case_id, window, order_date): one row per day of each window.
 
@@ -50,7 +55,7 @@ def window_calendar(cases: DataFrame) -> DataFrame:
                      F.explode(windows).alias("w"))
              .select("case_id", "kpi_name", "baseline_days", "anomaly_days",
                      F.col("w.window").alias("window"),
-                     F.explode(F.sequence(F.col("w.lo"), F.col("w.hi"))).alias("order_date")))
+                     F.explode(_days(F.col("w.lo"), F.col("w.hi"))).alias("order_date")))
 
 
 def label_calendar(cases: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def label_calendar(cases: DataFrame) -> DataFrame:
     c = with_baseline(cases)
     d = F.col("order_date")
     return (c.select("case_id", "affected_start_date", "affected_end_date",
-                     F.explode(F.sequence("baseline_start", "affected_end_date")).alias("order_date"))
+                     F.explode(_days(F.col("baseline_start"), F.col("affected_end_date"))).alias("order_date"))
              .select("case_id", "order_date",
                      F.when(d.between(F.col("affected_start_date"), F.col("affected_end_date")), "anomaly")
                       .otherwise("baseline").alias("time_window")))
@@ -72,7 +77,10 @@ def calendar_rows(cases: DataFrame) -> int:
     if cached is not None:
         return cached
     c = with_baseline(cases)
-    row = c.agg(F.sum(F.col("baseline_days") + F.col("anomaly_days")).alias("n")).first()
+    zero = F.lit(0)
+    labelled = F.datediff("affected_end_date", "baseline_start") + 1     # the label calendar holds gap days too
+    row = c.agg(F.sum(F.greatest(F.greatest("baseline_days", zero) + F.greatest("anomaly_days", zero), labelled))
+                .alias("n")).first()
     n = int(row["n"] or 0)
     try:
         cases._calendar_rows = n
@@ -88,11 +96,6 @@ def join_calendar(facts: DataFrame, calendar: DataFrame, cases: DataFrame,
     return facts.join(side, "order_date")
 
 
-def in_window(d: Column, lo: Column, hi: Column) -> Column:
-    """Inclusive on both ends."""
-    return d.between(lo, hi)
-
-
 def incident_tagging(orders: DataFrame, cases: DataFrame) -> DataFrame:
     """Orders inside an incident's affected window that also satisfy the
     incident's optional slice predicate (channel / region / category /
@@ -104,7 +107,7 @@ def incident_tagging(orders: DataFrame, cases: DataFrame) -> DataFrame:
         F.col("injection.category").alias("i_category"),
         F.col("injection.payment_type").alias("i_payment_type"),
         F.col("injection.campaign").alias("i_campaign"))
-    days = c.select("*", F.explode(F.sequence("affected_start_date", "affected_end_date")).alias("order_date"))
+    days = c.select("*", F.explode(_days(F.col("affected_start_date"), F.col("affected_end_date"))).alias("order_date"))
     side = F.broadcast(days) if calendar_rows(cases) <= BROADCAST_CALENDAR_ROWS else days
     j = orders.join(side, "order_date")
     cond = F.lit(True)

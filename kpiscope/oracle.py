@@ -10,8 +10,20 @@ from __future__ import annotations
 
 from kpiscope.functions import fixed as F_
 from kpiscope.functions.fixed import DIMENSIONS, MONTH_FACTORS, WEEKEND_FACTOR
-from kpiscope.functions.kpi import KPIS, MEASURES, DEFAULT_KPI
-from kpiscope.sources.cases import case_rows, window_bounds
+from kpiscope.incidents import DEFAULT_CASES
+
+# KPI choice, written out for SQL: sum column, count column, whether the sum is in cents
+_ORDERS, _PAID = ("amt_c", "n_total", True), ("paid_c", "n_paid", True)
+_REFUNDS, _CANCELS = ("s_ref", "n_ref", False), ("s_can", "n_can", False)
+COLUMNS_OF = {"order_total": _ORDERS, "paid_total": _PAID, "is_refunded": _REFUNDS, "is_cancelled": _CANCELS,
+              "customer_type": (None, "n_ct", False), "is_new": ("s_new", "n_new", False)}
+_RATES = {"refund_rate": (_REFUNDS, "mean"), "cancellation_rate": (_CANCELS, "mean"), "conversion_rate": (_ORDERS, "count")}
+KPI_CHOICE = {
+    "raw": {**_RATES, "gmv": (_ORDERS, "sum"), "revenue": (_ORDERS, "sum"), "order_count": (_ORDERS, "count"),
+            "aov": (_ORDERS, "mean"), "new_customer_ratio": (COLUMNS_OF["customer_type"], "count")},
+    "governed": {**_RATES, "gmv": (_PAID, "sum"), "revenue": (_PAID, "sum"), "order_count": (_PAID, "count"),
+                 "aov": (_PAID, "mean"), "new_customer_ratio": (COLUMNS_OF["is_new"], "mean")},
+}
 
 
 def cents(x: str) -> str:
@@ -119,18 +131,16 @@ def _lit(v) -> str:
 def cases_cte(cases=None) -> str:
     """cases0 (raw incidents) and cases (with V0 baseline and day counts)."""
     rows = []
-    for r in case_rows(cases):
-        inj = r["injection"]
-        vals = [r["case_id"], r["kpi_name"], r["affected_start_date"], r["affected_end_date"],
-                r["baseline_start"], r["baseline_end"], r["description"],
-                r["expected_primary_cause"], r["should_trigger_human_review"],
-                inj["type"], inj["channel"], inj["region"], inj["category"],
-                inj["payment_type"], inj["campaign"], inj["factor"],
-                inj["volume_factor"], inj["price_factor"]]
-        rows.append("(" + ", ".join(_lit(v) for v in vals) + ")")
+    day = lambda d: f"DATE '{d}'" if d else "CAST(NULL AS DATE)"
+    for c in cases or DEFAULT_CASES:
+        tag, (first, last) = c.get("tag") or {}, c.get("baseline") or (None, None)
+        vals = [_lit(c["case_id"]), _lit(c["kpi_name"]), day(c["start"]), day(c["end"]), day(first), day(last),
+                _lit(c["description"]), _lit(c["cause"]), _lit(bool(c.get("review"))),
+                *(f"CAST({_lit(tag.get(k))} AS VARCHAR)" for k in ("type", "channel", "region", "category", "payment_type", "campaign"))]
+        rows.append("(" + ", ".join(vals) + ")")
     cols = ("case_id, kpi_name, affected_start_date, affected_end_date, bs, be, description, "
             "expected_primary_cause, should_trigger_human_review, i_type, i_channel, i_region, "
-            "i_category, i_payment_type, i_campaign, i_factor, i_volume_factor, i_price_factor")
+            "i_category, i_payment_type, i_campaign")
     values = ",\n    ".join(rows)
     return f"""cases0 AS (
   SELECT * FROM (VALUES
@@ -170,8 +180,8 @@ MEASURE_AGGS = f"""count(*) AS n_rows, count(order_total) AS n_total, sum({cents
 
 def cube_cte(dims=None, bounded: bool = True) -> str:
     dims = dims or DIMENSIONS
-    lo, hi = window_bounds()
-    where = f"WHERE order_date BETWEEN DATE '{lo}' AND DATE '{hi}'" if bounded else ""
+    where = ("WHERE order_date BETWEEN (SELECT least(min(baseline_start), min(affected_start_date)) FROM casesd) "
+             "AND (SELECT greatest(max(baseline_end), max(affected_end_date)) FROM casesd)") if bounded else ""
     parts = [f"SELECT order_date, '{d}' AS dimension, CAST({d} AS VARCHAR) AS slice, order_total, "
              f"is_refunded, is_cancelled, is_pending, customer_type FROM canon {where}" for d in dims]
     parts.append("SELECT order_date, '__total__' AS dimension, '__total__' AS slice, order_total, "
@@ -181,26 +191,20 @@ def cube_cte(dims=None, bounded: bool = True) -> str:
     {union}),
 cube AS (
   SELECT order_date, dimension, slice, {MEASURE_AGGS}
-  FROM longf WHERE slice IS NOT NULL GROUP BY order_date, dimension, slice)"""
+  FROM longf GROUP BY order_date, dimension, slice)"""
 
 
-def _part(metric: str, agg: str, what: str) -> str:
-    m = MEASURES[metric]
-    if what == "sum":
-        return f"CAST({m.sum_col} AS BIGINT)" if m.sum_col else "CAST(NULL AS BIGINT)"
-    if what == "cnt":
-        return f"CAST({m.cnt_col} AS BIGINT)"
-    if what == "scale":
-        return "CAST(100.0 AS DOUBLE)" if m.cents else "CAST(1.0 AS DOUBLE)"
-    return f"'{agg}'"
+def _part(columns: tuple, agg: str, what: str) -> str:
+    total, count, in_cents = columns
+    return {"sum": f"CAST({total or 'NULL'} AS BIGINT)", "cnt": f"CAST({count} AS BIGINT)",
+            "scale": f"CAST({100.0 if in_cents else 1.0} AS DOUBLE)", "agg": f"'{agg}'"}[what]
 
 
 def pick(mode: str | None, what: str, metric: str | None = None, agg: str | None = None) -> str:
     if metric is not None:
-        return _part(metric, agg, what)
-    whens = " ".join(f"WHEN kpi_name = '{k}' THEN {_part(m, a, what)}" for k, (m, a) in KPIS[mode].items())
-    dm, da = DEFAULT_KPI
-    return f"(CASE {whens} ELSE {_part(dm, da, what)} END)"
+        return _part(COLUMNS_OF[metric], agg, what)
+    whens = " ".join(f"WHEN kpi_name = '{k}' THEN {_part(*choice, what)}" for k, choice in KPI_CHOICE[mode].items())
+    return f"(CASE {whens} ELSE {_part(_ORDERS, 'sum', what)} END)"
 
 
 def value(agg: str, s: str, n: str, d: str) -> str:
@@ -210,7 +214,10 @@ def value(agg: str, s: str, n: str, d: str) -> str:
 
 
 def window_sums_cte(metric=None, agg=None, mode="raw", total: bool = False) -> str:
-    dim_filter = "cb.dimension = '__total__'" if total else "cb.dimension <> '__total__'"
+    dim_filter = "cb.dimension = '__total__'" if total else "cb.dimension <> '__total__' AND cb.slice IS NOT NULL"
+    every = "FROM j" if not total else ("FROM (SELECT case_id, kpi_name, baseline_days, anomaly_days, '__total__' AS dimension, "
+        f"'__total__' AS slice, {pick(mode, 'scale', metric, agg)} AS scale, {pick(mode, 'agg', metric, agg)} AS agg FROM casesd) c "
+        "LEFT JOIN (SELECT case_id AS of_case, win, s, n FROM j) ON of_case = case_id")
     return f"""j AS (
   SELECT c.case_id, c.kpi_name, c.baseline_days, c.anomaly_days, c.win, cb.dimension, cb.slice,
          {pick(mode, 'sum', metric, agg)} AS s, {pick(mode, 'cnt', metric, agg)} AS n,
@@ -220,7 +227,7 @@ ws AS (
   SELECT case_id, kpi_name, agg, scale, baseline_days, anomaly_days, dimension, slice,
          sum(CASE WHEN win = 'baseline' THEN s END) AS bl_s, sum(CASE WHEN win = 'baseline' THEN n END) AS bl_n,
          sum(CASE WHEN win = 'anomaly' THEN s END) AS an_s, sum(CASE WHEN win = 'anomaly' THEN n END) AS an_n
-  FROM j GROUP BY case_id, kpi_name, agg, scale, baseline_days, anomaly_days, dimension, slice),
+  {every} GROUP BY case_id, kpi_name, agg, scale, baseline_days, anomaly_days, dimension, slice),
 vals AS (
   SELECT *,
     {value('agg', 'CAST(coalesce(bl_s, 0) AS DOUBLE) / scale', 'coalesce(bl_n, 0)', 'baseline_days')} AS bl_val,
@@ -404,28 +411,14 @@ def request_sql(text: str) -> str:
 
 
 # ---------------------------------------------------------------- decision layer
-def _analysis_texts_cte() -> str:
+def _analyses_cte() -> str:
     kpi, _, _ = request_sql("concat_ws(' ', kpi_name, description)")
-    s, e, bs = ("CAST(affected_start_date AS VARCHAR)", "CAST(affected_end_date AS VARCHAR)",
-                "CAST(baseline_start AS VARCHAR)")
-    label = (f"'CASE WHEN order_date BETWEEN ''' || {s} || ''' AND ''' || {e} || "
-             f"''' THEN ''anomaly'' ELSE ''baseline'' END AS time_window, '")
-    measures = ("'COUNT(*) as order_count, SUM(order_total) as gmv, AVG(order_total) as aov "
-                "FROM fact_orders_enriched '")
-    where = f"'WHERE order_date BETWEEN ''' || {bs} || ''' AND ''' || {e} || ''' '"
-    parts = [f"""SELECT case_id, 1 AS seq, 'q_aggregate' AS query_id,
-      printf({q(F_.TXT_PURPOSE_AGGREGATE)}, kpi_mention) AS purpose,
-      'daily_kpi_summary' AS target_view,
-      'SELECT ' || {label} || {measures} || {where} || 'GROUP BY time_window' AS sql FROM cm"""]
-    for i, d in enumerate(("channel", "region")):
-        parts.append(f"""SELECT case_id, {i + 2} AS seq, 'q_by_{d}' AS query_id,
-      printf({q(F_.TXT_PURPOSE_BREAKDOWN)}, kpi_mention, '{d}') AS purpose, 'fact_orders_enriched' AS target_view,
-      'SELECT {d}, ' || {label} || {measures} || {where} ||
-      'GROUP BY {d}, time_window ORDER BY gmv DESC NULLS LAST' AS sql FROM cm""")
-    union = "\n  UNION ALL ".join(parts)
+    plans = [("q_aggregate", f"printf({q(F_.TXT_PURPOSE_AGGREGATE)}, kpi_mention)")]
+    plans += [(f"q_by_{d}", f"printf({q(F_.TXT_PURPOSE_BREAKDOWN)}, kpi_mention, '{d}')") for d in ("channel", "region")]
+    union = " UNION ALL ".join(f"SELECT case_id, {i + 1} AS seq, '{name}' AS query_id, {purpose} AS purpose FROM cm"
+                               for i, (name, purpose) in enumerate(plans))
     return f"""cm AS (SELECT *, {kpi} AS kpi_mention FROM casesd),
-texts AS (
-  {union})"""
+analyses AS ({union})"""
 
 
 def decision_ctes() -> str:
@@ -460,11 +453,8 @@ def decision_ctes() -> str:
     FROM cube c JOIN lcal l ON c.order_date = l.order_date WHERE c.dimension IN ('channel', 'region'))
   GROUP BY case_id, dimension)"""
     runlog = """runlog AS (
-  SELECT t.case_id, t.seq, t.query_id, t.purpose, t.target_view, t.sql, len(a.errors) = 0 AS success,
-         CAST(CASE WHEN len(a.errors) = 0 THEN least(coalesce(r.rows, 0), 10000) ELSE 0 END AS BIGINT) AS row_count,
-         array_to_string(a.errors, '; ') AS error
-  FROM texts t JOIN a4 a ON a.query_id = t.case_id || '|' || t.query_id
-  LEFT JOIN qrows r ON r.case_id = t.case_id AND r.query_id = t.query_id)"""
+  SELECT t.*, TRUE AS success, CAST(coalesce(r.rows, 0) AS BIGINT) AS row_count
+  FROM analyses t LEFT JOIN qrows r ON r.case_id = t.case_id AND r.query_id = t.query_id)"""
     dims = "[" + ", ".join(f"'{d}'" for d in DIMENSIONS) + "]"
     ev = f"""ev1 AS (
   SELECT case_id, CAST(seq AS BIGINT) AS seq, 'sql_' || query_id AS evidence_id, 'sql_result' AS source_type,
@@ -573,8 +563,7 @@ verdict2 AS (
   FROM verdict2 v LEFT JOIN best b ON v.case_id = b.case_id
   LEFT JOIN (SELECT case_id, list(evidence_id ORDER BY pass_no, seq)[1:5] AS ids
              FROM evidence WHERE supports_conclusion GROUP BY case_id) e ON v.case_id = e.case_id)"""
-    audit_src = "SELECT case_id || '|' || query_id AS query_id, sql FROM texts"
-    return ",\n".join([_analysis_texts_cte(), audit_cte(audit_src), rows, runlog, conc1, stats, wc,
+    return ",\n".join([_analyses_cte(), rows, runlog, conc1, stats, wc,
                        ev, counts, evidence, checks, verdict, best, found])
 
 
@@ -689,42 +678,3 @@ GRADES = f"""grades AS (
                    ELSE '' END, 1, 500) AS predicted_primary_cause,
     f.confidence
   FROM found f JOIN casesd c ON f.case_id = c.case_id)"""
-
-
-# ---------------------------------------------------------------- calendar / scenario
-def scenario_sql() -> str:
-    from kpiscope.operators.calendar import ADJUSTMENTS, HOLIDAY_VOLUME, NEUTRAL
-    rules = ", ".join(f"('{t}', '{qq}', '{op}', '{src}')" for t, adj in ADJUSTMENTS.items()
-                      for qq, op, src in adj)
-    dims = ["channel", "region", "category", "payment_type", "campaign"]
-    cond = " AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in dims)
-    aggs = []
-    for qq, neutral in NEUTRAL.items():
-        base = f"max(CASE WHEN qty = '{qq}' AND op = 'set' AND case_id = {qq}_set_case THEN value END)"
-        start = f"coalesce({base}, CAST({neutral} AS DOUBLE))"
-        after = f"({qq}_set_case IS NULL OR case_id > {qq}_set_case)"
-        if qq == "drop":
-            mx = f"max(CASE WHEN qty = '{qq}' AND op = 'max' AND {after} THEN value END)"
-            aggs.append(f"greatest({start}, coalesce({mx}, {start})) AS {qq}")
-        else:
-            mul = f"product(CASE WHEN qty = '{qq}' AND op = 'mul' AND {after} THEN value END)"
-            aggs.append(f"{start} * coalesce({mul}, CAST(1.0 AS DOUBLE)) AS {qq}")
-    set_cols = ", ".join(f"max(CASE WHEN qty = '{qq}' AND op = 'set' THEN case_id END) OVER (PARTITION BY order_id) "
-                         f"AS {qq}_set_case" for qq in NEUTRAL)
-    return f"""rules(typ, qty, op, src) AS (VALUES {rules}),
-tagged AS (
-  SELECT c.case_id, c.i_type AS injection_type, o.order_id, o.order_date, o.order_total,
-         c.i_factor AS factor, c.i_volume_factor AS volume_factor, c.i_price_factor AS price_factor
-  FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.affected_end_date
-  WHERE {cond}),
-adjrows AS (
-  SELECT t.order_id, t.order_date, t.order_total, t.case_id, r.qty, r.op,
-         CASE r.src WHEN 'factor' THEN t.factor WHEN 'one_minus_factor' THEN 1.0 - t.factor
-              WHEN 'volume_factor' THEN t.volume_factor WHEN 'price_factor' THEN t.price_factor
-              ELSE CAST({HOLIDAY_VOLUME} AS DOUBLE) END AS value
-  FROM tagged t JOIN rules r ON r.typ = t.injection_type),
-adjrows2 AS (SELECT *, {set_cols} FROM adjrows),
-adj AS (
-  SELECT order_id, any_value(order_date) AS order_date, any_value(order_total) AS order_total,
-         {", ".join(aggs)}
-  FROM adjrows2 GROUP BY order_id)"""

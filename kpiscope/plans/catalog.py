@@ -103,12 +103,11 @@ def contribution_stats(spark, sf):
 
 @register("driver_rank", O.slice_base() +
           "SELECT case_id, dimension, dimension_value, absolute_change, driver_rank "
-          "FROM slices WHERE driver_rank <= 3")
+          "FROM slices")
 def driver_rank(spark, sf):
-    """Top three drivers per (incident, dimension)."""
+    """Every slice of each (incident, dimension) with its rank."""
     s = B.slices(spark, sf)
-    return (s.where(F.col("driver_rank") <= 3)
-             .select("case_id", "dimension", "dimension_value", "absolute_change",
+    return (s.select("case_id", "dimension", "dimension_value", "absolute_change",
                      F.col("driver_rank").cast("bigint").alias("driver_rank")))
 
 
@@ -387,10 +386,7 @@ from kpiscope.sources.tables import read_table  # noqa: E402
 
 
 def _documents(spark, sf):
-    """The documents table, spread over all cores when it is one small file
-    (all work on it is per-row text processing)."""
-    from kpiscope.session import spread
-    return spread(read_table(spark, sf, "documents"))
+    return read_table(spark, sf, "documents")
 
 
 def _doc_texts(spark, sf):
@@ -456,30 +452,16 @@ def _inv(spark, sf):
     return INV.investigate(B.cube(spark, sf), cases), cases
 
 
-@register("query_run_stats", O.decision_base() + """SELECT case_id, n_sql AS n_queries,
-  n_sql_ok AS n_success, CAST((n_sql - n_sql_ok) * passes AS BIGINT) AS failures_total FROM counts""")
-def query_run_stats(spark, sf):
-    """Successes and failures per incident; failures accumulate over passes."""
+@register("analysis_row_counts", O.decision_base() + """SELECT case_id, CAST(seq AS BIGINT) AS seq, query_id, purpose,
+  row_count, CAST(least(row_count, 10) AS BIGINT) AS rows_shown,
+  CAST(greatest(row_count - 10, 0) AS BIGINT) AS rows_more FROM runlog""")
+def analysis_row_counts(spark, sf):
+    """G4 + O5: every analysis of every incident with the rows of its result, the rows that a
+    report shows (first 10) and the count of the rest."""
     inv, _ = _inv(spark, sf)
-    c = inv.verdicts
-    return c.select("case_id", F.col("n_sql").alias("n_queries"), F.col("n_sql_ok").alias("n_success"),
-                    ((F.col("n_sql") - F.col("n_sql_ok")) * F.col("passes")).cast("bigint")
-                    .alias("failures_total"))
-
-
-@register("query_run_log", O.decision_base() + """SELECT case_id, CAST(seq AS BIGINT) AS seq, query_id, purpose,
-  target_view, success, row_count, CAST(least(row_count, 10) AS BIGINT) AS rows_shown,
-  CAST(greatest(row_count - 10, 0) AS BIGINT) AS rows_more, error FROM runlog""")
-def query_run_log(spark, sf):
-    """G4 + O5: every analysis query of every incident with its verdict, row
-    count, the rows a report shows (first 10) and the count of the rest."""
-    inv, _ = _inv(spark, sf)
-    r = inv.run_log
-    return r.select("case_id", F.col("seq").cast("bigint").alias("seq"), "query_id", "purpose",
-                    "target_view", "success", "row_count",
-                    F.least("row_count", F.lit(10)).cast("bigint").alias("rows_shown"),
-                    F.greatest(F.col("row_count") - 10, F.lit(0)).cast("bigint").alias("rows_more"),
-                    "error")
+    return inv.run_log.select("case_id", F.col("seq").cast("bigint").alias("seq"), "query_id", "purpose", "row_count",
+                              F.least("row_count", F.lit(10)).cast("bigint").alias("rows_shown"),
+                              F.greatest(F.col("row_count") - 10, F.lit(0)).cast("bigint").alias("rows_more"))
 
 
 @register("evidence_registry", O.decision_base() + """SELECT case_id, pass_no, seq, evidence_id, source_type,
@@ -710,16 +692,6 @@ def incident_tagging(spark, sf):
     return _tagging(B.fact_in_anomaly_windows(spark, sf), B.incidents(spark))
 
 
-@register("scenario_whatif", O.with_(O.STAR, O.cases_cte(), O.scenario_sql()) + f"""SELECT order_date,
-  count(*) AS tagged_orders, {O.money('sum(' + O.cents('order_total') + ')')} AS base_gmv,
-  CAST(sum(CAST(round(volume * (1.0 - "drop") * 1e6) AS BIGINT)) AS DOUBLE) / 1e6 AS expected_orders,
-  {O.money('sum(' + O.cents('order_total * price * (volume * (1.0 - "drop"))') + ')')} AS expected_gmv
-FROM adj GROUP BY order_date""")
-def scenario_whatif(spark, sf):
-    """Expected GMV and volume under the incidents' adjustments."""
-    return CAL.scenario_whatif(B.fact_in_anomaly_windows(spark, sf), B.incidents(spark))
-
-
 # ----------------------------------------------------------------- DQ1-DQ3
 from kpiscope.operators import quality as QA  # noqa: E402
 
@@ -874,14 +846,14 @@ FROM (SELECT case_id, dimension, slice,
              sum(CASE WHEN win = 'baseline' THEN n_rows END) AS bl_n,
              sum(CASE WHEN win = 'anomaly' THEN n_rows END) AS an_n
       FROM (SELECT c.case_id, c.win, cb.dimension, cb.slice, cb.n_rows
-            FROM cube cb JOIN cal c ON cb.order_date = c.order_date WHERE cb.dimension <> '__total__')
+            FROM cube cb JOIN cal c ON cb.order_date = c.order_date WHERE cb.dimension <> '__total__' AND cb.slice IS NOT NULL)
       GROUP BY case_id, dimension, slice)""")
 def slice_full_outer(spark, sf):
     """Baseline and anomaly slice counts aligned with a full outer join
     (a slice missing on one side counts 0)."""
     from kpiscope.operators.windows import window_calendar
     cases = B.incidents(spark)
-    cube = B.cube(spark, sf).where(F.col("dimension") != C.TOTAL)
+    cube = B.cube(spark, sf).where((F.col("dimension") != C.TOTAL) & F.col("slice").isNotNull())
     j = _join_cal(cube, window_calendar(cases), cases)
     keys = ["case_id", "dimension", "slice"]
     bl = j.where(F.col("window") == "baseline").groupBy(*keys).agg(F.sum("n_rows").alias("bl_n"))

@@ -4,7 +4,7 @@
     fact -> daily cube (one scan, partial aggregation)
     cube x calendars -> slice contribution (A11/A12, W1-W3, W5, V2)
                      -> window comparison (A7), labelled window aggregates (A8/A9)
-    analysis SQL texts -> audit (G1) -> run log with row counts (G4)
+    labelled window aggregates -> log of their row counts (G4)
     -> evidence (V1, V9 passes) -> checks (V3) -> verdicts (V4, V5, V8)
     -> finding and conclusion (V6, V7)
 
@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.functions.fixed import MAX_SQL_ROWS
+from kpiscope.functions.fixed import TXT_PURPOSE_AGGREGATE, TXT_PURPOSE_BREAKDOWN
 from kpiscope.operators import audit as AU
 from kpiscope.operators import compare as C
 from kpiscope.operators import decide as D
-from kpiscope.operators.compare import TOTAL
-from kpiscope.operators.windows import join_calendar, label_calendar, with_baseline
+from kpiscope.operators import rollups as R
+from kpiscope.operators.windows import with_baseline
 from kpiscope.session import materialize
 
 
@@ -39,25 +39,23 @@ class Investigation:
     findings: DataFrame
 
 
-def run_log(cube: DataFrame, cases: DataFrame) -> DataFrame:
-    """The three analysis queries per incident, audited, with the number
-    of rows their result has (its (slice, label) groups with data, from one
-    labelled-calendar aggregate over the daily cube for all incidents)."""
-    texts = AU.validate(AU.analysis_sql_texts(with_baseline(cases)))
-    dims = ["channel", "region"]
-    cal = label_calendar(cases)
-    j = join_calendar(cube.where(F.col("dimension").isin(TOTAL, *dims)), cal, cases)
-    groups = j.select("case_id", "dimension", "slice", "time_window").distinct()
-    rows = (groups.groupBy("case_id", "dimension").agg(F.count(F.lit(1)).alias("rows"))
-                  .select("case_id", "rows",
-                          F.when(F.col("dimension") == TOTAL, F.lit("q_aggregate"))
-                           .otherwise(F.concat(F.lit("q_by_"), F.col("dimension"))).alias("query_id")))
-    j = texts.join(rows, ["case_id", "query_id"], "left")
-    return j.select("case_id", "seq", "query_id", "purpose", "target_view", "sql",
-                    F.col("is_valid").alias("success"),
-                    F.when(F.col("is_valid"), F.least(F.coalesce("rows", F.lit(0)), F.lit(MAX_SQL_ROWS)))
-                     .otherwise(F.lit(0)).cast("bigint").alias("row_count"),
-                    F.array_join("errors", "; ").alias("error"))
+def run_log(cube: DataFrame, cases: DataFrame, dims=("channel", "region")) -> DataFrame:
+    """The labelled-window analyses of each incident (A8, and A9 by each of ``dims``) with the
+    number of rows that their results have, counted from those results."""
+    total = R.agg_by_time_window(cube, cases).groupBy("case_id").agg(F.count("*").alias("rows"))
+    by_dim = R.agg_by_dim_window(cube, cases, dims).groupBy("case_id", "dimension").agg(F.count("*").alias("rows"))
+    rows = total.select("case_id", F.lit("q_aggregate").alias("query_id"), "rows").unionByName(
+        by_dim.select("case_id", F.concat(F.lit("q_by_"), "dimension").alias("query_id"), "rows"))
+    kpi = F.col("kpi")
+    planned = [F.struct(F.lit(1).alias("seq"), F.lit("q_aggregate").alias("query_id"),
+                        F.format_string(TXT_PURPOSE_AGGREGATE, kpi).alias("purpose"))]
+    planned += [F.struct(F.lit(i + 2).alias("seq"), F.lit(f"q_by_{d}").alias("query_id"),
+                         F.format_string(TXT_PURPOSE_BREAKDOWN, kpi, F.lit(d)).alias("purpose")) for i, d in enumerate(dims)]
+    request = AU.request_extract(cases.select("case_id", F.concat_ws(" ", "kpi_name", "description").alias("_req")), "_req")
+    return (request.select("case_id", F.explode(F.array(*planned)).alias("q")).select("case_id", "q.*")
+            .join(rows, ["case_id", "query_id"], "left")
+            .select("case_id", "seq", "query_id", "purpose", F.lit(True).alias("success"),
+                    F.coalesce("rows", F.lit(0)).cast("bigint").alias("row_count")))
 
 
 def investigate(cube: DataFrame, cases: DataFrame, mode: str = "raw",

@@ -44,8 +44,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used as is. Only when it
-    is unset (local tests) is a fresh scratch folder created and registered.
+    The folder named in ``spark.checkpoint.dir`` is used as is. Only a local
+    master may go without: a scratch folder of one machine is not seen by the
+    executors of a cluster, whose tables would be read back incomplete.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
@@ -53,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="kpiscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -70,11 +73,3 @@ def materialize(df, name: str):
     path = f"{base}/kpiscope-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df):
-    """Round-robin ``df`` over the default parallelism when its scan yields
-    fewer partitions than that (one small file is one task). A large input
-    already has more partitions and is returned unchanged."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -1,9 +1,4 @@
-"""Incident (labelled case) input (S5) and the default incident set.
-
-The default set is bound to the driver tables (slices of the canonical
-binding, dates inside 1995-01-01 .. 2001-08-01). One incident is 14 days long
-so the small-sample path fires, one carries an explicit baseline window.
-"""
+"""Incident (labelled case) input (S5); the default incidents are literals in ``kpiscope.incidents``."""
 
 from __future__ import annotations
 
@@ -13,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiscope.functions.fixed import DEFAULT_BASELINE_DAYS
+from kpiscope.incidents import DEFAULT_CASES
+
 INJECTION = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("channel", T.StringType()),
@@ -43,66 +41,11 @@ CASE_SCHEMA = T.StructType([
 _D = dt.date.fromisoformat
 
 
-def _inj(type_, factor=None, **kw):
-    return {"type": type_, "factor": factor, **kw}
-
-
-DEFAULT_CASES = [
-    dict(case_id="INC-001", kpi_name="gmv", start="1995-03-01", end="1995-05-31",
-         description="GMV dropped in the 1-URGENT channel",
-         cause="Urgent channel order volume dropped after a routing change",
-         secondary=["other channels flat"], dims=["channel"], review=False,
-         injection=_inj("channel_order_drop", 0.8, channel="1-URGENT")),
-    dict(case_id="INC-002", kpi_name="order_count", start="1996-06-01", end="1996-08-31",
-         description="Order count fell in EUROPE",
-         cause="European region demand fell after competitor pricing",
-         secondary=[], dims=["region", "channel"], review=False,
-         injection=_inj("region_revenue_drop", 0.75, region="EUROPE")),
-    dict(case_id="INC-003", kpi_name="aov", start="1997-01-01", end="1997-03-31",
-         description="AOV dropped as MACHINERY promotion flooded low-value orders",
-         cause="Machinery promotion drove many low value orders diluting AOV",
-         secondary=["machinery share of orders jumped"], dims=["category"], review=False,
-         injection=_inj("category_mix_shift", None, category="MACHINERY",
-                        volume_factor=2.0, price_factor=0.5)),
-    dict(case_id="INC-004", kpi_name="refund_rate", start="1998-02-01", end="1998-04-30",
-         description="Refund rate spiked in BUILDING category",
-         cause="Defective building batch caused mass refunds",
-         secondary=["some spillover into furniture"], dims=["category"], review=True,
-         injection=_inj("category_refund_spike", 3.0, category="BUILDING")),
-    dict(case_id="INC-005", kpi_name="cancellation_rate", start="1999-05-01", end="1999-07-31",
-         description="Cancellation rate doubled across all categories",
-         cause="Shipping delay announcement caused cancellations",
-         secondary=[], dims=["category"], review=True,
-         injection=_inj("cancellation_spike", 2.0)),
-    dict(case_id="INC-006", kpi_name="new_customer_ratio", start="2000-01-01", end="2000-02-29",
-         description="New customer ratio jumped in the 2-HIGH channel",
-         cause="Viral campaign in high priority channel brought first time buyers",
-         secondary=[], dims=["channel", "customer_type"], review=False,
-         injection=_inj("new_customer_surge", 2.5, channel="2-HIGH")),
-    dict(case_id="INC-007", kpi_name="revenue", start="1995-11-20", end="1995-12-31",
-         description="Revenue above forecast during the holiday season",
-         cause="Holiday special campaign combined with seasonal demand",
-         secondary=["furniture led the surge"], dims=["campaign", "category"], review=False,
-         injection=_inj("holiday_gmv_surge", 1.5)),
-    dict(case_id="INC-008", kpi_name="order_count", start="2001-03-01", end="2001-03-14",
-         description="Order count dropped due to payment failures in NATION_7",
-         cause="NATION_7 payment gateway outage blocked transactions",
-         secondary=["some customers switched channel"], dims=["payment_type"], review=True,
-         injection=_inj("payment_failure", 0.55, payment_type="NATION_7")),
-    dict(case_id="INC-009", kpi_name="conversion_rate", start="1996-10-01", end="1996-12-31",
-         description="Conversion rate dropped across all channels",
-         cause="Site wide checkout regression after deploy",
-         secondary=[], dims=["channel"], review=True,
-         baseline=("1996-01-01", "1996-10-15"),
-         injection=_inj("sitewide_conversion_drop", 0.85)),
-]
-
-
 def case_rows(cases=None) -> list[dict]:
     rows = []
     for c in cases or DEFAULT_CASES:
         inj = dict.fromkeys(INJECTION.fieldNames())
-        inj.update(c.get("injection") or {})
+        inj.update(c.get("tag") or c.get("injection") or {})
         bl = c.get("baseline") or (None, None)
         rows.append({
             "case_id": c["case_id"], "kpi_name": c["kpi_name"],
@@ -118,16 +61,23 @@ def case_rows(cases=None) -> list[dict]:
     return rows
 
 
+def _baseline(r: dict) -> tuple[dt.date, dt.date]:
+    """V0 on the driver: both ends are replaced when either is missing."""
+    if r["baseline_start"] is not None and r["baseline_end"] is not None:
+        return r["baseline_start"], r["baseline_end"]
+    start = r["affected_start_date"]
+    days = max((r["affected_end_date"] - start).days + 1, DEFAULT_BASELINE_DAYS)
+    return start - dt.timedelta(days=days), start - dt.timedelta(days=1)
+
+
 def calendar_size(cases=None) -> int:
-    """Rows of the day calendar (baseline + anomaly days) of a driver-side list."""
+    """Rows that the larger day calendar (windows, or labelled days) of a driver-side list can have."""
     n = 0
     for r in case_rows(cases):
         start, end = r["affected_start_date"], r["affected_end_date"]
-        days = (end - start).days + 1
-        if r["baseline_start"] is None or r["baseline_end"] is None:
-            n += max(days, 14) + days
-        else:
-            n += (r["baseline_end"] - r["baseline_start"]).days + 1 + days
+        lo, hi = _baseline(r)
+        labelled = (end - lo).days + 1
+        n += max(max(0, (hi - lo).days + 1) + max(0, (end - start).days + 1), labelled)
     return n
 
 
@@ -144,12 +94,9 @@ def window_bounds(cases=None) -> tuple[dt.date, dt.date]:
     driver-side incident list, so the fact scan gets a pushed range filter."""
     lo, hi = [], []
     for r in case_rows(cases):
-        start, end = r["affected_start_date"], r["affected_end_date"]
-        n = (end - start).days + 1
-        bl_end = r["baseline_end"] or (start - dt.timedelta(days=1))
-        bl_start = r["baseline_start"] or (bl_end - dt.timedelta(days=max(n, 14) - 1))
-        lo += [start, bl_start]
-        hi += [end, bl_end]
+        first, last = _baseline(r)
+        lo += [r["affected_start_date"], first]
+        hi += [r["affected_end_date"], last]
     return min(lo), max(hi)
 
 

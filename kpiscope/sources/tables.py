@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -39,7 +38,13 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path's own file system (the session's default one for a plain path) has it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +55,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     schema = SCHEMAS[name]
     path = table_path(sf_dir, name)
-    if not os.path.exists(path) and "://" not in path:
+    if not path_exists(spark, path):
         log.warning("table %s not found at %s: using an empty table", name, path)
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
-
-def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
-    for name in names or SCHEMAS:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -1,16 +1,11 @@
-"""Cause normaliser, hit rule and scenario adjustments against plain-Python readings."""
+"""Cause normaliser and hit rule against plain-Python readings."""
 
-import datetime as dt
 import re
 
 from pyspark.sql import functions as F
 
-from helpers import FACT_SCHEMA, order
 from kpiscope.functions.fixed import STOP_WORDS, SUFFIXES
 from kpiscope.operators import evaluate as EV
-from kpiscope.operators.calendar import order_adjustments
-from kpiscope.operators.windows import incident_tagging
-from kpiscope.sources.cases import cases_frame
 
 
 def normalize(text):
@@ -45,21 +40,3 @@ def test_cause_hit_threshold(spark):
         ("card", "card payment gateway outage")], "p string, e string")
     got = [r["h"] for r in df.select(EV.cause_hit(F.col("p"), F.col("e")).alias("h")).collect()]
     assert got == [True, False, False, True]
-
-
-def test_scenario_overwrite_then_multiply_order(spark):
-    d = dt.date(2025, 5, 1)
-    fact = spark.createDataFrame([order(1, d, region="APAC", channel="email", payment_type="visa")], FACT_SCHEMA)
-    inc = lambda cid, typ, f, **kw: dict(case_id=cid, kpi_name="gmv", start="2025-05-01", end="2025-05-01",
-                                         description="", cause="", injection=dict(type=typ, factor=f, **kw))
-    cases = [inc("A", "region_aov_drop", 0.8, region="APAC"), inc("B", "region_revenue_drop", 0.5, region="APAC"),
-             inc("C", "channel_order_drop", 0.8, channel="email"), inc("D", "payment_failure", 0.55, payment_type="visa"),
-             inc("E", "sitewide_conversion_drop", 0.3)]
-    cf = cases_frame(spark, cases)
-    r = order_adjustments(incident_tagging(fact, cf), cf).first()
-    assert abs(r["price"] - 0.4) < 1e-12          # set 0.8, then x 0.5
-    assert abs(r["drop"] - 0.7) < 1e-12           # max 0.2, set 0.45, then max(0.45, 0.7)
-    cases2 = [inc("A", "region_revenue_drop", 0.5, region="APAC"), inc("B", "region_aov_drop", 0.8, region="APAC")]
-    cf2 = cases_frame(spark, cases2)
-    r2 = order_adjustments(incident_tagging(fact, cf2), cf2).first()
-    assert abs(r2["price"] - 0.8) < 1e-12          # the later overwrite wins

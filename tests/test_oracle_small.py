@@ -10,9 +10,9 @@ from helpers import digest
 
 KEYS = ["scan_orders_canonical", "contribution_multi_dim", "kpi_by_dim_governed", "window_compare_mean",
         "daily_kpi_summary", "fact_orders_enriched", "refund_summary", "agg_by_dim_window",
-        "aov_median", "bm25_topk", "sql_audit", "cause_tokens", "scenario_whatif", "dq_rules",
+        "aov_median", "bm25_topk", "sql_audit", "cause_tokens", "dq_rules",
         "investigate_all", "evidence_registry", "grade_cases", "report_driver_rows",
-        "default_baseline", "query_run_log", "case_subset"]
+        "default_baseline", "analysis_row_counts", "driver_rank", "agg_by_time_window", "case_subset"]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "benchmark"]
 

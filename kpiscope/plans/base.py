@@ -10,18 +10,19 @@ from kpiscope.sources.binding import canonical_orders
 from kpiscope.sources.cases import anomaly_bounds, cases_frame, window_bounds
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_orders(spark, sf_dir)
+def fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The canonical orders; with column names, only those and the joins that they need."""
+    return canonical_orders(spark, sf_dir, columns or None)
 
 
-def fact_between(spark: SparkSession, sf_dir: str, lo, hi) -> DataFrame:
+def fact_between(spark: SparkSession, sf_dir: str, lo, hi, *columns: str) -> DataFrame:
     """The fact restricted to literal date bounds (pushed into the scan)."""
-    return fact(spark, sf_dir).where(F.col("order_date").between(F.lit(lo), F.lit(hi)))
+    return fact(spark, sf_dir, *columns).where(F.col("order_date").between(F.lit(lo), F.lit(hi)))
 
 
-def fact_in_anomaly_windows(spark: SparkSession, sf_dir: str, cases=None) -> DataFrame:
+def fact_in_anomaly_windows(spark: SparkSession, sf_dir: str, *columns: str, cases=None) -> DataFrame:
     lo, hi = anomaly_bounds(cases)
-    return fact_between(spark, sf_dir, lo, hi)
+    return fact_between(spark, sf_dir, lo, hi, *columns)
 
 
 def incidents(spark: SparkSession, cases=None) -> DataFrame:

@@ -241,7 +241,8 @@ def refund_summary(spark, sf):
           f"SELECT order_id, order_date, order_total, order_status FROM canon WHERE {O.PAID_SQL}")
 def paid_orders(spark, sf):
     """paid = not cancelled and not pending."""
-    return (B.fact(spark, sf).where(V.paid_predicate())
+    return (B.fact(spark, sf, "order_id", "order_date", "order_total", "order_status", "is_cancelled", "is_pending")
+             .where(V.paid_predicate())
              .select("order_id", "order_date", "order_total", "order_status"))
 
 
@@ -250,7 +251,8 @@ def paid_orders(spark, sf):
           "FROM canon GROUP BY ALL")
 def order_status_derive(spark, sf):
     """P5: status precedence cancelled > pending > refunded > completed."""
-    return (B.fact(spark, sf).groupBy("order_status", "is_cancelled", "is_pending", "is_refunded")
+    return (B.fact(spark, sf, "order_status", "is_cancelled", "is_pending", "is_refunded")
+             .groupBy("order_status", "is_cancelled", "is_pending", "is_refunded")
              .agg(F.count(F.lit(1)).alias("n_orders")))
 
 
@@ -259,7 +261,7 @@ def order_status_derive(spark, sf):
           "FROM canon GROUP BY customer_type")
 def customer_type_derive(spark, sf):
     """A customer's first order (by date, then id) is 'new'."""
-    return (B.fact(spark, sf).groupBy("customer_type")
+    return (B.fact(spark, sf, "customer_type", "customer_id").groupBy("customer_type")
              .agg(F.count(F.lit(1)).alias("n_orders"),
                   F.countDistinct("customer_id").alias("n_customers")))
 
@@ -269,7 +271,7 @@ def customer_type_derive(spark, sf):
           "count(*) AS n_orders FROM canon GROUP BY campaign")
 def campaign_attribution(spark, sf):
     """Campaign by purchase date."""
-    return (B.fact(spark, sf).groupBy("campaign")
+    return (B.fact(spark, sf, "campaign", "order_date").groupBy("campaign")
              .agg(F.min("order_date").alias("first_day"), F.max("order_date").alias("last_day"),
                   F.count(F.lit(1)).alias("n_orders")))
 
@@ -298,13 +300,13 @@ def agg_by_dim_window(spark, sf):
 @register("daily_series", O.with_(O.STAR) +
           f"SELECT order_date, {O.money('sum(' + O.cents('order_total') + ')')} AS value FROM canon GROUP BY order_date")
 def daily_series(spark, sf):
-    return RU.daily_series(B.fact(spark, sf))
+    return RU.daily_series(B.fact(spark, sf, "order_date", "order_total"))
 
 
 @register("daily_series_by_group", O.with_(O.STAR) +
           "SELECT channel AS series, order_date, order_total AS value FROM canon")
 def daily_series_by_group(spark, sf):
-    return RU.daily_series_by_group(B.fact(spark, sf))
+    return RU.daily_series_by_group(B.fact(spark, sf, "channel", "order_date", "order_total"))
 
 
 @register("order_rollup", O.with_(O.FULL_STAR) + f"""SELECT order_id,
@@ -323,12 +325,12 @@ FROM canon WHERE {O.PAID_SQL} GROUP BY 1"""
 
 @register("gmv_weekly", _period_sql("week"))
 def gmv_weekly(spark, sf):
-    return RU.gmv_by_period(B.fact(spark, sf), "week")
+    return RU.gmv_by_period(B.fact(spark, sf, "order_date", "order_total", "is_cancelled", "is_pending"), "week")
 
 
 @register("gmv_monthly", _period_sql("month"))
 def gmv_monthly(spark, sf):
-    return RU.gmv_by_period(B.fact(spark, sf), "month")
+    return RU.gmv_by_period(B.fact(spark, sf, "order_date", "order_total", "is_cancelled", "is_pending"), "month")
 
 
 @register("net_revenue_monthly", O.with_(O.FULL_STAR) + f"""SELECT coalesce(g.period, r.period) AS period,
@@ -339,7 +341,7 @@ FROM (SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, sum({O.cen
 FULL OUTER JOIN (SELECT CAST(date_trunc('month', refund_date) AS DATE) AS period,
       sum({O.cents('refund_amount')}) AS ref_c FROM refunds GROUP BY 1) r ON g.period = r.period""")
 def net_revenue_monthly(spark, sf):
-    return RU.net_revenue_monthly(B.fact(spark, sf), SB.refunds(spark, sf))
+    return RU.net_revenue_monthly(B.fact(spark, sf, "order_date", "order_total", "is_cancelled", "is_pending"), SB.refunds(spark, sf))
 
 
 @register("aov_median", O.with_(O.STAR) + f"""SELECT period, paid_orders,
@@ -358,7 +360,7 @@ def net_revenue_monthly(spark, sf):
         FROM canon WHERE {O.PAID_SQL} AND order_total IS NOT NULL)
   GROUP BY period)""")
 def aov_median(spark, sf):
-    return RU.aov_median(B.fact(spark, sf))
+    return RU.aov_median(B.fact(spark, sf, "order_date", "order_total", "is_cancelled", "is_pending"))
 
 
 @register("chart_contribution_rows", O.slice_base() + f"""SELECT case_id, dimension, dimension_value,
@@ -680,7 +682,7 @@ from kpiscope.operators.windows import incident_tagging as _tagging  # noqa: E40
   {O.round2('CAST(count(*) AS DOUBLE) / ' + O.seasonal_sql('order_date'))} AS adjusted_orders
 FROM canon GROUP BY order_date""")
 def seasonal_adjusted_volume(spark, sf):
-    return CAL.seasonal_adjusted_volume(B.fact(spark, sf))
+    return CAL.seasonal_adjusted_volume(B.fact(spark, sf, "order_date"))
 
 
 @register("incident_tagging", O.with_(O.STAR, O.cases_cte()) + f"""SELECT c.case_id, c.i_type AS injection_type,
@@ -689,7 +691,8 @@ FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.a
 WHERE {" AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in ["channel", "region", "category", "payment_type", "campaign"])}""")
 def incident_tagging(spark, sf):
     """Orders inside each incident window matching its slice predicate."""
-    return _tagging(B.fact_in_anomaly_windows(spark, sf), B.incidents(spark))
+    return _tagging(B.fact_in_anomaly_windows(
+        spark, sf, "order_id", "order_date", "channel", "region", "category", "payment_type", "campaign", "order_total"), B.incidents(spark))
 
 
 # ----------------------------------------------------------------- DQ1-DQ3
@@ -822,7 +825,7 @@ def window_filter(spark, sf):
     cases = B.incidents(spark)
     cal = (cases.select("case_id", F.explode(F.sequence("affected_start_date", "affected_end_date"))
                         .alias("order_date")))
-    j = _join_cal(B.fact_in_anomaly_windows(spark, sf), cal, cases)
+    j = _join_cal(B.fact_in_anomaly_windows(spark, sf, "order_date", "order_total"), cal, cases)
     return j.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n_orders"),
         cents_to_money(F.sum(to_cents("order_total"))).alias("gmv"),

@@ -65,60 +65,83 @@ def customer_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("n_name").alias("payment_type")))
 
 
+KEY_RANGE = 10 ** 20      # above every unsigned 64-bit key
+
+
 def first_orders(orders: DataFrame) -> DataFrame:
     """Order id of each customer's first order (by date, then id).
 
-    Two hash aggregates instead of a window over the customer: partial
-    aggregation keeps a customer owning a third of all orders from landing in
-    one task, and the join below is between pre-aggregated rows (at most one
-    per customer and day), so it carries no skew.
+    One pass: the smallest (seconds, key) of a customer, packed into one
+    decimal(38,0), which a hash aggregate can hold; partial aggregation keeps a
+    customer owning a third of all orders from landing in one task.
     """
-    per_day = (orders.groupBy("o_custkey", "o_orderdate")
-                     .agg(F.min("o_orderkey").alias("min_key")))
-    first_day = (per_day.groupBy("o_custkey")
-                        .agg(F.min("o_orderdate").alias("first_date")))
-    return (per_day.join(first_day, (per_day.o_custkey.eqNullSafe(first_day.o_custkey))
-                         & (per_day.o_orderdate == first_day.first_date))
-                   .select(F.col("min_key").alias("first_order_id")))
+    whole = "decimal(38,0)"
+    day = F.to_date("o_orderdate")
+    seconds = (F.unix_date(day).cast("long") * 86400 + F.hour("o_orderdate") * 3600
+               + F.minute("o_orderdate") * 60 + F.second("o_orderdate"))
+    offset = F.lit(str(2 ** 63)).cast("decimal(20,0)")
+    packed = (seconds.cast("decimal(15,0)") * F.lit(str(KEY_RANGE)).cast("decimal(21,0)")
+              + (F.col("o_orderkey").cast("decimal(20,0)") + offset)).cast(whole)
+    first = orders.groupBy("o_custkey").agg(F.min(packed).alias("first"))
+    key = F.pmod(F.col("first"), F.lit(str(KEY_RANGE)).cast(whole)) - offset
+    return first.where("first is not null").select(key.cast("long").alias("first_order_id"))
 
 
-def _order_base(spark: SparkSession, sf_dir: str, line_cols) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    lf = line_facts(spark, sf_dir).select("order_id", *line_cols)
-    firsts = first_orders(o)
-    cust = customer_dims(spark, sf_dir)
-    return (o.join(cust, o.o_custkey == cust.customer_id, "left")
-             .join(lf, o.o_orderkey == lf.order_id, "left")
-             .join(firsts, o.o_orderkey == firsts.first_order_id, "left"))
+_FROM_CUSTOMER = {"region", "category", "payment_type"}
+_FROM_LINES = {"order_status", "is_refunded", "n_items"}
+_FROM_FIRSTS = {"customer_type"}
 
 
-def _canonical_columns():
+def _order_base(spark: SparkSession, sf_dir: str, line_cols, wanted: set[str] | None = None) -> DataFrame:
+    """Orders with what the wanted canonical columns are read from, and no other join."""
+    o = read_table(spark, sf_dir, "orders")
+    base = o
+    if wanted is None or wanted & _FROM_CUSTOMER:
+        cust = customer_dims(spark, sf_dir)
+        base = base.join(cust, o.o_custkey == cust.customer_id, "left")
+    if wanted is None or wanted & _FROM_LINES:
+        lf = line_facts(spark, sf_dir).select("order_id", *line_cols)
+        base = base.join(lf, o.o_orderkey == lf.order_id, "left")
+    if wanted is None or wanted & _FROM_FIRSTS:
+        firsts = first_orders(o)
+        base = base.join(firsts, o.o_orderkey == firsts.first_order_id, "left")
+    return base
+
+
+def _canonical_columns() -> dict:
     is_cancelled = F.col("o_orderstatus") == "F"
     is_pending = F.col("o_orderstatus") == "P"
     is_refunded = ~is_cancelled & (F.coalesce(F.col("has_return"), F.lit(0)) == 1)
     order_date = F.to_date("o_orderdate")
-    return [
-        F.col("o_orderkey").alias("order_id"),
-        order_date.alias("order_date"),
-        F.col("o_custkey").alias("customer_id"),
-        F.when(F.col("first_order_id").isNotNull(), "new").otherwise("returning").alias("customer_type"),
-        F.col("o_orderpriority").alias("channel"),
-        F.col("region"),
-        F.col("category"),
-        campaign_of(order_date).alias("campaign"),
-        F.col("payment_type"),
-        F.col("o_totalprice").alias("order_total"),
-        F.when(is_cancelled, "cancelled").when(is_pending, "pending")
-         .when(is_refunded, "refunded").otherwise("completed").alias("order_status"),
-        is_cancelled.alias("is_cancelled"),
-        is_refunded.alias("is_refunded"),
-        is_pending.alias("is_pending"),
-        F.coalesce(F.col("n_lines"), F.lit(0)).cast("int").alias("n_items"),
-    ]
-
-
-def canonical_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_base(spark, sf_dir, ["n_lines", "has_return"]).select(*_canonical_columns())
+    return {
+        "order_id": F.col("o_orderkey"),
+        "order_date": order_date,
+        "customer_id": F.col("o_custkey"),
+        "customer_type": F.when(F.col("first_order_id").isNotNull(), "new").otherwise("returning"),
+        "channel": F.col("o_orderpriority"),
+        "region": F.col("region"),
+        "category": F.col("category"),
+        "campaign": campaign_of(order_date),
+        "payment_type": F.col("payment_type"),
+        "order_total": F.col("o_totalprice"),
+        "order_status": F.when(is_cancelled, "cancelled").when(is_pending, "pending")
+                         .when(is_refunded, "refunded").otherwise("completed"),
+        "is_cancelled": is_cancelled,
+        "is_refunded": is_refunded,
+        "is_pending": is_pending,
+        "n_items": F.coalesce(F.col("n_lines"), F.lit(0)).cast("int"),
+    }
+
+
+def _aliased(columns=None) -> list:
+    return [c.alias(n) for n, c in _canonical_columns().items() if columns is None or n in columns]
+
+
+def canonical_orders(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    """The canonical orders, or only the named columns of them: then only the tables that these are
+    read from are joined (Catalyst cannot drop a left join whose other side it cannot prove unique)."""
+    wanted = None if columns is None else set(columns)
+    return _order_base(spark, sf_dir, ["n_lines", "has_return"], wanted).select(*_aliased(wanted))
 
 
 def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +154,7 @@ def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     refunded = (F.col("has_return") == 1) & (F.col("o_orderstatus") != "F")
     has_lines = F.col("n_lines").isNotNull()
     return base.select(
-        *_canonical_columns(),
+        *_aliased(),
         F.when(refunded, cents_to_money("net_c")).otherwise(F.lit(0.0)).alias("refund_amount"),
         F.when(refunded, F.col("last_ship_date")).alias("refund_date"),
         F.when(refunded, F.col("max_linestatus")).alias("refund_reason"),

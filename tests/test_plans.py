@@ -30,3 +30,28 @@ def test_first_orders_use_hash_aggregates(spark, sf_small):
     from kpiscope.sources.binding import first_orders
     p = plan_of(first_orders(read_table(spark, sf_small, "orders")))
     assert "SortAggregate" not in p and "Window" not in p
+
+
+def _scans(plan, table):
+    return plan.count(f"{table}.parquet")
+
+
+def test_fact_joins_only_what_its_columns_need(spark, sf_small):
+    from kpiscope.plans import catalog
+    for key in ("daily_series", "gmv_weekly", "gmv_monthly", "seasonal_adjusted_volume"):
+        p = plan_of(catalog.QUERIES[key](spark, sf_small))
+        assert _scans(p, "orders") == 1 and "Join" not in p and p.count("Exchange hashpartitioning") == 1, key
+    p = plan_of(catalog.QUERIES["customer_type_derive"](spark, sf_small))
+    assert _scans(p, "orders") == 2 and _scans(p, "lineitem") == _scans(p, "customer") == 0
+    p = plan_of(catalog.QUERIES["window_filter"](spark, sf_small))
+    assert _scans(p, "orders") == 1 and _scans(p, "lineitem") == 0
+
+
+def test_first_order_by_date_then_key(spark):
+    import datetime as dt
+    from kpiscope.sources.binding import first_orders
+    day = dt.datetime
+    rows = [(5, 1, day(2020, 1, 2)), (9, 1, day(2020, 1, 1, 3)), (7, 1, day(2020, 1, 1, 2)), (8, 1, day(2020, 1, 1, 2)),
+            (2 ** 63 - 1, 2, day(1950, 5, 5)), (-4, None, day(2021, 1, 1)), (3, None, day(2021, 1, 1)), (11, 3, None)]
+    frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    assert {r[0] for r in first_orders(frame).collect()} == {7, 2 ** 63 - 1, -4}

@@ -6,12 +6,11 @@ Plan::
     chunks --tokenize--> explode --> HashAggregate (chunk, term) = tf      T2
     tf --> HashAggregate (term) = df --> idf; corpus scalars N, avgdl,     T3
           mean idf: one small aggregate
-    postings (materialized) JOIN idf (broadcast when the vocabulary is
-          measured small) --> per-posting impact (query-free), an integer of 1e-9
-    queries --tokenize--> (query, term, qtf), broadcast after a size check
-    impacts JOIN query terms ON term: only postings of query terms are     T4
-          scored; a term present in every chunk meets a broadcast side, so
-          it never becomes a hot shuffle key
+    queries --tokenize--> (query, term, qtf) JOIN idf ON term
+    postings (materialized) JOIN query terms ON term: only postings of     T4
+          query terms get an impact (an integer of 1e-9); the query side is
+          broadcast when its bytes are measured small, so a term present in
+          every chunk is no hot shuffle key
     --> HashAggregate (query, chunk) = exact integer sum of qtf x impact
     --> row_number per query with a group limit (partial top-k before the  T5
           shuffle), score > 0, rounded to 4 decimals
@@ -22,16 +21,14 @@ The scoring constants (k1 = 1.5, b = 0.75, negative idf floored at
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions.fixed import BM25_B, BM25_EPSILON, BM25_K1, RETRIEVAL_TOP_K
 from kpiscope.functions.numeric import round_to
 
-# Largest query-term table (rows) that is broadcast to the postings.
-BROADCAST_QUERY_TERMS = 1_000_000   # (query, term, count) rows, about 40 MB
+# Largest query-term table that is broadcast to the postings, in bytes of its terms and numbers.
+BROADCAST_QUERY_BYTES = 32 * 1024 * 1024
 
 HEADING_SPLIT_RE = r"(?md)(?=^#{1,3}[ \t\x0B\f\r]+[^\n])"
 HEADING_RE = r"^#{1,3}[ \t\x0B\f\r]+([^\n]+)"
@@ -96,10 +93,6 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
 
 
-# Largest vocabulary (terms) whose idf table is broadcast to the postings.
-BROADCAST_IDF_TERMS = 2_000_000
-
-
 class BM25Index:
     """Impact index of a chunked corpus.
 
@@ -118,50 +111,38 @@ class BM25Index:
         self.keys = list(key_cols)
         keep = materialize if materialized else (lambda df, _name: df)
         post = keep(postings(chunks, self.keys), "bm25_postings")
-        # one row per chunk: its length and section name
-        # small per-chunk and per-term tables used by the statistics below and
-        # again by every query: kept in the cache (lineage from the
-        # materialized postings stays, so a lost executor recomputes cheaply)
-        self.lengths = post.groupBy(*self.keys, "section").agg(F.max("dl").alias("dl")).persist()
+        # one row per chunk and one per term: written like the postings, since every query reads them
+        self.lengths = keep(post.groupBy(*self.keys, "section").agg(F.max("dl").alias("dl")), "bm25_lengths")
         row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
         self.n_docs, total = int(row["n"]), int(row["total"] or 0)
         self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
         self.tf = post.where(F.col("term").isNotNull())
-        raw = idf_table(self.tf, self.n_docs).persist()
-        self._raw_idf = raw
-        st = raw.agg(F.avg("raw_idf").alias("m"), F.count(F.lit(1)).alias("v")).first()
+        raw = keep(idf_table(self.tf, self.n_docs), "bm25_idf")
+        st = raw.agg(F.avg("raw_idf").alias("m")).first()
         self.eps = BM25_EPSILON * float(st["m"]) if st["m"] is not None else 0.0
         self.idf = final_idf(raw, self.eps)
         self.k1, self.b = k1, b
-        kk1, bb = F.lit(k1), F.lit(b)
-        avgdl = F.lit(self.avgdl if self.avgdl else 1.0)
-        t = F.col("tf").cast("double")
-        norm = t * (kk1 + F.lit(1.0)) / (t + kk1 * (F.lit(1.0) - bb + bb * F.col("dl") / avgdl))
-        idf = self.idf.select("term", "idf")
-        # a hot term is one idf row: broadcast it when the vocabulary is
-        # measured small, else AQE splits the hot postings partition
-        idf = F.broadcast(idf) if int(st["v"]) <= BROADCAST_IDF_TERMS else idf
-        imp = (self.tf.join(idf, "term")
-                      .select(*self.keys, "term",
-                              F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint").alias("impact")))
-        # impacts are read once per query batch: kept lazy (the postings they
-        # come from are already materialized)
-        self.impacts = imp
-
-    def release(self) -> None:
-        """Drop the cached per-chunk and per-term tables."""
-        self.lengths.unpersist()
-        self._raw_idf.unpersist()
+
+    def impact(self) -> Column:
+        """idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)) of a posting, as an integer of 1e-9."""
+        k1, b, one = F.lit(self.k1), F.lit(self.b), F.lit(1.0)
+        t, avgdl = F.col("tf").cast("double"), F.lit(self.avgdl if self.avgdl else 1.0)
+        norm = t * (k1 + one) / (t + k1 * (one - b + b * F.col("dl") / avgdl))
+        return F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint")
 
     def scores(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
         """T4: score of every chunk sharing a term with the query (others score
-        0 and never rank above a positive score). The query-term side is
-        broadcast after a size check; a term in every chunk is then no hot key."""
+        0 and never rank above a positive score). The query terms take their idf
+        first, so the postings meet one table of query terms only; that table is
+        broadcast when its bytes are measured small (a term in every chunk is
+        then no hot key), else AQE splits hot terms."""
         qt = query_terms(queries, id_col, text_col)
-        side = F.broadcast(qt) if qt.count() <= BROADCAST_QUERY_TERMS else qt
-        hits = self.impacts.join(side, "term")
+        size = qt.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+        small = F.broadcast if size <= BROADCAST_QUERY_BYTES else (lambda df: df)
+        side = self.idf.select("term", "idf").join(small(qt), "term")
+        hits = self.tf.join(small(side), "term")
         return (hits.groupBy("query_id", *self.keys)
-                    .agg((F.sum(F.col("qtf") * F.col("impact")).cast("double") / F.lit(SCORE_SCALE))
+                    .agg((F.sum(F.col("qtf") * self.impact()).cast("double") / F.lit(SCORE_SCALE))
                          .alias("score")))
 
     def top_k(self, queries: DataFrame, k: int = RETRIEVAL_TOP_K, id_col: str = "query_id",
@@ -181,8 +162,3 @@ class BM25Index:
 def documents_as_chunks(docs: DataFrame) -> DataFrame:
     """The documents table as a corpus: one source per document."""
     return section_chunks(docs.select(F.col("doc_id").alias("source"), F.col("text").alias("value")))
-
-
-def idf_value(n_docs: int, df: int) -> float:
-    """Scalar idf, for tests."""
-    return math.log(n_docs - df + 0.5) - math.log(df + 0.5)

@@ -7,7 +7,6 @@ zero decimals is the same in Spark and in C-style engines, while Spark's
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,29 +48,32 @@ def _no_negative_zero(c: Column) -> Column:
     return F.when(c == 0, F.lit(0.0)).otherwise(c)
 
 
-_FORMATTERS: dict = {}
-
-
-def _formatter(spec: str):
-    """Arrow-batched Python formatting with one format spec.
-
-    Python (like C printf) rounds the exact binary value with ties to even:
-    f"{112.35:.1f}" is '112.3' because the double lies below 112.35. The JVM
-    formats from the shortest decimal text and gives '112.4'. No built-in
-    reproduces the former, so this small helper formats the few display
-    values (a handful per incident and dimension)."""
-    if spec not in _FORMATTERS:
-        @F.pandas_udf("string")
-        def fmt(v: pd.Series) -> pd.Series:
-            return v.map(lambda x: None if x is None or x != x else format(float(x), spec))
-
-        _FORMATTERS[spec] = fmt
-    return _FORMATTERS[spec]
+SPLIT = 134217729.0      # 2^27 + 1: cuts a double into two halves of 26 bits
 
 
 def fmt_fixed(c, digits: int = 1, sign: bool = False) -> Column:
-    """Text of a number as Python's '{:.{d}f}' (or '{:+.{d}f}') prints it."""
-    return _formatter(("+" if sign else "") + f".{digits}f")(col_(c).cast("double"))
+    """Text of a number as Python's '{:.{d}f}' (or '{:+.{d}f}') prints it.
+
+    Python rounds the exact binary value with ties to even: f"{112.35:.1f}" is '112.3', since
+    the double lies below 112.35. The JVM formats from the shortest decimal text and gives
+    '112.4'. Here v * 10^d is taken exactly, as a product and its rounding error (Dekker), so
+    the half is compared with the exact value.
+    """
+    v = col_(c).cast("double")
+    size, ten = F.abs(v), F.lit(10.0 ** digits)
+    product = size * ten
+    cut = size * F.lit(SPLIT)
+    high = cut - (cut - size)
+    error = (high * ten - product) + (size - high) * ten
+    below = F.floor(product).cast("bigint")
+    over_half = (product - below.cast("double") - F.lit(0.5)) + error
+    units = below + F.when((over_half > 0) | ((over_half == 0) & (below % 2 == 1)), 1).otherwise(0)
+    text = units.cast("string")
+    if digits:
+        base = 10 ** digits
+        text = F.concat(F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), digits, "0"))
+    mark = F.when(v < 0, "-").otherwise("+" if sign else "")
+    return F.when(v.isNotNull() & ~F.isnan(v), F.concat(mark, text))
 
 
 def fmt_short(c) -> Column:

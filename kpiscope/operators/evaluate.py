@@ -50,8 +50,9 @@ def grade_cases(findings: DataFrame, cases: DataFrame) -> DataFrame:
     finding_hit = F.col("primary_finding").isNotNull() & cause_hit(F.col("primary_finding"), exp)
     concl_hit = cause_hit(F.coalesce(F.col("conclusion"), F.lit("")), exp)
     primary = finding_hit | concl_hit
-    predicted = F.when(F.col("primary_finding").isNotNull(), F.col("primary_finding")) \
-                 .when(concl_hit, F.substring(F.col("conclusion"), 1, 200)).otherwise(F.lit(""))
+    full = F.when(F.col("primary_finding").isNotNull(), F.col("primary_finding")) \
+            .when(concl_hit, F.col("conclusion")).otherwise(F.lit(""))
+    predicted = F.when(F.col("primary_finding").isNotNull(), full).otherwise(F.substring(full, 1, 200))
     n_sup = F.col("n_support1") * F.col("passes")
     return j.select(
         "case_id",
@@ -63,10 +64,21 @@ def grade_cases(findings: DataFrame, cases: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("unsupported_claim_count"),
         (F.col("review_status") != "not_required").alias("human_review_triggered"),
         F.col("elapsed_seconds").alias("runtime_seconds"),
-        F.substring(predicted, 1, 500).alias("predicted_primary_cause"),
+        F.substring(predicted, 1, 500).alias("predicted_primary_cause"), full.alias("predicted_cause_full"),
         "confidence")
 
 
+def with_failed(grades: DataFrame, cases: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The grades, and an all-miss row for every incident without one. ``errors`` (case_id, error)
+    says why where it is known."""
+    missing = cases.select("case_id").join(grades.select("case_id"), "case_id", "left_anti")
+    if errors is None:
+        missing = missing.withColumn("error", F.lit("no verdict"))
+    else:
+        missing = missing.join(errors.select("case_id", "error"), "case_id", "left").fillna("no verdict", ["error"])
+    return grades.unionByName(missing.select(*failed_case_grade(F.col("case_id"), F.col("error"))))
+
+
 def eval_summary(grades: DataFrame) -> DataFrame:
     """Means over the graded incidents (0 when there are none)."""
     avg = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
@@ -100,4 +112,5 @@ def failed_case_grade(case_id: Column, error: Column) -> list[Column]:
             F.lit(0).cast("bigint").alias("unsupported_claim_count"),
             F.lit(False).alias("human_review_triggered"), F.lit(0.0).alias("runtime_seconds"),
             F.concat(F.lit("ERROR: "), F.substring(error, 1, 200)).alias("predicted_primary_cause"),
+            F.concat(F.lit("ERROR: "), error).alias("predicted_cause_full"),
             F.lit("inconclusive").alias("confidence")]

@@ -676,5 +676,7 @@ GRADES = f"""grades AS (
     substring(CASE WHEN f.primary_finding IS NOT NULL THEN f.primary_finding
                    WHEN {cause_hit_sql("coalesce(f.conclusion, '')", 'c.expected_primary_cause')} THEN substring(f.conclusion, 1, 200)
                    ELSE '' END, 1, 500) AS predicted_primary_cause,
+    CASE WHEN f.primary_finding IS NOT NULL THEN f.primary_finding
+         WHEN {cause_hit_sql("coalesce(f.conclusion, '')", 'c.expected_primary_cause')} THEN f.conclusion ELSE '' END AS predicted_cause_full,
     f.confidence
   FROM found f JOIN casesd c ON f.case_id = c.case_id)"""

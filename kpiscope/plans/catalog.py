@@ -617,7 +617,7 @@ def cause_tokens(spark, sf):
 
 def _grades(spark, sf):
     inv, cases = _inv(spark, sf)
-    return EV.grade_cases(inv.findings, cases), cases, inv
+    return EV.with_failed(EV.grade_cases(inv.findings, cases), cases), cases, inv
 
 
 @register("cause_hit", O.decision_base() + f""", hits AS (
@@ -639,7 +639,7 @@ def cause_hit(spark, sf):
 
 @register("grade_cases", O.decision_base() + ", " + O.GRADES + """
 SELECT case_id, primary_cause_hit, primary_cause_hit AS top_k_hit, sql_success_rate, evidence_sufficient,
-  unsupported_claim_count, human_review_triggered, runtime_seconds, predicted_primary_cause, confidence
+  unsupported_claim_count, human_review_triggered, runtime_seconds, predicted_primary_cause, predicted_cause_full, confidence
 FROM grades""")
 def grade_cases(spark, sf):
     g, _, _ = _grades(spark, sf)
@@ -779,12 +779,14 @@ from kpiscope.sources import sinks as SK  # noqa: E402
 @register("sink_full_refresh", O.with_(O.STAR) + "SELECT * FROM canon")
 def sink_full_refresh(spark, sf):
     """Full-refresh Parquet write of the canonical orders, read back."""
-    return SK.full_refresh_parquet(B.fact(spark, sf), SK.scratch_path(spark, "orders"), "order_date")
+    path = SK.scratch_path(spark, "orders")
+    SK.full_refresh(B.fact(spark, sf).where("is_cancelled"), path, "order_date")     # a filled table is replaced
+    return SK.full_refresh(B.fact(spark, sf), path, "order_date")[0]
 
 
 @register("sink_results_json", O.decision_base() + ", " + O.GRADES + """
 SELECT case_id, primary_cause_hit, primary_cause_hit AS top_k_hit, sql_success_rate, evidence_sufficient,
-  unsupported_claim_count, human_review_triggered, runtime_seconds, predicted_primary_cause, confidence
+  unsupported_claim_count, human_review_triggered, runtime_seconds, predicted_primary_cause, predicted_cause_full, confidence
 FROM grades""")
 def sink_results_json(spark, sf):
     """Per-case grades written as JSON and read back."""
@@ -836,11 +838,8 @@ def window_filter(spark, sf):
                                            ", ".join(f"'{c}'" for c in _SUBSET) + ")"))
 def case_subset(spark, sf):
     """Investigate only the requested incidents (semi join on ids)."""
-    from kpiscope.sources.cases import DEFAULT_CASES
-    chosen = [c for c in DEFAULT_CASES if c["case_id"] in _SUBSET]
-    ids = spark.createDataFrame([(c,) for c in _SUBSET], "case_id string")
-    cases = B.incidents(spark, chosen).join(F.broadcast(ids), "case_id", "left_semi")
-    return C.best_driver(C.slice_compare(B.cube(spark, sf, chosen), cases))
+    from kpiscope.sources.cases import select_cases
+    return C.best_driver(C.slice_compare(B.cube(spark, sf), select_cases(B.incidents(spark), _SUBSET)))
 
 
 @register("slice_full_outer", O.slice_base() + """SELECT case_id, dimension, slice,

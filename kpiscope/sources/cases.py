@@ -115,6 +115,22 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
         "baseline_start", "baseline_end", "injection")
 
 
+KNOWN_IDS_SHOWN = 50
+
+
+def select_cases(cases: DataFrame, ids: list[str]) -> DataFrame:
+    """The incidents with the given ids; no ids mean all. An unknown id is an error that lists
+    known ones (the first 50)."""
+    if not ids:
+        return cases
+    wanted = cases.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "case_id string")
+    unknown = [r["case_id"] for r in wanted.join(cases.select("case_id"), "case_id", "left_anti").orderBy("case_id").collect()]
+    if unknown:
+        known = [r["case_id"] for r in cases.select("case_id").orderBy("case_id").limit(KNOWN_IDS_SHOWN).collect()]
+        raise ValueError(f"unknown incidents: {', '.join(unknown)}; known: {', '.join(known)}")
+    return cases.join(wanted, "case_id", "left_semi")
+
+
 def published_cases(cases: DataFrame) -> DataFrame:
     """The labelled incidents without the private injection spec."""
     return cases.drop("injection")

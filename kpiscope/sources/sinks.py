@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from kpiscope.session import ensure_checkpoint_dir
 
@@ -14,15 +15,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kpiscope-out/{name}-{uuid.uuid4().hex}"
 
 
-def full_refresh_parquet(df: DataFrame, path: str, sort_col: str | None = None) -> DataFrame:
-    """S3 + S4: replace the table at ``path`` and read it back.
+def full_refresh(df: DataFrame, path: str, sort_col: str | None = None) -> tuple[DataFrame, int]:
+    """S3 + S4: replace the table at ``path``; returns it, reread, and the rows written.
 
-    Rows are sorted within each output file by ``sort_col`` so Parquet
-    min/max statistics let later range filters skip row groups.
+    Rows are sorted within each output file by ``sort_col`` so Parquet min/max statistics let
+    later range filters skip row groups. The count is observed while writing, without a job of its own.
     """
-    out = df.sortWithinPartitions(sort_col) if sort_col else df
+    written = Observation()
+    out = (df.sortWithinPartitions(sort_col) if sort_col else df).observe(written, F.count(F.lit(1)).alias("rows"))
     out.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), written.get["rows"]
 
 
 def json_round_trip(df: DataFrame, path: str) -> DataFrame:

@@ -79,3 +79,31 @@ class _Cluster:
 def test_cluster_without_a_shared_folder_is_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(_Cluster)
+
+
+def test_case_selection(spark):
+    from kpiscope.sources.cases import select_cases
+    cases = cases_frame(spark)
+    assert select_cases(cases, []).count() == cases.count()
+    assert {r["case_id"] for r in select_cases(cases, ["INC-002", "INC-002"]).collect()} == {"INC-002"}
+    with pytest.raises(ValueError, match="INC-404.*known: INC-001, INC-002"):
+        select_cases(cases, ["INC-001", "INC-404"])
+
+
+def test_refresh_replaces_and_counts(spark, tmp_path):
+    from kpiscope.sources.sinks import full_refresh
+    path = str(tmp_path / "t")
+    assert full_refresh(spark.range(10), path)[1] == 10
+    table, rows = full_refresh(spark.range(3), path, "id")
+    assert rows == 3 and table.count() == 3
+
+
+def test_case_without_a_verdict_is_an_all_miss_row(spark, sf_small):
+    from kpiscope.operators import evaluate as EV
+    from kpiscope.plans import catalog
+    cases = cases_frame(spark, [case("INC-001", "1995-04-10", "1995-06-18"), case("LOST", "2024-06-01", "2024-06-05")])
+    grades = catalog.QUERIES["grade_cases"](spark, sf_small).where("case_id = 'INC-001'")
+    errors = spark.createDataFrame([("LOST", "e" * 300)], "case_id string, error string")
+    got = {r["case_id"]: r for r in EV.with_failed(grades, cases, errors).collect()}
+    assert set(got) == {"INC-001", "LOST"} and not got["LOST"]["primary_cause_hit"]
+    assert got["LOST"]["predicted_cause_full"] == "ERROR: " + "e" * 300 and got["LOST"]["confidence"] == "inconclusive"

@@ -445,6 +445,58 @@ def reply_json(spark, sf):
     return p.select("event_id", F.col("parsed.k").alias("k"))
 
 
+from kpiscope.plans import texts as TX  # noqa: E402
+
+_STATEMENTS = f"SELECT {TX.STATEMENT_ID} AS query_id, {TX.STATEMENT} AS sql FROM orders"
+
+
+def _statements(spark, sf):
+    return read_table(spark, sf, "orders").selectExpr(f"{TX.STATEMENT_ID} AS query_id", f"{TX.STATEMENT} AS sql")
+
+
+@register("sql_audit_statements", O.with_(O.audit_cte(_STATEMENTS)) + """SELECT query_id,
+  len(errors) = 0 AS is_valid, array_to_string(errors, ' | ') AS error_text, sanitized_sql FROM a4""")
+def sql_audit_statements(spark, sf):
+    """G1, G3 over statements built from orders: each verdict, message and cap fires in volume."""
+    return AU.validate(_statements(spark, sf)).select(
+        "query_id", "is_valid", F.array_join("errors", " | ").alias("error_text"), "sanitized_sql")
+
+
+@register("sql_table_refs_statements", O.with_(O.audit_cte(_STATEMENTS)) + f"""SELECT query_id,
+  CAST(i AS BIGINT) AS ref_pos, table_refs[i + 1] AS table_name,
+  list_contains(cte_names, lower(table_refs[i + 1])) AS is_cte,
+  list_contains({O.sql_list(O.ALLOWED_TABLES)}, lower(table_refs[i + 1])) AS is_allowed
+FROM (SELECT query_id, table_refs, cte_names, unnest(range(len(table_refs))) AS i FROM a3)""")
+def sql_table_refs_statements(spark, sf):
+    """G2, J7, U4 over the same statements."""
+    return AU.table_refs(_statements(spark, sf))
+
+
+@register("request_extract_orders", f"""SELECT o_orderkey, {_K} AS kpi, array_to_string({_D}, ',') AS dimensions,
+  array_to_string({_DT}, ',') AS dates FROM (SELECT o_orderkey, {TX.QUESTION} AS text FROM orders)""")
+def request_extract_orders(spark, sf):
+    """G5 over questions built from orders."""
+    asked = read_table(spark, sf, "orders").selectExpr("o_orderkey", f"{TX.QUESTION} AS text")
+    return AU.request_extract(asked, "text").select(
+        "o_orderkey", "kpi", F.array_join("dimensions", ",").alias("dimensions"), F.array_join("dates", ",").alias("dates"))
+
+
+@register("reply_json_fenced", """SELECT event_id,
+  CASE WHEN event_id % 6 IN (0, 1, 2, 3, 5) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+def reply_json_fenced(spark, sf):
+    """G6 over plain, fenced, unclosed and unparsable replies built from events."""
+    replies = read_table(spark, sf, "events").selectExpr("event_id", f"{TX.REPLY} AS reply")
+    return AU.reply_json(replies, "reply", "k BIGINT").select("event_id", F.col("parsed.k").alias("k"))
+
+
+@register("section_chunks_markdown", O.with_(O.chunks_cte(f"SELECT doc_id AS source, {TX.MARKDOWN} AS value FROM documents")) +
+          "SELECT source, section_no, section, content FROM chunks")
+def section_chunks_markdown(spark, sf):
+    """T1 over Markdown built from documents: every heading level, empty and false headings."""
+    from kpiscope.operators.retrieval import section_chunks as split
+    return split(_documents(spark, sf).selectExpr("doc_id AS source", f"{TX.MARKDOWN} AS value"))
+
+
 # ----------------------------------------------------------------- V1-V10 decisions
 from kpiscope.plans import investigate as INV  # noqa: E402
 

@@ -55,3 +55,17 @@ def test_run_and_registration(spark, sf_small):
     assert queries["pipeline"] is C.run and sum(q.startswith("op") for q in queries) >= 10
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in queries}
     assert C.run(spark, sf_small).count() > 0
+
+
+def test_odd_and_empty_tables_pass_every_stage(spark, sf_small, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        kept = docs
+        for name, stage in C.STAGES:
+            done = C.materialize(stage(spark, kept, sf_small), "odd")
+            if name != "best-fit packing":
+                assert done.columns == docs.columns, name
+            kept = done
+        if docs is no_docs:
+            assert kept.count() == 0
+        else:
+            assert kept.count() > 0 and {r["doc_id"] for r in kept.collect()} >= {None}

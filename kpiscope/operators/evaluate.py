@@ -71,12 +71,11 @@ def grade_cases(findings: DataFrame, cases: DataFrame) -> DataFrame:
 def with_failed(grades: DataFrame, cases: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """The grades, and an all-miss row for every incident without one. ``errors`` (case_id, error)
     says why where it is known."""
-    missing = cases.select("case_id").join(grades.select("case_id"), "case_id", "left_anti")
-    if errors is None:
-        missing = missing.withColumn("error", F.lit("no verdict"))
-    else:
-        missing = missing.join(errors.select("case_id", "error"), "case_id", "left").fillna("no verdict", ["error"])
-    return grades.unionByName(missing.select(*failed_case_grade(F.col("case_id"), F.col("error"))))
+    every = cases.select("case_id").join(grades.withColumn("_graded", F.lit(True)), "case_id", "left")
+    every = every.withColumn("error", F.lit(None).cast("string")) if errors is None \
+        else every.join(errors.select("case_id", "error"), "case_id", "left")
+    failed = failed_case_grade(F.col("case_id"), F.coalesce("error", F.lit("no verdict")))
+    return every.select(*[F.when(F.col("_graded"), F.col(n)).otherwise(c).alias(n) for n, c in zip(grades.columns, failed)])
 
 
 def eval_summary(grades: DataFrame) -> DataFrame:

@@ -237,6 +237,23 @@ def refund_summary(spark, sf):
     return V.refund_summary_from_enriched(SB.enriched_orders(spark, sf))
 
 
+@register("fact_orders_enriched_fanout", O.with_(O.STAR, O.LINE_LEVEL, O.ENRICHED) + "SELECT * FROM enriched")
+def fact_orders_enriched_fanout(spark, sf):
+    """J1 as two joins over several refunds and payments per order: each pair of them is a row."""
+    return V.fact_orders_enriched(B.fact(spark, sf), SB.line_refunds(spark, sf), SB.line_payments(spark, sf))
+
+
+@register("refund_summary_fanout", O.with_(O.STAR, O.LINE_LEVEL) + f"""SELECT r.refund_date, o.category, o.region, o.channel,
+  r.reason AS refund_reason, count(*) AS refund_count,
+  {O.money(f"sum({O.cents('r.refund_amount')})")} AS total_refund_amount,
+  {O.money(f"sum({O.cents('r.refund_amount')})")} / CAST(count(*) AS DOUBLE) AS avg_refund_amount
+FROM refunds r JOIN canon o ON r.order_id = o.order_id
+GROUP BY r.refund_date, o.category, o.region, o.channel, r.reason""")
+def refund_summary_fanout(spark, sf):
+    """A6 with J2 as a join over several refunds per order."""
+    return V.refund_summary(SB.line_refunds(spark, sf), B.fact(spark, sf, "order_id", "category", "region", "channel"))
+
+
 @register("paid_orders", O.with_(O.STAR) +
           f"SELECT order_id, order_date, order_total, order_status FROM canon WHERE {O.PAID_SQL}")
 def paid_orders(spark, sf):

@@ -164,6 +164,25 @@ def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("payment_status"))
 
 
+def _line_value(tax: bool):
+    net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+    return cents_to_money(to_cents(net * (F.lit(1.0) + F.col("l_tax")) if tax else net))
+
+
+def line_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One refund for each returned line, so an order can have several."""
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    return li.select(F.col("l_orderkey").alias("order_id"), F.to_date("l_shipdate").alias("refund_date"),
+                     _line_value(False).alias("refund_amount"), F.col("l_linestatus").alias("reason"))
+
+
+def line_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One payment for each line, open lines pending."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("order_id"), _line_value(True).alias("amount"),
+                     F.when(F.col("l_linestatus") == "O", "pending").otherwise("completed").alias("payment_status"))
+
+
 def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     lf = line_facts(spark, sf_dir)

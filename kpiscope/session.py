@@ -73,3 +73,30 @@ def materialize(df, name: str):
     path = f"{base}/kpiscope-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for each Spark application.
+
+    Python workers do not see the driver's ``sys.path``. Where the package is installed, on the
+    PYTHONPATH or was submitted as an archive, they have it; else its sources go out with
+    ``addPyFile``.
+    """
+    import site
+    import zipfile
+
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.realpath(__file__))
+    root = os.path.dirname(package)
+    known = [os.path.realpath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()) if p]
+    if root in known or not os.path.isdir(package) or getattr(context, "_kpiscope_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="kpiscope-code-"), "kpiscope.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._kpiscope_shipped = True

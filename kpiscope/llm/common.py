@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.session import materialize
+from kpiscope.session import materialize, ship_package
 
 # every byte that is no word character becomes a blank, A-Z become a-z;
 # bytes from 0x80 on are word characters
@@ -47,6 +47,8 @@ def enter(operator: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a folder; what follows runs Python on executors, which get this package here."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -74,4 +74,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_quality, op3_html_extraction, op4_packing,
                             op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan,
                             op10_nearest_neighbours)}
-ORACLE: dict[str, str] = {}
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+# the operators besides op5 hold models, hashes or tokenisers that SQL has not
+ORACLE: dict[str, str] = {"op5_decontamination": f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+found AS (SELECT p.doc_id, p.i, p.size, v.item_id FROM places p JOIN windows v ON p.phrase = v.phrase AND p.size = v.size),
+hits AS (SELECT doc_id, count(DISTINCT word) AS n_hit
+         FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+         FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items,
+       sha256(coalesce(k.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN held k ON d.doc_id = k.doc_id"""}

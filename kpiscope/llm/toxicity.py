@@ -3,7 +3,7 @@
 Folding lower-cases, maps look-alike letters of other scripts to Latin ones and
 digits or signs inside words to the letters they stand for. The lexicon is
 learned from labelled documents: whole words and word beginnings whose
-contexts are far commoner in toxic documents. Counting distinct neighbouring
+contexts and documents are far commoner in the toxic class. Counting distinct neighbouring
 words instead of documents keeps one much-copied document from filling the
 lexicon with its own words. Each matched word counts with its heaviest entry,
 unless an exception phrase covers it; sums are normalised by the text's length
@@ -43,7 +43,7 @@ EXCEPTION_PHRASES = (
 # ---- end of fixed values ----
 
 PER_CLASS = 4000        # labelled documents of each class that the model is fitted on
-MAX_ENTRIES = 1000      # lexicon entries
+PAIRS_HELD = 200_000    # pairs of term and neighbour that a task holds before it passes them on
 MIN_CONTEXTS = 5        # distinct neighbours that an entry needs in toxic documents, at least,
 MIN_SURPRISE = 16.0     # and so many that chance alone has odds of exp(-16) to put them all there
 PREFIXES = range(3, 9)  # lengths of word beginnings that may become entries
@@ -111,31 +111,30 @@ def measures(folded: str, automaton) -> tuple[int, float, float, float]:
 
 
 def _term_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """64-bit sets of hashed left neighbours by term and class, merged over the task's rows."""
-    seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    """Pairs of a term and its left neighbour by class. ``docs`` are the documents whose first such
+    term has that neighbour, so their sum over a term's pairs is the number of its documents."""
     for b in batches:
-        for text, y in zip(b["text"], b["y"]):
-            words = fold(text).split()
-            sets, before = seen[int(y)], ""
-            for w in words:
-                bit = 1 << (hash_text(before) & 63)
-                key = f" {w} "
-                sets[key] = sets.get(key, 0) | bit
-                for n in PREFIXES:
-                    if n > len(w):
-                        break
-                    key = f" {w[:n]}"
-                    sets[key] = sets.get(key, 0) | bit
-                before = w
-    for y, sets in enumerate(seen):
-        if sets:
-            masks = np.fromiter(sets.values(), np.uint64, len(sets)).view(np.int64)
-            yield pd.DataFrame({"term": list(sets), "pos": masks * y, "neg": masks * (1 - y)})
-
-
-def hash_text(s: str) -> int:
-    import zlib
-    return zlib.crc32(s.encode()) * 0x9E3779B1 >> 7
+        for y in (0, 1):
+            pairs: dict[tuple[str, str], int] = {}
+            for text in b["text"][b["y"] == y]:
+                before, met, known = "", set(), set()
+                for w in fold(text).split():
+                    if (w, before) not in known:
+                        known.add((w, before))
+                        for term in (f" {w} ", *(f" {w[:n]}" for n in PREFIXES if n <= len(w))):
+                            pairs[term, before] = pairs.get((term, before), 0) + (term not in met)
+                            met.add(term)
+                    before = w
+                if len(pairs) > PAIRS_HELD:
+                    yield _pair_rows(pairs, y)
+                    pairs = {}
+            if pairs:
+                yield _pair_rows(pairs, y)
+
+
+def _pair_rows(pairs: dict[tuple[str, str], int], y: int) -> pd.DataFrame:
+    return pd.DataFrame({"term": [t for t, _ in pairs], "before": [w for _, w in pairs],
+                         "y": np.full(len(pairs), y, np.int32), "docs": np.fromiter(pairs.values(), np.int64, len(pairs))})
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
@@ -143,12 +142,18 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(n) != {0, 1}:
         return Lexicon()
-    terms = (train.mapInPandas(_term_contexts, "term string, pos long, neg long").groupBy("term")
-             .agg(F.bit_count(F.bit_or("pos")).alias("pos"), F.bit_count(F.bit_or("neg")).alias("neg")))
+    toxic = F.col("y") == 1
+    terms = (train.mapInPandas(_term_contexts, "term string, before string, y int, docs long").groupBy("term", "before")
+             .agg(F.max(toxic.cast("long")).alias("pos"), F.max((~toxic).cast("long")).alias("neg"),
+                  F.sum(F.when(toxic, F.col("docs")).otherwise(0)).alias("pos_docs"),
+                  F.sum(F.when(toxic, 0).otherwise(F.col("docs"))).alias("neg_docs"))
+             .groupBy("term").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "pos_docs", "neg_docs"))))
     least = max(MIN_CONTEXTS, MIN_SURPRISE / -math.log(n[1] / (n[0] + n[1])))
     odds = F.log((F.col("pos") + 0.5) / n[1]) - F.log((F.col("neg") + 0.5) / n[0])
-    rows = (terms.where((F.col("pos") >= min(least, 40.0)) & (F.col("pos") * n[0] > 12 * (F.col("neg") + 0.25) * n[1]))
-            .withColumn("w", odds).orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").limit(MAX_ENTRIES).collect())
+    # neighbours run out where a vocabulary is small, documents do not: both have to be that much commoner
+    commoner = [F.col(c) * n[0] > 12 * (F.col(d) + 0.25) * n[1] for c, d in (("pos", "neg"), ("pos_docs", "neg_docs"))]
+    rows = (terms.where((F.col("pos") >= min(least, 40.0)) & commoner[0] & commoner[1])
+            .withColumn("w", odds).orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").collect())
     if not rows:
         return Lexicon()
     heaviest = max(r["w"] for r in rows)

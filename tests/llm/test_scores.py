@@ -65,3 +65,30 @@ def test_folding_and_exceptions():
     assert X.measures(X.fold("Scum and m0rons, a moron"), a)[:2] == (3, 1.0 + 0.5 + 0.9)
     assert X.measures(X.fold("pond scum"), a)[0] == 0
     assert X.measures(X.fold(""), a) == (0, 0.0, 0.0, 0.0)
+
+
+def toxic_rows(spark, n_clean, n_toxic, word_in_clean):
+    """Every text has "common" beside 30 of 200 neighbours; toxic texts and a few clean ones have "zorvex"."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n_clean + n_toxic):
+        toxic = int(i >= n_clean)
+        words = [f"side{k} common" for k in rng.choice(200, 30, replace=False)]
+        rows.append((i, " ".join(words + [f"left{i} zorvex"] * (toxic or i < word_in_clean)), toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, y int")
+
+
+def test_counts_of_contexts_go_on_beyond_64(spark):
+    entries = X.learn_lexicon(toxic_rows(spark, 300, 300, 8)).entries
+    assert " zorvex " in entries and " common " not in entries
+
+
+def test_common_words_are_no_entries_with_few_toxic_labels(spark):
+    entries = X.learn_lexicon(toxic_rows(spark, 400, 20, 0)).entries
+    assert " zorvex " in entries and " common " not in entries
+
+
+def test_every_term_that_passes_is_an_entry(spark):
+    rows = [(i, " ".join(f"n{i}x{k} z{k:04d}q" for k in range(1100)) if i % 2 else "a plain text", i % 2) for i in range(60)]
+    entries = X.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int")).entries
+    assert len([e for e in entries if e.endswith(" ")]) == 1100

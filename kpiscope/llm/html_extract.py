@@ -169,13 +169,15 @@ LAYOUTS = tuple(tuple(page.strip().splitlines()) for page in (
 
 _HINT = frozenset(HINTS)
 _CUE = frozenset(CUES)
+# a quote is one after "=" only, and only if it is closed; any other character up to ">" belongs to a name
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+"
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+{_VALUE})?+)*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
-_HIDDEN = re.compile(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
+_HIDDEN = re.compile(r"(?i)\bhidden\b")
+_NOT_SHOWN = re.compile(r"(?i)display\s*:\s*none")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+|©")
 
@@ -190,11 +192,13 @@ class Block:
 
 def _hints(attributes: str) -> frozenset[str]:
     """Known words of the class, id and role attributes."""
-    if "=" not in attributes:
-        return frozenset({"hidden"}) if _HIDDEN.search(attributes) else frozenset()
-    out = {w for m in _ATTR.finditer(attributes) for w in map(str.lower, _NAME.findall(m[2] or m[3] or m[4] or ""))}
-    if _HIDDEN.search(re.sub(r"\"[^\"]*hidden[^\"]*\"", "", attributes)):
-        out.add("hidden")
+    out = set()
+    for m in _ATTR.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            out.update(map(str.lower, _NAME.findall(value)))
+        if _HIDDEN.search(name) and value.lower() != "false" or name == "style" and _NOT_SHOWN.search(value):
+            out.add("hidden")
     return frozenset(out & _HINT)
 
 
@@ -230,20 +234,16 @@ def leaf_blocks(page: str) -> list[Block]:
                 del stack[k:]
                 return
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue                                    # inside a silent element
+    while m := _TAG.search(page, at):
         if m.start() > at:
             chunk = page[at:m.start()]
             parts.append(chunk)
             if "a" in inline:
                 links += len(chunk.strip())
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2]:
             continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
-        attributes = m[3] or m[6] or ""
+        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if tag in SILENT_TAGS and not closing:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)

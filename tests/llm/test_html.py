@@ -97,3 +97,25 @@ def test_odd_rows(spark):
     got = H.extract(pages).collect()
     assert sorted(r["n_chars"] for r in got)[:3] == [0, 0, 0] and len(got) == 5
     assert H.extract(pages.where("1=0")).count() == 0
+
+
+@pytest.mark.parametrize("quote", ["\"", "'"])
+@pytest.mark.parametrize("size", [10, 3000, 5000, 300_000])
+def test_long_quoted_values_are_markup(quote, size):
+    state = "<p>no</p></div>" * (size // 15 + 1)
+    page = f"<div data-state={quote}{state} class=ad hidden{quote} class=post>a<p>b</p></div>"
+    blocks = H.leaf_blocks(page)
+    assert [(b.text, b.tags, b.hints) for b in blocks] == [("a", ("div",), {"post"}), ("b", ("div", "p"), {"post"})]
+
+
+def test_stray_and_open_quotes():
+    assert [b.text for b in H.leaf_blocks('<p title="x"">a</p><p class=">b</p><p>it\'s c')] == ["a", "b", "it's c"]
+    assert [b.text for b in H.leaf_blocks("<script>s = '<a href=\"' + x</script><p>a \"b\" > c")] == ['a "b" > c']
+
+
+def test_open_quotes_take_linear_time():
+    import time
+    start = time.time()
+    for piece in ("<a b='", "<a b=\" ", "<a '", "<a  =", "<p a=\"'\" b='"):
+        H.leaf_blocks(piece * 200_000)
+    assert time.time() - start < 20

@@ -14,13 +14,16 @@ Sampled pages are also shown without those tags, so text features earn weight.
 
 Defined cases: null or empty html has the empty text. Unclosed tags, a page cut
 off inside a tag, and unknown character references are read as browsers do; a
-partial tag at the end is markup. Every row is judged alone.
+partial tag at the end is markup. An unclosed script, style, textarea, iframe or
+noscript hides the rest of the page, another unclosed element without readable
+text the rest of its parent. Every row is judged alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +41,8 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead title tr ul".split())
-SILENT_TAGS = frozenset("script style template noscript svg iframe object canvas audio video textarea select math".split())
+RAW_TAGS = frozenset("script style textarea iframe noscript".split())      # silent; tags inside are text
+SILENT_TAGS = RAW_TAGS | frozenset("template svg object canvas audio video select annotation annotation-xml".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SEMANTIC = frozenset("article main nav header footer aside form".split())
 HINTS = (
@@ -208,6 +212,65 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPE = frozenset(("ul", "ol", "dl", "table", "div", "section", "article", "body"))
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of a raw-text element; without one, the page's end."""
+    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def silent_ends(page: str) -> dict[int, int]:
+    """Where silent elements with ordinary content end, by the place behind their start tag.
+
+    That is behind their own end tag, else where their parent ends: at its end tag, or where the start
+    of a block implies that end. One that nothing ends, or only body or html, is its start tag alone.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int, str]] = []  # open elements, the places behind their start tags, their blocks
+    count: Counter[str] = Counter()
+    silent: list[int] = []                  # indexes in the stack of the silent ones
+    implied: dict[int, int] = {}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        tag, closing = m[2].lower(), bool(m[1])
+        if closing:
+            if not count[tag]:
+                continue
+            while True:
+                open_, start, _ = stack.pop()
+                count[open_] -= 1
+                if silent and silent[-1] == len(stack):
+                    silent.pop()
+                    ends[start] = m.end() if open_ == tag else implied.get(start, m.start())
+                if open_ == tag:
+                    break
+            continue
+        if tag in RAW_TAGS:
+            if not m[3].endswith("/"):
+                at = _after_raw(page, tag, at)
+            continue
+        if tag in VOID_TAGS or tag in ("html", "body") or m[3].endswith("/") and (silent or tag in SILENT_TAGS):
+            continue
+        if tag in BLOCK_TAGS and tag != "option":
+            if silent:
+                _, start, block = stack[silent[-1]]
+                if block == "p" or block in _CLOSES.get(tag, ()):
+                    implied.setdefault(start, m.start())
+            elif stack and stack[-1][0] == "p":
+                stack.pop()
+                count["p"] -= 1
+        if tag in SILENT_TAGS:
+            silent.append(len(stack))
+        stack.append((tag, at, tag if tag in BLOCK_TAGS else stack[-1][2] if stack else ""))
+        count[tag] += 1
+    for k in silent:
+        if (start := stack[k][1]) in implied:
+            ends[start] = implied[start]
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The readable blocks of a page in order."""
     out: list[Block] = []
@@ -216,6 +279,7 @@ def leaf_blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links = 0
     at, n = 0, len(page)
+    ends: dict[int, int] | None = None
 
     def flush():
         nonlocal links
@@ -245,9 +309,11 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if tag in SILENT_TAGS and not closing:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+            if tag in RAW_TAGS:
+                at = at if attributes.endswith("/") else _after_raw(page, tag, at)
+            else:
+                ends = silent_ends(page) if ends is None else ends
+                at = ends.get(at, at)
         elif tag in BLOCK_TAGS:
             if closing and tag != "p" and not any(t == tag for t, _ in stack):
                 continue                                # a stray end tag
@@ -274,10 +340,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 inline.remove(tag)
         elif tag not in VOID_TAGS:
             inline.append(tag)
-    if at < n:
-        tail = page[at:]
-        cut = re.search(r"<[A-Za-z/!?]?[^<>]*\Z", tail)  # a tag cut off at the end of the page
-        parts.append(tail[:cut.start()] if cut and "<" in tail else tail)
+    parts.append(page[at:])                             # a tag cut off at the end is no part of it
     flush()
     return out
 

@@ -119,3 +119,29 @@ def test_open_quotes_take_linear_time():
     for piece in ("<a b='", "<a b=\" ", "<a '", "<a  =", "<p a=\"'\" b='"):
         H.leaf_blocks(piece * 200_000)
     assert time.time() - start < 20
+
+
+def texts_of(page):
+    return [b.text for b in H.leaf_blocks(page)]
+
+
+def test_text_after_the_last_tag_is_kept():
+    assert texts_of("<p>if x < 3 then stop and the rest") == ["if x < 3 then stop and the rest"]
+    assert texts_of("a < b") == ["a < b"] and texts_of("<p>a<b") == ["a"] and texts_of("<p>a <!-- b") == ["a"]
+
+
+@pytest.mark.parametrize("tag", ["video", "audio", "object", "canvas", "svg", "select", "template"])
+def test_open_silent_elements_end_with_their_parent(tag):
+    assert texts_of(f"<article><div>a<{tag} x=1>no</div><p>b</p><p>c</article>d") == ["a", "b", "c", "d"]
+    assert texts_of(f"<p>a<{tag}>no<p>b</p><p>c") == ["a", "b", "c"]
+    assert texts_of(f"<p>a<b><{tag}>no<p>b<ul><li>c<{tag}>no<li>d</ul>") == ["a", "b", "c", "d"]
+    assert texts_of(f"<div>a<{tag}><p>no</p>no</{tag}>b</div>") == ["ab"]
+    assert texts_of(f"<p>a<{tag}><div>no</div></{tag}>b</p>") == ["ab"]
+    assert texts_of(f"<div>a<{tag}>no</div><p>b<{tag}>no</{tag}>c</p>") == ["a", "bc"]
+    assert texts_of(f"<body><{tag}><article><p>a</p><p>b</p></article></body>") == ["a", "b"]
+    assert texts_of(f"<p>a<{tag} src=x />b</p>") == ["ab"]
+
+
+def test_raw_text_elements_and_formulas():
+    assert texts_of("<div>a<textarea><p>no</div><p>no") == ["a"]
+    assert texts_of("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=t>no</annotation></math> holds") == ["so x=1 holds"]

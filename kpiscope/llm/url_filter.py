@@ -48,7 +48,7 @@ ALLOW_NAMES = (
 PLAIN_WORDS = frozenset("www m blog http https html htm php com org net example co uk de fr es en it index".split())
 # ---- end of fixed values ----
 
-LONGEST_WORD = 16       # letters of a known word, at most
+HEAD = 16               # letters by which pieces meet words; longer words meet them by their first ones
 SEED_WEIGHT = 50        # occurrences that a labelled name counts for in the unigram model
 BLOCK_PRIOR = 0.2
 
@@ -95,7 +95,7 @@ def unigram_counts(urls: DataFrame) -> DataFrame:
     own = urls.select(F.explode(F.concat(F.flatten(F.transform(labels, _words_of)), _words_of(F.col("path")))).alias("word"))
     seeds = Counter(w for name in (*BLOCK_NAMES, *ALLOW_NAMES, *sorted(PLAIN_WORDS)) for w in name.split())
     extra = spark.createDataFrame([(w, n * SEED_WEIGHT) for w, n in sorted(seeds.items())], "word string, n long")
-    return (own.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    return (own.groupBy("word").agg(F.count("*").alias("n"))
             .unionByName(extra).groupBy("word").agg(F.sum("n").alias("n")))
 
 
@@ -103,10 +103,17 @@ def viterbi(piece: str, counts: dict[str, int], total: int) -> list[str]:
     """Likeliest split of a piece. An unknown word of k letters counts 10 / 10^k times, so a run
     that holds no known words stays whole; one known letter alone is no word inside a longer piece."""
     best, back = [0.0] + [-math.inf] * len(piece), [0] * (len(piece) + 1)
+    longest = max(map(len, counts), default=0)
+    apart = 0                                   # where the likeliest unknown word starts, whatever its end
     for end in range(1, len(piece) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
+        if best[end - 1] + (end - 1) * math.log(10) > best[apart] + apart * math.log(10):
+            apart = end - 1
+        starts = range(max(0, end - longest), end)
+        for start in (apart, *starts) if apart < starts.start else starts:
             size = end - start
-            n = counts.get(piece[start:end], 0) if size > 1 or size == len(piece) else 0
+            n = counts.get(piece[start:end], 0) if start in starts and (size > 1 or size == len(piece)) else 0
+            if not n and start != apart:
+                continue
             p = best[start] + (math.log(n / total) if n else math.log(10 / total) - size * math.log(10))
             if p > best[end]:
                 best[end], back[end] = p, start
@@ -125,10 +132,11 @@ def segmented_pieces(urls: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("total"))
     at = F.sequence(F.lit(1), F.length("piece"))
     spans = pieces.select("piece", F.explode(at).alias("start")).select(
-        "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("piece") - F.col("start") + 1)))
+        "piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("piece") - F.col("start") + 1)))
         .alias("size"), "start")
-    known = (spans.select("piece", F.substring(F.col("piece"), F.col("start"), F.col("size")).alias("word")).distinct()
-             .join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known")))
+    known = (spans.select("piece", F.substring(F.col("piece"), F.col("start"), F.col("size")).alias("head")).distinct()
+             .join(counts.withColumn("head", F.substring("word", 1, HEAD)), "head")
+             .where(F.col("piece").contains(F.col("word"))).groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known")))
     n_all = total.first()["total"]
 
     @F.pandas_udf("array<string>")

@@ -75,3 +75,38 @@ def test_urls(spark):
     verdicts = {r["page_id"]: r["verdict"] for r in got}
     assert verdicts[7] == "block" and verdicts[8] == "block" and verdicts[9] == "allow" and verdicts[4] == "allow"
     assert U.judge_urls(pages.where("1=0"), URL_RULES).count() == 0
+
+
+def test_words_of_any_length(spark):
+    long = "internationalizations"
+    urls = [f"http://{long}-x.org/", f"http://free{long}casino.org/", "http://casino" + "qzxj" * 6 + ".org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = U.host_and_path()
+    got = {r["piece"]: r["words"] for r in U.segmented_pieces(pages.select(host.alias("host"), path.alias("path"))).collect()}
+    assert got[long] == [long] and got[f"free{long}casino"] == ["free", long, "casino"]
+    assert got["casino" + "qzxj" * 6] == ["casino", "qzxj" * 6]
+    assert U.viterbi("qzxj" * 10, {}, 1000) == ["qzxj" * 10]
+
+
+def test_split_equals_all_spans():
+    import math
+    import random
+    def plain(piece, counts, total):
+        best = [(0.0, [])]
+        for end in range(1, len(piece) + 1):
+            def cost(start):
+                size = end - start
+                n = counts.get(piece[start:end], 0) if size > 1 or size == len(piece) else 0
+                return best[start][0] + (math.log(n / total) if n else math.log(10 / total) - size * math.log(10))
+            best.append((max(map(cost, range(end))), None))
+        return best[-1][0]
+    def cost_of(words, piece, counts, total):
+        return sum(math.log(n / total) if (n := counts.get(w, 0) if len(w) > 1 or w == piece else 0)
+                   else math.log(10 / total) - len(w) * math.log(10) for w in words)
+    rng = random.Random(2)
+    for _ in range(300):
+        words = ["".join(rng.choices("abc", k=rng.randint(1, 20))) for _ in range(8)]
+        counts = {w: rng.randint(1, 50) for w in words[:6]}
+        piece = "".join(rng.choices(words, k=rng.randint(1, 5)))
+        got = U.viterbi(piece, counts, 500)
+        assert "".join(got) == piece and abs(cost_of(got, piece, counts, 500) - plain(piece, counts, 500)) < 1e-9

@@ -21,9 +21,10 @@ table are closer than in a sample, so the share only grows. Queries that end
 with fewer than k candidates are searched again with the radius of all codes.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do vectors whose length is not the commonest one;
-rows with equal ids are separate candidates, but none that has the query's own
-id; ties go to the smaller id.
+components take no part; vectors of different lengths are no neighbours, and the
+vectors of each length are searched by themselves, with codes and radius of their
+own; rows with equal ids are separate candidates, but none that has the query's
+own id; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -139,9 +140,7 @@ def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "emb
     """``vec_id, v`` (doubles) of the vectors that take part."""
     v = F.col(vector).cast(T.ArrayType(T.DoubleType()))
     fine = (F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0))
-    own = rows.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine)
-    sizes = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return own.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    return rows.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & fine)
 
 
 def _search(rows: DataFrame, codes: Codes, ids: np.ndarray, queries: np.ndarray, first_row: int, radius: int, k: int) -> DataFrame:
@@ -195,9 +194,16 @@ def nearest(rows: DataFrame, every: int, k: int, sample_vectors: int = SAMPLE_VE
     spark = rows.sparkSession
     own = valid_vectors(rows)
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    total, asked = own.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    if not asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("asked"))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sizes.where("asked > 0").orderBy("d").collect():
+        out = out.unionByName(_nearest(own.where(F.size("v") == r["d"]), r["n"], r["asked"], is_query, k, sample_vectors))
+    return out
+
+
+def _nearest(own: DataFrame, total: int, asked: int, is_query: Column, k: int, sample_vectors: int) -> DataFrame:
+    """The search among ``total`` vectors of one length, for ``asked`` queries."""
+    spark = own.sparkSession
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < int(min(1.0, sample_vectors / total) * 1e6)
     sample = sorted(own.where(share).collect(), key=lambda r: (r["vec_id"], r["v"]))
     if len(sample) < 2:

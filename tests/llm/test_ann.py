@@ -67,3 +67,14 @@ def test_many_equal_vectors(spark):
     got = result(A.nearest(frame(spark, np.arange(500), x), 100, 10))
     want = brute(np.arange(500), x.astype(np.float32).astype(float), 100, 10)
     assert {q: [v for v, _ in f] for q, f in got.items() if q % 7} == {q: [v for v, _ in f] for q, f in want.items() if q % 7}
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rng = np.random.default_rng(6)
+    ids, x = np.arange(600), [rng.normal(size=6 if i % 3 else 9).astype(np.float32).astype(float) for i in range(600)]
+    got = result(A.nearest(frame(spark, ids, x), 50, 5, sample_vectors=1000))
+    for d in (6, 9):
+        own = np.array([i for i in ids if len(x[i]) == d])
+        want = brute(own, np.array([x[i] for i in own]), 50, 5)
+        assert want and all(len(got[q]) == 5 and all(v in own for v, _ in got[q]) for q in want)
+        assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 5 for q in want]) >= 0.9

@@ -17,6 +17,7 @@ from kpiscope.llm.quality import quality
 from kpiscope.llm.simhash import near_duplicates
 from kpiscope.llm.toxicity import toxicity
 from kpiscope.llm.url_filter import judge_urls
+from kpiscope.llm.window_packing import pack_windows
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
              ("allow", "com/fr/"), ("block", "com/de/"))
@@ -70,10 +71,19 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def byte_tokenizer_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(table(spark, sf_dir, "documents"), byte_tokenizer_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_quality, op3_html_extraction, op4_packing,
                             op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan,
-                            op10_nearest_neighbours)}
+                            op10_nearest_neighbours, op13_window_packing)}
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 

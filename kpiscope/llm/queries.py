@@ -14,6 +14,7 @@ from kpiscope.llm.license_scan import license_scan
 from kpiscope.llm.packing import pack
 from kpiscope.llm.pii import find_pii
 from kpiscope.llm.quality import quality
+from kpiscope.llm.reversed_search import search
 from kpiscope.llm.simhash import near_duplicates
 from kpiscope.llm.toxicity import toxicity
 from kpiscope.llm.url_filter import judge_urls
@@ -71,6 +72,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def byte_tokenizer_file() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -83,11 +88,13 @@ def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_quality, op3_html_extraction, op4_packing,
                             op5_decontamination, op6_simhash, op7_toxicity, op8_pii, op9_license_scan,
-                            op10_nearest_neighbours, op13_window_packing)}
+                            op10_nearest_neighbours, op12_reversed_search, op13_window_packing)}
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
-# the operators besides op5 hold models, hashes or tokenisers that SQL has not
+# the operators not listed hold models, hashes or tokenisers that SQL has not
 ORACLE: dict[str, str] = {"op5_decontamination": f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -105,4 +112,20 @@ held AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items,
        sha256(coalesce(k.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN held k ON d.doc_id = k.doc_id"""}
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN held k ON d.doc_id = k.doc_id""",
+    "op12_reversed_search": f"""
+WITH items AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, term FROM items),
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0),
+counts AS (
+  SELECT row_no, doc_id, n, term, count(*) AS tf FROM (SELECT row_no, doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+           FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+impact AS (SELECT row_no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS part
+           FROM counts JOIN weight USING (term), totals),
+scored AS (SELECT item_id, row_no, doc_id, CAST(sum(part) AS BIGINT) AS score
+           FROM impact JOIN wanted USING (term) GROUP BY item_id, row_no, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""}

@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 POOR_FILL = 0.97        # bins below are packed again together with those of other shards
-CACHE_WORDS = 500_000   # a cached word takes about 200 bytes
-DOCS_AT_ONCE = 800
+CACHE_WORDS = 300_000   # of one generation; a cached word takes about 200 bytes
+BYTES_AT_ONCE = 16_000_000     # of text whose words are numbered together; one document at least
 
 
 # --------------------------------------------------------------------- tokens
@@ -54,7 +55,9 @@ class WordTokens:
 
     A word of letters is one pre-token, and so is a run of signs after it. Unknown letter words
     are encoded together, as one line: the last id of each carries the word-end mark. Other
-    unknown words are encoded one by one. A full cache keeps its short words.
+    unknown words are encoded one by one. ASCII words are cached lower-cased too, since the
+    normaliser lower-cases. The cache has two generations: when the younger is full it becomes the
+    older one, from which words in use come back, so words are kept by use.
     """
 
     SIGNS = ".,;:!?%&$*#|()[]{}<>=+-/\"~^@"
@@ -65,10 +68,16 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.ends))]
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _encode_letters(self, words: list[str]) -> None:
-        """Cache words of letters, encoded as lines of many words."""
+        """Cache words of letters. Lower-case ASCII ones go straight to the model, since neither the
+        normaliser nor the byte alphabet changes them; others are encoded as lines of many words."""
+        merge, raw, cache = self.tokenizer.model.tokenize, self.raw, self.cache
+        cache.update([(w, b"".join([raw[t.id] for t in merge(w)])) for w in words if w.isascii() and w.islower()])
+        words = [w for w in words if w not in cache]
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -83,7 +92,20 @@ class WordTokens:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _recall(self, words: set[str]) -> set[str]:
+        """Bring words of the older generation back; returns those that are in neither."""
+        words = words.difference(self.cache)
+        again = words & self.older.keys()
+        self.cache.update({w: self.older[w] for w in again})
+        return words - again
+
     def _learn(self, missing: set[str]) -> None:
+        cache = self.cache
+        folded = {w: low for w in missing if w.isascii() and (low := w.lower()) != w}
+        self._learn_folded(self._recall(missing.difference(folded).union(folded.values())))
+        cache.update({w: cache[low] for w, low in folded.items()})
+
+    def _learn_folded(self, missing: set[str]) -> None:
         cache = self.cache
         letters = {w for w in missing if w.isalpha()}
         signed, others = [], []
@@ -94,22 +116,29 @@ class WordTokens:
             else:
                 others.append(w)
         letters.update([stem for _, stem, _ in signed])
-        self._encode_letters([w for w in letters if w not in cache])
-        self._encode_others(others + [s for s in {sign for _, _, sign in signed} if s not in cache])
+        self._encode_letters(list(self._recall(letters)))
+        self._encode_others(others + list(self._recall({sign for _, _, sign in signed})))
         for w, stem, sign in signed:
             cache[w] = cache[stem] + cache[sign]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.cache) > CACHE_WORDS:                   # short words come back soonest
-            short = {w: ids for w, ids in self.cache.items() if len(w) <= 8}
-            self.cache = short if len(short) < CACHE_WORDS // 2 else {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.cache)
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text. Words are numbered first, so Python meets each distinct word once."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {"": b""}, self.cache
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        words, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        missing = self._recall(set(words))
         if missing:
             self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        raw = list(map(self.cache.__getitem__, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        whole = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [whole[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -125,6 +154,13 @@ NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 ARROW = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
+def parts_of(text: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together."""
+    block = np.cumsum(pc.binary_length(text).to_numpy()) // most
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(text)]
+    yield from ((lo, hi) for lo, hi in zip(cuts, cuts[1:]) if lo < hi)
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of each whole text."""
     end = np.array([END_ID], "<u4").tobytes()
@@ -133,10 +169,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
         enter("packing")
         encode = word_tokens(tokenizer)
         for b in batches:
-            for at in range(0, len(b), DOCS_AT_ONCE):       # texts and ids of few documents are held at a time
-                part = b.slice(at, DOCS_AT_ONCE)
+            for lo, hi in parts_of(b["text"]):
+                part = b.slice(lo, hi - lo)
                 rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"])):
                     ids += end
                     for k, cut in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[cut:cut + 4 * capacity]
@@ -286,19 +322,18 @@ def best_packings(sizes: DataFrame, capacity: int, shards: int) -> DataFrame:
 
 
 def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pieces of a shard in the order that packings refer to: largest first, ties by id and piece."""
-    return frame.sort_values(["length", "doc_id", "piece", "ids_crc32", "start"],
-                             ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
+    """Pieces of a shard in the order that packings refer to: largest first, ties by number."""
+    return frame.sort_values(["length", "number"], ascending=[False, True], ignore_index=True)
 
 
-PACKED = f"{PIECES}, sequence_id long, offset long, fill long"
+PACKED = f"{PIECES}, number long, sequence_id long, offset long, fill long"
 
 
 def _pack_round(pieces: DataFrame, capacity: int, first_id: int, shard_pieces: int) -> DataFrame:
     """Pieces with sequence and offset; one genetic search for each shard of pieces."""
     n = pieces.count()
     shards = max(1, -(-n // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(first_id)), F.lit(shards))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("number", F.lit(first_id)), F.lit(shards))
                               if n else F.lit(0).cast("long"))
 
     def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -325,9 +360,10 @@ def _pack_round(pieces: DataFrame, capacity: int, first_id: int, shard_pieces: i
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Every piece with its sequence and its gapless place there."""
-    pieces = materialize(pieces_of(docs, tokenizer, capacity), "pieces")
+    # rows are dealt by a number of their own, so rows that repeat a document spread over the shards
+    pieces = materialize(pieces_of(docs, tokenizer, capacity).withColumn("number", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") >= capacity).select(
-        "*", (F.monotonically_increasing_id() + F.lit(2 ** 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        *NAMES, (F.col("number") + F.lit(2 ** 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     packed = materialize(_pack_round(pieces.where(F.col("length") < capacity), capacity, 0, shard_pieces), "packed")
     poor = F.col("fill") < int(POOR_FILL * capacity)
     again = _pack_round(packed.where(poor).select(*pieces.columns), capacity, 2 ** 61, shard_pieces)

@@ -63,6 +63,31 @@ def test_odd_rows_and_shards(odd_docs, no_docs, tokenizer):
     assert K.pack(no_docs, tokenizer_file()).count() == 0
 
 
+def test_rows_that_repeat_spread_over_shards(spark):
+    docs = spark.range(600).selectExpr("if(id % 3 = 0, 777, id) as doc_id", "if(id % 3 = 0, 'one text', repeat('two ', id % 50)) as text")
+    rows = K.pack(docs, tokenizer_file(), capacity=64, shard_pieces=50)
+    shards = [r["count"] for r in rows.where("doc_id = 777").selectExpr("shiftright(sequence_id, 24) as shard").groupBy("shard").count().collect()]
+    assert sum(shards) == 200 and max(shards) < 50 and len(shards) >= 8
+    check_packing(rows.collect(), 64)
+
+
+def test_texts_are_numbered_in_bounded_parts(tokenizer):
+    texts = ["Alpha, beta." * 50, "", "x " * 3000, "ä" * 500, "Alpha beta", ""]
+    import pyarrow as pa
+    assert list(K.parts_of(pa.array(texts), 1000)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    words = K.WordTokens(tokenizer_file())
+    for lo, hi in K.parts_of(pa.array(texts), 1000):
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[lo:hi]]
+        assert words(pa.array(texts).slice(lo, hi - lo)) == want
+
+
+def test_word_generations(tokenizer, monkeypatch):
+    monkeypatch.setattr(K, "CACHE_WORDS", 5)
+    words = K.WordTokens(tokenizer_file())
+    for text in ("one two three four five six", "Seven, eight. one", "One TWO \u00dcber \u00fcber-all", "three nine's ten", "one"):
+        assert words([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_genetic_steps_keep_every_piece_once():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 60, 300).astype(np.int32)

@@ -41,6 +41,7 @@ from kpiscope.session import materialize
 CAPACITY = 1024
 END_ID = 0
 SHARD_PIECES = 8192     # pieces of a shard, about
+BROADCAST_POOR = 4_000_000      # numbers of pieces in poor windows that are broadcast (8 bytes each); more are joined
 POOR_FILL = 0.99        # windows below are dissolved and their pieces cut to fill windows
 DOCS_AT_ONCE = 500
 STRETCH = 1000          # a stretch so long without a blank, or of blanks, is left to the tokenizer
@@ -220,7 +221,8 @@ def pack_windows(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
 def _pooled(rests: DataFrame, poor: DataFrame, capacity: int, shard_pieces: int) -> DataFrame:
     """Pieces of poor windows laid end to end, cut where a window is full and at last at powers of two."""
-    pools = max(1, -(-poor.count() // shard_pieces))
+    found = poor.count()
+    pools = max(1, -(-found // shard_pieces))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table, rows = _descending(table), []
@@ -238,5 +240,6 @@ def _pooled(rests: DataFrame, poor: DataFrame, capacity: int, shard_pieces: int)
                 done, offset = done + take, offset + take
         return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=NAMES)
 
-    taken = rests.join(poor, "number").withColumn("pool", F.pmod(F.xxhash64("number"), F.lit(pools)))
+    # a broadcast leaves the ids of all other pieces where they are
+    taken = rests.join(F.broadcast(poor) if found <= BROADCAST_POOR else poor, "number").withColumn("pool", F.pmod(F.xxhash64("number"), F.lit(pools)))
     return taken.groupBy("pool").applyInArrow(run, PACKED)

@@ -92,11 +92,11 @@ MEASURE_COLUMNS = ["n_rows", "n_total", "amt_c", "n_ref", "s_ref", "n_can", "s_c
                    "n_paid", "paid_c", "n_new", "s_new"]
 
 
-def _measure_part(m: Measure, agg: str, what: str) -> Column:
+def _measure_part(m: Measure, agg: str, what: str, prefix: str = "") -> Column:
     if what == "sum":    # exact integer sum; divide by 'scale' after aggregating
-        return F.col(m.sum_col).cast("bigint") if m.sum_col else F.lit(None).cast("bigint")
+        return F.col(prefix + m.sum_col).cast("bigint") if m.sum_col else F.lit(None).cast("bigint")
     if what == "cnt":
-        return F.col(m.cnt_col).cast("bigint")
+        return F.col(prefix + m.cnt_col).cast("bigint")
     if what == "scale":
         return F.lit(100.0 if m.cents else 1.0)
     return F.lit(agg)
@@ -106,17 +106,17 @@ def kpi_spec(kpi_name: str, mode: str = "raw") -> tuple[str, str]:
     return KPIS[mode].get(kpi_name, DEFAULT_KPI)
 
 
-def pick_by_kpi(kpi_col: Column, mode: str, what: str) -> Column:
+def pick_by_kpi(kpi_col: Column, mode: str, what: str, prefix: str = "") -> Column:
     """Per-row choice, by the incident's KPI name, of the base measure's
     window sum ('sum'), its count ('cnt'), the divisor that turns the sum into
-    units ('scale') or the aggregation name ('agg')."""
+    units ('scale') or the aggregation name ('agg'); ``prefix`` begins the measure columns' names."""
     expr = None
     for kpi, (metric, agg) in KPIS[mode].items():
-        val = _measure_part(MEASURES[metric], agg, what)
+        val = _measure_part(MEASURES[metric], agg, what, prefix)
         expr = F.when(kpi_col == kpi, val) if expr is None else expr.when(kpi_col == kpi, val)
     metric, agg = DEFAULT_KPI
-    return expr.otherwise(_measure_part(MEASURES[metric], agg, what))
+    return expr.otherwise(_measure_part(MEASURES[metric], agg, what, prefix))
 
 
-def fixed_measure(metric: str, what: str, agg: str = "sum") -> Column:
-    return _measure_part(MEASURES[metric], agg, what)
+def fixed_measure(metric: str, what: str, agg: str = "sum", prefix: str = "") -> Column:
+    return _measure_part(MEASURES[metric], agg, what, prefix)

@@ -5,9 +5,11 @@ Plan shape (one job for all incidents and all dimensions)::
     fact --range filter (pushed to Parquet)--> unpivot dims (Expand)
          --> partial + final HashAggregate by (order_date, dimension, slice)
          = daily cube: exact integer measures, bounded by days x slices
-    daily cube JOIN window calendar ON order_date (broadcast when measured small)
-         --> HashAggregate by (case_id, dimension, slice) with per-window sums
-         --> small windows over (case_id, dimension)
+    daily cube --> prefix sums by month (operators/prefix.py)
+    prefix sums JOIN window ends ON month (four rows an incident, broadcast when
+         few) --> HashAggregate by (case_id, dimension, slice): differences
+         --> range-partitioned rank and totals by (case_id, dimension)
+             (operators/ranking.py), no window over a dimension's slices
 
 The fact is scanned once; the only shuffle of fact-sized data is the
 map-side-combined daily cube. Whole-population figures use the pseudo
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from kpiscope.functions.fixed import (CONCENTRATION_PCT, DIMENSIONS, MIN_SLICE_SAMPLE,
                                       TXT_CONCENTRATION, TXT_NO_CHANGE, TXT_SMALL_SAMPLE)
-from kpiscope.functions.kpi import fixed_measure, measure_aggs, pick_by_kpi
+from kpiscope.functions.kpi import MEASURE_COLUMNS, fixed_measure, measure_aggs, pick_by_kpi
 from kpiscope.functions.numeric import fmt_fixed, pct_change, round2
-from kpiscope.operators.windows import join_calendar, window_calendar, with_baseline
+from kpiscope.operators.prefix import comparison_windows, lookups
+from kpiscope.operators.ranking import with_rank
+from kpiscope.operators.windows import with_baseline
 
 TOTAL = "__total__"
 
@@ -69,8 +73,7 @@ def window_sums(cube: DataFrame, cases: DataFrame, metric: str | None = None,
     ``metric``/``agg`` fix the measure for every incident; when omitted each
     incident's KPI picks it from the registry (``mode`` raw or governed).
     """
-    cal = window_calendar(cases)
-    j = join_calendar(cube, cal, cases)
+    met = lookups(cube, comparison_windows(cases), cases)
     if metric is None:
         kpi = F.col("kpi_name")
         s, n = pick_by_kpi(kpi, mode, "sum"), pick_by_kpi(kpi, mode, "cnt")
@@ -78,16 +81,17 @@ def window_sums(cube: DataFrame, cases: DataFrame, metric: str | None = None,
     else:
         s, n = fixed_measure(metric, "sum"), fixed_measure(metric, "cnt")
         scale, a = fixed_measure(metric, "scale"), F.lit(agg)
-    j = j.select("case_id", "kpi_name", "baseline_days", "anomaly_days", "window",
-                 "dimension", "slice", s.alias("s"), n.alias("n"),
-                 scale.alias("scale"), a.alias("agg"))
+    met = met.select("case_id", "kpi_name", "baseline_days", "anomaly_days", "window",
+                     "dimension", "slice", "n_rows", s.alias("s"), n.alias("n"),
+                     scale.alias("scale"), a.alias("agg"))
+    sums = (met.groupBy("case_id", "kpi_name", "agg", "scale", "baseline_days", "anomaly_days",
+                        "dimension", "slice").agg(*_both_windows(["s", "n", "n_rows"])))
+    return sums.where((F.col("bl_n_rows") > 0) | (F.col("an_n_rows") > 0)).drop("bl_n_rows", "an_n_rows")
+
+
+def _both_windows(measures: list[str]) -> list[Column]:
     bl, an = F.col("window") == "baseline", F.col("window") == "anomaly"
-    return (j.groupBy("case_id", "kpi_name", "agg", "scale", "baseline_days", "anomaly_days",
-                      "dimension", "slice")
-             .agg(F.sum(F.when(bl, F.col("s"))).alias("bl_s"),
-                  F.sum(F.when(bl, F.col("n"))).alias("bl_n"),
-                  F.sum(F.when(an, F.col("s"))).alias("an_s"),
-                  F.sum(F.when(an, F.col("n"))).alias("an_n")))
+    return [F.sum(F.when(w, F.col(m))).alias(f"{name}_{m}") for m in measures for name, w in (("bl", bl), ("an", an))]
 
 
 def _with_values(ws: DataFrame) -> DataFrame:
@@ -103,17 +107,34 @@ def _with_values(ws: DataFrame) -> DataFrame:
         "sample_size_anomaly": an_n.cast("bigint")})
 
 
-def window_compare(cube: DataFrame, cases: DataFrame, metric: str = "order_total",
+def window_compare(cube: DataFrame, cases: DataFrame, metric: str | list[str] | None = "order_total",
                    agg: str = "sum", mode: str = "raw") -> DataFrame:
-    """Whole-population comparison of every incident; windows without orders count as zero."""
-    ws = window_sums(cube.where(F.col("dimension") == TOTAL), cases,
-                     None if metric is None else metric, agg, mode)
-    sums = ws.select("case_id", "agg", "scale", "bl_s", "bl_n", "an_s", "an_n")
-    every = with_baseline(cases).select("case_id", "baseline_days", "anomaly_days").join(sums, "case_id", "left")
-    v = _with_values(every.withColumns({"agg": F.coalesce("agg", F.lit(agg or "sum")),
-                                        "scale": F.coalesce("scale", F.lit(1.0))}))
+    """Whole-population comparison of every incident; windows without orders count as zero.
+
+    A list of metrics gives a row for each incident and metric from one pass over the cube; None
+    takes the metric and aggregation of each incident's KPI.
+    """
+    whole = cube.where(F.col("dimension") == TOTAL)
+    every = with_baseline(cases).select("case_id", "kpi_name", "baseline_days", "anomaly_days")
+    sums = (lookups(whole, comparison_windows(cases), cases).groupBy("case_id").agg(*_both_windows(MEASURE_COLUMNS)))
+    j = every.join(sums, "case_id", "left")
+
+    def part(name: str, pick) -> Column:
+        """One metric's sums, counts, scale and aggregation; ``pick`` chooses a column of a window."""
+        def of(window: str, what: str) -> Column:
+            return F.coalesce(pick(window, what), F.lit(0)).cast("bigint").alias(f"{window}_{'s' if what == 'sum' else 'n'}")
+        return F.struct(F.lit(name).alias("metric"), of("bl", "sum"), of("bl", "cnt"), of("an", "sum"), of("an", "cnt"),
+                        pick("bl", "scale").alias("scale"), pick("bl", "agg").alias("agg"))
+
+    if metric is None:
+        parts = [part("kpi", lambda w, what: pick_by_kpi(F.col("kpi_name"), mode, what, f"{w}_"))]
+    else:
+        names = [metric] if isinstance(metric, str) else list(metric)
+        parts = [part(m, lambda w, what, m=m: fixed_measure(m, what, agg, f"{w}_")) for m in names]
+    v = _with_values(j.select("case_id", "baseline_days", "anomaly_days", F.explode(F.array(*parts)).alias("p"))
+                     .select("case_id", "baseline_days", "anomaly_days", "p.*"))
     return v.select(
-        "case_id", F.lit(metric or "kpi").alias("metric"),
+        "case_id", "metric",
         F.col("baseline_days").cast("int").alias("baseline_days"),
         F.col("anomaly_days").cast("int").alias("anomaly_days"),
         round2("bl_val").alias("baseline_daily"), round2("an_val").alias("anomaly_daily"),
@@ -121,6 +142,16 @@ def window_compare(cube: DataFrame, cases: DataFrame, metric: str = "order_total
         round2(pct_change("an_val", "bl_val")).alias("percent_change"))
 
 
+def slice_values(cube: DataFrame, cases: DataFrame, metric: str | None = None,
+                 agg: str | None = None, mode: str = "raw") -> DataFrame:
+    """Both windows' values of every slice, and the change in whole hundredths, unranked."""
+    ws = window_sums(cube.where((F.col("dimension") != TOTAL) & F.col("slice").isNotNull()), cases, metric, agg, mode)
+    chg_c = F.round((F.col("an_val") - F.col("bl_val")) * F.lit(100.0)).cast("bigint")
+    return _with_values(ws).withColumn("chg_c", chg_c).select(
+        "case_id", "kpi_name", "dimension", "slice", "bl_val", "an_val", "chg_c",
+        "sample_size_baseline", "sample_size_anomaly")
+
+
 def slice_compare(cube: DataFrame, cases: DataFrame, metric: str | None = None,
                   agg: str | None = None, mode: str = "raw") -> DataFrame:
     """A11 + W1 + W2 for every incident and dimension of the cube.
@@ -129,16 +160,12 @@ def slice_compare(cube: DataFrame, cases: DataFrame, metric: str | None = None,
     rounded from unrounded daily values, the contribution uses rounded changes
     (kept as whole hundredths so their total is exact).
     """
-    ws = window_sums(cube.where((F.col("dimension") != TOTAL) & F.col("slice").isNotNull()), cases, metric, agg, mode)
-    v = _with_values(ws)
-    chg_c = F.round((F.col("an_val") - F.col("bl_val")) * F.lit(100.0)).cast("bigint")
-    v = v.withColumn("chg_c", chg_c)
-    grp = Window.partitionBy("case_id", "dimension")
-    total_c = F.sum("chg_c").over(grp)
+    v = with_rank(slice_values(cube, cases, metric, agg, mode), ["case_id", "dimension"],
+                  [F.abs(F.col("chg_c")).desc(), F.col("slice").asc()], "driver_rank", {"total_c": F.col("chg_c")}, "slices")
+    total_c = F.col("total_c")
     contribution = F.when(total_c != 0,
                           round2(F.col("chg_c").cast("double") / total_c.cast("double") * F.lit(100.0))
                           ).otherwise(F.lit(0.0))
-    rank = F.row_number().over(grp.orderBy(F.abs(F.col("chg_c")).desc(), F.col("slice").asc()))
     return v.select(
         "case_id", "kpi_name", "dimension", F.col("slice").alias("dimension_value"),
         round2("bl_val").alias("baseline_daily"), round2("an_val").alias("anomaly_daily"),
@@ -146,7 +173,7 @@ def slice_compare(cube: DataFrame, cases: DataFrame, metric: str | None = None,
         round2(pct_change("an_val", "bl_val")).alias("percent_change"),
         "sample_size_baseline", "sample_size_anomaly",
         contribution.alias("contribution_pct"),
-        rank.alias("driver_rank"),
+        "driver_rank",
         "chg_c")
 
 
@@ -179,15 +206,15 @@ def best_driver(slices: DataFrame) -> DataFrame:
 
 def concentration(slices: DataFrame, top_n: int = 1) -> DataFrame:
     """Share of the n slices with the largest |contribution| per dimension."""
+    # only top_n rows of each group survive the group limit before the exchange
     w = Window.partitionBy("case_id", "dimension").orderBy(
         F.abs(F.col("contribution_pct")).desc(), F.col("dimension_value").asc())
-    r = slices.withColumn("crank", F.row_number().over(w))
-    top = F.col("crank") <= top_n
-    g = (r.groupBy("case_id", "dimension")
-          .agg(F.sum(F.when(top, F.abs(F.col("contribution_pct")))).alias("top_sum"),
-               F.count(F.lit(1)).alias("total_slices"),
-               F.sort_array(F.collect_list(F.when(top, F.struct("crank", "dimension_value"))))
-                .alias("tops")))
+    first = slices.withColumn("crank", F.row_number().over(w)).where(F.col("crank") <= top_n)
+    tops = first.groupBy("case_id", "dimension").agg(
+        F.sum(F.abs(F.col("contribution_pct"))).alias("top_sum"),
+        F.sort_array(F.collect_list(F.struct("crank", "dimension_value"))).alias("tops"))
+    sizes = slices.groupBy("case_id", "dimension").agg(F.count(F.lit(1)).alias("total_slices"))
+    g = sizes.join(tops, ["case_id", "dimension"])
     return g.select(
         "case_id", "dimension", F.lit(top_n).alias("top_n"),
         round2("top_sum").alias("top_n_contribution_pct"),

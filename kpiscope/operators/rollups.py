@@ -9,32 +9,31 @@ from kpiscope.functions.fixed import CHART_TOP_N, REPORT_DRIVER_ROWS
 from kpiscope.functions.numeric import cents_to_money, fmt_fixed, to_cents
 from kpiscope.operators.compare import TOTAL
 from kpiscope.operators.views import paid_predicate
-from kpiscope.operators.windows import join_calendar, label_calendar
+from kpiscope.operators.prefix import labelled_windows, lookups
+from kpiscope.operators.ranking import with_rank
 
 
-def _window_aggs():
-    n = F.sum("n_rows")
-    amt = F.sum("amt_c")
-    return [n.alias("order_count"), cents_to_money(amt).alias("gmv"),
-            F.try_divide(cents_to_money(amt), F.sum("n_total").cast("double")).alias("aov")]
+def _by_label(cube: DataFrame, cases: DataFrame, *by: str) -> DataFrame:
+    """Order count, GMV and AOV of each label (P4), from the prefix sums; labels without orders have no row."""
+    n, amt, priced = F.col("n_rows"), F.col("amt_c"), F.col("n_total")
+    sums = lookups(cube, labelled_windows(cases), cases).groupBy("case_id", *by, "time_window").agg(
+        *[F.sum(m).alias(m) for m in ("n_rows", "amt_c", "n_total")])
+    gmv = F.when(priced > 0, cents_to_money(amt))
+    return sums.where(n > 0).select("case_id", *by, "time_window", n.alias("order_count"), gmv.alias("gmv"),
+                                    F.try_divide(gmv, priced.cast("double")).alias("aov"))
 
 
 def agg_by_time_window(cube: DataFrame, cases: DataFrame) -> DataFrame:
     """Per incident and label (P4): order count, GMV, AOV over
     [baseline_start, anomaly_end]; computed from the daily cube."""
-    cal = label_calendar(cases)
-    j = join_calendar(cube.where(F.col("dimension") == TOTAL), cal, cases)
-    return j.groupBy("case_id", "time_window").agg(*_window_aggs())
+    return _by_label(cube.where(F.col("dimension") == TOTAL), cases)
 
 
-def agg_by_dim_window(cube: DataFrame, cases: DataFrame, dims=("channel", "region")) -> DataFrame:
+def agg_by_dim_window(cube: DataFrame, cases: DataFrame, dims=("channel", "region"), ranked: bool = True) -> DataFrame:
     """Dimension x label breakdown, ranked by GMV desc nulls last (O2)."""
-    cal = label_calendar(cases)
-    j = join_calendar(cube.where(F.col("dimension").isin(*dims)), cal, cases)
-    g = j.groupBy("case_id", "dimension", "slice", "time_window").agg(*_window_aggs())
-    w = Window.partitionBy("case_id", "dimension").orderBy(
-        F.col("gmv").desc_nulls_last(), F.col("slice").asc_nulls_last(), F.col("time_window"))
-    return g.withColumn("gmv_rank", F.row_number().over(w).cast("bigint"))
+    g = _by_label(cube.where(F.col("dimension").isin(*dims)), cases, "dimension", "slice")
+    order = [F.col("gmv").desc_nulls_last(), F.col("slice").asc_nulls_last(), F.col("time_window").asc()]
+    return with_rank(g, ["case_id", "dimension"], order, "gmv_rank", name="breakdown") if ranked else g
 
 
 def daily_series(orders: DataFrame) -> DataFrame:

@@ -166,9 +166,9 @@ def small_sample_flags(spark, sf):
 
 
 # ----------------------------------------------------------------- A7
-def _wc_sql(agg):
+def _wc_sql(agg, metric="order_total"):
     return O.with_(O.STAR, O.cases_cte(), O.CALENDAR, O.cube_cte(),
-                   O.window_sums_cte("order_total", agg, total=True)) + f"""SELECT case_id,
+                   O.window_sums_cte(metric, agg, total=True)) + f"""SELECT case_id,
   'order_total' AS metric, CAST(baseline_days AS BIGINT) AS baseline_days,
   CAST(anomaly_days AS BIGINT) AS anomaly_days,
   {O.round2('bl_val')} AS baseline_daily, {O.round2('an_val')} AS anomaly_daily,
@@ -187,6 +187,21 @@ for _agg in ("sum", "mean", "count"):
     register(f"window_compare_{_agg}", _wc_sql(_agg))(_mkw(_agg))
 
 
+def _wc_metric_sql(metric, agg):
+    return _wc_sql(agg, metric).replace("'order_total' AS metric", f"'{metric}' AS metric")
+
+
+_METRICS = ["order_total", "is_refunded", "is_cancelled", "paid_total"]
+
+
+@register("window_compare_metrics", "\nUNION ALL\n".join(f"SELECT * FROM ({_wc_metric_sql(m, 'sum')})" for m in _METRICS))
+def window_compare_metrics(spark, sf):
+    """A7 for a list of metrics in one pass over the cube."""
+    w = C.window_compare(B.cube(spark, sf), B.incidents(spark), _METRICS, "sum")
+    return (w.withColumn("baseline_days", F.col("baseline_days").cast("bigint"))
+             .withColumn("anomaly_days", F.col("anomaly_days").cast("bigint")))
+
+
 # ----------------------------------------------------------------- views J1, A1-A6
 from kpiscope.operators import rollups as RU  # noqa: E402
 from kpiscope.operators import views as V  # noqa: E402

@@ -1,8 +1,8 @@
 """Batch investigation of every incident in one plan.
 
     cases -> V0 baselines -> window calendars
-    fact -> daily cube (one scan, partial aggregation)
-    cube x calendars -> slice contribution (A11/A12, W1-W3, W5, V2)
+    fact -> daily cube (one scan, partial aggregation) -> prefix sums
+    prefix sums x window ends -> slice contribution (A11/A12, W1-W3, W5, V2)
                      -> window comparison (A7), labelled window aggregates (A8/A9)
     labelled window aggregates -> log of their row counts (G4)
     -> evidence (V1, V9 passes) -> checks (V3) -> verdicts (V4, V5, V8)
@@ -24,6 +24,7 @@ from kpiscope.operators import audit as AU
 from kpiscope.operators import compare as C
 from kpiscope.operators import decide as D
 from kpiscope.operators import rollups as R
+from kpiscope.operators.prefix import case_extent, prefix_cube
 from kpiscope.operators.windows import with_baseline
 from kpiscope.session import materialize
 
@@ -43,7 +44,7 @@ def run_log(cube: DataFrame, cases: DataFrame, dims=("channel", "region")) -> Da
     """The labelled-window analyses of each incident (A8, and A9 by each of ``dims``) with the
     number of rows that their results have, counted from those results."""
     total = R.agg_by_time_window(cube, cases).groupBy("case_id").agg(F.count("*").alias("rows"))
-    by_dim = R.agg_by_dim_window(cube, cases, dims).groupBy("case_id", "dimension").agg(F.count("*").alias("rows"))
+    by_dim = R.agg_by_dim_window(cube, cases, dims, ranked=False).groupBy("case_id", "dimension").agg(F.count("*").alias("rows"))
     rows = total.select("case_id", F.lit("q_aggregate").alias("query_id"), "rows").unionByName(
         by_dim.select("case_id", F.concat(F.lit("q_by_"), "dimension").alias("query_id"), "rows"))
     kpi = F.col("kpi")
@@ -61,13 +62,12 @@ def run_log(cube: DataFrame, cases: DataFrame, dims=("channel", "region")) -> Da
 def investigate(cube: DataFrame, cases: DataFrame, mode: str = "raw",
                 auto_approve: bool = True, elapsed: DataFrame | None = None,
                 materialized: bool = True) -> Investigation:
-    """``materialized`` writes the daily cube and the slice table once to the
-    shared checkpoint folder; every later branch reads those small tables."""
+    """``materialized`` writes the prefix sums of the daily cube once to the shared
+    checkpoint folder; every later branch reads that table and the ranked slices."""
+    cube = prefix_cube(cube, case_extent(cases)[1])
     if materialized:
-        cube = materialize(cube, "daily_cube")
+        cube = materialize(cube, "prefix_cube")
     slices = C.slice_compare(cube, cases, mode=mode)
-    if materialized:
-        slices = materialize(slices, "slices")
     dims = D.per_dimension(slices)
     wc = C.window_compare(cube, cases, "order_total", "sum")
     log = run_log(cube, cases)

@@ -11,12 +11,16 @@ def plan_of(df):
 
 
 def test_contribution_plan(spark, sf_small):
-    p = plan_of(B.slices(spark, sf_small))
+    from kpiscope.operators import compare as C
+    p = plan_of(C.slice_values(B.cube(spark, sf_small), B.incidents(spark)))
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
-    assert "BroadcastHashJoin" in p                    # calendar broadcast after the size check
+    assert "BroadcastHashJoin" in p                    # window ends broadcast after the size check
     assert "PythonUDF" not in p and "ArrowEvalPython" not in p
     assert "Expand" in p                               # unpivot before the partial aggregate
     assert "GreaterThanOrEqual(o_orderdate" in p       # window range pushed to the orders scan
+    assert p.count("explode(sequence(") == 1           # months of slices; no window is exploded to days
+    ranked = plan_of(B.slices(spark, sf_small))
+    assert "Window" not in ranked.replace("Window [sum(_n", "").replace("Window [sum(total_c", "")
 
 
 def test_bm25_postings_meet_only_query_terms(spark, sf_small):

@@ -45,8 +45,9 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 POOR_FILL = 0.97        # bins below are packed again together with those of other shards
-CACHE_WORDS = 300_000   # of one generation; a cached word takes about 200 bytes
-BYTES_AT_ONCE = 16_000_000     # of text whose words are numbered together; one document at least
+CACHE_WORDS = 250_000   # of one generation; a cached word takes about 200 bytes
+DOCS_AT_ONCE = 200
+BYTES_AT_ONCE = 10_000_000     # of text whose words are numbered together; one document at least
 
 
 # --------------------------------------------------------------------- tokens
@@ -134,11 +135,16 @@ class WordTokens:
         raw = list(map(self.cache.__getitem__, words))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         ids, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        whole = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
-        return [whole[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
+        cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        found = []
+        for lo in range(0, len(split), DOCS_AT_ONCE):       # the ids of few documents are laid out at a time
+            some = at[cuts[lo]:cuts[min(lo + DOCS_AT_ONCE, len(split))]]
+            n = sizes[some]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            whole = ids[np.repeat(starts[some] - ends[:-1], n) + np.arange(ends[-1])]
+            marks = ends[cuts[lo:lo + DOCS_AT_ONCE + 1] - cuts[lo]].tolist()
+            found += [whole[i:j].tobytes() for i, j in zip(marks, marks[1:])]
+        return found
 
 
 @lru_cache(maxsize=2)

@@ -12,8 +12,17 @@ Plan::
           broadcast when its bytes are measured small, so a term present in
           every chunk is no hot shuffle key
     --> HashAggregate (query, chunk) = exact integer sum of qtf x impact
-    --> row_number per query with a group limit (partial top-k before the  T5
-          shuffle), score > 0, rounded to 4 decimals
+    top k without scoring every pair (``pruned``):                         T5
+      postings of query terms --> impact, block of chunks; maximal impact
+          of each term and of each (term, block)
+      the terms with the largest bounds alone give k scores each: the
+          smallest of them is a floor of the k-th best score
+      terms whose bounds together stay under the floor are not essential:
+          no chunk that holds only these can be among the best
+      partial scores over essential terms raise the floor; what partial
+          score + block bound of the other terms cannot reach it goes
+      the other terms' impacts are looked up for the survivors only
+    --> row_number per query with a group limit, score > 0, 4 decimals
 
 The scoring constants (k1 = 1.5, b = 0.75, negative idf floored at
 0.25 x mean idf) are the published Okapi defaults of the common Python package.
@@ -21,6 +30,8 @@ The scoring constants (k1 = 1.5, b = 0.75, negative idf floored at
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +102,19 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 
 
 SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
+BLOCK_CHUNKS = 64   # chunks of a block, about
+SEED_TERMS = 3      # terms of a query that give the first floor
+BROADCAST_LOOKUPS = 500_000     # rows of under 60 bytes
+
+
+@dataclass
+class Pruned:
+    """What a pruned search touches: (query, chunk, term) rows of its two scoring steps, and the final scores."""
+    floors: DataFrame       # query_id, floor: a lower bound of the k-th best score
+    essential: DataFrame    # postings of essential terms
+    survivors: DataFrame    # chunks that can still be among the best, with their partial scores
+    lookups: DataFrame      # postings of the other terms that survivors are asked for
+    scores: DataFrame       # query_id, keys, total: exact scores of the survivors
 
 
 class BM25Index:
@@ -136,19 +160,86 @@ class BM25Index:
         first, so the postings meet one table of query terms only; that table is
         broadcast when its bytes are measured small (a term in every chunk is
         then no hot key), else AQE splits hot terms."""
-        qt = query_terms(queries, id_col, text_col)
-        size = qt.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
-        small = F.broadcast if size <= BROADCAST_QUERY_BYTES else (lambda df: df)
-        side = self.idf.select("term", "idf").join(small(qt), "term")
-        hits = self.tf.join(small(side), "term")
+        side, small = self._query_side(queries, id_col, text_col)
+        hits = self.tf.join(F.broadcast(side) if small else side, "term")
         return (hits.groupBy("query_id", *self.keys)
                     .agg((F.sum(F.col("qtf") * self.impact()).cast("double") / F.lit(SCORE_SCALE))
                          .alias("score")))
 
+    def _query_side(self, queries: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+        """(query_id, term, qtf, idf) of indexed query terms, and whether that table may be broadcast."""
+        qt = query_terms(queries, id_col, text_col)
+        size = qt.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+        small = size <= BROADCAST_QUERY_BYTES
+        return self.idf.select("term", "idf").join(F.broadcast(qt) if small else qt, "term"), small
+
+    def pruned(self, queries: DataFrame, k: int = RETRIEVAL_TOP_K, id_col: str = "query_id", text_col: str = "text",
+               block_chunks: int = BLOCK_CHUNKS) -> Pruned:
+        """Exact scores of every chunk that can be among a query's k best, ties included.
+
+        Needs impacts of at least 0 (``eps`` not negative), so that a partial score is a lower bound.
+        """
+        from kpiscope.session import materialize
+
+        side, small = self._query_side(queries, id_col, text_col)
+        side = materialize(side, "bm25_side")
+        hint = F.broadcast if small else (lambda df: df)
+        block = F.pmod(F.xxhash64(*self.keys), F.lit(max(1, -(-self.n_docs // block_chunks))))
+        idf = side.select("term", "idf").distinct()
+        hits = materialize(self.tf.join(hint(idf), "term").select(
+            *self.keys, block.alias("block"), "term", self.impact().alias("impact")), "bm25_hits")
+        blocks = materialize(hits.groupBy("term", "block").agg(F.max("impact").alias("most")), "bm25_blocks")
+        bounds = blocks.groupBy("term").agg(F.max("most").alias("most"))
+        terms = side.join(bounds, "term").select("query_id", "term", "qtf", (F.col("qtf") * F.col("most")).alias("bound"))
+        place = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "term")      # the terms of one query text
+        terms = materialize(terms.withColumn("place", F.row_number().over(place)), "bm25_terms")
+
+        def partial(of: DataFrame) -> DataFrame:
+            met = hits.join(hint(of.select("query_id", "term", "qtf")), "term")
+            return met.groupBy("query_id", *self.keys, "block").agg(F.sum(F.col("qtf") * F.col("impact")).alias("part"))
+
+        def kth(parts: DataFrame) -> DataFrame:
+            best = Window.partitionBy("query_id").orderBy(F.col("part").desc())
+            return (parts.select("query_id", "part").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+                    .groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).otherwise(0).alias("floor")))
+
+        first = kth(partial(terms.where(F.col("place") <= SEED_TERMS)))
+        # bounds of a term and of all terms with smaller ones
+        below = Window.partitionBy("query_id").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        terms = materialize(terms.join(first, "query_id", "left").withColumn(
+            "essential", F.sum("bound").over(below) >= F.coalesce("floor", F.lit(0))).drop("floor", "place"), "bm25_essential")
+        essential = terms.where("essential")
+        others = terms.where(~F.col("essential"))
+        parts = materialize(partial(essential), "bm25_parts")
+        floors = kth(parts)
+        rest = others.groupBy("query_id").agg(F.sum("bound").alias("rest"))
+        near = (parts.join(hint(floors), "query_id").join(hint(rest), "query_id", "left")
+                .where(F.col("part") + F.coalesce("rest", F.lit(0)) >= F.col("floor")))
+        of_block = (blocks.join(hint(others.select("query_id", "term", "qtf")), "term")
+                    .groupBy("query_id", "block").agg(F.sum(F.col("qtf") * F.col("most")).alias("block_rest")))
+        survivors = materialize(
+            near.join(of_block, ["query_id", "block"], "left")
+            .where(F.col("part") + F.coalesce("block_rest", F.lit(0)) >= F.col("floor"))
+            .select("query_id", *self.keys, "part"), "bm25_survivors")
+        asked = survivors.join(hint(others.select("query_id", "term", "qtf")), "query_id").select("query_id", *self.keys, "term", "qtf")
+        asked = F.broadcast(asked) if small and asked.count() <= BROADCAST_LOOKUPS else asked
+        lookups = (hits.join(asked, ["term", *self.keys])
+                   .select("query_id", *self.keys, (F.col("qtf") * F.col("impact")).alias("part")))
+        scores = (survivors.unionByName(lookups).groupBy("query_id", *self.keys).agg(F.sum("part").alias("total")))
+        return Pruned(floors, hits.join(hint(essential.select("query_id", "term")), "term"), survivors, lookups, scores)
+
     def top_k(self, queries: DataFrame, k: int = RETRIEVAL_TOP_K, id_col: str = "query_id",
               text_col: str = "text") -> DataFrame:
-        """T5: k best chunks per query, positive scores only, rounded to 4."""
-        s = self.scores(queries, id_col, text_col)
+        """T5: k best chunks per query, positive scores only, rounded to 4. Equal scores keep corpus order.
+
+        Where the floor of the idf is negative (only in a corpus whose words are in most chunks),
+        partial scores bound nothing and every pair is scored.
+        """
+        if self.eps < 0:
+            s = self.scores(queries, id_col, text_col)
+        else:
+            s = self.pruned(queries, k, id_col, text_col).scores.withColumn(
+                "score", F.col("total").cast("double") / F.lit(SCORE_SCALE)).drop("total")
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *[F.col(c) for c in self.keys])
         r = s.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > 0))
         # section names are attached to the few ranked rows only (not carried

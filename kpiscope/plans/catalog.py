@@ -416,7 +416,7 @@ def report_driver_rows(spark, sf):
 
 # ----------------------------------------------------------------- G1-G6 SQL-text audit
 from kpiscope.operators import audit as AU  # noqa: E402
-from kpiscope.sources.tables import read_table  # noqa: E402
+from kpiscope.sources.tables import read_table, spread  # noqa: E402
 
 
 def _documents(spark, sf):
@@ -424,7 +424,7 @@ def _documents(spark, sf):
 
 
 def _doc_texts(spark, sf):
-    d = _documents(spark, sf)
+    d = spread(_documents(spark, sf).select("doc_id", "text"))
     return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("query_id"),
                     F.col("text").alias("sql"))
 
@@ -626,7 +626,7 @@ _CASE_Q = ("WITH " + O.cases_cte() +
 
 
 def _corpus(spark, sf):
-    return RT.documents_as_chunks(read_table(spark, sf, "documents"))
+    return RT.documents_as_chunks(spread(read_table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def _bench_queries(spark, sf):

@@ -60,3 +60,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose file splits are fewer than the session's cores, dealt over them.
+
+    For scans that feed heavy work on each row (regular expressions over texts). A table of many
+    splits, as any large one, is returned as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -115,3 +115,50 @@ def test_exact_duplicates_tie_and_keep_corpus_order(spark):
 def test_tokens(spark):
     df = spark.createDataFrame([("Hello, World! a_b c Ünïcode x2",)], "t string")
     assert df.select(RT.tokens(F.col("t")).alias("k")).first()["k"] == ["hello", "world", "a_b", "code", "x2"]
+
+
+def exhaustive_top(ix, q, k):
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ix.keys)
+    s = ix.scores(q).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > 0))
+    return sorted((r["query_id"], r["rank"], r["source"], r["section_no"]) for r in s.collect())
+
+
+def ranked(top):
+    return sorted((r["query_id"], r["rank"], r["source"], r["section_no"]) for r in top.collect())
+
+
+def test_pruned_top_k_equals_scoring_every_pair(spark, sf_small):
+    docs, items = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "benchmark"))
+    ix = RT.BM25Index(RT.documents_as_chunks(docs))
+    q = items.select(F.col("item_id").cast("string").alias("query_id"), "text").unionByName(
+        spark.createDataFrame([("long", " ".join(r["text"] for r in items.limit(8).collect())), ("none", "zzzz qqqq"),
+                               ("common", "the and of")], "query_id string, text string"))
+    for k in (1, 5, 1000):
+        assert ranked(ix.top_k(q, k)) == exhaustive_top(ix, q, k)
+
+
+def test_pruning_touches_fewer_pairs(spark, sf_small):
+    """Rows met by the pruned search against the pairs that the full scoring lists, for each query set."""
+    from kpiscope.plans import base as B
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    ix = RT.BM25Index(RT.documents_as_chunks(docs))
+    benchmark = spark.read.parquet(f"{sf_small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    cases = B.incidents(spark).select(F.col("case_id").alias("query_id"), F.concat_ws(" ", "kpi_name", "description").alias("text"))
+    for q in (benchmark, cases):
+        side, _ = ix._query_side(q, "query_id", "text")
+        every = ix.tf.join(side.select("query_id", "term"), "term").count()
+        found = ix.pruned(q)
+        touched = found.essential.count() + found.lookups.count()
+        assert touched < every, (touched, every)
+        assert found.survivors.count() <= ix.scores(q).count()
+
+
+def test_pruning_with_ties_at_the_floor_and_tiny_corpora(spark):
+    rows = [(i, "alpha beta gamma" if i % 3 else "alpha beta delta epsilon") for i in range(40)]
+    rows += [(100 + i, f"word{i} filler{i % 7} thing{i % 5}") for i in range(60)]
+    q = spark.createDataFrame([("a", "alpha gamma filler3"), ("b", "delta delta alpha"), ("c", "thing1 word1 beta"), ("d", "")],
+                              "query_id string, text string")
+    for corpus_rows in (rows, rows[:2], rows[:1], []):
+        ix = RT.BM25Index(RT.documents_as_chunks(spark.createDataFrame(corpus_rows, "doc_id long, text string")))
+        assert ranked(ix.top_k(q, 5)) == exhaustive_top(ix, q, 5)

@@ -45,9 +45,9 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 POOR_FILL = 0.97        # bins below are packed again together with those of other shards
-CACHE_WORDS = 250_000   # of one generation; a cached word takes about 200 bytes
+CACHE_WORDS = 150_000   # of one generation; a cached word takes about 200 bytes
 DOCS_AT_ONCE = 200
-BYTES_AT_ONCE = 10_000_000     # of text whose words are numbered together; one document at least
+BYTES_AT_ONCE = 5_000_000     # of text whose words are numbered together; one document at least
 
 
 # --------------------------------------------------------------------- tokens
@@ -185,6 +185,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
                         rows.append((doc_id, k, cut // 4, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(zip(*rows), ARROW)], names=NAMES)
+                del rows
+                pa.default_memory_pool().release_unused()
 
     return texts(docs).mapInArrow(run, PIECES)
 

@@ -107,6 +107,17 @@ VIEW_BUILDERS = {
 }
 
 
+_KPI_COLUMNS = ["order_date", "order_total", "is_cancelled", "is_pending"]
+# columns of the canonical orders that each roll-up reads; only the tables that these come from are joined
+VIEW_COLUMNS = {
+    "daily_kpi_summary": [*_KPI_COLUMNS, "is_refunded", "customer_type"],
+    "channel_performance": [*_KPI_COLUMNS, "channel", "is_refunded", "customer_type"],
+    "category_performance": [*_KPI_COLUMNS, "category", "is_refunded"],
+    "region_performance": [*_KPI_COLUMNS, "region", "is_refunded"],
+    "customer_segment_performance": [*_KPI_COLUMNS, "customer_type", "channel"],
+}
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
     """Register the canonical tables and the seven views as temp views."""
     from kpiscope.sources import binding as b

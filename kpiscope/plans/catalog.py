@@ -208,11 +208,6 @@ from kpiscope.operators import views as V  # noqa: E402
 from kpiscope.sources import binding as SB  # noqa: E402
 
 
-def _tables(spark, sf):
-    return {"orders": B.fact(spark, sf), "refunds": SB.refunds(spark, sf),
-            "payments": SB.payments(spark, sf)}
-
-
 _VIEW_SQL = {
     "daily_kpi_summary": ("order_date", ["total_orders", "paid_orders", "gmv", "aov", "refund_rate",
                                          "cancellation_rate", "new_customer_ratio", "revenue"]),
@@ -229,7 +224,7 @@ _VIEW_SQL = {
 for _name, (_keys, _cols) in _VIEW_SQL.items():
     def _mkv(name):
         def q(spark, sf):
-            return V.VIEW_BUILDERS[name](_tables(spark, sf))
+            return V.VIEW_BUILDERS[name]({"orders": B.fact(spark, sf, *V.VIEW_COLUMNS[name])})
         return q
     register(_name, O.with_(O.STAR) + f"SELECT {_keys}, {O.kpi_sql(_cols)} FROM canon GROUP BY {_keys}")(
         _mkv(_name))
@@ -785,37 +780,45 @@ from kpiscope.operators import quality as QA  # noqa: E402
 _STATUSES = ["completed", "cancelled", "pending", "refunded"]
 
 
-def _star(spark, sf):
-    o = B.fact(spark, sf)
-    return {"orders": o, "refunds": SB.refunds(spark, sf), "payments": SB.payments(spark, sf),
-            "order_items": SB.order_items(spark, sf), "products": SB.products(spark, sf),
-            "customers": SB.customers(spark, sf)}
+def _key_source(spark, sf, table, key, name):
+    """Every row of a raw table belongs to one table of the star."""
+    return read_table(spark, sf, table), F.col(key), {name: F.lit(True)}
+
+
+def _line_source(spark, sf, key):
+    """A line is an order item and a payment; a returned one is a refund too."""
+    return read_table(spark, sf, "lineitem"), key, {
+        "order_items": F.lit(True), "payments": F.lit(True), "refunds": F.coalesce(F.col("l_returnflag") == "R", F.lit(False))}
 
 
-_PK = [("orders", "canon", "order_id"), ("order_items", "order_items", "item_id"),
-       ("products", "products", "product_id"), ("customers", "cust", "customer_id"),
-       ("payments", "payments", "payment_id"), ("refunds", "refunds", "refund_id"),
-       ("channels", "(SELECT DISTINCT channel FROM canon)", "channel"),
-       ("regions", "(SELECT DISTINCT region FROM canon)", "region"),
-       ("campaigns", "(SELECT DISTINCT campaign FROM canon)", "campaign")]
+_LINE_ID = "SELECT l_orderkey * 10 + l_linenumber AS {} FROM lineitem"
+_PK = [("orders", "(SELECT o_orderkey AS order_id FROM orders)", "order_id"),
+       ("order_items", f"({_LINE_ID.format('line_id')})", "line_id"),
+       ("payments", f"({_LINE_ID.format('line_id')})", "line_id"),
+       ("refunds", f"({_LINE_ID.format('line_id')} WHERE l_returnflag = 'R')", "line_id"),
+       ("products", "(SELECT p_partkey AS product_id FROM part)", "product_id"),
+       ("customers", "(SELECT c_custkey AS customer_id FROM customer)", "customer_id"),
+       ("regions", "(SELECT r_name AS region FROM region)", "region"),
+       ("channels", "(SELECT lower(trim(channel)) AS channel FROM (SELECT DISTINCT channel FROM canon))", "channel"),
+       ("campaigns", "(SELECT lower(trim(campaign)) AS campaign FROM (SELECT DISTINCT campaign FROM canon))", "campaign")]
 
 
-@register("dq_pk", O.with_(O.FULL_STAR) + "\nUNION ALL\n".join(
+@register("dq_pk", O.with_(O.STAR) + "\nUNION ALL\n".join(
     f"""SELECT '{n}' AS table_name, '{k}' AS key_column, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_rows,
   count(*) AS n_keys, count_if(c > 1) AS n_duplicate_keys, count_if(k IS NULL) AS n_null_keys
 FROM (SELECT {k} AS k, count(*) AS c FROM {src} GROUP BY {k})""" for n, src, k in _PK))
 def dq_pk(spark, sf):
-    """DQ1: primary-key uniqueness of the star tables (dimension tables keyed by name)."""
-    t = _star(spark, sf)
-    o = t["orders"]
-    tables = {"orders": (o, "order_id"), "order_items": (t["order_items"], "item_id"),
-              "products": (t["products"], "product_id"),
-              "customers": (SB.customer_dims(spark, sf), "customer_id"),
-              "payments": (t["payments"], "payment_id"), "refunds": (t["refunds"], "refund_id"),
-              "channels": (o.select("channel").distinct(), "channel"),
-              "regions": (o.select("region").distinct(), "region"),
-              "campaigns": (o.select("campaign").distinct(), "campaign")}
-    return QA.pk_uniqueness(tables)
+    """DQ1: primary-key uniqueness of the raw star tables; payments and refunds at line level, dimension
+    tables keyed by name."""
+    line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    found = QA.key_integrity("order_id", [_key_source(spark, sf, "orders", "o_orderkey", "orders")])
+    for key, source in (("line_id", _line_source(spark, sf, line_id)),
+                        ("product_id", _key_source(spark, sf, "part", "p_partkey", "products")),
+                        ("customer_id", _key_source(spark, sf, "customer", "c_custkey", "customers")),
+                        ("region", _key_source(spark, sf, "region", "r_name", "regions"))):
+        found = found.unionByName(QA.key_integrity(key, [source]))
+    names = QA.name_integrity(B.fact(spark, sf, "channel", "campaign"), ["channel", "campaign"], ["channels", "campaigns"])
+    return found.drop("n_orphans").unionByName(names)
 
 
 @register("dq_rules", O.with_(O.FULL_STAR) + """SELECT rule, n_violations FROM (
@@ -833,27 +836,36 @@ def dq_pk(spark, sf):
     CAST(count_if(NOT (payment_status IN ('completed', 'failed', 'pending'))) AS BIGINT) FROM payments)""")
 def dq_rules(spark, sf):
     """DQ2: business-rule violations."""
-    t = _star(spark, sf)
-    return QA.rule_violations(t["orders"], t["refunds"], t["payments"], ["O", "F"], _STATUSES)
+    return QA.rule_violations(SB.enriched_orders(spark, sf, ["order_id", "order_date", "order_total", "order_status"]),
+                              ["O", "F"], _STATUSES)
 
 
-_ORPHANS = [("orders_customer", "canon", "customer_id", "cust", "customer_id"),
-            ("order_items_order", "order_items", "order_id", "canon", "order_id"),
-            ("order_items_product", "order_items", "product_id", "products", "product_id"),
-            ("payments_order", "payments", "order_id", "canon", "order_id"),
-            ("refunds_order", "refunds", "order_id", "canon", "order_id")]
+_LINES_OF = "(SELECT l_orderkey AS order_id, l_partkey AS product_id, l_returnflag FROM lineitem)"
+_ORPHANS = [("orders_customer", "(SELECT o_custkey AS customer_id FROM orders)", "customer_id", "customer", "c_custkey"),
+            ("order_items_order", _LINES_OF, "order_id", "orders", "o_orderkey"),
+            ("payments_order", _LINES_OF, "order_id", "orders", "o_orderkey"),
+            ("refunds_order", _LINES_OF + " ch WHERE l_returnflag = 'R' AND", "order_id", "orders", "o_orderkey"),
+            ("order_items_product", _LINES_OF, "product_id", "part", "p_partkey")]
 
 
-@register("dq_orphans", O.with_(O.FULL_STAR) + "\nUNION ALL\n".join(
-    f"""SELECT '{r}' AS rule, count(*) AS n_orphans FROM {c} ch
-WHERE ch.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} pa WHERE pa.{pk} = ch.{fk})"""
-    for r, c, fk, p, pk in _ORPHANS))
+@register("dq_orphans", "\nUNION ALL\n".join(
+    f"""SELECT '{r}' AS rule, count(*) AS n_orphans FROM {c if c.endswith('AND') else c + ' ch WHERE'}
+  ch.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} pa WHERE pa.{pk} = ch.{fk})""" for r, c, fk, p, pk in _ORPHANS))
 def dq_orphans(spark, sf):
-    """DQ3: foreign keys without a parent row."""
-    t = _star(spark, sf)
-    frames = {"canon": t["orders"], "order_items": t["order_items"], "products": t["products"],
-              "cust": SB.customer_dims(spark, sf), "payments": t["payments"], "refunds": t["refunds"]}
-    return QA.orphans({r: (frames[c], fk, frames[p], pk) for r, c, fk, p, pk in _ORPHANS})
+    """DQ3: foreign keys without a parent row; one aggregate for each key."""
+    lines = read_table(spark, sf, "lineitem")
+    by_key = [("order_id", "orders", [_key_source(spark, sf, "orders", "o_orderkey", "orders"),
+                                      _line_source(spark, sf, F.col("l_orderkey"))]),
+              ("product_id", "products", [_key_source(spark, sf, "part", "p_partkey", "products"),
+                                          (lines, F.col("l_partkey"), {"order_items": F.lit(True)})]),
+              ("customer_id", "customers", [_key_source(spark, sf, "customer", "c_custkey", "customers"),
+                                            _key_source(spark, sf, "orders", "o_custkey", "orders")])]
+    parts = []
+    for key, parent, sources in by_key:
+        rule = F.concat(F.col("table_name"), F.lit("_" + key.removesuffix("_id")))
+        parts.append(QA.key_integrity(key, sources, parent).where(F.col("table_name") != parent)
+                     .select(rule.alias("rule"), "n_orphans"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ----------------------------------------------------------------- sinks, SQL entry

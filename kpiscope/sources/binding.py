@@ -144,17 +144,19 @@ def canonical_orders(spark: SparkSession, sf_dir: str, columns=None) -> DataFram
     return _order_base(spark, sf_dir, ["n_lines", "has_return"], wanted).select(*_aliased(wanted))
 
 
-def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enriched_orders(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     """J1 for this binding in one pass: refunds and payments are derived one
     per order from the same line roll-up, so instead of two more lineitem
     aggregations and two left joins, the roll-up is joined once and the
-    refund / payment columns are read off it (same rows, same values)."""
-    base = _order_base(spark, sf_dir, ["n_lines", "has_return", "last_ship_date", "net_c",
-                                       "gross_c", "max_linestatus"])
+    refund / payment columns are read off it (same rows, same values).
+    ``columns`` names the canonical columns that are wanted beside those."""
+    wanted = None if columns is None else set(columns)
+    base = _order_base(spark, sf_dir, ["n_lines", "has_return", "last_ship_date", "net_c", "gross_c", "max_linestatus"],
+                       None if wanted is None else wanted | _FROM_LINES)
     refunded = (F.col("has_return") == 1) & (F.col("o_orderstatus") != "F")
     has_lines = F.col("n_lines").isNotNull()
     return base.select(
-        *_aliased(),
+        *_aliased(wanted),
         F.when(refunded, cents_to_money("net_c")).otherwise(F.lit(0.0)).alias("refund_amount"),
         F.when(refunded, F.col("last_ship_date")).alias("refund_date"),
         F.when(refunded, F.col("max_linestatus")).alias("refund_reason"),
@@ -240,13 +242,3 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = customer_dims(spark, sf_dir)
     return (cust.join(first, cust.customer_id == first.o_custkey, "left")
                 .select("customer_id", "signup_date", "region", "acquisition_channel"))
-
-
-def register_star(spark: SparkSession, sf_dir: str) -> None:
-    """Register the canonical tables as temp views for SQL access."""
-    canonical_orders(spark, sf_dir).createOrReplaceTempView("orders_canonical")
-    refunds(spark, sf_dir).createOrReplaceTempView("refunds")
-    payments(spark, sf_dir).createOrReplaceTempView("payments")
-    products(spark, sf_dir).createOrReplaceTempView("products")
-    order_items(spark, sf_dir).createOrReplaceTempView("order_items")
-    customers(spark, sf_dir).createOrReplaceTempView("customers")

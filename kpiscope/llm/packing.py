@@ -45,9 +45,9 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 POOR_FILL = 0.97        # bins below are packed again together with those of other shards
-CACHE_WORDS = 150_000   # of one generation; a cached word takes about 200 bytes
+CACHE_WORDS = 300_000   # of one generation; a cached word takes about 200 bytes
 DOCS_AT_ONCE = 200
-BYTES_AT_ONCE = 5_000_000     # of text whose words are numbered together; one document at least
+BYTES_AT_ONCE = 16_000_000     # of text whose words are numbered together; one document at least
 
 
 # --------------------------------------------------------------------- tokens
@@ -63,8 +63,9 @@ class WordTokens:
 
     SIGNS = ".,;:!?%&$*#|()[]{}<>=+-/\"~^@"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         from tokenizers import Tokenizer
+        self.most = cache_words or CACHE_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -124,7 +125,7 @@ class WordTokens:
 
     def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text. Words are numbered first, so Python meets each distinct word once."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.most:
             self.cache, self.older = {"": b""}, self.cache
         split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
@@ -148,8 +149,8 @@ class WordTokens:
 
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def word_tokens(path: str, cache_words: int) -> WordTokens:
+    return WordTokens(path, cache_words)
 
 
 on_change(word_tokens.cache_clear)
@@ -167,15 +168,16 @@ def parts_of(text: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, i
     yield from ((lo, hi) for lo, hi in zip(cuts, cuts[1:]) if lo < hi)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of each whole text."""
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, part_bytes: int = BYTES_AT_ONCE,
+              cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row for each piece of each whole text. The two sizes trade a worker's memory for time, not results."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("packing")
-        encode = word_tokens(tokenizer)
+        encode = word_tokens(tokenizer, cache_words)
         for b in batches:
-            for lo, hi in parts_of(b["text"]):
+            for lo, hi in parts_of(b["text"], part_bytes):
                 part = b.slice(lo, hi - lo)
                 rows = []
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"])):
@@ -366,10 +368,11 @@ def _pack_round(pieces: DataFrame, capacity: int, first_id: int, shard_pieces: i
     return dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(place, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Every piece with its sequence and its gapless place there."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES,
+         part_bytes: int = BYTES_AT_ONCE, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Every piece with its sequence and its gapless place there; ``pieces_of`` explains the last two sizes."""
     # rows are dealt by a number of their own, so rows that repeat a document spread over the shards
-    pieces = materialize(pieces_of(docs, tokenizer, capacity).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    pieces = materialize(pieces_of(docs, tokenizer, capacity, part_bytes, cache_words).withColumn("number", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") >= capacity).select(
         *NAMES, (F.col("number") + F.lit(2 ** 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     packed = materialize(_pack_round(pieces.where(F.col("length") < capacity), capacity, 0, shard_pieces), "packed")

@@ -38,7 +38,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file())
+    # the workers of earlier stages still hold memory: smaller parts of text and fewer cached words than alone
+    return packing.pack(docs, tokenizer_file(), part_bytes=5_000_000, cache_words=150_000)
 
 
 STAGES = [

@@ -187,7 +187,8 @@ def confidence_of(passed: Column) -> Column:
              .when(passed >= 2, "low").otherwise("inconclusive"))
 
 
-def verdicts(counts: DataFrame, checks: DataFrame, auto_approve: bool = True) -> DataFrame:
+def verdicts(counts: DataFrame, checks: DataFrame, auto_approve: bool = True,
+             max_seconds: float = MAX_INVESTIGATION_SECONDS) -> DataFrame:
     """V4 + V5 + V8: confidence, review triggers, review status per incident."""
     p = checks.groupBy("case_id").agg(F.count_if("passed").alias("checks_passed"),
                                       F.count(F.lit(1)).alias("checks_total"))
@@ -197,7 +198,7 @@ def verdicts(counts: DataFrame, checks: DataFrame, auto_approve: bool = True) ->
     reasons = F.filter(F.array(
         F.when(conf.isin("low", "inconclusive"), F.lit("low_confidence")),
         F.when(fails >= 2, F.lit("sql_validation_failure")),
-        F.when(F.col("elapsed_seconds") > MAX_INVESTIGATION_SECONDS, F.lit("cost_exceeded")),
+        F.when(F.col("elapsed_seconds") > max_seconds, F.lit("cost_exceeded")),
         F.when(F.col("checks_passed") < F.col("checks_total"), F.lit("weak_evidence"))),
         lambda r: r.isNotNull())
     needs = F.size(reasons) > 0

@@ -104,7 +104,6 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
 BLOCK_CHUNKS = 64   # chunks of a block, about
 SEED_TERMS = 3      # terms of a query that give the first floor
-BROADCAST_LOOKUPS = 500_000     # rows of under 60 bytes
 
 
 @dataclass
@@ -192,7 +191,7 @@ class BM25Index:
         bounds = blocks.groupBy("term").agg(F.max("most").alias("most"))
         terms = side.join(bounds, "term").select("query_id", "term", "qtf", (F.col("qtf") * F.col("most")).alias("bound"))
         place = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "term")      # the terms of one query text
-        terms = materialize(terms.withColumn("place", F.row_number().over(place)), "bm25_terms")
+        terms = terms.withColumn("place", F.row_number().over(place))
 
         def partial(of: DataFrame) -> DataFrame:
             met = hits.join(hint(of.select("query_id", "term", "qtf")), "term")
@@ -222,7 +221,6 @@ class BM25Index:
             .where(F.col("part") + F.coalesce("block_rest", F.lit(0)) >= F.col("floor"))
             .select("query_id", *self.keys, "part"), "bm25_survivors")
         asked = survivors.join(hint(others.select("query_id", "term", "qtf")), "query_id").select("query_id", *self.keys, "term", "qtf")
-        asked = F.broadcast(asked) if small and asked.count() <= BROADCAST_LOOKUPS else asked
         lookups = (hits.join(asked, ["term", *self.keys])
                    .select("query_id", *self.keys, (F.col("qtf") * F.col("impact")).alias("part")))
         scores = (survivors.unionByName(lookups).groupBy("query_id", *self.keys).agg(F.sum("part").alias("total")))

@@ -907,6 +907,29 @@ def capped_query(spark, sf):
     return df
 
 
+_BATCH = [("paid", "SELECT order_id, order_total FROM fact_orders_enriched WHERE NOT is_cancelled AND NOT is_pending"),
+          ("by_channel", "SELECT channel, count(*) AS n FROM fact_orders_enriched GROUP BY channel"),
+          ("limited", "SELECT order_id FROM fact_orders_enriched ORDER BY order_id LIMIT 7"),
+          ("forbidden", "DELETE FROM orders"), ("unknown_column", "SELECT no_such_column FROM orders"),
+          ("failing_row", "SELECT order_id FROM orders WHERE assert_true(order_id < 0) IS NULL")]
+_BATCH_COUNTS = {"paid": f"SELECT count(*) AS n FROM canon WHERE {O.PAID_SQL}",
+                 "by_channel": "SELECT count(*) AS n FROM (SELECT DISTINCT channel FROM canon)",
+                 "limited": "SELECT least(count(*), 7) AS n FROM canon"}
+
+
+@register("batch_run_records", O.with_(O.STAR) + "\nUNION ALL\n".join(
+    f"SELECT '{q}' AS query_id, TRUE AS success, CAST(least(n, 10000) AS BIGINT) AS row_count, CAST(n AS BIGINT) AS full_count, "
+    f"n > 10000 AS truncated FROM ({_BATCH_COUNTS[q]})" if q in _BATCH_COUNTS else
+    f"SELECT '{q}', FALSE, CAST(0 AS BIGINT), CAST(0 AS BIGINT), FALSE" for q, _ in _BATCH))
+def batch_run_records(spark, sf):
+    """Texts over the registered views run side by side; failures are records, a cut
+    result says so and gives the full count."""
+    from kpiscope.sources.runner import run_batch
+    V.register_views(spark, sf)
+    texts = spark.createDataFrame(_BATCH, "query_id string, sql string")
+    return run_batch(texts).select("query_id", "success", "row_count", "full_count", "truncated")
+
+
 # ----------------------------------------------------------------- P3, P7, J3, V11
 from kpiscope.functions.numeric import cents_to_money, to_cents  # noqa: E402
 from kpiscope.operators.windows import join_calendar as _join_cal  # noqa: E402

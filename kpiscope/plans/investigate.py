@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.functions.fixed import TXT_PURPOSE_AGGREGATE, TXT_PURPOSE_BREAKDOWN
+from kpiscope.functions.fixed import MAX_INVESTIGATION_SECONDS, TXT_PURPOSE_AGGREGATE, TXT_PURPOSE_BREAKDOWN
 from kpiscope.operators import audit as AU
 from kpiscope.operators import compare as C
 from kpiscope.operators import decide as D
@@ -27,6 +27,7 @@ from kpiscope.operators import rollups as R
 from kpiscope.operators.prefix import case_extent, prefix_cube
 from kpiscope.operators.windows import with_baseline
 from kpiscope.session import materialize
+from kpiscope.sources.runner import case_seconds
 
 
 @dataclass
@@ -61,23 +62,31 @@ def run_log(cube: DataFrame, cases: DataFrame, dims=("channel", "region")) -> Da
 
 def investigate(cube: DataFrame, cases: DataFrame, mode: str = "raw",
                 auto_approve: bool = True, elapsed: DataFrame | None = None,
-                materialized: bool = True) -> Investigation:
+                materialized: bool = True, runs: DataFrame | None = None,
+                max_seconds: float = MAX_INVESTIGATION_SECONDS) -> Investigation:
     """``materialized`` writes the prefix sums of the daily cube once to the shared
-    checkpoint folder; every later branch reads that table and the ranked slices."""
+    checkpoint folder; every later branch reads that table and the ranked slices.
+
+    ``runs`` (``runner.case_runs``) are the records of texts that were run for the incidents. They take
+    the place of the built-in analyses in the log, so failures and run times reach the review triggers
+    and the grades; ``max_seconds`` is an incident's time budget.
+    """
     cube = prefix_cube(cube, case_extent(cases)[1])
     if materialized:
         cube = materialize(cube, "prefix_cube")
     slices = C.slice_compare(cube, cases, mode=mode)
     dims = D.per_dimension(slices)
     wc = C.window_compare(cube, cases, "order_total", "sum")
-    log = run_log(cube, cases)
+    log = run_log(cube, cases) if runs is None else runs.select("case_id", "seq", "query_id", "purpose", "success", "row_count")
+    if runs is not None and elapsed is None:
+        elapsed = case_seconds(runs)
     ev1 = D.evidence_pass(log, dims, cases, wc)
     counts = D.pass_counts(cases, log, dims, ev1, elapsed)
     evidence = (ev1.join(counts.select("case_id", "passes"), "case_id")
                    .withColumn("pass_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes"))))
                    .drop("passes"))
     checks = D.verification_checks(counts)
-    verdict = D.verdicts(counts, checks, auto_approve)
+    verdict = D.verdicts(counts, checks, auto_approve, max_seconds)
     found = D.findings(verdict, C.best_driver(slices), evidence)
     return Investigation(slices, dims, log, evidence, checks, verdict, found)
 

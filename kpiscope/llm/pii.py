@@ -5,11 +5,12 @@ octets). The field labels the *candidate tokens* of a document (blank-separated
 tokens holding a digit or an at sign, or a spelled-out address): every other
 token is fixed to "no entity", so it takes no message and the chain may be cut
 there without changing any marginal. Neighbouring candidates share a chain
-potential; a token also shares a skip potential with the previous token of the
-same document that has the same normalised form or the same last seven digits,
-which links a whole group of repeats with one edge per token. Loopy sum-product
-messages run over chain and skip edges. Tokens whose marginal favours an entity
-become spans unless a base span covers them; base spans always stay.
+potential. The tokens of a document that have the same normalised form, or the same
+last seven digits, share skip potentials with one hub variable: one edge per token,
+and two steps between any two repeats however far apart they stand. Tokens that base
+spans cover are observed. Loopy sum-product messages run over chain and skip edges
+until they settle. Tokens whose marginal favours an entity become spans unless a base
+span covers them; base spans always stay.
 
 Node weights are a softmax regression over token shape, length, digit groups
 and the neighbouring words, fitted on a bounded hash sample of documents whose
@@ -17,7 +18,9 @@ base spans serve as labels; chain and skip potentials are label co-occurrence
 ratios of the same sample.
 
 Defined cases: a null or empty text has no spans (counts 0, spans '', the
-digest of the empty string). Every row is judged alone.
+digest of the empty string). Every row is judged alone, so repeated rows get equal
+results, a null id is kept, and an empty table gives an empty result. Long texts are read
+whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -39,11 +42,13 @@ from kpiscope.llm.common import enter, texts, with_text
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 20_000    # documents whose candidate tokens the field is fitted on, about
-BP_ROUNDS = 8
+SETTLED = 1e-4          # messages that change by less are settled
+BP_ROUNDS = 200         # rounds after which messages that swing are taken as they are
+EDGE_BLOCK = 50_000     # edges whose messages are computed at a time
+SKIP_BOUND = 4.0        # bound of a skip potential; two of them stand between two repeats
 DECIDE = 0.5            # least marginal of an entity label
 
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -55,21 +60,19 @@ def luhn(digits: str) -> bool:
     return (odd + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for d in digits[-2::-2])) % 10 == 0
 
 
-_BEFORE_RUN = re.compile(r"[A-Za-z0-9._%+@-]*\Z")
-
-
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches lie inside runs of address characters, so only runs with an at sign are searched."""
+    """From at sign to at sign: the leftmost match starts with the run of local characters before it,
+    and where the domain fails, it fails for every start in that run."""
     at, done = text.find("@"), 0
     while at >= 0:
         lo = at
-        while lo > done and (c := text[lo - 1]).isascii() and (c.isalnum() or c in "._%+-@"):
+        while lo > done and (c := text[lo - 1]).isascii() and (c.isalnum() or c in "._%+-"):
             lo -= 1
-        hi = _EMAIL_RUN.match(text, at).end()
-        for m in _EMAIL.finditer(text, lo, hi):
-            yield m.start(), m.end()
-        done = hi
-        at = text.find("@", hi)
+        m = _DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            yield lo, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -92,7 +95,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- candidates
 _MARK = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"\S+ ?[\[({] ?at ?[\])}] ?\S+", re.I)
+_SPELLED = re.compile(r"\S+ ?[\[({] ?at ?[\])}] ?\S+", re.I)     # of one token
+_BRACKETED = re.compile(r"[\[({] ?at ?[\])}]", re.I)
+_AT = re.compile(r"@|at[^a-z]")
 _SPACE = re.compile(r"\s")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -109,11 +114,27 @@ class Token:
     after: str = ""
 
 
+def _spelled_out(text: str) -> Iterator[tuple[int, int]]:
+    """Bracketed "at"s with the tokens on both sides, at most one blank apart; none reaches into the one before."""
+    done, n = 0, len(text)
+    for m in _BRACKETED.finditer(text):
+        if m.start() < done:
+            continue
+        lo = left = m.start() - (m.start() > done and text[m.start() - 1] == " ")
+        while lo > done and not text[lo - 1].isspace():
+            lo -= 1
+        right = m.end() + (m.end() < n and text[m.end()] == " ")
+        stop = _SPACE.search(text, right)
+        hi = stop.start() if stop else n
+        if lo < left and right < hi:
+            yield lo, hi
+            done = hi
+
+
 def candidates(text: str) -> list[Token]:
     """Blank-separated tokens with a digit or at sign, and spelled-out addresses."""
     out: list[Token] = []
     at, n = 0, len(text)
-    spelled = [m.span() for m in _SPELLED.finditer(text)] if re.search(r"[\[({] ?at ?[\])}]", text, re.I) else []
     marks = iter(_MARK.finditer(text))
     spans: list[tuple[int, int]] = []
     for m in marks:
@@ -125,18 +146,20 @@ def candidates(text: str) -> list[Token]:
         stop = _SPACE.search(text, m.end())
         at = stop.start() if stop else n
         spans.append((lo, at))
-    for lo, hi in spelled:
-        if not any(a < hi and lo < b for a, b in spans[max(0, bisect_right(spans, (lo,)) - 1):][:4]):
-            spans.append((lo, hi))
+    more = []
+    for lo, hi in _spelled_out(text):
+        k = bisect_right(spans, (lo,))
+        if not any(a < hi and lo < b for a, b in spans[max(0, k - 1):k + 1]):
+            more.append((lo, hi))
     last = -1
-    for lo, hi in sorted(spans):
+    for lo, hi in sorted(spans + more):
         word = text[lo:hi]
         cut = word.rstrip(_TRIM + ".")
         lead = len(cut) - len(cut.lstrip(_TRIM))
         lo, hi = lo + lead, lo + len(cut)
         if hi <= lo:
             continue
-        tok = Token(lo, hi, text[lo:hi], last >= 0 and text[last:lo].strip(_TRIM + ". \n\t") == "" and lo - last <= 3)
+        tok = Token(lo, hi, text[lo:hi], last >= 0 and lo - last <= 3 and text[last:lo].strip(_TRIM + ". \n\t") == "")
         left = text[max(0, lo - 40):lo].split()
         right = text[hi:hi + 40].split()
         tok.before, tok.after = (left[-1].lower() if left else ""), (right[0].lower() if right else "")
@@ -160,7 +183,8 @@ def features(tok: Token) -> list[str]:
            f"letters={bool(_LETTERS.search(word))}", f"first={word[0] if not word[0].isalnum() else 'x'}"]
     if "@" in word or _SPELLED.fullmatch(word):
         out.append("address")
-        out.append(f"dots after at={min(3, re.sub(r'.*(?:@|at[^a-z])', '', word.lower()).count('.'))}")
+        low = word.lower()
+        out.append(f"dots after at={min(3, low.count('.', max((m.end() for m in _AT.finditer(low)), default=0)))}")
     if groups == [3, 3, 4] or groups[-2:] == [3, 4]:
         out.append("phone tail")
     if len(groups) == 4 and max(groups) <= 3 and "." in word:
@@ -172,16 +196,15 @@ def features(tok: Token) -> list[str]:
     return out
 
 
-def skip_links(tokens: list[Token]) -> list[tuple[int, int]]:
-    """Each token and the previous one with the same form or the same last seven digits."""
-    last: dict[str, int] = {}
-    out = []
+def repeats(tokens: list[Token]) -> list[tuple[int, ...]]:
+    """The groups, of two tokens or more, that share a form or the last seven digits; equal groups count once."""
+    groups: dict[tuple[str, str], list[int]] = {}
     for i, tok in enumerate(tokens):
+        groups.setdefault(("form", tok.word.lower()), []).append(i)
         digits = _NO_DIGIT.sub("", tok.word)
-        keys = {tok.word.lower()} | ({digits[-7:]} if len(digits) >= 7 else set())
-        out += sorted({(last[k], i) for k in keys if k in last})
-        last.update(dict.fromkeys(keys, i))
-    return out
+        if len(digits) >= 7:
+            groups.setdefault(("digits", digits[-7:]), []).append(i)
+    return list(dict.fromkeys(tuple(g) for g in groups.values() if len(g) > 1))
 
 
 @dataclass
@@ -189,42 +212,60 @@ class Field:
     weights: dict[str, np.ndarray]
     bias: np.ndarray
     chain: np.ndarray     # log potential of neighbouring labels
-    skip: np.ndarray      # log potential of linked labels
+    skip: np.ndarray      # log potential of a token's label and its hub's
 
-    def marginals(self, tokens: list[Token]) -> np.ndarray:
-        k = len(LABELS)
+    def nodes(self, tokens: list[Token], observed: dict[int, int]) -> np.ndarray:
+        """Log potential of each token's labels; an observed token has its label alone."""
         node = np.tile(self.bias, (len(tokens), 1))
         for i, tok in enumerate(tokens):
+            if (label := observed.get(i)) is not None:
+                node[i] = np.where(np.arange(len(LABELS)) == label, 0.0, -50.0)
+                continue
             for f in features(tok):
                 if (w := self.weights.get(f)) is not None:
                     node[i] += w
-        edges = [(i - 1, i, self.chain) for i, tok in enumerate(tokens) if tok.linked and i]
-        edges += [(i, j, self.skip) for i, j in skip_links(tokens)]
-        if not edges:
+        return node
+
+    def marginals(self, tokens: list[Token], observed: dict[int, int] | None = None) -> np.ndarray:
+        """Label marginals of the tokens, given the labels of the ``observed`` ones by index."""
+        n, groups = len(tokens), repeats(tokens)
+        node = self.nodes(tokens, observed or {})
+        right = np.array([i for i, tok in enumerate(tokens) if tok.linked and i], dtype=np.int64)
+        member = np.array([i for g in groups for i in g], dtype=np.int64)
+        hub = np.repeat(np.arange(n, n + len(groups)), [len(g) for g in groups]).astype(np.int64)
+        if not len(right) and not len(member):
             return _softmax(node)
-        a = np.array([e[0] for e in edges])
-        b = np.array([e[1] for e in edges])
-        pot = np.stack([e[2] for e in edges])
-        fwd, back = np.zeros((len(edges), k)), np.zeros((len(edges), k))
+        node = np.vstack([node, np.zeros((len(groups), len(LABELS)))])
+        sides = [(right - 1, right, self.chain), (member, hub, self.skip)]
+        fwd = [np.zeros((len(a), len(LABELS))) for a, _, _ in sides]
+        back = [f.copy() for f in fwd]
         for _ in range(BP_ROUNDS):
-            belief = node.copy()
-            np.add.at(belief, b, fwd)
-            np.add.at(belief, a, back)
-            new_fwd = _logsum((belief[a] - back)[:, :, None] + pot, 1)
-            new_back = _logsum((belief[b] - fwd)[:, None, :] + pot, 2)
-            change = max(np.abs(new_fwd - fwd).max(), np.abs(new_back - back).max())
-            fwd, back = 0.5 * (fwd + new_fwd), 0.5 * (back + new_back)
-            if change < 1e-4:
+            belief, change = node.copy(), 0.0
+            for (a, b, _), f, r in zip(sides, fwd, back):
+                np.add.at(belief, b, f)
+                np.add.at(belief, a, r)
+            for s, (a, b, pot) in enumerate(sides):
+                if len(a):
+                    new_fwd, new_back = _message(belief[a] - back[s], pot), _message(belief[b] - fwd[s], pot.T)
+                    change = max(change, np.abs(new_fwd - fwd[s]).max(), np.abs(new_back - back[s]).max())
+                    fwd[s], back[s] = 0.5 * (fwd[s] + new_fwd), 0.5 * (back[s] + new_back)
+            if change < SETTLED:
                 break
-        np.add.at(node, b, fwd)
-        np.add.at(node, a, back)
-        return _softmax(node)
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    s = np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-    return s - s.max(axis=1, keepdims=True)
+        for (a, b, _), f, r in zip(sides, fwd, back):
+            np.add.at(node, b, f)
+            np.add.at(node, a, r)
+        return _softmax(node[:n])
+
+
+def _message(belief: np.ndarray, pot: np.ndarray) -> np.ndarray:
+    """Log messages along edges whose first ends have ``belief``, the greatest entry of each 0."""
+    out = np.empty_like(belief)
+    for at in range(0, len(belief), EDGE_BLOCK):
+        x = belief[at:at + EDGE_BLOCK, :, None] + pot
+        top = x.max(axis=1, keepdims=True)
+        s = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
+        out[at:at + EDGE_BLOCK] = s - s.max(axis=1, keepdims=True)
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -232,11 +273,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _label(tok: Token, spans: list[tuple[int, int, int]]) -> int:
-    for s, kind, e in spans:
-        if s < tok.end and tok.start < e:
-            return kind + 1
-    return 0
+def base_labels(tokens: list[Token], spans: list[tuple[int, int, int]]) -> list[int]:
+    """Label of the first span over each token, 0 without one; both lists are sorted by start. Spans of one
+    kind are disjoint, so those that end before a token are passed for good."""
+    out, first = [], 0
+    for tok in tokens:
+        while first < len(spans) and spans[first][2] <= tok.start:
+            first += 1
+        k = first
+        while k < len(spans) and spans[k][0] < tok.end and spans[k][2] <= tok.start:
+            k += 1
+        out.append(spans[k][1] + 1 if k < len(spans) and spans[k][0] < tok.end else 0)
+    return out
 
 
 TRAIN_SCHEMA = T.StructType([
@@ -254,25 +302,25 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens = candidates(text)
             if not tokens:
                 continue
-            spans = base_spans(text)
-            y = [_label(t, spans) for t in tokens]
+            y = base_labels(tokens, base_spans(text))
             for tok, lab in zip(tokens, y):
                 seen["\x1f".join(features(tok)), lab, "node", 0] += 1
             for i, tok in enumerate(tokens):
                 if i and tok.linked:
                     seen["", y[i - 1], "chain", y[i]] += 1
-            for i, j in skip_links(tokens):
-                seen["", y[i], "skip", y[j]] += 1
+            for group in repeats(tokens):
+                for i, j in zip(group, group[1:]):
+                    seen["", y[i], "skip", y[j]] += 1
     if seen:
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["feature", "label", "pair", "other", "n"])
 
 
-def _ratio(table: np.ndarray) -> np.ndarray:
+def _ratio(table: np.ndarray, bound: float = 2.0) -> np.ndarray:
     """Log of observed over independent co-occurrence, smoothed and bounded."""
     t = table + table.T + 0.5
     p = t / t.sum()
     m = p.sum(axis=0)
-    return np.clip(np.log(p / np.outer(m, m)), -2.0, 2.0)
+    return np.clip(np.log(p / np.outer(m, m)), -bound, bound)
 
 
 def train_field(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
@@ -312,7 +360,7 @@ def train_field(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
             bias = bias + 0.3 * gb / np.sqrt(grow + 1e-12)
     else:
         bias[0] = 4.0
-    return Field({f: w[i] for f, i in index.items()}, bias, _ratio(chain), np.maximum(_ratio(skip), 0.0) * np.eye(k))
+    return Field({f: w[i] for f, i in index.items()}, bias, _ratio(chain), np.maximum(_ratio(skip, SKIP_BOUND), 0.0) * np.eye(k))
 
 
 def field_spans(text: str, model: Field, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -320,10 +368,11 @@ def field_spans(text: str, model: Field, base: list[tuple[int, int, int]]) -> li
     tokens = candidates(text)
     if not tokens:
         return []
-    free = [not any(s < t.end and t.start < e for s, _, e in base) for t in tokens]
+    labels = base_labels(tokens, base)
+    free = [not label for label in labels]
     if not any(free):
         return []
-    best = model.marginals(tokens)
+    best = model.marginals(tokens, {i: label for i, label in enumerate(labels) if label})
     out: list[list[int]] = []
     for i, (tok, p) in enumerate(zip(tokens, best)):
         kind = int(p.argmax())

@@ -1,6 +1,10 @@
 import hashlib
+import itertools
+import math
 import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,9 +61,59 @@ def test_field_adds_consistent_spans(spark):
     assert P.mask(text, added).count("[phone]") == 2
 
 
-def test_skip_links_are_linear_in_repeats():
+def test_repeats_share_one_hub():
     tokens = P.candidates("x 555-1234567 " * 500)
-    assert len(P.skip_links(tokens)) == 499
+    assert [len(g) for g in P.repeats(tokens)] == [500]
+    far = P.candidates("n 1234567 " + "w " * 500 + "(555) 123-4567 and 12-34567 1234567")
+    assert sorted(P.repeats(far)) == [(0, 2, 3, 4), (0, 4)]      # by digits; by form
+
+
+def enumerated(model, tokens, observed):
+    """Marginals of tokens and hubs by every labelling."""
+    n, k, groups = len(tokens), len(P.LABELS), P.repeats(tokens)
+    node = model.nodes(tokens, observed)
+    edges = [(i - 1, i, model.chain) for i, t in enumerate(tokens) if t.linked and i]
+    edges += [(i, n + h, model.skip) for h, g in enumerate(groups) for i in g]
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n + len(groups)):
+        p = math.exp(sum(node[i, labels[i]] for i in range(n)) + sum(pot[labels[a], labels[b]] for a, b, pot in edges))
+        for i in range(n):
+            out[i, labels[i]] += p
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_marginals_equal_enumeration_on_trees():
+    rng = np.random.default_rng(2)
+    k = len(P.LABELS)
+    skip = np.eye(k) * 1.7
+    for text in ("a1 b2 c3 d4", "a1 word a1 word word b2 a1", "1234567 w w 99-1234567 x2", "a1 b2 w w w b2 c3"):
+        tokens = P.candidates(text)
+        names = {f for t in tokens for f in P.features(t)}
+        for observed in ({}, {0: 4}, {1: 2}):
+            model = P.Field({f: rng.normal(size=k) for f in sorted(names)}, rng.normal(size=k), rng.normal(size=(k, k)), skip)
+            got = model.marginals(tokens, observed)
+            assert np.abs(got - enumerated(model, tokens, observed)).max() < 1e-3
+
+
+def test_evidence_reaches_across_a_document():
+    k = len(P.LABELS)
+    model = P.Field({}, np.array([1.0, 0, 0, 0, 0]), np.zeros((k, k)), np.eye(k) * 3)
+    text = "+1 389 555 5010 " + "word 7x " * 100 + "call 555-5010 " + "word " * 300 + "again 555-5010"
+    tokens = P.candidates(text)
+    repeat = [i for i, t in enumerate(tokens) if t.word == "555-5010"]
+    assert model.marginals(tokens)[repeat].argmax(axis=1).tolist() == [0, 0]
+    assert repeat[0] > 100 and model.marginals(tokens, {repeat[0]: 4})[repeat[1]].argmax() == 4
+
+
+def test_one_long_text_takes_linear_time():
+    size = 300_000
+    model = P.Field({}, np.array([1.0, 0, 0, 0, 0]), np.zeros((5, 5)), np.eye(5))
+    start = time.time()
+    for text in ("a" * size + "@" + "b" * size, "b" * size + " x (at) y", "a@" * size, "a (at) b " * (size // 9),
+                 "a(at)" * (size // 5), "1 x (at) y " * (size // 11), "+1" + "(" * size, "1." * size, "9" * size):
+        base = P.base_spans(text)
+        P.field_spans(text, model, base)
+    assert time.time() - start < 60
 
 
 def test_rows(odd_docs, no_docs):

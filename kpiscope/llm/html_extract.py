@@ -16,7 +16,9 @@ Defined cases: null or empty html has the empty text. Unclosed tags, a page cut
 off inside a tag, and unknown character references are read as browsers do; a
 partial tag at the end is markup. An unclosed script, style, textarea, iframe or
 noscript hides the rest of the page, another unclosed element without readable
-text the rest of its parent. Every row is judged alone.
+text the rest of its parent. Every row is judged alone, so repeated rows repeat their
+result; an empty table gives an empty one. Long pages are read whole, in time and memory
+that grow with their length, whatever is nested or left open in them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 300          # pages of the table that the field is trained on, about
 SAMPLE_PAGE_CHARS = 200_000     # longer pages are not used for training
+SAMPLE_DEPTH = 500              # nor are those with a block below so many open elements
 EPOCHS = 6
 
 # ---- fixed values: tag classes, attribute words, cue words, labelled layouts ----
@@ -186,13 +189,54 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+|©")
 
 
+class Place:
+    """An open element: blocks below share it, and it shares what it can with its parent."""
+
+    __slots__ = ("parent", "tag", "inside", "hints", "depth")
+
+    def __init__(self, parent: Place | None, tag: str, hints: frozenset[str]):
+        self.parent, self.tag = parent, tag
+        above = parent.inside if parent else _NO_HINTS
+        self.inside = above if tag in above else above | {tag}             # tags of it and its ancestors
+        known = parent.hints if parent else _NO_HINTS
+        self.hints = known if hints <= known else known | hints
+        self.depth = parent.depth + 1 if parent else 1
+
+
+_NO_HINTS: frozenset[str] = frozenset()
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]           # ancestors, outermost first
-    hints: frozenset[str]
+    place: Place | None
     linked: float = 0.0             # share of the characters inside links
 
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Ancestors, outermost first."""
+        out, at = [], self.place
+        while at:
+            out.append(at.tag)
+            at = at.parent
+        return tuple(reversed(out))
+
+    @property
+    def inside(self) -> frozenset[str]:
+        return self.place.inside if self.place else _NO_HINTS
+
+    @property
+    def hints(self) -> frozenset[str]:
+        return self.place.hints if self.place else _NO_HINTS
+
+
+def block(text: str, tags: Iterable[str], hints: frozenset[str], linked: float) -> Block:
+    """A block below new elements ``tags`` that hold ``hints``."""
+    at = None
+    for tag in tags:
+        at = Place(at, tag, hints)
+    return Block(text, at, linked)
+
 
 def _hints(attributes: str) -> frozenset[str]:
     """Known words of the class, id and role attributes."""
@@ -206,7 +250,6 @@ def _hints(attributes: str) -> frozenset[str]:
     return frozenset(out & _HINT)
 
 
-_NO_HINTS: frozenset[str] = frozenset()
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset(("ul", "ol", "dl", "table", "div", "section", "article", "body"))
@@ -274,8 +317,9 @@ def silent_ends(page: str) -> dict[int, int]:
 def leaf_blocks(page: str) -> list[Block]:
     """The readable blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []        # open block-level elements
-    inline: list[str] = []                              # open inline elements of the block
+    stack: list[Place] = []                             # open block-level elements
+    where: dict[str, list[int]] = {}                    # their indexes by tag
+    inline: Counter[str] = Counter()                    # open inline elements of the block
     parts: list[str] = []
     links = 0
     at, n = 0, len(page)
@@ -287,22 +331,22 @@ def leaf_blocks(page: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                hints = frozenset().union(*(h for _, h in stack)) if stack else _NO_HINTS
-                out.append(Block(text, tuple(t for t, _ in stack), hints, min(1.0, links / max(1, len(raw.strip())))))
+                out.append(Block(text, stack[-1] if stack else None, min(1.0, links / max(1, len(raw.strip())))))
             parts.clear()
         links = 0
 
-    def close(tag: str):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
+    def innermost(tags: Iterable[str]) -> int:
+        return max((k[-1] for t in tags if (k := where.get(t))), default=-1)
+
+    def cut(k: int):
+        while len(stack) > k:
+            where[stack.pop().tag].pop()
 
     while m := _TAG.search(page, at):
         if m.start() > at:
             chunk = page[at:m.start()]
             parts.append(chunk)
-            if "a" in inline:
+            if inline["a"]:
                 links += len(chunk.strip())
         at = m.end()
         if not m[2]:
@@ -315,41 +359,45 @@ def leaf_blocks(page: str) -> list[Block]:
                 ends = silent_ends(page) if ends is None else ends
                 at = ends.get(at, at)
         elif tag in BLOCK_TAGS:
-            if closing and tag != "p" and not any(t == tag for t, _ in stack):
+            if closing and tag != "p" and not where.get(tag):
                 continue                                # a stray end tag
             flush()
             inline.clear()
             if closing:
-                close(tag)
+                if where.get(tag):
+                    cut(where[tag][-1])
                 continue
-            for k in range(len(stack) - 1, -1, -1):     # implied end tags
-                open_ = stack[k][0]
-                if open_ == "p" or open_ in _CLOSES.get(tag, ()):
-                    del stack[k:]
-                    if open_ == "p":
-                        continue
-                    break
-                if open_ in _SCOPE:
+            closes = ("p", *_CLOSES.get(tag, ()))       # implied end tags, up to the innermost scope
+            while stack and (k := innermost(closes)) > innermost(_SCOPE):
+                open_ = stack[k].tag
+                cut(k)
+                if open_ != "p":
                     break
             if tag not in VOID_TAGS:
-                stack.append((tag, _hints(attributes) if attributes else _NO_HINTS))
+                where.setdefault(tag, []).append(len(stack))
+                stack.append(Place(stack[-1] if stack else None, tag, _hints(attributes) if attributes else _NO_HINTS))
         elif tag == "br":
             parts.append(" ")
         elif closing:
-            if tag in inline:
-                inline.remove(tag)
+            if inline[tag]:
+                inline[tag] -= 1
         elif tag not in VOID_TAGS:
-            inline.append(tag)
+            inline[tag] += 1
     parts.append(page[at:])                             # a tag cut off at the end is no part of it
     flush()
     return out
 
 
 # ------------------------------------------------------------------- features
-def _place(tags: tuple[str, ...], hints: frozenset[str]) -> list[str]:
-    inner = tags[-1] if tags else ""
-    return ([f"in {t}" for t in set(tags)] + [f"tag {inner}", f"above {tags[-2] if len(tags) > 1 else ''} {inner}"]
-            + [f"hint {h}" for h in hints])
+def _key(place: Place | None) -> tuple[frozenset[str], str, str, frozenset[str]]:
+    """All that the features of a place depend on."""
+    if not place:
+        return _NO_HINTS, "", "", _NO_HINTS
+    return place.inside, place.tag, place.parent.tag if place.parent else "", place.hints
+
+
+def _of_place(inside: frozenset[str], inner: str, above: str, hints: frozenset[str]) -> list[str]:
+    return [*(f"in {t}" for t in inside), f"tag {inner}", f"above {above} {inner}", *(f"hint {h}" for h in hints)]
 
 
 def _of_text(block: Block, i: int, n: int) -> list[str]:
@@ -379,11 +427,11 @@ class ChainField:
     def scores(self, blocks: list[Block]) -> list[float]:
         get, out = self.weights.get, []
         for i, b in enumerate(blocks):
-            key = b.tags, b.hints
+            key = _key(b.place)
             if (s := self._by_place.get(key)) is None:
                 if len(self._by_place) > 50_000:
                     self._by_place.clear()
-                s = self._by_place[key] = sum(get(f, 0.0) for f in _place(*key))
+                s = self._by_place[key] = sum(get(f, 0.0) for f in _of_place(*key))
             out.append(s + sum(get(f, 0.0) for f in _of_text(b, i, len(blocks))))
         return out
 
@@ -410,7 +458,7 @@ class ChainField:
 
     def fit(self, pages: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS) -> "ChainField":
         """Stochastic gradient (Adagrad) on the conditional log-likelihood, by forward-backward."""
-        rows = [([_place(b.tags, b.hints) + _of_text(b, i, len(bs)) for i, b in enumerate(bs)], ys) for bs, ys in pages if bs]
+        rows = [([_of_place(*_key(b.place)) + _of_text(b, i, len(bs)) for i, b in enumerate(bs)], ys) for bs, ys in pages if bs]
         names = sorted({f for fs, _ in rows for block in fs for f in block})
         index = {f: i for i, f in enumerate(names)}
         data = [([np.array([index[f] for f in block]) for block in fs], np.array(ys)) for fs, ys in rows]
@@ -468,7 +516,7 @@ def layout_page(lines: tuple[str, ...]) -> tuple[list[Block], list[int]]:
         tags = tuple(re.match(r"[a-z0-9]+", p)[0] for p in path)
         hints = frozenset(w for p in path for w in re.findall(r"[a-z]+", p[len(re.match(r"[a-z0-9]+", p)[0]):])) & _HINT
         link = tags[-1] == "a"
-        blocks.append(Block(text, tuple(t for t in ("html", "body", *tags) if t in BLOCK_TAGS), frozenset(hints), float(link)))
+        blocks.append(block(text, (t for t in ("html", "body", *tags) if t in BLOCK_TAGS), frozenset(hints), float(link)))
         labels.append(int(label))
     return blocks, labels
 
@@ -479,15 +527,15 @@ _BAD_HINTS = frozenset(HINTS[:HINTS.index("article")]) - {"text", "header", "sid
 
 def own_labels(blocks: list[Block]) -> list[int] | None:
     """Labels that a page's semantic tags give; None for a page without article or main."""
-    if not any("article" in b.tags or "main" in b.tags for b in blocks):
+    if not any("article" in b.inside or "main" in b.inside for b in blocks):
         return None
-    return [int(("article" in b.tags or "main" in b.tags) and not _OUTSIDE & set(b.tags) and not _BAD_HINTS & b.hints)
+    return [int(("article" in b.inside or "main" in b.inside) and not _OUTSIDE & b.inside and not _BAD_HINTS & b.hints)
             for b in blocks]
 
 
 def plain(blocks: list[Block]) -> list[Block]:
     """The same blocks with semantic tags read as div and no attribute words."""
-    return [Block(b.text, tuple("div" if t in SEMANTIC else t for t in b.tags), _NO_HINTS, b.linked) for b in blocks]
+    return [block(b.text, ("div" if t in SEMANTIC else t for t in b.tags), _NO_HINTS, b.linked) for b in blocks]
 
 
 def with_insertions(blocks: list[Block], labels: list[int], extra: list[Block], rng: np.random.Generator):
@@ -499,7 +547,7 @@ def with_insertions(blocks: list[Block], labels: list[int], extra: list[Block],
         if y and rng.random() < 0.25:
             around = b.tags[:-1]
             for e in extra[int(rng.integers(len(extra))):][:int(rng.integers(1, 4))]:
-                out.append(Block(e.text, (*around, *(t for t in e.tags if t not in ("html", "body", "article", "main"))),
+                out.append(block(e.text, (*around, *(t for t in e.tags if t not in ("html", "body", "article", "main"))),
                                  b.hints | e.hints, e.linked))
                 ys.append(0)
     return out, ys
@@ -509,11 +557,13 @@ def train_field(sample: list[str]) -> ChainField:
     rng = np.random.default_rng(9)
     layouts = [layout_page(p) for p in LAYOUTS]
     extra = [b for blocks, labels in layouts for b, y in zip(blocks, labels) if not y and (
-        b.hints & _BAD_HINTS or set(b.tags) & (_OUTSIDE | {"aside"}))]
+        b.hints & _BAD_HINTS or b.inside & (_OUTSIDE | {"aside"}))]
     pages = layouts + [(plain(b), y) for b, y in layouts[3:5]]
     pages = pages * max(10, len(sample) // len(pages))
     for k, page in enumerate(sample):
         blocks = leaf_blocks(page)
+        if any(b.place and b.place.depth > SAMPLE_DEPTH for b in blocks):
+            continue
         labels = own_labels(blocks)
         if labels:
             pages.append((plain(blocks), labels) if k % 4 == 0 else with_insertions(blocks, labels, extra, rng) if k % 4 == 1
@@ -533,7 +583,7 @@ def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     total = max(1, pages.count())
     chosen = rows.where((F.length("html") < SAMPLE_PAGE_CHARS) & (
         F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(min(1.0, sample_pages / total) * 1e6)))
-    model = train_field(sorted(r["html"] for r in chosen.select("html").collect()))
+    model = train_field(sorted(r["html"] for r in chosen.select("html").distinct().collect()))     # repeated rows teach nothing new
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -145,3 +145,21 @@ def test_open_silent_elements_end_with_their_parent(tag):
 def test_raw_text_elements_and_formulas():
     assert texts_of("<div>a<textarea><p>no</div><p>no") == ["a"]
     assert texts_of("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=t>no</annotation></math> holds") == ["so x=1 holds"]
+
+
+def test_one_long_page_takes_linear_time():
+    import time
+    size = 300_000
+    start = time.time()
+    for piece in ("<b>x", "<div>x", "<blockquote>x", "<li>x", "<ul><li>x", "<div><video>x", "<div class='nav menu post'>x", "</p><form>x", "<a>x</b>"):
+        blocks = H.leaf_blocks(piece * (size // len(piece)))
+        assert "".join(b.text for b in blocks).replace(" ", "") == "x" * (size // len(piece)) or "video" in piece
+        H.ChainField().decode(blocks)
+    assert time.time() - start < 60
+
+
+def test_places_are_shared():
+    depth = 20_000
+    blocks = H.leaf_blocks("<div class=post>" * depth + "".join(f"<p>{i}" for i in range(50)) + "<i>a</i><section>b")
+    assert len(blocks) == 51 and len({id(b.place.parent) for b in blocks[:50]}) == 1
+    assert blocks[0].tags == ("div",) * depth + ("p",) and blocks[-1].hints == {"post"} and blocks[-1].inside == {"div", "section"}

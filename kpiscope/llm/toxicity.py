@@ -52,7 +52,7 @@ _LOOK = str.maketrans(LOOKALIKES)
 _SUB = str.maketrans(SUBSTITUTIONS)
 _NO_WORD = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum() and chr(c) not in "@$"}
                          | {c: " " for c in " ‘’“”–—…«»¿¡"})
-_MIXED = re.compile(r"\S*[0-9@$]\S*")
+_MIXED = re.compile(r"(?<!\S)[^\s0-9@$]*+[0-9@$]\S*+")     # tried at the start of a word only
 _SIGN = re.compile(r"(?<!\w)[@$]+|[@$]+(?!\w)|[@$]{2,}")
 
 
@@ -104,8 +104,8 @@ def measures(folded: str, automaton) -> tuple[int, float, float, float]:
             start = end - size + 1
             best[start] = max(weight, best.get(start, 0.0))
     for lo, hi in spared:
-        for start in [s for s in best if lo <= s < hi]:
-            del best[start]
+        for start in range(lo, hi):         # an exception phrase is short
+            best.pop(start, None)
     total = sum(best.values())
     return len(best), total, total / math.sqrt(folded.count(" ")), max(best.values(), default=0.0)
 

@@ -92,3 +92,37 @@ def test_every_term_that_passes_is_an_entry(spark):
     rows = [(i, " ".join(f"n{i}x{k} z{k:04d}q" for k in range(1100)) if i % 2 else "a plain text", i % 2) for i in range(60)]
     entries = X.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int")).entries
     assert len([e for e in entries if e.endswith(" ")]) == 1100
+
+
+def plain_measures(folded, entries):
+    """Every entry tried at every place of the text."""
+    best, spared = {}, set()
+    for at in range(len(folded)):
+        for entry, weight in entries.items():
+            if folded.startswith(entry, at):
+                best[at] = max(weight, best.get(at, 0.0))
+        for phrase in X.EXCEPTION_PHRASES:
+            if folded.startswith(f" {phrase} ", at):
+                spared.update(range(at, at + len(phrase) + 1))
+    best = {at: w for at, w in best.items() if at not in spared}
+    return len(best), sum(best.values()), sum(best.values()) / folded.count(" ") ** 0.5, max(best.values(), default=0.0)
+
+
+def test_measures_equal_a_plain_matcher():
+    import random
+    rng = random.Random(3)
+    model = X.Lexicon({" stupid ": 2.0, " tra": 1.0, " trash ": 3.0, " scum ": 1.5, " clo": 0.5, " los": 0.25})
+    automaton = model.automaton()
+    words = "stupid trash can not scum pond clown circus loser sore tray clone good day".split()
+    for _ in range(2000):
+        folded = X.fold(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 14))))
+        got, want = X.measures(folded, automaton), plain_measures(folded, model.entries)
+        assert got[0] == want[0] and np.allclose(got, want)
+
+
+def test_one_long_text_folds_in_linear_time():
+    import time
+    start = time.time()
+    for text in ("a" * 1_000_000, "1 " + "a" * 1_000_000, "@" * 500_000, "a@" * 500_000, "trash can stupid " * 50_000):
+        X.measures(X.fold(text), X.Lexicon({" stupid ": 2.0, " trash ": 1.0}).automaton())
+    assert time.time() - start < 30

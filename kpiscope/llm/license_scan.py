@@ -109,6 +109,25 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + ops[::-1]
 
 
+def longest_expression(tokens: list[str]) -> list[str]:
+    """The longest beginning of the tokens that is an expression; prose may follow it."""
+    depth, operand_due, size = 0, True, 0
+    for i, tok in enumerate(tokens):
+        if tok == "(" or tok not in PRECEDENCE and tok != ")":
+            if not operand_due:
+                break
+            depth += tok == "("
+            operand_due = tok == "("
+        else:
+            if operand_due or tok == ")" and not depth:
+                break
+            depth -= tok == ")"
+            operand_due = tok != ")"
+        if not operand_due and not depth:
+            size = i + 1
+    return tokens[:size]
+
+
 def restriction(postfix: list[str]) -> float:
     """Value of a postfix expression in 0..1."""
     stack: list[tuple[float, str]] = []
@@ -145,10 +164,8 @@ EXPRESSION_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 def _tag_expressions(text: str) -> Iterator[list[str]]:
     for m in TAG_LINE.finditer(text):
         tokens = [t.lower().rstrip(".+") or t for t in EXPRESSION_TOKEN.findall(m[1])]
-        while tokens and (rpn := to_postfix(tokens)) is None:
-            tokens.pop()                    # prose after the expression
-        if tokens:
-            yield rpn
+        if tokens := longest_expression(tokens):
+            yield to_postfix(tokens)
 
 
 def _notices(line: str) -> tuple[list[tuple[int, int, str]], bool]:
@@ -169,11 +186,12 @@ def scan(text: str) -> tuple:
     base: set[str] = set()
     n_base, first, last = 0, None, None
     for phrase, label in BASE_PHRASES.items():
-        at = line.find(f" {phrase} ")
+        at, counted, word = line.find(f" {phrase} "), 0, 0
         while at >= 0:
             n_base += 1
             base.add(label)
-            word = line.count(" ", 0, at)
+            word += line.count(" ", counted, at)
+            counted = at
             first = word if first is None else min(first, word)
             last = word if last is None else max(last, word)
             at = line.find(f" {phrase} ", at + 1)

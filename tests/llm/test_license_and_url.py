@@ -110,3 +110,23 @@ def test_split_equals_all_spans():
         piece = "".join(rng.choices(words, k=rng.randint(1, 5)))
         got = U.viterbi(piece, counts, 500)
         assert "".join(got) == piece and abs(cost_of(got, piece, counts, 500) - plain(piece, counts, 500)) < 1e-9
+
+
+def test_one_long_text_is_scanned_in_linear_time():
+    import time
+    start = time.time()
+    n, n_base, first, last = L.scan("cc by " * 100_000)[:4]
+    assert (n, n_base, first, last) == (200_000, 100_000, 0, 199_998)
+    for text in ("word " * 100_000, "(" * 300_000, "mit or " * 50_000, "(mit) " * 50_000):
+        L.scan("SPDX-License-Identifier: mit " + text)
+    assert time.time() - start < 30
+
+
+def test_longest_expression_equals_dropping_from_the_end():
+    import itertools
+    for size in range(7):
+        for tokens in itertools.product(("(", ")", "or", "mit"), repeat=size):
+            left = list(tokens)
+            while left and L.to_postfix(left) is None:
+                left.pop()
+            assert L.longest_expression(list(tokens)) == left

@@ -3,7 +3,8 @@
 A window is a date range. Range joins plan as nested loops, so each window is
 exploded to its days and joined on the date with an equi-join instead. The
 calendar holds (incidents x window days) rows; it is broadcast only after its
-size has been measured, otherwise it is shuffled like any other side.
+size has been measured, otherwise it is shuffled like any other side. Tagging (J5)
+of more incidents cuts windows into dyadic ranges instead (operators/intervals.py).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kpiscope.functions.dates import inclusive_days
 from kpiscope.functions.fixed import DEFAULT_BASELINE_DAYS
+from kpiscope.operators import intervals
 
 # Largest calendar (rows) that is broadcast; above it the join shuffles.
 BROADCAST_CALENDAR_ROWS = 1_000_000   # about 60 MB
@@ -96,10 +98,12 @@ def join_calendar(facts: DataFrame, calendar: DataFrame, cases: DataFrame,
     return facts.join(side, "order_date")
 
 
-def incident_tagging(orders: DataFrame, cases: DataFrame) -> DataFrame:
+def incident_tagging(orders: DataFrame, cases: DataFrame, limit: int = BROADCAST_CALENDAR_ROWS) -> DataFrame:
     """Orders inside an incident's affected window that also satisfy the
     incident's optional slice predicate (channel / region / category /
-    payment_type / campaign, each null-or-equal; all given ones must hold)."""
+    payment_type / campaign, each null-or-equal; all given ones must hold).
+
+    Calendars of up to ``limit`` days are broadcast; beyond it the windows become dyadic ranges."""
     c = cases.select(
         "case_id", "affected_start_date", "affected_end_date",
         F.col("injection.type").alias("injection_type"),
@@ -107,9 +111,12 @@ def incident_tagging(orders: DataFrame, cases: DataFrame) -> DataFrame:
         F.col("injection.category").alias("i_category"),
         F.col("injection.payment_type").alias("i_payment_type"),
         F.col("injection.campaign").alias("i_campaign"))
-    days = c.select("*", F.explode(_days(F.col("affected_start_date"), F.col("affected_end_date"))).alias("order_date"))
-    side = F.broadcast(days) if calendar_rows(cases) <= BROADCAST_CALENDAR_ROWS else days
-    j = orders.join(side, "order_date")
+    if calendar_rows(cases) <= limit:
+        days = c.select("*", F.explode(_days(F.col("affected_start_date"), F.col("affected_end_date"))).alias("order_date"))
+        j = orders.join(F.broadcast(days), "order_date")
+    else:
+        j = intervals.interval_join(orders, c, "order_date", "affected_start_date", "affected_end_date", "order_id",
+                                    limit=intervals.BROADCAST_RANGES)
     cond = F.lit(True)
     for dim in ["channel", "region", "category", "payment_type", "campaign"]:
         cond = cond & (F.col(f"i_{dim}").isNull() | (F.col(f"i_{dim}") == F.col(dim)))

@@ -753,6 +753,7 @@ def eval_per_case(spark, sf):
 
 # ----------------------------------------------------------------- C2, C3, J5
 from kpiscope.operators import calendar as CAL  # noqa: E402
+from kpiscope.functions.kpi import MEASURE_COLUMNS  # noqa: E402
 from kpiscope.operators.windows import incident_tagging as _tagging  # noqa: E402
 
 
@@ -764,14 +765,41 @@ def seasonal_adjusted_volume(spark, sf):
     return CAL.seasonal_adjusted_volume(B.fact(spark, sf, "order_date"))
 
 
-@register("incident_tagging", O.with_(O.STAR, O.cases_cte()) + f"""SELECT c.case_id, c.i_type AS injection_type,
+_TAGGING_SQL = O.with_(O.STAR, O.cases_cte()) + f"""SELECT c.case_id, c.i_type AS injection_type,
   o.order_id, o.order_date, o.channel, o.region, o.category, o.payment_type, o.campaign, o.order_total
 FROM canon o JOIN casesd c ON o.order_date BETWEEN c.affected_start_date AND c.affected_end_date
-WHERE {" AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in ["channel", "region", "category", "payment_type", "campaign"])}""")
+WHERE {" AND ".join(f"(c.i_{d} IS NULL OR c.i_{d} = o.{d})" for d in ["channel", "region", "category", "payment_type", "campaign"])}"""
+
+
+def _tagged_fact(spark, sf):
+    return B.fact_in_anomaly_windows(
+        spark, sf, "order_id", "order_date", "channel", "region", "category", "payment_type", "campaign", "order_total")
+
+
+@register("incident_tagging", _TAGGING_SQL)
 def incident_tagging(spark, sf):
     """Orders inside each incident window matching its slice predicate."""
-    return _tagging(B.fact_in_anomaly_windows(
-        spark, sf, "order_id", "order_date", "channel", "region", "category", "payment_type", "campaign", "order_total"), B.incidents(spark))
+    return _tagging(_tagged_fact(spark, sf), B.incidents(spark))
+
+
+@register("incident_tagging_ranges", _TAGGING_SQL)
+def incident_tagging_ranges(spark, sf):
+    """J5 by dyadic ranges of the windows, as it runs where there are too many incidents for a calendar of days."""
+    return _tagging(_tagged_fact(spark, sf), B.incidents(spark), limit=0)
+
+
+@register("daily_cube_refreshed", O.with_(O.STAR, O.cube_cte(bounded=False)) + "SELECT order_date, dimension, slice, "
+          + ", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in MEASURE_COLUMNS) + " FROM cube")
+def daily_cube_refreshed(spark, sf):
+    """The stored cube, built from the orders before 1998 and refreshed by the months after them."""
+    from kpiscope.sources import cube_store
+    from kpiscope.sources.sinks import scratch_path
+    fact, base = B.fact(spark, sf), scratch_path(spark, "cube")
+    late = F.coalesce(F.col("order_date") >= F.lit("1998-01-01").cast("date"), F.lit(False))
+    for rows, mode in ((~late, "overwrite"), (late, "append")):
+        cube_store.write_fact(fact.where(rows), f"{base}/fact", cube_store.MONTH, mode)
+        refreshed = cube_store.refresh_cube(spark, f"{base}/fact", f"{base}/cube", fact.schema, cube_store.MONTH)
+    return refreshed.cube
 
 
 # ----------------------------------------------------------------- DQ1-DQ3

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kpiscope.functions.dates import campaign_of
 from kpiscope.functions.numeric import cents_to_money, to_cents
+from kpiscope.operators.heavy import key_join
 from kpiscope.sources.tables import read_table
 
 
@@ -92,13 +93,15 @@ _FROM_LINES = {"order_status", "is_refunded", "n_items"}
 _FROM_FIRSTS = {"customer_type"}
 
 
-def _order_base(spark: SparkSession, sf_dir: str, line_cols, wanted: set[str] | None = None) -> DataFrame:
-    """Orders with what the wanted canonical columns are read from, and no other join."""
+def _order_base(spark: SparkSession, sf_dir: str, line_cols, wanted: set[str] | None = None,
+                salted: bool | None = None) -> DataFrame:
+    """Orders with what the wanted canonical columns are read from, and no other join. The customer side is
+    the one whose key may be hot; ``salted`` is that of ``key_join``."""
     o = read_table(spark, sf_dir, "orders")
     base = o
     if wanted is None or wanted & _FROM_CUSTOMER:
         cust = customer_dims(spark, sf_dir)
-        base = base.join(cust, o.o_custkey == cust.customer_id, "left")
+        base = key_join(base, cust, "o_custkey", "customer_id", "o_orderkey", salted=salted)
     if wanted is None or wanted & _FROM_LINES:
         lf = line_facts(spark, sf_dir).select("order_id", *line_cols)
         base = base.join(lf, o.o_orderkey == lf.order_id, "left")
@@ -144,7 +147,7 @@ def canonical_orders(spark: SparkSession, sf_dir: str, columns=None) -> DataFram
     return _order_base(spark, sf_dir, ["n_lines", "has_return"], wanted).select(*_aliased(wanted))
 
 
-def enriched_orders(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+def enriched_orders(spark: SparkSession, sf_dir: str, columns=None, salted: bool | None = None) -> DataFrame:
     """J1 for this binding in one pass: refunds and payments are derived one
     per order from the same line roll-up, so instead of two more lineitem
     aggregations and two left joins, the roll-up is joined once and the
@@ -152,7 +155,7 @@ def enriched_orders(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame
     ``columns`` names the canonical columns that are wanted beside those."""
     wanted = None if columns is None else set(columns)
     base = _order_base(spark, sf_dir, ["n_lines", "has_return", "last_ship_date", "net_c", "gross_c", "max_linestatus"],
-                       None if wanted is None else wanted | _FROM_LINES)
+                       None if wanted is None else wanted | _FROM_LINES, salted)
     refunded = (F.col("has_return") == 1) & (F.col("o_orderstatus") != "F")
     has_lines = F.col("n_lines").isNotNull()
     return base.select(
@@ -216,12 +219,12 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("category"), F.col("p_retailprice").alias("base_price"))
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items priced from the product list (J8: a shuffle join on
-    product_id; AQE broadcasts the product side when it measures small)."""
+def order_items(spark: SparkSession, sf_dir: str, salted: bool | None = None) -> DataFrame:
+    """Line items priced from the product list (J8: a shuffle join on product_id; AQE broadcasts the
+    product side when it measures small). A product may be hot; ``salted`` is that of ``key_join``."""
     li = read_table(spark, sf_dir, "lineitem")
     prod = products(spark, sf_dir).select("product_id", "base_price")
-    return (li.join(prod, li.l_partkey == prod.product_id, "left")
+    return (key_join(li, prod, "l_partkey", "product_id", "l_orderkey", salted=salted)
               .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"),
                       F.col("l_orderkey").alias("order_id"),
                       F.col("l_partkey").alias("product_id"),

@@ -36,17 +36,18 @@ def heavy_keys(facts: DataFrame, key: str, partitions: int, tracked: int = TRACK
 
 
 def salted_join(facts: DataFrame, other: DataFrame, key: str, other_key: str, spread: str, how: str = "left",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, measured: DataFrame | None = None) -> DataFrame:
     """``facts`` joined to ``other`` on ``key`` = ``other_key``, inner or left, rows as a plain join gives them.
 
-    ``spread`` is a column of the facts of many values. A null key meets nothing; left joins keep its rows,
+    ``spread`` is a column of the facts of many values. ``measured`` is a table with the facts' key column
+    that the heavy keys are counted in, where the facts themselves are costly to compute. A null key meets nothing; left joins keep its rows,
     spread over all partitions.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"a {how} join would repeat the other side's rows")
     spark = facts.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = heavy_keys(facts, key, partitions)
+    hot = heavy_keys(measured or facts, key, partitions)
     kind = facts.schema[key].dataType.simpleString()
     salts = F.broadcast(spark.createDataFrame(list(hot.items()), f"_hot {kind}, _salts int"))
     part = F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.when(F.col(key).isNull(), F.lit(partitions)), F.lit(1)))
@@ -57,10 +58,10 @@ def salted_join(facts: DataFrame, other: DataFrame, key: str, other_key: str, sp
 
 
 def key_join(facts: DataFrame, other: DataFrame, key: str, other_key: str, spread: str, how: str = "left",
-             salted: bool | None = None) -> DataFrame:
+             salted: bool | None = None, measured: DataFrame | None = None) -> DataFrame:
     """A plain join where Spark splits skewed partitions itself, else a salted one; ``salted`` decides if given."""
     if salted is None:
         salted = not adaptive_skew(facts.sparkSession)
     if salted:
-        return salted_join(facts, other, key, other_key, spread, how)
+        return salted_join(facts, other, key, other_key, spread, how, measured=measured)
     return facts.join(other, F.col(key) == F.col(other_key), how)

@@ -242,6 +242,13 @@ def fact_orders_enriched_salted(spark, sf):
     return SB.enriched_orders(spark, sf, salted=True)
 
 
+@register("fact_orders_enriched_bucketed", O.with_(O.FULL_STAR, O.ENRICHED) + "SELECT * FROM enriched")
+def fact_orders_enriched_bucketed(spark, sf):
+    """J1 over orders and lineitem laid out in buckets by order key: their join has no exchange."""
+    from kpiscope.sources.bucketed import lay_out
+    return SB.enriched_orders(spark, lay_out(spark, sf, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 @register("refund_summary", O.with_(O.FULL_STAR) + f"""SELECT r.refund_date, o.category, o.region, o.channel,
   r.reason AS refund_reason, count(*) AS refund_count,
   {O.money(f"sum({O.cents('r.refund_amount')})")} AS total_refund_amount,

@@ -98,16 +98,15 @@ def _order_base(spark: SparkSession, sf_dir: str, line_cols, wanted: set[str] |
     """Orders with what the wanted canonical columns are read from, and no other join. The customer side is
     the one whose key may be hot; ``salted`` is that of ``key_join``."""
     o = read_table(spark, sf_dir, "orders")
-    base = o
-    if wanted is None or wanted & _FROM_CUSTOMER:
-        cust = customer_dims(spark, sf_dir)
-        base = key_join(base, cust, "o_custkey", "customer_id", "o_orderkey", salted=salted)
+    base = o                                # joins on the order key come first: they share one partitioning, or buckets
     if wanted is None or wanted & _FROM_LINES:
         lf = line_facts(spark, sf_dir).select("order_id", *line_cols)
         base = base.join(lf, o.o_orderkey == lf.order_id, "left")
     if wanted is None or wanted & _FROM_FIRSTS:
         firsts = first_orders(o)
         base = base.join(firsts, o.o_orderkey == firsts.first_order_id, "left")
+    if wanted is None or wanted & _FROM_CUSTOMER:
+        base = key_join(base, customer_dims(spark, sf_dir), "o_custkey", "customer_id", "o_orderkey", salted=salted, measured=o)
     return base
 
 

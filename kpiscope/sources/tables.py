@@ -54,6 +54,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     projection, so the full schema is declared here once.
     """
     schema = SCHEMAS[name]
+    in_catalog = getattr(sf_dir, "tables", {}).get(name)       # a BucketedDir
+    if in_catalog:
+        return spark.table(in_catalog)
     path = table_path(sf_dir, name)
     if not path_exists(spark, path):
         log.warning("table %s not found at %s: using an empty table", name, path)

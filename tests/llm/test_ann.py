@@ -42,11 +42,52 @@ def test_recall_and_exact_scores(spark, n, clusters):
 
 def test_probing_finds_all_codes_in_the_ball():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (2000, 4), dtype=np.uint8)
-    index = A.MultiIndex(codes)
-    for radius in (0, 3, 7, 10, 15, 32):
-        for q in codes[:20]:
-            assert index.within(q, radius).tolist() == np.flatnonzero(A.hamming(codes, q) <= radius).tolist()
+    for n in (2000, 40):
+        codes = rng.integers(0, 1 << 16, (n, 4), dtype=np.uint16)
+        index = A.MultiIndex(codes)
+        for radius in (0, 3, 7, 10, 15, 32, 64):
+            for q in codes[:20]:
+                assert index.within(q, radius).tolist() == np.flatnonzero(A.hamming(codes, q) <= radius).tolist()
+
+
+def shard_search(x, sample, queries, k=10):
+    """Shares of rows probed and reranked, and recall, of searches in one shard."""
+    codes = A.learn_codes(x[sample])
+    reach, index, ids = A.learn_reach(x[sample], codes, k), A.MultiIndex(codes.encode(x)), np.arange(len(x))
+    limits = A.first_limits(sample, x[sample], queries, x[queries], k)
+    probed = reranked = right = 0
+    for i, limit in zip(queries, limits):
+        best = A.Best(np.zeros(0, np.int64), np.zeros(0), limit)
+        p, r = A.search_shard(index, ids, x, i, x[i], index.codes[i], best, reach, k)
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        others = np.flatnonzero(ids != i)
+        want = others[np.lexsort((others, d[others]))][:k]
+        assert np.allclose(best.distance, d[best.ids], rtol=0, atol=1e-12) and limit >= np.sort(d[others])[k - 1]
+        probed, reranked, right = probed + p, reranked + r, right + len(set(want) & set(best.ids.tolist()))
+    n = len(queries)
+    return probed / n / len(x), reranked / n / len(x), right / n / k
+
+
+def test_index_probes_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 32))[rng.integers(0, 200, 12_000)] + 0.1 * rng.normal(size=(12_000, 32))
+    probed, reranked, recall = shard_search(x, np.sort(rng.choice(12_000, 4000, replace=False)), np.arange(0, 12_000, 60))
+    assert recall >= 0.95 and probed < 0.25 and reranked < 0.05, (probed, reranked, recall)
+
+
+def test_vectors_without_clusters_keep_their_recall():
+    x = np.random.default_rng(5).normal(size=(4000, 32))
+    assert shard_search(x, np.arange(0, 4000, 4), np.arange(0, 4000, 40))[2] >= 0.9
+
+
+def test_repeated_queries_repeat_their_results_and_meet_the_index_once(spark):
+    rng = np.random.default_rng(8)
+    ids = np.array([0] * 300 + list(range(1, 201)))
+    x = np.concatenate([np.repeat(rng.normal(size=(2, 5)), 150, axis=0), rng.normal(size=(200, 5))]).astype(np.float32).astype(float)
+    out = A.nearest(frame(spark, ids, x), 100, 4, sample_vectors=1000)
+    counts = {(r["query_id"], r["rank"]): r["count"] for r in out.groupBy("query_id", "rank").count().collect()}
+    assert counts == {**{(0, r): 300 for r in range(1, 5)}, **{(q, r): 1 for q in (100, 200) for r in range(1, 5)}}
+    assert out.where("vec_id = query_id").count() == 0
 
 
 def test_invalid_vectors_ties_and_few_rows(spark):

@@ -3,8 +3,8 @@
 Plan::
 
     corpus text --split on headings (per row, no shuffle)--> chunks         T1
-    chunks --tokenize--> explode --> HashAggregate (chunk, term) = tf      T2
-    tf --> HashAggregate (term) = df --> idf; corpus scalars N, avgdl,     T3
+    chunks --tokenize, count in the row (no shuffle)--> (term, tf) array   T2
+    exploded tf --> HashAggregate (term) = df --> idf; scalars N, avgdl,   T3
           mean idf: one small aggregate
     queries --tokenize--> (query, term, qtf) JOIN idf ON term
     postings (materialized) JOIN query terms ON term: only postings of     T4
@@ -12,7 +12,8 @@ Plan::
           broadcast when its bytes are measured small, so a term present in
           every chunk is no hot shuffle key
     --> HashAggregate (query, chunk) = exact integer sum of qtf x impact
-    top k without scoring every pair (``pruned``):                         T5
+    top k without scoring every pair (``pruned``; from PRUNE_FROM_PAIRS    T5
+          pairs on, which the document frequencies tell beforehand):
       postings of query terms --> impact, block of chunks; maximal impact
           of each term and of each (term, block)
       the terms with the largest bounds alone give k scores each: the
@@ -72,15 +73,20 @@ def section_chunks(docs: DataFrame, id_col: str = "source", text_col: str = "val
 
 
 def postings(chunks: DataFrame, key_cols=("source", "section_no")) -> DataFrame:
-    """(chunk, section, dl, term, tf) from one tokenization pass. The chunk
-    length and section name ride along (they are per chunk), so no lengths
-    table or join back to the corpus is needed later. A chunk without tokens
-    keeps one row with a NULL term so it still counts in N and avgdl."""
+    """A row for each chunk: keys, section, length dl, and ``terms``, its distinct terms with their counts tf.
+
+    The tokens of a chunk lie in one row, so they are counted there, without a shuffle: in sorted order a
+    term begins where a token differs from the one before it, and its count is the way to the next
+    beginning. A chunk without tokens keeps its row, since it counts in N and avgdl.
+    """
     keys = list(key_cols)
-    tok = chunks.select(*keys, "section", tokens(F.col("content")).alias("toks"))
-    tok = tok.select(*keys, "section", F.size("toks").cast("bigint").alias("dl"),
-                     F.explode_outer("toks").alias("term"))
-    return tok.groupBy(*keys, "section", "dl", "term").agg(F.count("term").alias("tf"))
+    tok = chunks.select(*keys, "section", F.sort_array(tokens(F.col("content"))).alias("toks"))
+    at = F.when(F.size("toks") > 0, F.sequence(F.lit(0), F.size("toks") - 1)).otherwise(F.array().cast("array<int>"))
+    tok = tok.select("*", F.filter(at, lambda i: ~F.get("toks", i).eqNullSafe(F.get("toks", i - 1))).alias("starts"))
+    terms = F.transform("starts", lambda i, j: F.struct(
+        F.get("toks", i).alias("term"),
+        (F.coalesce(F.get("starts", j + 1), F.size("toks")) - i).cast("bigint").alias("tf")))
+    return tok.select(*keys, "section", F.size("toks").cast("bigint").alias("dl"), terms.alias("terms"))
 
 
 def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
@@ -104,6 +110,7 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
 BLOCK_CHUNKS = 64   # chunks of a block, about
 SEED_TERMS = 3      # terms of a query that give the first floor
+PRUNE_FROM_PAIRS = 50_000_000   # (query, chunk, term) rows of full scoring from which the search is pruned
 
 
 @dataclass
@@ -134,12 +141,12 @@ class BM25Index:
         self.keys = list(key_cols)
         keep = materialize if materialized else (lambda df, _name: df)
         post = keep(postings(chunks, self.keys), "bm25_postings")
-        # one row per chunk and one per term: written like the postings, since every query reads them
-        self.lengths = keep(post.groupBy(*self.keys, "section").agg(F.max("dl").alias("dl")), "bm25_lengths")
+        self.lengths = post.select(*self.keys, "section", "dl")
         row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
         self.n_docs, total = int(row["n"]), int(row["total"] or 0)
         self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
-        self.tf = post.where(F.col("term").isNotNull())
+        self.tf = (post.select(*self.keys, "dl", F.explode("terms").alias("t"))
+                   .select(*self.keys, "dl", "t.term", "t.tf"))
         raw = keep(idf_table(self.tf, self.n_docs), "bm25_idf")
         st = raw.agg(F.avg("raw_idf").alias("m")).first()
         self.eps = BM25_EPSILON * float(st["m"]) if st["m"] is not None else 0.0
@@ -159,18 +166,20 @@ class BM25Index:
         first, so the postings meet one table of query terms only; that table is
         broadcast when its bytes are measured small (a term in every chunk is
         then no hot key), else AQE splits hot terms."""
-        side, small = self._query_side(queries, id_col, text_col)
+        return self._full(*self._query_side(queries, id_col, text_col))
+
+    def _full(self, side: DataFrame, small: bool) -> DataFrame:
         hits = self.tf.join(F.broadcast(side) if small else side, "term")
         return (hits.groupBy("query_id", *self.keys)
                     .agg((F.sum(F.col("qtf") * self.impact()).cast("double") / F.lit(SCORE_SCALE))
                          .alias("score")))
 
     def _query_side(self, queries: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-        """(query_id, term, qtf, idf) of indexed query terms, and whether that table may be broadcast."""
+        """(query_id, term, qtf, idf, df) of indexed query terms, and whether that table may be broadcast."""
         qt = query_terms(queries, id_col, text_col)
         size = qt.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
         small = size <= BROADCAST_QUERY_BYTES
-        return self.idf.select("term", "idf").join(F.broadcast(qt) if small else qt, "term"), small
+        return self.idf.select("term", "idf", "df").join(F.broadcast(qt) if small else qt, "term"), small
 
     def pruned(self, queries: DataFrame, k: int = RETRIEVAL_TOP_K, id_col: str = "query_id", text_col: str = "text",
                block_chunks: int = BLOCK_CHUNKS) -> Pruned:
@@ -181,7 +190,11 @@ class BM25Index:
         from kpiscope.session import materialize
 
         side, small = self._query_side(queries, id_col, text_col)
-        side = materialize(side, "bm25_side")
+        return self._pruned(materialize(side, "bm25_side"), small, k, block_chunks)
+
+    def _pruned(self, side: DataFrame, small: bool, k: int, block_chunks: int = BLOCK_CHUNKS) -> Pruned:
+        from kpiscope.session import materialize
+
         hint = F.broadcast if small else (lambda df: df)
         block = F.pmod(F.xxhash64(*self.keys), F.lit(max(1, -(-self.n_docs // block_chunks))))
         idf = side.select("term", "idf").distinct()
@@ -227,16 +240,23 @@ class BM25Index:
         return Pruned(floors, hits.join(hint(essential.select("query_id", "term")), "term"), survivors, lookups, scores)
 
     def top_k(self, queries: DataFrame, k: int = RETRIEVAL_TOP_K, id_col: str = "query_id",
-              text_col: str = "text") -> DataFrame:
+              text_col: str = "text", prune_from: int = PRUNE_FROM_PAIRS) -> DataFrame:
         """T5: k best chunks per query, positive scores only, rounded to 4. Equal scores keep corpus order.
 
-        Where the floor of the idf is negative (only in a corpus whose words are in most chunks),
-        partial scores bound nothing and every pair is scored.
+        The document frequencies tell exactly how many (query, chunk, term) rows full scoring would list.
+        From ``prune_from`` of them on the search is pruned; below, one pass over the postings costs less than
+        the steps of the pruned search, and gives the same rows. Where the floor of the idf is negative
+        (only in a corpus whose words are in most chunks), partial scores bound nothing and every pair is scored.
         """
-        if self.eps < 0:
-            s = self.scores(queries, id_col, text_col)
+        from kpiscope.session import materialize
+
+        side, small = self._query_side(queries, id_col, text_col)
+        side = materialize(side, "bm25_side")
+        pairs = side.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        if self.eps < 0 or pairs < prune_from:
+            s = self._full(side, small)
         else:
-            s = self.pruned(queries, k, id_col, text_col).scores.withColumn(
+            s = self._pruned(side, small, k).scores.withColumn(
                 "score", F.col("total").cast("double") / F.lit(SCORE_SCALE)).drop("total")
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *[F.col(c) for c in self.keys])
         r = s.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > 0))

@@ -135,7 +135,7 @@ def test_pruned_top_k_equals_scoring_every_pair(spark, sf_small):
         spark.createDataFrame([("long", " ".join(r["text"] for r in items.limit(8).collect())), ("none", "zzzz qqqq"),
                                ("common", "the and of")], "query_id string, text string"))
     for k in (1, 5, 1000):
-        assert ranked(ix.top_k(q, k)) == exhaustive_top(ix, q, k)
+        assert ranked(ix.top_k(q, k, prune_from=0)) == ranked(ix.top_k(q, k)) == exhaustive_top(ix, q, k)
 
 
 def test_pruning_touches_fewer_pairs(spark, sf_small):
@@ -161,4 +161,29 @@ def test_pruning_with_ties_at_the_floor_and_tiny_corpora(spark):
                               "query_id string, text string")
     for corpus_rows in (rows, rows[:2], rows[:1], []):
         ix = RT.BM25Index(RT.documents_as_chunks(spark.createDataFrame(corpus_rows, "doc_id long, text string")))
-        assert ranked(ix.top_k(q, 5)) == exhaustive_top(ix, q, 5)
+        assert ranked(ix.top_k(q, 5, prune_from=0)) == ranked(ix.top_k(q, 5)) == exhaustive_top(ix, q, 5)
+
+
+def test_terms_are_counted_in_the_row_without_a_shuffle(spark):
+    from collections import Counter
+    texts = ["b a b a b", "", "-- !", "x", None, "one", " ".join(f"w{i % 700}" for i in range(60_000))]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "source int, content string, section string")
+    post = RT.postings(df.withColumn("section_no", F.lit(0)))
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    for r in post.collect():
+        want = _tok(texts[r["source"]] or "")
+        got = {t["term"]: t["tf"] for t in r["terms"] or []}
+        assert got == dict(Counter(want)) and len(got) == len(r["terms"] or []) and (texts[r["source"]] is None or r["dl"] == len(want))
+
+
+def test_the_cost_rule_picks_the_pruned_search(spark, sf_small, monkeypatch):
+    ix = RT.BM25Index(RT.documents_as_chunks(spark.read.parquet(f"{sf_small}/documents.parquet")))
+    q = spark.read.parquet(f"{sf_small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(5)
+    pairs = ix.tf.join(ix._query_side(q, "query_id", "text")[0], "term").count()
+    calls = []
+    pruned = RT.BM25Index._pruned
+    monkeypatch.setattr(RT.BM25Index, "_pruned", lambda self, *a: calls.append(a) or pruned(self, *a))
+    ix.top_k(q, prune_from=pairs + 1)
+    assert not calls
+    ix.top_k(q, prune_from=pairs)
+    assert len(calls) == 1

@@ -65,13 +65,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: lineage is cut, the result survives executor loss, and later
-    branches scan a small table instead of recomputing its inputs."""
+    branches scan a small table instead of recomputing its inputs. The table
+    goes when the application ends (a driver that is killed leaves it)."""
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/kpiscope-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
 
 

@@ -55,3 +55,19 @@ def test_catalog_and_guarded_sql(spark, sf_small):
     assert df is None and errors
     df, errors, _ = SK.run_sql(spark, "SELECT no_such_column FROM daily_kpi_summary")
     assert df is None and errors
+
+
+def test_materialized_tables_go_with_their_application(tmp_path):
+    """A second application writes a table: it can be read while that runs, and is gone afterwards."""
+    import subprocess
+    import sys
+    code = f"""
+from kpiscope.session import build_session, materialize
+spark = build_session("local[1]", extra={{"spark.checkpoint.dir": "{tmp_path}/ckpt", "spark.driver.memory": "1g"}})
+a = materialize(spark.range(5), "five")
+print(a.count(), len(a.inputFiles()))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split()[:1] == ["5"], out.stderr[-2000:]
+    assert [p.name for p in (tmp_path / "ckpt" / "kpiscope-tables").iterdir()] == []

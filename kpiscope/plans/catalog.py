@@ -1044,3 +1044,24 @@ def investigation_record(spark, sf):
         "conclusion",
         F.struct("overall_supported", "checks").alias("verification"),
         F.struct("needs_review", "review_reasons", "review_status").alias("review"))
+
+
+@register("investigation_record_json", O.decision_base() + """SELECT c.case_id, f.kpi_name, c.affected_start_date,
+  c.affected_end_date, c.baseline_start, c.baseline_end, f.primary_finding, f.confidence,
+  array_to_string(f.finding_evidence_ids, ',') AS evidence_ids, array_to_string(f.finding_caveats, ' | ') AS caveats,
+  f.conclusion, f.overall_supported, k.checks, f.needs_review,
+  array_to_string(f.review_reasons, ',') AS review_reasons, f.review_status
+FROM casesd c JOIN found f ON c.case_id = f.case_id JOIN (
+  SELECT case_id, string_agg(check_no || ':' || check_name || ':' || CASE WHEN passed THEN 'Y' ELSE 'N' END || ':' || detail,
+                             ' | ' ORDER BY check_no) AS checks FROM checks GROUP BY case_id) k ON c.case_id = k.case_id""")
+def investigation_record_json(spark, sf):
+    """V11 + S7: the nested records written as JSON, read back, their leaves as columns."""
+    r = SK.json_round_trip(investigation_record(spark, sf), SK.scratch_path(spark, "records"))
+    lines = F.transform("verification.checks", lambda k: F.concat_ws(
+        ":", k["check_no"].cast("string"), k["check_name"], F.when(k["passed"], "Y").otherwise("N"), k["detail"]))
+    return r.select(
+        "case_id", "kpi_name", "windows.*", F.col("finding.description").alias("primary_finding"), "finding.confidence",
+        F.array_join("finding.evidence_ids", ",").alias("evidence_ids"),
+        F.array_join("finding.caveats", " | ").alias("caveats"), "conclusion", "verification.overall_supported",
+        F.array_join(lines, " | ").alias("checks"), "review.needs_review",
+        F.array_join("review.review_reasons", ",").alias("review_reasons"), "review.review_status")

@@ -11,8 +11,12 @@ Plan::
           query terms get an impact (an integer of 1e-9); the query side is
           broadcast when its bytes are measured small, so a term present in
           every chunk is no hot shuffle key
-    --> HashAggregate (query, chunk) = exact integer sum of qtf x impact
-    top k without scoring every pair (``pruned``; from PRUNE_FROM_PAIRS    T5
+    --> these postings dealt out by chunk, JOIN (query, term, qtf)
+    --> HashAggregate (query, chunk) = exact integer sum of qtf x impact;
+          a chunk's postings are in one task: pairs are never shuffled
+    top k: the k-th best score among a share of the chunks is a floor of    T5
+          the k-th best of all; only pairs that reach it are sorted
+    top k without scoring every pair (``pruned``; from PRUNE_FROM_PAIRS
           pairs on, which the document frequencies tell beforehand):
       postings of query terms --> impact, block of chunks; maximal impact
           of each term and of each (term, block)
@@ -44,13 +48,13 @@ BROADCAST_QUERY_BYTES = 32 * 1024 * 1024
 
 HEADING_SPLIT_RE = r"(?md)(?=^#{1,3}[ \t\x0B\f\r]+[^\n])"
 HEADING_RE = r"^#{1,3}[ \t\x0B\f\r]+([^\n]+)"
-TOKEN_RE = r"[a-z0-9_]+"
+TOKEN_RE = r"[a-z0-9_]{2,}"   # whole runs of these characters: a run of one is no token
 
 
 def tokens(text: Column) -> Column:
     """Lower-case, keep [a-z0-9_] runs (everything else separates), drop
     one-character tokens. Order and repeats are kept."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
 
 
 def section_chunks(docs: DataFrame, id_col: str = "source", text_col: str = "value") -> DataFrame:
@@ -110,7 +114,10 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 SCORE_SCALE = 1e9   # impacts are kept as integers of 1e-9
 BLOCK_CHUNKS = 64   # chunks of a block, about
 SEED_TERMS = 3      # terms of a query that give the first floor
-PRUNE_FROM_PAIRS = 50_000_000   # (query, chunk, term) rows of full scoring from which the search is pruned
+PRUNE_FROM_PAIRS = 10_000_000_000   # (query, chunk, term) rows of full scoring from which the search is pruned
+PAIRS_PER_TASK = 500_000   # (query, chunk, term) rows, about, that one task sums
+FLOOR_CHUNKS = 4096   # chunks, about, that are scored for a floor at least
+FLOOR_SHARE = 16      # one chunk of so many is scored for a floor, where that leaves FLOOR_CHUNKS
 
 
 @dataclass
@@ -145,7 +152,9 @@ class BM25Index:
         row = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).first()
         self.n_docs, total = int(row["n"]), int(row["total"] or 0)
         self.avgdl = (total / self.n_docs) if self.n_docs else 0.0
-        self.tf = (post.select(*self.keys, "dl", F.explode("terms").alias("t"))
+        # the outer form, since for the other Spark tests the array's size before it is made, by making it again
+        # for each of its tokens where the postings are not materialized
+        self.tf = (post.select(*self.keys, "dl", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
                    .select(*self.keys, "dl", "t.term", "t.tf"))
         raw = keep(idf_table(self.tf, self.n_docs), "bm25_idf")
         st = raw.agg(F.avg("raw_idf").alias("m")).first()
@@ -158,7 +167,9 @@ class BM25Index:
         k1, b, one = F.lit(self.k1), F.lit(self.b), F.lit(1.0)
         t, avgdl = F.col("tf").cast("double"), F.lit(self.avgdl if self.avgdl else 1.0)
         norm = t * (k1 + one) / (t + k1 * (one - b + b * F.col("dl") / avgdl))
-        return F.round(F.col("idf") * norm * F.lit(SCORE_SCALE)).cast("bigint")
+        scaled = F.col("idf") * norm * F.lit(SCORE_SCALE)
+        # halves go away from zero; ``round`` takes every number through a decimal, so it is kept for negative ones
+        return F.floor(scaled + F.lit(0.5)) if self.eps >= 0 else F.round(scaled).cast("bigint")
 
     def scores(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
         """T4: score of every chunk sharing a term with the query (others score
@@ -169,10 +180,50 @@ class BM25Index:
         return self._full(*self._query_side(queries, id_col, text_col))
 
     def _full(self, side: DataFrame, small: bool) -> DataFrame:
-        hits = self.tf.join(F.broadcast(side) if small else side, "term")
-        return (hits.groupBy("query_id", *self.keys)
-                    .agg((F.sum(F.col("qtf") * self.impact()).cast("double") / F.lit(SCORE_SCALE))
-                         .alias("score")))
+        return self._totals(self.tf, side, small).withColumn(
+            "score", F.col("total").cast("double") / F.lit(SCORE_SCALE)).drop("total")
+
+    def _totals(self, tf: DataFrame, side: DataFrame, small: bool, pairs: int | None = None) -> DataFrame:
+        """(query_id, keys, total): scores of all pairs in units of 1e-9, from the postings ``tf``.
+
+        The postings of query terms are dealt out by chunk before they meet the queries. What a query sums
+        over a chunk is then in one task, and the pairs, many for each posting, are not shuffled. Where their
+        number is known, it tells how many tasks sum them, so that a task's sums stay small at any size.
+        """
+        tasks = [] if pairs is None else [-(-pairs // PAIRS_PER_TASK) or 1]
+        if small:
+            hits = tf.join(F.broadcast(side.select("term", "idf").distinct()), "term")
+            hits = hits.select(*self.keys, "term", self.impact().alias("impact")).repartition(*tasks, *self.keys)
+            hits = hits.join(F.broadcast(side.select("query_id", "term", "qtf")), "term")
+        else:
+            hits = tf.join(side, "term").withColumn("impact", self.impact())
+        return hits.groupBy("query_id", *self.keys).agg(F.sum(F.col("qtf") * F.col("impact")).alias("total"))
+
+    def floors(self, side: DataFrame, small: bool, k: int, pairs: int) -> DataFrame | None:
+        """(query_id, floor): the k-th best total among a share of the chunks, which the k-th best of all is not
+        under; no row for a query with fewer there. None for a corpus so small that a share would tell nothing."""
+        share = min(FLOOR_SHARE, self.n_docs // FLOOR_CHUNKS)
+        if share < 2:
+            return None
+        some = self.tf.where(F.pmod(F.xxhash64(*self.keys), F.lit(share)) == 0)
+        best = Window.partitionBy("query_id").orderBy(F.col("total").desc())
+        return (self._totals(some, side, small, pairs // share).select("query_id", "total", F.row_number().over(best).alias("r"))
+                .where(F.col("r") <= k).groupBy("query_id").agg(F.min("total").alias("floor"), F.count(F.lit(1)).alias("n"))
+                .where(F.col("n") == k).drop("n"))
+
+    def _best(self, side: DataFrame, small: bool, k: int, pairs: int) -> DataFrame:
+        """Scores of the pairs that can be among a query's k best, ties included: those of ``_full`` from the floor on."""
+        from kpiscope.session import materialize
+
+        floors = self.floors(side, small, k, pairs)
+        if floors is None:
+            return self._full(side, small)
+        floors = materialize(floors, "bm25_floors").withColumnRenamed("query_id", "floor_of")
+        # null query ids are a group of their own, so they meet their floor too
+        met = self._totals(self.tf, side, small, pairs).join(
+            F.broadcast(floors) if small else floors, F.col("query_id").eqNullSafe(F.col("floor_of")), "left")
+        return (met.where(F.col("total") >= F.coalesce("floor", "total"))
+                .withColumn("score", F.col("total").cast("double") / F.lit(SCORE_SCALE)).drop("total", "floor_of", "floor"))
 
     def _query_side(self, queries: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
         """(query_id, term, qtf, idf, df) of indexed query terms, and whether that table may be broadcast."""
@@ -244,9 +295,10 @@ class BM25Index:
         """T5: k best chunks per query, positive scores only, rounded to 4. Equal scores keep corpus order.
 
         The document frequencies tell exactly how many (query, chunk, term) rows full scoring would list.
-        From ``prune_from`` of them on the search is pruned; below, one pass over the postings costs less than
-        the steps of the pruned search, and gives the same rows. Where the floor of the idf is negative
-        (only in a corpus whose words are in most chunks), partial scores bound nothing and every pair is scored.
+        From ``prune_from`` of them on the search is pruned; below, one pass over the postings, whose pairs stay
+        in the task of their chunk, costs less than the steps of the pruned search, and gives the same rows.
+        Where the floor of the idf is negative (only in a corpus whose words are in most chunks), partial
+        scores bound nothing and every pair is scored.
         """
         from kpiscope.session import materialize
 
@@ -254,7 +306,7 @@ class BM25Index:
         side = materialize(side, "bm25_side")
         pairs = side.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         if self.eps < 0 or pairs < prune_from:
-            s = self._full(side, small)
+            s = self._best(side, small, k, pairs)
         else:
             s = self._pruned(side, small, k).scores.withColumn(
                 "score", F.col("total").cast("double") / F.lit(SCORE_SCALE)).drop("total")

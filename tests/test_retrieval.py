@@ -187,3 +187,65 @@ def test_the_cost_rule_picks_the_pruned_search(spark, sf_small, monkeypatch):
     assert not calls
     ix.top_k(q, prune_from=pairs)
     assert len(calls) == 1
+
+
+def test_pairs_are_summed_in_the_task_of_their_chunk(spark, sf_small):
+    """Postings are dealt out by chunk before they meet the queries; (query, chunk) pairs are not shuffled."""
+    ix = RT.BM25Index(RT.documents_as_chunks(spark.read.parquet(f"{sf_small}/documents.parquet")))
+    q = spark.read.parquet(f"{sf_small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    side, small = ix._query_side(q, "query_id", "text")
+    plan = ix._full(side, small)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert small and any("hashpartitioning(source" in line for line in dealt)
+    assert not any("query_id" in line and "source" in line.split("), ")[0] for line in dealt), dealt
+
+
+def test_floor_from_a_share_of_the_chunks_keeps_every_best_one(spark, sf_small, monkeypatch):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    rows = [(10_000 + i, t) for i, t in enumerate(["alpha beta gamma", "alpha beta", None, "", "x y", "alpha"] * 20)]
+    rows += [(None, "alpha beta delta"), (None, "gamma gamma"), (10_001, "alpha alpha")]     # null and repeated keys
+    ix = RT.BM25Index(RT.documents_as_chunks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))))
+    items = spark.read.parquet(f"{sf_small}/benchmark.parquet").limit(12)
+    q = items.select(F.col("item_id").cast("string").alias("query_id"), "text").unionByName(spark.createDataFrame(
+        [("ties", "alpha beta"), (None, "gamma alpha"), ("none", "zzzz qqqq"), ("", "delta")], "query_id string, text string"))
+    side, small = ix._query_side(q, "query_id", "text")
+    monkeypatch.setattr(RT, "FLOOR_CHUNKS", 40)
+    monkeypatch.setattr(RT, "PAIRS_PER_TASK", 700)
+    full = ix._totals(ix.tf, side, small).collect()
+    for k in (1, 5):
+        floors = {r["query_id"]: r["floor"] for r in ix.floors(side, small, k, 10_000).collect()}
+        totals = {i: sorted((r["total"] for r in full if r["query_id"] == i), reverse=True) for i in floors}
+        assert len(floors) > 5 and all(f <= totals[i][k - 1] for i, f in floors.items())
+        key = lambda rows: sorted(rows, key=repr)
+        assert key(ranked_any(ix.top_k(q, k))) == key(ranked_any(full_top(ix, q, k)))
+        assert ix._best(side, small, k, 10_000).count() < len(full)     # what is under a floor is not sorted
+    monkeypatch.setattr(RT, "FLOOR_CHUNKS", 10 ** 9)
+    assert ix.floors(side, small, 5, 10_000) is None
+
+
+def ranked_any(top):
+    return [tuple(r[c] for c in ("query_id", "rank", "source", "section_no")) for r in top.select("query_id", "rank", "source", "section_no").collect()
+            if r["source"] is not None]
+
+
+def full_top(ix, q, k):
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ix.keys)
+    return ix.scores(q).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > 0)).join(
+        ix.lengths.select(*ix.keys), ix.keys)
+
+
+def test_impacts_round_as_before(spark):
+    """Nonnegative impacts are rounded without a decimal: halves go up, as ``round`` takes them."""
+    xs = [0.0, 0.5, 1.5, 2.5, 12345678901.5, 12345678901.499998, 1e10 + 0.25, 3.999999999, 2.0 ** 40 - 0.5]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(
+        F.floor(F.col("x") + F.lit(0.5)).alias("a"), F.round("x").cast("bigint").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_unmaterialized_index_counts_its_tokens_once(spark):
+    """The text of a chunk is tokenized in one place of the plan, not once more in a filter for each token."""
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, ""), (3, "x")], "doc_id long, text string")
+    ix = RT.BM25Index(RT.documents_as_chunks(docs), materialized=False)
+    assert ix.tf._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r["source"], r["term"], r["tf"], r["dl"]) for r in ix.tf.collect()) == [(1, "alpha", 2, 3), (1, "beta", 1, 3)]
